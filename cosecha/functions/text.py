@@ -79,3 +79,22 @@ def period_label_week(anio, semana) -> Column:
 
 def title_case(c) -> Column:
     return F.initcap(F.lower(col_(c)))
+
+
+def year_range(c, pattern: str = r"20\d{2}") -> list[Column]:
+    """min / max / count of the years found in a text (X-s4)."""
+    found = F.transform(F.regexp_extract_all(col_(c), F.lit(pattern), 1), lambda x: x.cast("int"))
+    return [F.array_min(found).alias("anio_min"), F.array_max(found).alias("anio_max"),
+            F.size(found).alias("n_anios")]
+
+
+# Prefixes removed before taking a community's first word.
+COMMUNITY_PREFIXES = ["Comunitat ", "Comunidad de ", "Región de ", "Islas ", "La "]
+
+
+def community_keyword(c) -> Column:
+    """First word of a community name after removing fixed prefixes (X-s9)."""
+    s = col_(c)
+    for p in COMMUNITY_PREFIXES:
+        s = F.replace(s, F.lit(p), F.lit(""))
+    return F.split(s, " ")[0]

@@ -145,6 +145,77 @@ clima_provincial AS (
   FROM clima_mensual WHERE cod_provincia IS NOT NULL
   GROUP BY cod_provincia, anio, mes)""", ("clima_mensual",))
 
+CTES["raw_numbers"] = ("""
+raw_numbers AS (
+  SELECT l_orderkey, l_linenumber,
+    CASE (l_orderkey * 7 + l_linenumber) % 12
+      WHEN 0 THEN '' WHEN 1 THEN '-' WHEN 2 THEN 'Ip' WHEN 3 THEN 'Varias'
+      WHEN 4 THEN CAST(CAST(ROUND(l_quantity) AS BIGINT) AS VARCHAR) || ',' || CAST(l_linenumber AS VARCHAR)
+      WHEN 5 THEN '1.' || lpad(CAST(CAST(ROUND(l_quantity) AS BIGINT) AS VARCHAR), 3, '0') || ',5'
+      WHEN 6 THEN CAST(CAST(ROUND(l_quantity) AS BIGINT) AS VARCHAR) || '.' || CAST(l_linenumber AS VARCHAR)
+      WHEN 7 THEN ' ' || CAST(CAST(ROUND(l_quantity) AS BIGINT) AS VARCHAR) || ' '
+      WHEN 8 THEN CAST(CAST(ROUND(l_quantity) AS BIGINT) AS VARCHAR) || 'd'
+      WHEN 9 THEN CAST(CAST(ROUND(l_quantity) AS BIGINT) AS VARCHAR) || '_000'
+      WHEN 10 THEN '—'
+      ELSE '-' || CAST(CAST(ROUND(l_quantity) AS BIGINT) AS VARCHAR) || 'e1' END AS raw
+  FROM lineitem)""", ())
+
+_MONTHS_SQL = "['enero','febrero','marzo','abril','mayo','junio','julio','agosto','septiembre','octubre','noviembre','diciembre']"
+
+CTES["raw_filenames"] = (f"""
+_fn_ym AS (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m
+           FROM orders),
+raw_filenames AS (
+  SELECT CASE (y * 12 + m) % 5
+    WHEN 0 THEN 'data/cuaderno_' || {_MONTHS_SQL}[m] || CAST(y AS VARCHAR) || '.xls'
+    WHEN 1 THEN 'cuaderno_' || upper({_MONTHS_SQL}[m]) || CAST(y AS VARCHAR) || '.xlsx'
+    WHEN 2 THEN 'cuaderno_' || {_MONTHS_SQL}[m] || '_' || CAST(y AS VARCHAR) || '.xls'
+    WHEN 3 THEN 'cuaderno_foo' || CAST(y AS VARCHAR) || '.xls'
+    ELSE 'otro_' || {_MONTHS_SQL}[m] || '.xls' END AS archivo
+  FROM _fn_ym)""", ())
+
+
+def _prov_ccaa_sql() -> str:
+    from ..dims import PROV_TO_CCAA, values_sql
+    return values_sql(PROV_TO_CCAA, "cod", "ccaa_map")
+
+
+CTES["raw_row_labels"] = (f"""
+raw_row_labels AS (
+  SELECT c_custkey,
+    CASE c_custkey % 9
+      WHEN 0 THEN lpad(CAST(n_nationkey + 1 AS VARCHAR), 2, '0') || ' ' || n_name
+      WHEN 1 THEN ccaa_map
+      WHEN 2 THEN 'TOTAL ESPAÑA'
+      WHEN 3 THEN 'SUMA PROVINCIAS'
+      WHEN 4 THEN '(' || c_name
+      WHEN 5 THEN '* ' || c_name
+      WHEN 6 THEN NULL
+      WHEN 7 THEN '   '
+      ELSE c_name END AS celda
+  FROM customer JOIN nation ON c_nationkey = n_nationkey
+  LEFT JOIN {_prov_ccaa_sql()} cm ON n_nationkey + 1 = cm.cod)""", ())
+
+CTES["raw_products"] = ("""
+raw_products AS (
+  SELECT p_partkey,
+    CASE p_partkey % 4
+      WHEN 0 THEN p_name || ' (€/t)'
+      WHEN 1 THEN upper(p_name) || ' (€/100 kg) *'
+      WHEN 2 THEN p_name || ' € libre'
+      ELSE '  ' || p_name || ' (€/docena)  ' END AS raw
+  FROM part)""", ())
+
+CTES["raw_climate_dates"] = ("""
+raw_climate_dates AS (
+  SELECT indicativo,
+    CASE (anio * 12 + mes) % 6
+      WHEN 0 THEN CAST(anio AS VARCHAR)
+      WHEN 1 THEN CAST(anio AS VARCHAR) || '-xx'
+      WHEN 5 THEN CAST(anio AS VARCHAR) || '-13'
+      ELSE CAST(anio AS VARCHAR) || '-' || CAST(mes AS VARCHAR) END AS fecha
+  FROM clima_mensual)""", ("clima_mensual",))
+
 
 def _needed(body: str) -> list[str]:
     order: list[str] = []

@@ -259,3 +259,89 @@ class Tables:
     def clima_provincial(self) -> DataFrame:
         from ..operators.climate import climate_rollup
         return climate_rollup(self.clima_mensual())
+
+
+# ------------------------------------------------------------------ raw text
+# Raw text cells in the shapes the reference ingests,
+# derived row by row from the driver tables so their volume grows with them.
+
+MONTH_NAMES = ["enero", "febrero", "marzo", "abril", "mayo", "junio", "julio",
+               "agosto", "septiembre", "octubre", "noviembre", "diciembre"]
+
+
+def raw_numbers(t: Tables) -> DataFrame:
+    """Number cells as typed in workbooks: decimal commas, dashes, tokens."""
+    li = t.raw("lineitem", "l_orderkey", "l_linenumber", "l_quantity")
+    q = units("l_quantity").cast("string")
+    ln = F.col("l_linenumber").cast("string")
+    k = F.pmod(F.col("l_orderkey") * 7 + F.col("l_linenumber"), F.lit(12))
+    raw = (F.when(k == 0, F.lit("")).when(k == 1, F.lit("-")).when(k == 2, F.lit("Ip"))
+           .when(k == 3, F.lit("Varias"))
+           .when(k == 4, F.concat(q, F.lit(","), ln))
+           .when(k == 5, F.concat(F.lit("1."), F.lpad(q, 3, "0"), F.lit(",5")))
+           .when(k == 6, F.concat(q, F.lit("."), ln))
+           .when(k == 7, F.concat(F.lit(" "), q, F.lit(" ")))
+           .when(k == 8, F.concat(q, F.lit("d")))
+           .when(k == 9, F.concat(q, F.lit("_000")))
+           .when(k == 10, F.lit("—"))
+           .otherwise(F.concat(F.lit("-"), q, F.lit("e1"))))
+    return li.select("l_orderkey", "l_linenumber", raw.alias("raw"))
+
+
+def raw_filenames(t: Tables) -> DataFrame:
+    """Workbook file names for every month that has orders, with bad variants."""
+    o = t.raw("orders", "o_orderdate")
+    ym = o.select(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m")).distinct()
+    names = F.array(*[F.lit(m) for m in MONTH_NAMES])
+    mn = F.element_at(names, F.col("m"))
+    y = F.col("y").cast("string")
+    k = F.pmod(F.col("y") * 12 + F.col("m"), F.lit(5))
+    f = (F.when(k == 0, F.concat(F.lit("data/cuaderno_"), mn, y, F.lit(".xls")))
+         .when(k == 1, F.concat(F.lit("cuaderno_"), F.upper(mn), y, F.lit(".xlsx")))
+         .when(k == 2, F.concat(F.lit("cuaderno_"), mn, F.lit("_"), y, F.lit(".xls")))
+         .when(k == 3, F.concat(F.lit("cuaderno_foo"), y, F.lit(".xls")))
+         .otherwise(F.concat(F.lit("otro_"), mn, F.lit(".xls"))))
+    return ym.select(f.alias("archivo"))
+
+
+def raw_row_labels(t: Tables) -> DataFrame:
+    """Column-0 cells of advance sheets built from customers and their nation."""
+    from ..dims import prov_ccaa_df
+    c = t.raw("customer", "c_custkey", "c_name", "c_nationkey")
+    n = t.dim("nation", "n_nationkey", "n_name")
+    cm = prov_ccaa_df(t.spark)
+    base = (c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+            .join(cm, F.col("n_nationkey") + 1 == F.col("cod"), "left"))
+    k = F.pmod(F.col("c_custkey"), F.lit(9))
+    cell = (F.when(k == 0, F.concat(F.lpad((F.col("n_nationkey") + 1).cast("string"), 2, "0"),
+                                     F.lit(" "), F.col("n_name")))
+            .when(k == 1, F.col("ccaa_map"))
+            .when(k == 2, F.lit("TOTAL ESPAÑA"))
+            .when(k == 3, F.lit("SUMA PROVINCIAS"))
+            .when(k == 4, F.concat(F.lit("("), F.col("c_name")))
+            .when(k == 5, F.concat(F.lit("* "), F.col("c_name")))
+            .when(k == 6, F.lit(None).cast("string"))
+            .when(k == 7, F.lit("   "))
+            .otherwise(F.col("c_name")))
+    return base.select("c_custkey", cell.alias("celda"))
+
+
+def raw_products(t: Tables) -> DataFrame:
+    """Price-sheet product cells: name with unit in brackets, star marks, no unit."""
+    p = t.raw("part", "p_partkey", "p_name")
+    k = F.pmod(F.col("p_partkey"), F.lit(4))
+    raw = (F.when(k == 0, F.concat(F.col("p_name"), F.lit(" (€/t)")))
+           .when(k == 1, F.concat(F.upper("p_name"), F.lit(" (€/100 kg) *")))
+           .when(k == 2, F.concat(F.col("p_name"), F.lit(" € libre")))
+           .otherwise(F.concat(F.lit("  "), F.col("p_name"), F.lit(" (€/docena)  "))))
+    return p.select("p_partkey", raw.alias("raw"))
+
+
+def raw_climate_dates(t: Tables) -> DataFrame:
+    """Climate record dates as the weather service writes them ("YYYY-M")."""
+    cm = t.clima_mensual().select("indicativo", F.col("anio").alias("a"), F.col("mes").alias("m"))
+    k = F.pmod(F.col("a") * 12 + F.col("m"), F.lit(6))
+    a, m = F.col("a").cast("string"), F.col("m").cast("string")
+    fecha = (F.when(k == 0, a).when(k == 1, F.concat(a, F.lit("-xx")))
+             .when(k == 5, F.concat(a, F.lit("-13"))).otherwise(F.concat(a, F.lit("-"), m)))
+    return cm.select("indicativo", fecha.alias("fecha"))
