@@ -67,7 +67,8 @@ def detect_anomalies(df: DataFrame, value: str, group: list[str], method: str =
 
     Groups with fewer than ``min_obs`` non-NULL values are skipped (the batch
     tool uses 5, the dashboard 0).  z uses the sample std and only counts when
-    std > 0; the IQR fence only when iqr > 0.  Adds ``z``, ``media``, ``std``,
+    std > 0; the IQR fence only when iqr > 0.  Adds ``z``, ``media``, ``std``
+    (unrounded),
     ``q1``, ``q3``, band columns ``lim_inf``/``lim_sup``, ``anomalia`` and the
     label ``tipo`` (alto / bajo by the sign of z).  With ``keep_all=False`` only
     flagged rows are returned.
@@ -92,7 +93,5 @@ def detect_anomalies(df: DataFrame, value: str, group: list[str], method: str =
            .withColumn("lim_sup", round_half_up(F.col("q3") + iqr_k * iqr, 9))
            .withColumn("anomalia", flag)
            .withColumn("tipo", F.when(F.coalesce(z, F.lit(0.0)) > 0, "alto").otherwise("bajo"))
-           .withColumn("media", round_half_up("media", 9))
-           .withColumn("std", round_half_up("std", 9))
            .drop("_n"))
     return out if keep_all else out.filter(F.col("anomalia"))
