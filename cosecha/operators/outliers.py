@@ -93,5 +93,7 @@ def detect_anomalies(df: DataFrame, value: str, group: list[str], method: str =
            .withColumn("lim_sup", round_half_up(F.col("q3") + iqr_k * iqr, 9))
            .withColumn("anomalia", flag)
            .withColumn("tipo", F.when(F.coalesce(z, F.lit(0.0)) > 0, "alto").otherwise("bajo"))
+           .withColumn("q1", round_half_up("q1", 9))
+           .withColumn("q3", round_half_up("q3", 9))
            .drop("_n"))
     return out if keep_all else out.filter(F.col("anomalia"))

@@ -365,7 +365,7 @@ def _anom_sql(a0, a1, extra, min_obs, keep_all):
     base = _ANOM_BASE.format(a0=a0, a1=a1, extra=extra)
     flt = "" if keep_all else "WHERE anomalia"
     return with_tables(f"""
-SELECT cultivo, provincia, anio, mes, rendimiento, q1, q3,
+SELECT cultivo, provincia, anio, mes, rendimiento, {R("q1", 9)} AS q1, {R("q3", 9)} AS q3,
        {R("z", 6)} AS z, {R("q1 - 2.0 * (q3 - q1)", 9)} AS lim_inf, {R("q3 + 2.0 * (q3 - q1)", 9)} AS lim_sup,
        anomalia, CASE WHEN COALESCE(z, 0.0) > 0 THEN 'alto' ELSE 'bajo' END AS tipo
 FROM (
