@@ -103,3 +103,60 @@ def values_sql(mapping: dict, key: str, value: str) -> str:
         return str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
     rows = ", ".join(f"({lit(k)}, {lit(v)})" for k, v in mapping.items())
     return f"(SELECT * FROM (VALUES {rows}) AS t({key}, {value}))"
+
+# Question gazetteers of the dashboard chat (accent-folded keys).
+# Community key -> stored community name; dictionary order matters (first hit).
+CHAT_CCAA = {
+    "andalucia":        "Andalucía",
+    "aragon":           "Aragón",
+    "asturias":         "Asturias",
+    "baleares":         "Islas Baleares",
+    "canarias":         "Canarias",
+    "cantabria":        "Cantabria",
+    "castilla la mancha": "Castilla-La Mancha",
+    "castilla leon":    "Castilla y León",
+    "cataluna":         "Cataluña",
+    "extremadura":      "Extremadura",
+    "galicia":          "Galicia",
+    "madrid":           "Comunidad de Madrid",
+    "murcia":           "Región de Murcia",
+    "navarra":          "Navarra",
+    "pais vasco":       "País Vasco",
+    "euskadi":          "País Vasco",
+    "rioja":            "La Rioja",
+    "valencia":         "Comunitat Valenciana",
+    "valenciana":       "Comunitat Valenciana",
+}
+
+# Folded province name / alias -> 2-digit INE code.
+CHAT_PROVINCE_CODE = {
+    "alava": "01", "araba": "01", "albacete": "02", "alicante": "03", "alacant": "03",
+    "almeria": "04", "avila": "05", "badajoz": "06", "baleares": "07", "balears": "07",
+    "barcelona": "08", "burgos": "09", "caceres": "10", "cadiz": "11", "castellon": "12",
+    "ciudad real": "13", "cordoba": "14", "coruna": "15", "a coruna": "15", "cuenca": "16",
+    "girona": "17", "granada": "18", "guadalajara": "19", "guipuzcoa": "20", "gipuzkoa": "20",
+    "huelva": "21", "huesca": "22", "jaen": "23", "leon": "24", "lleida": "25", "lerida": "25",
+    "rioja": "26", "la rioja": "26", "lugo": "27", "madrid": "28", "malaga": "29", "murcia": "30",
+    "navarra": "31", "ourense": "32", "orense": "32", "asturias": "33", "palencia": "34",
+    "palmas": "35", "las palmas": "35", "pontevedra": "36", "salamanca": "37", "tenerife": "38",
+    "cantabria": "39", "segovia": "40", "sevilla": "41", "soria": "42", "tarragona": "43",
+    "teruel": "44", "toledo": "45", "valencia": "46", "valladolid": "47", "vizcaya": "48",
+    "bizkaia": "48", "zamora": "49", "zaragoza": "50", "ceuta": "51", "melilla": "52",
+}
+
+# Words that make a question a ranking question.
+CHAT_RANKING_WORDS = [
+    "que provincia", "cual provincia", "mayor", "menor", "mas alto", "mas bajo",
+    "maximo", "minimo", "ranking", "top", "lidera", "encabeza", "principales",
+    "que comunidad", "cuales provincias", "que provincias",
+]
+
+# Crop gazetteer (matched longest first).
+CHAT_CROPS = [
+    "cereales de invierno", "cereal de invierno", "cereales", "cereal",
+    "trigo blando", "trigo duro", "trigo", "cebada", "maiz", "girasol",
+    "olivar", "aceituna", "vid", "vinedo", "arroz", "avena", "centeno",
+    "colza", "algodon", "remolacha", "patata", "tomate", "pimiento",
+    "lechuga", "naranja", "limon", "almendro", "algarrobo", "garbanzo",
+    "lenteja", "guisante", "jijona", "nabo", "citricos", "citrico",
+]

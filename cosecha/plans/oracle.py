@@ -217,6 +217,38 @@ raw_climate_dates AS (
   FROM clima_mensual)""", ("clima_mensual",))
 
 
+def _questions_sql() -> str:
+    from ..dims import CHAT_CROPS, CHAT_PROVINCE_CODE, CHAT_RANKING_WORDS
+    from ..functions.text import MONTHS_ES
+
+    def arr(xs):
+        return "[" + ",".join("'" + x + "'" for x in xs) + "]"
+    crops, provs, ranks = arr(CHAT_CROPS), arr(list(CHAT_PROVINCE_CODE)), arr(CHAT_RANKING_WORDS)
+    months = arr([m.capitalize() for m in MONTHS_ES])
+
+    def cap(x):
+        return f"(upper(substr({x}, 1, 1)) || substr({x}, 2, 1000))"
+    crop = f"{crops}[o_orderkey % {len(CHAT_CROPS)} + 1]"
+    prov = f"{provs}[o_custkey % {len(CHAT_PROVINCE_CODE)} + 1]"
+    rank = f"{ranks}[o_orderkey % {len(CHAT_RANKING_WORDS)} + 1]"
+    m0 = f"{months}[month(o_orderdate)]"
+    m1 = f"{months}[(month(o_orderdate) + 10) % 12 + 1]"
+    y0 = "CAST(year(o_orderdate) + 25 AS VARCHAR)"
+    y1 = "CAST(year(o_orderdate) + 26 AS VARCHAR)"
+    return f"""
+raw_questions AS (
+  SELECT o_orderkey AS q_id, CASE o_orderkey % 4
+    WHEN 0 THEN 'Rendimiento de ' || {crop} || ' en ' || {cap(prov)} || ' entre ' || {m0} || ' de ' || {y0}
+                || ' y ' || {m1} || ' de ' || {y1}
+    WHEN 1 THEN '¿' || {cap(rank)} || ' de ' || {crop} || ' en ' || {y0} || '?'
+    WHEN 2 THEN 'Producción de ' || upper({crop}) || ' por provincia en ' || {m0}
+    ELSE 'Evolución del precio en ' || {cap(prov)} END AS pregunta
+  FROM orders)"""
+
+
+CTES["raw_questions"] = (_questions_sql(), ())
+
+
 def _needed(body: str) -> list[str]:
     order: list[str] = []
 

@@ -345,3 +345,34 @@ def raw_climate_dates(t: Tables) -> DataFrame:
     fecha = (F.when(k == 0, a).when(k == 1, F.concat(a, F.lit("-xx")))
              .when(k == 5, F.concat(a, F.lit("-13"))).otherwise(F.concat(a, F.lit("-"), m)))
     return cm.select("indicativo", fecha.alias("fecha"))
+
+
+def raw_questions(t: Tables) -> DataFrame:
+    """Dashboard-style questions, one per order, built from gazetteer words
+    chosen by the order's keys and dates (SURVEY Appendix B5)."""
+    from ..dims import CHAT_CROPS, CHAT_PROVINCE_CODE, CHAT_RANKING_WORDS
+    from ..functions.text import MONTHS_ES
+    o = t.raw("orders", "o_orderkey", "o_custkey", "o_orderdate")
+    crops = F.array(*[F.lit(c) for c in CHAT_CROPS])
+    provs = F.array(*[F.lit(p) for p in CHAT_PROVINCE_CODE])
+    ranks = F.array(*[F.lit(w) for w in CHAT_RANKING_WORDS])
+    months = F.array(*[F.lit(m.capitalize()) for m in MONTHS_ES])
+    k = F.col("o_orderkey")
+    crop = F.element_at(crops, (F.pmod(k, F.lit(len(CHAT_CROPS))) + 1).cast("int"))
+    prov = F.element_at(provs, (F.pmod(F.col("o_custkey"), F.lit(len(CHAT_PROVINCE_CODE))) + 1).cast("int"))
+    rank = F.element_at(ranks, (F.pmod(k, F.lit(len(CHAT_RANKING_WORDS))) + 1).cast("int"))
+    m = F.month("o_orderdate")
+    y = F.year("o_orderdate")
+    m0 = F.element_at(months, m)
+    m1 = F.element_at(months, (F.pmod(m + 10, F.lit(12)) + 1).cast("int"))
+    y0, y1 = (y + 25).cast("string"), (y + 26).cast("string")
+    form = F.pmod(k, F.lit(4))
+    def cap(x):
+        return F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1000))
+    q = (F.when(form == 0, F.concat(F.lit("Rendimiento de "), crop, F.lit(" en "), cap(prov),
+                                    F.lit(" entre "), m0, F.lit(" de "), y0, F.lit(" y "), m1, F.lit(" de "), y1))
+         .when(form == 1, F.concat(F.lit("¿"), cap(rank), F.lit(" de "), crop, F.lit(" en "), y0,
+                                   F.lit("?")))
+         .when(form == 2, F.concat(F.lit("Producción de "), F.upper(crop), F.lit(" por provincia en "), m0)))
+    q = q.otherwise(F.concat(F.lit("Evolución del precio en "), cap(prov)))
+    return o.select(F.col("o_orderkey").alias("q_id"), q.alias("pregunta"))
