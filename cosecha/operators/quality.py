@@ -60,5 +60,44 @@ def validity_counts(df: DataFrame, rules: dict[str, "F.Column"]) -> DataFrame:
     return df.agg(*[F.count_if(cond).alias(name) for name, cond in rules.items()])
 
 
-def checks_frame(checks: list[tuple[str, "F.Column", "F.Column"]], df_by_name: dict) -> DataFrame:
-    raise NotImplementedError
+
+
+
+
+def quality_report(avances: DataFrame, coyuntura: DataFrame, clima: DataFrame) -> DataFrame:
+    """Validation report of all tables (X12): one aggregate per table, long format."""
+    a = avances.agg(F.count(F.lit(1)).alias("filas"), F.count_if(F.col("sup_avance") < 0).alias("sup_negativas"),
+                    F.count_if(F.col("prod_avance").isNull()).alias("prod_nulas"),
+                    F.count_if(~F.col("periodo_mes").between(1, 12)).alias("meses_invalidos"),
+                    F.count_distinct("cultivo").alias("cultivos"))
+    c = coyuntura.agg(F.count(F.lit(1)).alias("filas"),
+                      F.count_if(F.col("precio_sem_actual") <= 0).alias("precios_no_positivos"),
+                      F.count_if(F.abs("variacion_pct") > 50).alias("variaciones_extremas"),
+                      F.count_if(~F.col("semana").between(1, 53)).alias("semanas_invalidas"))
+    m = clima.agg(F.count(F.lit(1)).alias("filas"), F.count_distinct("indicativo").alias("estaciones"),
+                  F.count_if(F.col("t_media").isNull()).alias("t_media_nulas"),
+                  (F.count_if(~F.col("t_media").between(-20.0, 45.0))
+                   + F.count_if(~F.col("precip_mm").between(0.0, 1000.0))).alias("fuera_de_rango"))
+
+    def long(df, name):
+        return df.unpivot([], df.columns, "metrica", "valor").select(F.lit(name).alias("tabla"), "metrica",
+                                                                     F.col("valor").cast("bigint").alias("valor"))
+    return long(a, "avances").unionByName(long(c, "coyuntura")).unionByName(long(m, "clima_mensual"))
+
+
+def verify_checks(avances: DataFrame, coyuntura: DataFrame, estaciones: DataFrame, clima: DataFrame,
+                  minimums: dict[str, int] | None = None) -> DataFrame:
+    """Data verification suite (X11): minimum row counts and key NULL checks
+    as a (chequeo, valor, minimo, ok) table."""
+    mins = {"avances": 1000, "coyuntura": 100, "estaciones": 7, "clima": 60, **(minimums or {})}
+
+    def rows(df, name, key):
+        n = F.count(F.lit(1))
+        return df.agg(F.lit(f"{name}_min_filas").alias("chequeo"), n.alias("valor"),
+                      F.lit(mins[key]).alias("minimo"), (n >= mins[key]).alias("ok"))
+    keys_null = F.count_if(F.col("periodo_anio").isNull() | F.col("cultivo").isNull() | F.col("nivel").isNull())
+    nulls = avances.agg(F.lit("avances_claves_nulas").alias("chequeo"), keys_null.alias("valor"),
+                        F.lit(0).alias("minimo"), (keys_null == 0).alias("ok"))
+    return (rows(avances, "avances", "avances").unionByName(rows(coyuntura, "coyuntura", "coyuntura"))
+            .unionByName(rows(estaciones, "estaciones", "estaciones")).unionByName(rows(clima, "clima", "clima"))
+            .unionByName(nulls))

@@ -107,6 +107,10 @@ class Tables:
         tag = hashlib.sha1((self.sf_dir + "|" + "|".join(stamp) + "|v3").encode()).hexdigest()[:12]
         return scratch_path(self.spark, "warehouse", tag, name)
 
+    def scratch(self, name: str) -> str:
+        """Per-dataset folder under the shared checkpoint dir for written outputs."""
+        return self._path(name).rsplit("/", 1)[0] + "/out/" + name
+
     def materialize(self) -> None:
         for n in ("avances", "coyuntura", "estaciones", "clima_mensual"):
             getattr(self, n)()
