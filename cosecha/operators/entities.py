@@ -13,6 +13,8 @@ place (or ranking) or no crop.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,22 @@ def _first_hit(conds: list[tuple[Column, Column]]) -> Column:
     return out.otherwise(F.lit(None))
 
 
+def _longest_hit(text: Column, keys: list[str], word: bool) -> Column:
+    """The longest key found in ``text`` (ties: the earlier key of ``keys``).
+
+    One alternation regex (keys longest first) finds every match in a single
+    pass; the winner is the longest match.  This equals testing the keys one
+    by one longest-first, which is how the reference decides, without one
+    regex evaluation per key and row.
+    """
+    alt = "|".join(re.escape(k) for k in keys)
+    pat = rf"\b({alt})\b" if word else f"({alt})"
+    found = F.regexp_extract_all(text, F.lit(pat), 1)
+    rank = F.create_map(*[x for i, k in enumerate(keys) for x in (F.lit(k), F.lit(i))])
+    best = F.array_min(F.transform(found, lambda m: F.struct(rank[m].alias("r"), m.alias("k"))))
+    return best["k"]
+
+
 def extract_context(df: DataFrame, text_col: str, year_re: str = r"20\d{2}",
                     word_months: bool = False) -> DataFrame:
     """Adds ``ctx`` struct(cultivo, anio_ini, anio_fin, mes_ini, mes_fin, ccaa,
@@ -40,14 +58,15 @@ def extract_context(df: DataFrame, text_col: str, year_re: str = r"20\d{2}",
     p = fold_accents(text_col)
     ccaa = _first_hit([(p.contains(k), F.lit(v)) for k, v in CHAT_CCAA.items()])
     provs = sorted(CHAT_PROVINCE_CODE, key=len, reverse=True)
-    prov = _first_hit([(p.rlike(r"\b" + k + r"\b"), F.lit(k)) for k in provs])
-    cod = _first_hit([(p.rlike(r"\b" + k + r"\b"), F.lit(CHAT_PROVINCE_CODE[k])) for k in provs])
+    prov = _longest_hit(p, provs, word=True)
+    codes = F.create_map(*[x for k in provs for x in (F.lit(k), F.lit(CHAT_PROVINCE_CODE[k]))])
+    cod = codes[prov]
     ranking = F.lit(False)
     for w in CHAT_RANKING_WORDS:
         ranking = ranking | p.contains(w)
     geo = p.contains("provincia") | ccaa.isNotNull() | cod.isNotNull() | ranking
     crops = sorted(CHAT_CROPS, key=len, reverse=True)
-    crop = _first_hit([(p.contains(c), F.lit(c.upper())) for c in crops])
+    crop = F.upper(_longest_hit(p, crops, word=False))
     years = F.transform(F.regexp_extract_all(F.col(text_col), F.lit("(" + year_re + ")"), 1),
                         lambda y: y.cast("int"))
     a0 = F.coalesce(F.array_min(years), F.lit(DEFAULT_YEAR))

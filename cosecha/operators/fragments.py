@@ -156,14 +156,17 @@ def chunk_words(docs: DataFrame, text_col: str = "text", key: str = "doc_id", si
     words = F.split(F.regexp_replace(F.col(text_col), r"^" + WS_RE + "|" + WS_RE + r"$", ""), WS_RE)
     words = F.when(F.col(text_col).rlike("[^" + WS_CLASS + "]"),
                    words).otherwise(F.array().cast("array<string>"))
-    d = docs.select(F.col(key), words.alias("_w"))
-    d = d.withColumn("total_chunks", F.when(F.size("_w") > 0,
-                                            ((F.size("_w") - 1) / step).cast("int") + 1).otherwise(0))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("_w") - 1, F.lit(0)), F.lit(step))
-    ex = d.filter(F.size("_w") > 0).select(key, "total_chunks", "_w", F.posexplode(starts).alias("chunk_index", "_s"))
-    chunk = F.array_join(F.slice("_w", F.col("_s") + 1, size), " ")
-    out = ex.select(key, "chunk_index", "total_chunks", F.col("_s").alias("inicio"),
-                    F.least(F.size("_w") - F.col("_s"), F.lit(size)).alias("n_palabras"), chunk.alias("chunk"))
+    d = docs.select(F.col(key), words.alias("_w")).filter(F.size("_w") > 0)
+    n = F.size("_w")
+    starts = F.sequence(F.lit(0), n - 1, F.lit(step))
+    # the chunk strings are built inside one array expression, so the word
+    # array is never copied once per exploded chunk row
+    chunks = F.transform(starts, lambda s0: F.struct(
+        s0.alias("inicio"), F.least(n - s0, F.lit(size)).alias("n_palabras"),
+        F.array_join(F.slice("_w", s0 + 1, size), " ").alias("chunk")))
+    ex = d.select(key, (((n - 1) / step).cast("int") + 1).alias("total_chunks"),
+                  F.posexplode(chunks).alias("chunk_index", "_c"))
+    out = ex.select(key, "chunk_index", "total_chunks", "_c.inicio", "_c.n_palabras", "_c.chunk")
     return out.filter(F.length(F.trim("chunk")) >= min_chars)
 
 

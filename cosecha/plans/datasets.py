@@ -9,6 +9,7 @@ physical limits) → dataset v1; climate median imputation → dataset v2
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -114,26 +115,46 @@ def model_dataset_v3(v2: DataFrame, cut_lineage: bool = False) -> DataFrame:
 
 
 class Pipeline:
-    """The batch pipeline over one set of domain tables (lazily built)."""
+    """The batch pipeline over one set of domain tables (lazily built).
 
-    def __init__(self, tables, params: DatasetParams = DatasetParams()):
+    The versioned outputs the reference writes as files (validated panel,
+    cleaned climate rollup, dataset v2) are written once to the shared
+    folder and read back, which cuts the lineage: later steps (label codes,
+    the three imputation levels) reference their input several times and
+    would otherwise recompute it for every reference.
+    """
+
+    _written: dict[str, DataFrame] = {}
+
+    def __init__(self, tables, params: DatasetParams = DatasetParams(), materialize: bool = True):
         self.t = tables
         self.p = params
+        self.materialize = materialize
+
+    def _mat(self, name: str, build) -> DataFrame:
+        if not self.materialize:
+            return build()
+        path = self.t.scratch(f"pipeline_{name}_{hashlib.md5(repr(self.p).encode()).hexdigest()[:8]}")
+        key = f"{id(self.t.spark)}:{path}"
+        if key not in Pipeline._written:
+            build().write.mode("overwrite").parquet(path)
+            Pipeline._written[key] = self.t.spark.read.parquet(path)
+        return Pipeline._written[key]
 
     def av_valid(self) -> DataFrame:
-        return validated_avances(self.t.avances(), self.p.iqr_k)
+        return self._mat("av_valid", lambda: validated_avances(self.t.avances(), self.p.iqr_k))
 
     def clima_prov_v1(self) -> DataFrame:
-        return climate_rollup(limited_climate(self.t.clima_mensual()))
+        return self._mat("cp_v1", lambda: climate_rollup(limited_climate(self.t.clima_mensual())))
 
     def clima_prov_v2(self) -> DataFrame:
-        return climate_rollup(imputed_climate(self.t.clima_mensual()))
+        return self._mat("cp_v2", lambda: climate_rollup(imputed_climate(self.t.clima_mensual())))
 
     def v1(self) -> DataFrame:
         return model_dataset_v1(self.av_valid(), self.clima_prov_v1())
 
     def v2(self) -> DataFrame:
-        return model_dataset_v2(self.av_valid(), self.clima_prov_v2(), self.p)
+        return self._mat("v2", lambda: model_dataset_v2(self.av_valid(), self.clima_prov_v2(), self.p))
 
     def v3(self) -> DataFrame:
         return model_dataset_v3(self.v2())
