@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..dims import CHAT_CCAA, CHAT_CROPS, CHAT_PROVINCE_CODE, CHAT_RANKING_WORDS, MONTHS
 from ..functions.text import fold_accents
+from ..session import spread
 
 DEFAULT_YEAR = 2023
 
@@ -55,7 +56,10 @@ def extract_context(df: DataFrame, text_col: str, year_re: str = r"20\d{2}",
     ``word_months=True`` matches month names as whole words (so "mayor" is not
     May, trap Q32); the default keeps the reference's substring search.
     """
-    p = fold_accents(text_col)
+    # Generate nodes (explode of one-element arrays) pin the folded text and
+    # the result struct, so neither is recomputed for each of its uses
+    df = spread(df).select("*", F.explode(F.array(fold_accents(text_col))).alias("_p"))
+    p = F.col("_p")
     ccaa = _first_hit([(p.contains(k), F.lit(v)) for k, v in CHAT_CCAA.items()])
     provs = sorted(CHAT_PROVINCE_CODE, key=len, reverse=True)
     prov = _longest_hit(p, provs, word=True)
@@ -83,4 +87,4 @@ def extract_context(df: DataFrame, text_col: str, year_re: str = r"20\d{2}",
     ctx = F.struct(crop.alias("cultivo"), a0.alias("anio_ini"), a1.alias("anio_fin"), m0.alias("mes_ini"),
                    m1.alias("mes_fin"), ccaa.alias("ccaa"), prov.alias("provincia"), cod.alias("cod_provincia"),
                    ranking.alias("es_ranking"), ((m0 > m1) & (a0 < a1)).alias("cruza_anio"))
-    return df.withColumn("ctx", F.when(geo & crop.isNotNull(), ctx))
+    return df.select("*", F.explode(F.array(F.when(geo & crop.isNotNull(), ctx))).alias("ctx")).drop("_p")

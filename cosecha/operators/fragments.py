@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import col_
 from ..functions.text import MONTHS_ES, fmt_fixed, fmt_thousands, safe_id, zfill
+from ..session import spread
 from .analysis import dedup_first
 
 # Python's str.split() separators (Unicode whitespace), as a Java regex.
 WS_CLASS = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u0085\u001c-\u001f"
 WS_RE = "[" + WS_CLASS + "]+"
+WS_CHARS = " \t\n\r\x0b\x0c\u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200b)) + \
+    "\u2028\u2029\u202f\u205f\u3000\u0085\x1c\x1d\x1e\x1f"
 
 
 def month_name(mes) -> Column:
@@ -153,10 +156,12 @@ def chunk_words(docs: DataFrame, text_col: str = "text", key: str = "doc_id", si
     if overlap >= size:
         raise ValueError("overlap must be smaller than size (otherwise the window never advances)")
     step = size - overlap
-    words = F.split(F.regexp_replace(F.col(text_col), r"^" + WS_RE + "|" + WS_RE + r"$", ""), WS_RE)
-    words = F.when(F.col(text_col).rlike("[^" + WS_CLASS + "]"),
-                   words).otherwise(F.array().cast("array<string>"))
-    d = docs.select(F.col(key), words.alias("_w")).filter(F.size("_w") > 0)
+    trimmed = F.trim(F.col(text_col), F.lit(WS_CHARS))
+    words = F.when(F.coalesce(trimmed, F.lit("")) == "", F.array().cast("array<string>")) \
+        .otherwise(F.split(trimmed, WS_RE))
+    # explode of a one-element array: a Generate node, so later projections
+    # reference the split result instead of re-evaluating the split per use
+    d = spread(docs).select(F.col(key), F.explode(F.array(words)).alias("_w")).filter(F.size("_w") > 0)
     n = F.size("_w")
     starts = F.sequence(F.lit(0), n - 1, F.lit(step))
     # the chunk strings are built inside one array expression, so the word

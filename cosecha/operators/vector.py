@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_up
+from ..session import spread
 
 
 def _as_double(c: str) -> Column:
@@ -69,7 +70,7 @@ def knn(queries: DataFrame, candidates: DataFrame, k: int = 5, metric: str = "l2
     if metric not in ("l2", "cosine"):
         raise ValueError("metric must be l2 or cosine")
     nq = queries.count()
-    cands = candidates.select(F.col(id_col).alias("cand_id"), F.col(vec).alias("cand_vec"))
+    cands = spread(candidates).select(F.col(id_col).alias("cand_id"), F.col(vec).alias("cand_vec"))
     cb = cands.withColumn("_blk", F.pmod(F.xxhash64("cand_id"), F.lit(blocks)).cast("int"))
     # every query is replicated once per candidate block; the join is an
     # equi-join on the block, broadcast only for a query set of checked size

@@ -71,3 +71,18 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
 
 def local_master() -> str:
     return f"local[{os.environ.get('BENCH_CPUS', '8')}]"
+
+
+def spread(df, min_partitions: int | None = None):
+    """Give CPU-heavy row-wise work at least one partition per core.
+
+    A small input (one Parquet row group) is read by a single task; before an
+    expensive per-row step such an input is round-robin repartitioned to the
+    cluster's default parallelism.  Inputs that already have that many splits
+    (any large table) are returned unchanged, so at scale this adds no shuffle.
+    """
+    sc = df.sparkSession.sparkContext
+    want = min_partitions or sc.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
