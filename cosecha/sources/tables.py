@@ -87,12 +87,12 @@ class Tables:
             return self._cache[name]
         df = build()
         if self.materialized:
+            # written once per session to the shared folder, then read back
             path = self._path(name)
-            if not os.path.exists(os.path.join(path, "_SUCCESS")) or path.startswith(("hdfs:", "s3", "gs:", "abfs")):
-                w = df.write.mode("overwrite")
-                if partition_by:
-                    w = w.partitionBy(*partition_by)
-                w.parquet(path)
+            w = df.write.mode("overwrite")
+            if partition_by:
+                w = w.partitionBy(*partition_by)
+            w.parquet(path)
             df = self.spark.read.parquet(path)
         self._cache[name] = df
         return df
