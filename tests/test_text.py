@@ -1,0 +1,80 @@
+"""Chunking, k-NN and entity extraction against brute force on small input."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cosecha.operators.entities import extract_context
+from cosecha.operators.fragments import chunk_words
+from cosecha.operators.vector import knn, label_centroids
+
+from conftest import SF_SMALL
+
+
+def chunks_ref(text, size=800, overlap=100, min_chars=50):
+    words = text.split()
+    out, i, j = [], 0, 0
+    chunks = []
+    while i < len(words):
+        chunks.append((i, " ".join(words[i:i + size])))
+        i += size - overlap
+    for j, (s, c) in enumerate(chunks):
+        if len(c.strip()) >= min_chars:
+            out.append((j, s, c, len(chunks)))
+    return out
+
+
+def test_chunk_fixture(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(1600))),
+                                  (2, " ".join(f"w{i}" for i in range(750)))], "doc_id long, text string")
+    got = sorted((r.doc_id, r.chunk_index, r.inicio, r.total_chunks) for r in chunk_words(docs).collect())
+    assert got == [(1, 0, 0, 3), (1, 1, 700, 3), (1, 2, 1400, 3), (2, 0, 0, 2), (2, 1, 700, 2)]
+    with pytest.raises(ValueError):
+        chunk_words(docs, size=100, overlap=100)
+
+
+def test_chunk_matches_python_on_documents(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    got = sorted((r.doc_id, r.chunk_index, r.inicio, r.chunk, r.total_chunks) for r in chunk_words(docs).collect())
+    want = []
+    for r in docs.collect():
+        want += [(r.doc_id, j, s, c, n) for j, s, c, n in chunks_ref(r.text or "")]
+    assert got == sorted(want)
+
+
+def test_knn_matches_numpy(spark):
+    emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
+    q = label_centroids(emb)
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in knn(q, emb, k=5).collect())
+    rows = emb.collect()
+    ids = np.array([r.vec_id for r in rows])
+    m = np.array([r.embedding for r in rows], dtype=np.float64)
+    labels = np.array([r.label for r in rows])
+    want = []
+    for lab in sorted(set(labels)):
+        c = m[labels == lab].mean(axis=0)
+        d = ((m - c) ** 2).sum(axis=1)
+        order = sorted(range(len(ids)), key=lambda i: (d[i], ids[i]))[:5]
+        want += [(int(lab), k + 1, int(ids[i])) for k, i in enumerate(order)]
+    assert got == sorted(want)
+
+
+def test_entities_period_fixture(spark):
+    qs = ["Rendimiento de trigo en Toledo entre Marzo 2022 y Febrero 2023",
+          "¿Qué provincia tuvo el mayor rendimiento de cebada?",
+          "Precio del tomate",
+          "Rendimiento de maíz en la provincia de Ciudad Real en 2021"]
+    df = spark.createDataFrame([(i, q) for i, q in enumerate(qs)], "i int, pregunta string")
+    rows = {r.i: r.ctx for r in extract_context(df, "pregunta").collect()}
+    c0 = rows[0]
+    assert (c0.cultivo, c0.mes_ini, c0.mes_fin, c0.anio_ini, c0.anio_fin, c0.cruza_anio) == \
+        ("TRIGO", 3, 2, 2022, 2023, True)
+    assert (c0.provincia, c0.cod_provincia) == ("toledo", "45")
+    c1 = rows[1]
+    assert c1.es_ranking and c1.cultivo == "CEBADA"
+    assert (c1.mes_ini, c1.mes_fin) == (5, 5)          # "mayor" contains "mayo" (trap Q32, compat)
+    assert rows[2] is None                              # no place, no ranking
+    c3 = rows[3]
+    assert (c3.provincia, c3.cod_provincia, c3.cultivo, c3.anio_ini) == ("ciudad real", "13", "MAIZ", 2021)
+    fixed = {r.i: r.ctx for r in extract_context(df, "pregunta", word_months=True).collect()}
+    assert (fixed[1].mes_ini, fixed[1].mes_fin) == (1, 12)
