@@ -133,3 +133,32 @@ def month_number(name) -> Column:
     """Spanish month name → number via a fixed map literal."""
     m = F.create_map(*[x for k, v in MONTHS.items() for x in (F.lit(k), F.lit(v))])
     return m[F.lower(col_(name))]
+
+
+# Anomaly-request defaults.
+REQUEST_DEFAULTS = {"anio_ini": 2014, "anio_fin": 2025, "metodo": "ambos"}
+REQUEST_SCHEMA = "cultivo string, provincia string, anio_ini int, anio_fin int, metodo string"
+LOOSE_FIELD_RE = r'(?iu){f}["\s:=]+([A-ZÁÉÍÓÚÜÑ\s]+)'
+
+
+def parse_params(c) -> Column:
+    """Anomaly request (X-j1): JSON object, or loose "campo: valor" text.
+
+    Valid JSON is read with ``from_json``; otherwise ``cultivo`` and
+    ``provincia`` come from a regex over the text (crop upper-cased,
+    province title-cased).  Missing fields take the fixed defaults.
+    """
+    js = F.from_json(col_(c), REQUEST_SCHEMA)
+    is_json = F.get_json_object(col_(c), "$").isNotNull()
+
+    def loose(f):
+        v = strip_ws(F.regexp_extract(col_(c), LOOSE_FIELD_RE.format(f=f), 1))
+        return F.when(v != "", v)
+    cultivo = F.when(is_json, js["cultivo"]).otherwise(F.upper(loose("cultivo")))
+    provincia = F.when(is_json, js["provincia"]).otherwise(F.initcap(loose("provincia")))
+    return F.struct(
+        F.upper(strip_ws(F.coalesce(cultivo, F.lit("")))).alias("cultivo"),
+        F.initcap(strip_ws(F.coalesce(provincia, F.lit("")))).alias("provincia"),
+        F.coalesce(F.when(is_json, js["anio_ini"]), F.lit(REQUEST_DEFAULTS["anio_ini"])).alias("anio_ini"),
+        F.coalesce(F.when(is_json, js["anio_fin"]), F.lit(REQUEST_DEFAULTS["anio_fin"])).alias("anio_fin"),
+        F.coalesce(F.when(is_json, js["metodo"]), F.lit(REQUEST_DEFAULTS["metodo"])).alias("metodo"))

@@ -187,6 +187,16 @@ def price_kpis(series: DataFrame, keys: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n_semanas"))
 
 
+def series_column_counts(df: DataFrame, candidates=("provincia", "ccaa", "nivel")) -> DataFrame:
+    """Distinct counts of the candidate series columns and the chosen one."""
+    present = [c for c in candidates if c in df.columns]
+    counts = df.agg(*[F.count_distinct(c).alias(c) for c in present])
+    choice = None
+    for c in reversed(present):
+        choice = F.when(F.col(c) > 1, F.lit(c)) if choice is None else F.when(F.col(c) > 1, F.lit(c)).otherwise(choice)
+    return counts.withColumn("columna_serie", choice)
+
+
 def series_column(df: DataFrame, candidates=("provincia", "ccaa", "nivel")) -> str | None:
     """First candidate column with more than one distinct value.
 

@@ -492,3 +492,24 @@ def q_validity_counts(spark, d):
                                            "variaciones_extremas": F.abs("variacion_pct") > 50})
     return (a.unpivot([], a.columns, "regla", "n")
             .unionByName(c.unpivot([], c.columns, "regla", "n")))
+
+
+@query("latest_month_filter", with_tables("""
+SELECT cod_provincia, cultivo, periodo_mes, prod_avance FROM avances
+WHERE nivel = 'provincia' AND periodo_anio = 2000
+  AND periodo_mes = (SELECT max(periodo_mes) FROM avances WHERE periodo_anio = 2000)"""))
+def q_latest_month_filter(spark, d):
+    a = _t(spark, d).avances()
+    latest = a.filter(F.col("periodo_anio") == 2000).agg(F.max("periodo_mes")).scalar()
+    return a.filter((F.col("nivel") == "provincia") & (F.col("periodo_anio") == 2000)
+                    & (F.col("periodo_mes") == latest)).select("cod_provincia", "cultivo", "periodo_mes", "prod_avance")
+
+
+@query("series_column", with_tables("""
+SELECT count(DISTINCT provincia) AS provincia, count(DISTINCT ccaa) AS ccaa, count(DISTINCT nivel) AS nivel,
+       CASE WHEN count(DISTINCT provincia) > 1 THEN 'provincia' WHEN count(DISTINCT ccaa) > 1 THEN 'ccaa'
+            WHEN count(DISTINCT nivel) > 1 THEN 'nivel' END AS columna_serie
+FROM avances WHERE upper(cultivo) = 'SMALL' AND nivel = 'ccaa'"""))
+def q_series_column(spark, d):
+    a = _t(spark, d).avances().filter((F.upper("cultivo") == "SMALL") & (F.col("nivel") == "ccaa"))
+    return AN.series_column_counts(a)

@@ -421,3 +421,51 @@ UNION ALL SELECT 'hr_media_pct', bool_or(hr_media_pct IS NOT NULL) FROM clima_pr
 def q_usable_columns(spark, d):
     cp = Tables.get(spark, d).clima_provincial()
     return CL.usable_columns(cp, ["t_media_c", "t_max_abs_c", "precip_media_mm", "horas_sol_med", "hr_media_pct"])
+
+
+# ------------------------------------------------------- request parameters
+def _requests(spark, d):
+    a = Tables.get(spark, d).avances().filter(F.col("nivel") == "provincia").select("cultivo", "provincia").distinct()
+    k = F.pmod(F.length("cultivo") + F.length("provincia") + F.ascii(F.substring("provincia", -1, 1)), F.lit(3))
+    req = (F.when(k == 0, F.concat(F.lit('{"cultivo": "'), F.lower("cultivo"), F.lit('", "provincia": "'),
+                                    F.lower("provincia"), F.lit('", "anio_ini": 1996, "anio_fin": 2000}')))
+           .when(k == 1, F.concat(F.lit("cultivo: "), F.col("cultivo"), F.lit(" provincia="), F.col("provincia")))
+           .otherwise(F.concat(F.lit('{"cultivo": "'), F.col("cultivo"))))
+    return a.select("cultivo", "provincia", req.alias("peticion"))
+
+
+def _title_sql(x):
+    return (f"array_to_string(list_transform(string_split({x}, ' '), "
+            f"lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')")
+
+
+def _parse_params_sql():
+    k = "(length(cultivo) + length(provincia) + ascii(substr(provincia, -1, 1))) % 3"
+    req = (f"CASE WHEN {k} = 0 THEN '{{\"cultivo\": \"' || lower(cultivo) || '\", \"provincia\": \"' || "
+           f"lower(provincia) || '\", \"anio_ini\": 1996, \"anio_fin\": 2000}}' "
+           f"WHEN {k} = 1 THEN 'cultivo: ' || cultivo || ' provincia=' || provincia "
+           f"ELSE '{{\"cultivo\": \"' || cultivo END")
+
+    def loose(f):
+        v = ws(f"regexp_extract(peticion, '(?i){f}[\"\\s:=]+([A-ZÁÉÍÓÚÜÑ\\s]+)', 1)")
+        return f"CASE WHEN {v} <> '' THEN {v} END"
+    cult = f"CASE WHEN j THEN json_extract_string(peticion, '$.cultivo') ELSE upper({loose('cultivo')}) END"
+    prov = f"CASE WHEN j THEN json_extract_string(peticion, '$.provincia') ELSE {_title_sql(loose('provincia'))} END"
+    return with_tables(f"""
+SELECT cultivo_src AS cultivo, provincia_src AS provincia, peticion,
+       upper({ws(f"COALESCE({cult}, '')")}) AS p_cultivo,
+       {_title_sql(ws(f"COALESCE({prov}, '')"))} AS p_provincia,
+       COALESCE(CASE WHEN j THEN TRY_CAST(json_extract(peticion, '$.anio_ini') AS INTEGER) END, 2014) AS p_anio_ini,
+       COALESCE(CASE WHEN j THEN TRY_CAST(json_extract(peticion, '$.anio_fin') AS INTEGER) END, 2025) AS p_anio_fin,
+       COALESCE(CASE WHEN j THEN json_extract_string(peticion, '$.metodo') END, 'ambos') AS p_metodo
+FROM (SELECT cultivo AS cultivo_src, provincia AS provincia_src, peticion, json_valid(peticion) AS j
+      FROM (SELECT DISTINCT cultivo, provincia, {req} AS peticion FROM avances WHERE nivel = 'provincia'))""")
+
+
+@query("parse_params", _parse_params_sql())
+def q_parse_params(spark, d):
+    r = _requests(spark, d)
+    p = PZ.parse_params("peticion")
+    return r.select("cultivo", "provincia", "peticion", p["cultivo"].alias("p_cultivo"),
+                    p["provincia"].alias("p_provincia"), p["anio_ini"].alias("p_anio_ini"),
+                    p["anio_fin"].alias("p_anio_fin"), p["metodo"].alias("p_metodo"))

@@ -297,3 +297,22 @@ def q_assert_ready(spark, d):
     v3 = DS.Pipeline(Tables.get(spark, d)).v3()
     CL.assert_ready(v3, DS.FEATURES + [DS.TARGET], DS.FEATURES + [DS.TARGET])
     return v3.groupBy("anio").agg(F.count(F.lit(1)).alias("filas"))
+
+
+@query("stream_redelivery", with_tables("""
+SELECT periodo_anio, periodo_mes, cultivo, nivel, ccaa, cod_provincia, sup_avance, prod_avance FROM avances
+WHERE periodo_anio <> 2000
+UNION ALL
+SELECT periodo_anio, periodo_mes, cultivo, nivel, ccaa, cod_provincia, sup_avance * 2, prod_avance FROM avances
+WHERE periodo_anio = 2000"""))
+def q_stream_redelivery(spark, d):
+    import uuid
+    from ..streaming.redelivery import deliver, period_deliveries, run_redelivery_stream
+    t = Tables.get(spark, d)
+    run = t.scratch(f"stream_{uuid.uuid4().hex[:8]}")
+    av = t.avances()
+    for part in period_deliveries(av, 2000):
+        deliver(part, f"{run}/landing")
+    out = run_redelivery_stream(spark, f"{run}/landing", f"{run}/store", f"{run}/_checkpoint",
+                                ["periodo_anio", "periodo_mes"], av.schema)
+    return out.select(*_AV_KEYS)
