@@ -13,11 +13,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import HOT_GROUP_ROWS, group_quantiles, largest_group
+
 
 def group_medians(df: DataFrame, cols: list[str], group: list[str], approx: bool = False) -> DataFrame:
-    agg = [(F.percentile_approx(c, 0.5, 100000) if approx else F.median(c)).alias(f"_med_{c}")
-           for c in cols]
-    return df.groupBy(*group).agg(*agg)
+    """Median of every column per group: one aggregate, or, when a group is
+    hot, the exact refinement per column (see ``quantiles``)."""
+    if approx or largest_group(df, group) <= HOT_GROUP_ROWS:
+        agg = [(F.percentile_approx(c, 0.5, 100000) if approx else F.median(c)).alias(f"_med_{c}")
+               for c in cols]
+        return df.groupBy(*group).agg(*agg)
+    out = df.select(*group).distinct()
+    for c in cols:
+        out = out.join(group_quantiles(df, c, group, {f"_med_{c}": 0.5}, 0), group, "left")
+    return out
 
 
 def impute_by_group(df: DataFrame, cols: list[str], group: list[str],

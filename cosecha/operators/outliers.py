@@ -14,12 +14,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_up
+from .quantiles import HOT_GROUP_ROWS, group_quantiles
 
 
 def _pct(c: str, p: float, approx: bool) -> Column:
     return F.percentile_approx(c, p, 100000) if approx else F.percentile(c, p)
 
 
+def _quantiles(df: DataFrame, value: str, group: list[str], probs: dict[str, float], approx: bool) -> DataFrame:
+    """Per-group quantiles: exact (hot groups by refinement) unless ``approx``."""
+    if approx:
+        return df.filter(F.col(value).isNotNull()).groupBy(*group).agg(
+            *[_pct(value, p, True).alias(n) for n, p in probs.items()])
+    return group_quantiles(df, value, group, probs, HOT_GROUP_ROWS)
+
+
 def iqr_flag(df: DataFrame, value: str, group: list[str], k: float = 3.0,
              where: Column | None = None, flag: str = "outlier_flag", approx: bool = False) -> DataFrame:
     """Flag rows outside [q1 - k·iqr, q3 + k·iqr] of their group.
@@ -28,8 +37,7 @@ def iqr_flag(df: DataFrame, value: str, group: list[str], k: float = 3.0,
     be flagged; every other row gets FALSE, so re-running resets old flags.
     """
     cond = F.col(value).isNotNull() if where is None else (where & F.col(value).isNotNull())
-    stats = (df.filter(cond).groupBy(*group)
-             .agg(_pct(value, 0.25, approx).alias("_q1"), _pct(value, 0.75, approx).alias("_q3")))
+    stats = _quantiles(df.filter(cond), value, group, {"_q1": 0.25, "_q3": 0.75}, approx)
     j = df.join(stats, group, "left")
     iqr = F.col("_q3") - F.col("_q1")
     out = cond & ((F.col(value) < F.col("_q1") - k * iqr) | (F.col(value) > F.col("_q3") + k * iqr))
@@ -44,8 +52,8 @@ def winsorize_upper(df: DataFrame, value: str, group: list[str], p: float = 0.99
     ``least`` applies it; NULL values stay NULL.
     """
     raw_col = raw_col or f"{value}_raw"
-    cap = (df.filter(F.col(value).isNotNull()).groupBy(*group)
-           .agg(round_half_up(_pct(value, p, approx), digits).alias("_cap")))
+    cap = _quantiles(df, value, group, {"_cap": p}, approx).select(
+        *group, round_half_up("_cap", digits).alias("_cap"))
     j = df.withColumn(raw_col, F.col(value)).join(cap, group, "left")
     clipped = F.when(F.col(value).isNull() | F.col("_cap").isNull(), F.col(value)) \
         .otherwise(F.least(F.col(value), F.col("_cap")))
@@ -78,9 +86,9 @@ def detect_anomalies(df: DataFrame, value: str, group: list[str], method: str =
     base = df.filter(F.col(value).isNotNull())
     st = (base.groupBy(*group)
           .agg(F.count(F.lit(1)).alias("_n"), F.avg(value).alias("media"),
-               F.stddev_samp(value).alias("std"),
-               _pct(value, 0.25, approx).alias("q1"), _pct(value, 0.75, approx).alias("q3"))
-          .filter(F.col("_n") >= min_obs))
+               F.stddev_samp(value).alias("std"))
+          .filter(F.col("_n") >= min_obs)
+          .join(_quantiles(base, value, group, {"q1": 0.25, "q3": 0.75}, approx), group))
     j = base.join(st, group, "inner")
     x, std = F.col(value), F.col("std")
     iqr = F.col("q3") - F.col("q1")
