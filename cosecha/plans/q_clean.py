@@ -205,7 +205,8 @@ def q_null_negatives(spark, d):
 
 
 @query("null_negatives_count", with_tables("""
-SELECT count_if(sup_avance < 0) AS sup_avance_negativos, count_if(prod_avance < 0) AS prod_avance_negativos
+SELECT CAST(count_if(sup_avance < 0) AS BIGINT) AS sup_avance_negativos,
+       CAST(count_if(prod_avance < 0) AS BIGINT) AS prod_avance_negativos
 FROM avances"""))
 def q_null_negatives_count(spark, d):
     return CL.negative_counts(Tables.get(spark, d).avances(), ["sup_avance", "prod_avance"])
@@ -253,7 +254,7 @@ def q_physical_limits(spark, d):
 def _limit_counts_sql() -> str:
     from ..operators.climate import PHYSICAL_LIMITS as L
     parts = " UNION ALL ".join(
-        f"SELECT '{c}' AS variable, count_if({c} IS NOT NULL AND NOT ({c} BETWEEN {lo} AND {hi})) AS n_fuera_rango "
+        f"SELECT '{c}' AS variable, CAST(count_if({c} IS NOT NULL AND NOT ({c} BETWEEN {lo} AND {hi})) AS BIGINT) AS n_fuera_rango "
         f"FROM clima_mensual" for c, (lo, hi) in L.items())
     return with_tables(parts)
 
@@ -278,7 +279,7 @@ def q_drop_sparse_cols(spark, d):
 # ------------------------------------------------------------------ scalars
 @query("str_case", """
 SELECT conv_id, turn, upper(role) AS rol_upper, lower(role) AS rol_lower,
-       regexp_replace(role, '^\\s+|\\s+$', '', 'g') AS rol_strip, length(text) AS n_chars
+       regexp_replace(role, '^\\s+|\\s+$', '', 'g') AS rol_strip, CAST(length(text) AS INTEGER) AS n_chars
 FROM conversations""")
 def q_str_case(spark, d):
     c = Tables.get(spark, d).raw("conversations", "conv_id", "turn", "role", "text")
@@ -288,7 +289,7 @@ def q_str_case(spark, d):
 
 @query("fold_accents", f"""
 SELECT conv_id, turn, md5({fold_sql('text')}) AS texto_plegado_md5,
-       length({fold_sql('text')}) AS n_chars
+       CAST(length({fold_sql('text')}) AS INTEGER) AS n_chars
 FROM conversations""")
 def q_fold_accents(spark, d):
     c = Tables.get(spark, d).raw("conversations", "conv_id", "turn", "text")
@@ -300,7 +301,7 @@ def q_fold_accents(spark, d):
 SELECT doc_id,
        list_min(list_transform(regexp_extract_all(text, '(1[89]\\d{2}|20\\d{2})'), lambda x: CAST(x AS INTEGER))) AS anio_min,
        list_max(list_transform(regexp_extract_all(text, '(1[89]\\d{2}|20\\d{2})'), lambda x: CAST(x AS INTEGER))) AS anio_max,
-       len(regexp_extract_all(text, '(1[89]\\d{2}|20\\d{2})')) AS n_anios
+       CAST(len(regexp_extract_all(text, '(1[89]\\d{2}|20\\d{2})')) AS INTEGER) AS n_anios
 FROM documents""")
 def q_extract_years(spark, d):
     docs = Tables.get(spark, d).raw("documents", "doc_id", "text")

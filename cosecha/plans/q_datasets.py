@@ -90,7 +90,7 @@ def q_target_stats(spark, d):
 SELECT count(*) AS filas, {len(DS.FEATURES) + 1 + len(DS.META)} AS columnas,
        count(DISTINCT cultivo) AS cultivos_unicos, count(DISTINCT cod_provincia) AS provincias_cubiertas,
        min(anio) AS periodo_min, max(anio) AS periodo_max,
-       {' + '.join(f'count_if({c} IS NULL)' for c in DS.FEATURES)} AS nulos_en_features,
+       CAST({' + '.join(f'count_if({c} IS NULL)' for c in DS.FEATURES)} AS BIGINT) AS nulos_en_features,
        ({' + '.join(f'count_if({c} IS NULL)' for c in DS.FEATURES + [DS.TARGET])}) = 0 AS dataset_listo
 FROM v3""", OD.v3_ctes()))
 def q_dataset_profile(spark, d):

@@ -228,6 +228,7 @@ def q_report_json(spark, d):
 
 
 @query("quality_report", with_tables("""
+SELECT tabla, metrica, CAST(valor AS BIGINT) AS valor FROM (
 SELECT 'avances' AS tabla, 'filas' AS metrica, count(*) AS valor FROM avances
 UNION ALL SELECT 'avances', 'sup_negativas', count_if(sup_avance < 0) FROM avances
 UNION ALL SELECT 'avances', 'prod_nulas', count_if(prod_avance IS NULL) FROM avances
@@ -241,19 +242,20 @@ UNION ALL SELECT 'clima_mensual', 'filas', count(*) FROM clima_mensual
 UNION ALL SELECT 'clima_mensual', 'estaciones', count(DISTINCT indicativo) FROM clima_mensual
 UNION ALL SELECT 'clima_mensual', 't_media_nulas', count_if(t_media IS NULL) FROM clima_mensual
 UNION ALL SELECT 'clima_mensual', 'fuera_de_rango', count_if(t_media NOT BETWEEN -20.0 AND 45.0)
-                                                  + count_if(precip_mm NOT BETWEEN 0.0 AND 1000.0) FROM clima_mensual"""))
+                                                  + count_if(precip_mm NOT BETWEEN 0.0 AND 1000.0) FROM clima_mensual)"""))
 def q_quality_report(spark, d):
     t = Tables.get(spark, d)
     return QU.quality_report(t.avances(), t.coyuntura(), t.clima_mensual())
 
 
 @query("verify_checks", with_tables("""
+SELECT chequeo, CAST(valor AS BIGINT) AS valor, minimo, ok FROM (
 SELECT 'avances_min_filas' AS chequeo, count(*) AS valor, 1000 AS minimo, count(*) >= 1000 AS ok FROM avances
 UNION ALL SELECT 'coyuntura_min_filas', count(*), 100, count(*) >= 100 FROM coyuntura
 UNION ALL SELECT 'estaciones_min_filas', count(*), 7, count(*) >= 7 FROM estaciones
 UNION ALL SELECT 'clima_min_filas', count(*), 60, count(*) >= 60 FROM clima_mensual
 UNION ALL SELECT 'avances_claves_nulas', count_if(periodo_anio IS NULL OR cultivo IS NULL OR nivel IS NULL), 0,
-                 count_if(periodo_anio IS NULL OR cultivo IS NULL OR nivel IS NULL) = 0 FROM avances"""))
+                 count_if(periodo_anio IS NULL OR cultivo IS NULL OR nivel IS NULL) = 0 FROM avances)"""))
 def q_verify_checks(spark, d):
     t = Tables.get(spark, d)
     return QU.verify_checks(t.avances(), t.coyuntura(), t.estaciones(), t.clima_mensual())

@@ -133,9 +133,10 @@ def q_frag_climate(spark, d):
 
 
 @query("chunk_words", """
-SELECT doc_id, i AS chunk_index, total_chunks, s AS inicio, least(n - s, 800) AS n_palabras,
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, total_chunks, CAST(s AS INTEGER) AS inicio,
+       CAST(least(n - s, 800) AS INTEGER) AS n_palabras,
        md5(array_to_string(w[s + 1 : s + 800], ' ')) AS chunk_md5,
-       length(array_to_string(w[s + 1 : s + 800], ' ')) AS n_chars
+       CAST(length(array_to_string(w[s + 1 : s + 800], ' ')) AS INTEGER) AS n_chars
 FROM (
   SELECT doc_id, w, n, CAST((n - 1) // 700 + 1 AS INTEGER) AS total_chunks,
          unnest(range(0, n, 700)) AS s, generate_subscripts(range(0, n, 700), 1) - 1 AS i
