@@ -1,9 +1,9 @@
 """Dense label encoding.
 
 Codes are the 0-based rank of the value in the sorted distinct set, NULL
-encoded as "DESCONOCIDO" (the reference's fill value).  The rank window runs
-over the *distinct* values only, never over fact rows; the code table is then
-joined back (AQE broadcasts it when its measured size is small).
+encoded as "DESCONOCIDO" (the reference's fill value).  Ranking runs over the
+*distinct* values only, never over fact rows; the code table is then joined
+back (AQE broadcasts it when its measured size is small).
 """
 
 from __future__ import annotations
@@ -14,17 +14,35 @@ from pyspark.sql import functions as F
 UNKNOWN = "DESCONOCIDO"
 
 
-def code_table(df: DataFrame, col: str) -> DataFrame:
-    """(value, code) for the sorted distinct values of ``col``."""
-    vals = df.select(F.coalesce(F.col(col), F.lit(UNKNOWN)).alias("clase")).distinct()
-    w = Window.orderBy("clase")
-    return vals.select("clase", (F.row_number().over(w) - 1).cast("int").alias("codigo"))
+SINGLE_TASK_CODES = 1_000_000
+
 
+def code_table(df: DataFrame, col: str, single_task_limit: int = SINGLE_TASK_CODES) -> DataFrame:
+    """(value, code) for the sorted distinct values of ``col``.
 
-def label_encode(df: DataFrame, cols: list[str], suffix: str = "_enc") -> DataFrame:
+    Up to ``single_task_limit`` distinct values (a checked bound) one ordered
+    window numbers them.  Beyond it the values are range-partitioned, numbered
+    inside each partition, and shifted by the sizes of the partitions before
+    them; only the per-partition sizes meet in one task.
+    """
+    vals = df.select(F.coalesce(F.col(col), F.lit(UNKNOWN)).alias("clase")).distinct()
+    if vals.count() <= single_task_limit:
+        w = Window.orderBy("clase")
+        return vals.select("clase", (F.row_number().over(w) - 1).cast("int").alias("codigo"))
+    local = (vals.repartitionByRange("clase").withColumn("_pid", F.spark_partition_id())
+             .withColumn("_lr", F.row_number().over(Window.partitionBy("_pid").orderBy("clase")) - 1)
+             .checkpoint(eager=True))
+    sizes = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_sz"))
+    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_sz").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return local.join(offsets, "_pid").select("clase", (F.col("_off") + F.col("_lr")).cast("int").alias("codigo"))
+
+
+def label_encode(df: DataFrame, cols: list[str], suffix: str = "_enc",
+                 single_task_limit: int = SINGLE_TASK_CODES) -> DataFrame:
     out = df
     for c in cols:
-        codes = code_table(df, c).withColumnRenamed("clase", f"_k_{c}").withColumnRenamed("codigo", f"{c}{suffix}")
+        codes = code_table(df, c, single_task_limit).withColumnRenamed("clase", f"_k_{c}").withColumnRenamed("codigo", f"{c}{suffix}")
         out = out.join(codes, F.coalesce(F.col(c), F.lit(UNKNOWN)) == F.col(f"_k_{c}"), "left").drop(f"_k_{c}")
     return out
 

@@ -103,3 +103,12 @@ def test_period_filter_crossing(spark):
     compat = df.filter(P.period_filter("a", "m", 2022, 2024, 3, 2, compat=True)).count()
     assert fixed == 10 + 12 + 2
     assert compat == 10 + 2   # the reference drops the middle year (trap Q25)
+
+
+def test_label_codes_distributed_equal_single_task(spark):
+    from cosecha.operators.encode import code_table
+    df = spark.createDataFrame([(f"v{i:05d}",) for i in range(0, 3000, 7)] + [(None,)], "x string")
+    a = sorted(tuple(r) for r in code_table(df, "x").collect())
+    b = sorted(tuple(r) for r in code_table(df, "x", single_task_limit=10).collect())
+    assert a == b
+    assert sorted(r[1] for r in a) == list(range(len(a)))
