@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_up
+from ..session import spread
 
 
 def hash_bucket(keys: list[str], seed: int = 42, buckets: int = 100) -> Column:
@@ -38,7 +39,7 @@ def hash_split(df: DataFrame, keys: list[str], test: float = 0.15, val: float =
     b = hash_bucket(keys, seed)
     t_cut, v_cut = round(test * 100), round((test + val) * 100)
     split = F.when(b < t_cut, "test").when(b < v_cut, "val").otherwise("train")
-    return df.withColumn("split", split)
+    return spread(df).withColumn("split", split)
 
 
 def regression_metrics(pred: DataFrame, y: str, p: str, split: str = "split") -> DataFrame:
