@@ -114,8 +114,8 @@ def model_dataset_v3(v2: DataFrame, cut_lineage: bool = False) -> DataFrame:
     return impute_hierarchical(v2, CLIMATE_FEATURES, levels, cut_lineage=cut_lineage)
 
 
-class Pipeline:
-    """The batch pipeline over one set of domain tables (lazily built).
+class DatasetBuilder:
+    """Builds the batch outputs over one set of domain tables (lazily).
 
     The versioned outputs the reference writes as files (validated panel,
     cleaned climate rollup, dataset v2) are written once to the shared
@@ -134,12 +134,12 @@ class Pipeline:
     def _mat(self, name: str, build) -> DataFrame:
         if not self.materialize:
             return build()
-        path = self.t.scratch(f"pipeline_{name}_{hashlib.md5(repr(self.p).encode()).hexdigest()[:8]}")
+        path = self.t.scratch(f"stage_{name}_{hashlib.md5(repr(self.p).encode()).hexdigest()[:8]}")
         key = f"{id(self.t.spark)}:{path}"
-        if key not in Pipeline._written:
+        if key not in DatasetBuilder._written:
             build().write.mode("overwrite").parquet(path)
-            Pipeline._written[key] = self.t.spark.read.parquet(path)
-        return Pipeline._written[key]
+            DatasetBuilder._written[key] = self.t.spark.read.parquet(path)
+        return DatasetBuilder._written[key]
 
     def av_valid(self) -> DataFrame:
         return self._mat("av_valid", lambda: validated_avances(self.t.avances(), self.p.iqr_k))

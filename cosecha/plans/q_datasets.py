@@ -12,8 +12,8 @@ from .oracle import R, with_tables
 from .registry import query
 
 
-def _pipe(spark, d) -> DS.Pipeline:
-    return DS.Pipeline(Tables.get(spark, d))
+def _pipe(spark, d) -> DS.DatasetBuilder:
+    return DS.DatasetBuilder(Tables.get(spark, d))
 
 
 V1_COLS = ", ".join(DS.FEATURES_V1 + [DS.TARGET] + DS.META_V1)

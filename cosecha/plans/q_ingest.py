@@ -127,7 +127,7 @@ def q_src_files(spark, d):
 def q_roundtrip_parquet(spark, d):
     t = Tables.get(spark, d)
     path = t.scratch("dataset_v2")
-    DS.Pipeline(t).v2().write.mode("overwrite").parquet(path)
+    DS.DatasetBuilder(t).v2().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -296,7 +296,7 @@ def q_export_result(spark, d):
 
 @query("assert_ready")
 def q_assert_ready(spark, d):
-    v3 = DS.Pipeline(Tables.get(spark, d)).v3()
+    v3 = DS.DatasetBuilder(Tables.get(spark, d)).v3()
     CL.assert_ready(v3, DS.FEATURES + [DS.TARGET], DS.FEATURES + [DS.TARGET])
     return v3.groupBy("anio").agg(F.count(F.lit(1)).alias("filas"))
 

@@ -32,7 +32,7 @@ V3_KEYS = ["cultivo", "cod_provincia", "anio", "mes"]
 @query("hash_split", with_tables(f"SELECT cultivo, cod_provincia, anio, mes, {_split_sql(V3_KEYS)} AS split FROM v3",
                                  OD.v3_ctes()))
 def q_hash_split(spark, d):
-    v3 = DS.Pipeline(Tables.get(spark, d)).v3()
+    v3 = DS.DatasetBuilder(Tables.get(spark, d)).v3()
     return M.hash_split(v3, V3_KEYS).select(*V3_KEYS, "split")
 
 
@@ -103,7 +103,7 @@ def q_shap_by_group(spark, d):
 
 # ------------------------------------------------------------ boosted trees
 def _v3_split(spark, d):
-    return M.hash_split(DS.Pipeline(Tables.get(spark, d)).v3(), V3_KEYS)
+    return M.hash_split(DS.DatasetBuilder(Tables.get(spark, d)).v3(), V3_KEYS)
 
 
 def _gbt(spark, d, params: M.GbtParams = M.GbtParams()):
