@@ -105,7 +105,9 @@ class Tables:
                 st = os.stat(p)
                 stamp.append(f"{t}:{st.st_size}:{int(st.st_mtime)}")
         tag = hashlib.sha1((self.sf_dir + "|" + "|".join(stamp) + "|v3").encode()).hexdigest()[:12]
-        return scratch_path(self.spark, "warehouse", tag, name)
+        # one folder per application: concurrent sessions never share files
+        app = self.spark.sparkContext.applicationId
+        return scratch_path(self.spark, "warehouse", f"{tag}-{app}", name)
 
     def scratch(self, name: str) -> str:
         """Per-dataset folder under the shared checkpoint dir for written outputs."""
