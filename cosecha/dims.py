@@ -97,6 +97,10 @@ def prov_ccaa_df(spark: SparkSession) -> DataFrame:
     return frame(spark, PROV_TO_CCAA, "cod", "ccaa_map", "int", "string")
 
 
+def aemet_province_df(spark: SparkSession) -> DataFrame:
+    return frame(spark, PROV_AEMET_TO_INE, "nombre", "cod", "string", "int")
+
+
 def values_sql(mapping: dict, key: str, value: str) -> str:
     """Same mapping as an inline SQL VALUES table (for the DuckDB oracle)."""
     def lit(v):

@@ -160,15 +160,19 @@ def q_normalise_climate(spark, d):
         .select("indicativo", "fecha", "anio", "mes")
 
 
-@query("map_station_province", with_tables("""
-SELECT e.indicativo, e.provincia, d.n_nationkey AS cod_mapeado
-FROM estaciones e JOIN (SELECT upper(trim(n_name)) AS k, n_nationkey FROM nation WHERE n_nationkey % 5 <> 0) d
+@query("map_station_province", with_tables(f"""
+SELECT e.indicativo, e.provincia, d.cod AS cod_mapeado
+FROM estaciones e JOIN (
+  SELECT k, min(cod) AS cod FROM (
+    SELECT upper(trim(nombre)) AS k, cod FROM {dims.values_sql(dims.PROV_AEMET_TO_INE, 'nombre', 'cod')}
+    UNION ALL SELECT upper(trim(n_name)), n_nationkey FROM nation WHERE n_nationkey % 5 <> 0) GROUP BY k) d
   ON upper(trim(e.provincia)) = d.k"""))
 def q_map_station_province(spark, d):
     t = Tables.get(spark, d)
-    dictionary = (t.dim("nation", "n_name", "n_nationkey")
-                  .filter(F.pmod("n_nationkey", F.lit(5)) != 0)
-                  .select(F.col("n_name").alias("nombre"), F.col("n_nationkey").alias("cod")))
+    # the fixed weather-service dictionary plus the names the data uses
+    dictionary = dims.aemet_province_df(spark).unionByName(
+        t.dim("nation", "n_name", "n_nationkey").filter(F.pmod("n_nationkey", F.lit(5)) != 0)
+        .select(F.col("n_name").alias("nombre"), F.col("n_nationkey").cast("int").alias("cod")))
     out = CL.map_to_code(t.estaciones(), "provincia", dictionary, "cod_mapeado")
     return out.filter(F.col("cod_mapeado").isNotNull()).select("indicativo", "provincia", "cod_mapeado")
 
