@@ -43,18 +43,26 @@ def hash_split(df: DataFrame, keys: list[str], test: float = 0.15, val: float =
 
 
 def regression_metrics(pred: DataFrame, y: str, p: str, split: str = "split") -> DataFrame:
-    """R² = 1 - SSres/SStot, RMSE, MAE, n per split."""
+    """R² = 1 - SSres/SStot (4 decimals), RMSE, MAE (6 decimals), n per split."""
     g = pred.groupBy(split).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum((F.col(y) - F.col(p)) ** 2).alias("_ssr"),
         F.var_pop(y).alias("_var"),
         F.avg(F.abs(F.col(y) - F.col(p))).alias("_mae"))
     return g.select(split, "n",
-                    round_half_up(F.lit(1.0) - F.try_divide(F.col("_ssr"), F.col("_var") * F.col("n")), 6).alias("r2"),
+                    round_half_up(F.lit(1.0) - F.try_divide(F.col("_ssr"), F.col("_var") * F.col("n")), 4).alias("r2"),
                     round_half_up(F.sqrt(F.col("_ssr") / F.col("n")), 6).alias("rmse"),
                     round_half_up("_mae", 6).alias("mae"))
 
 
+def r2_gap(metrics: DataFrame, threshold: float = 0.15, split: str = "split") -> DataFrame:
+    """Over-fitting check: R²(train) - R²(test) and whether it exceeds the threshold."""
+    r = metrics.groupBy().pivot(split, ["train", "test"]).agg(F.first("r2"))
+    gap = round_half_up(F.col("train") - F.col("test"), 4)
+    return r.select(F.col("train").alias("r2_train"), F.col("test").alias("r2_test"), gap.alias("gap_r2"),
+                    (gap > threshold).alias("sobreajuste"))
+
+
 @dataclass
 class LinearModel:
     features: list[str]
@@ -148,7 +156,8 @@ def train_gbt(train_val: DataFrame, features: list[str], target: str, p: GbtPara
 
 
 def shapley_attribution(df: DataFrame, model, features: list[str], baseline: dict[str, float],
-                        row_id: str, prefix: str = "shap_", partitions: int | None = None) -> DataFrame:
+                        row_id: str, prefix: str = "shap_", partitions: int | None = None,
+                        carry: list[str] | None = None) -> DataFrame:
     """Exact Shapley values of ``model`` (a fitted PipelineModel that reads
     ``features``) against a fixed baseline, one row per input row.
 
@@ -161,7 +170,10 @@ def shapley_attribution(df: DataFrame, model, features: list[str], baseline: dic
     k = len(features)
     n_masks = 1 << k
     w = [math.factorial(s) * math.factorial(k - s - 1) / math.factorial(k) for s in range(k)]
-    base = df.select(row_id, *features)
+    carry_src = [c for c in (carry or []) if c != row_id]
+    keep = {c: (f"_keep_{c}" if c in features else c) for c in carry_src}
+    carry = list(keep.values())
+    base = df.select(row_id, *[F.col(c).alias(keep[c]) for c in carry_src], *features)
     if partitions:
         base = base.repartition(partitions, row_id)
     ex = base.withColumn("_m", F.explode(F.sequence(F.lit(0), F.lit(n_masks - 1))))
@@ -169,9 +181,9 @@ def shapley_attribution(df: DataFrame, model, features: list[str], baseline: dic
     size = F.lit(0)
     for i in range(k):
         size = size + F.shiftright("_m", i).bitwiseAND(1)
-    masked = ex.select(row_id, "_m", size.alias("_size"),
+    masked = ex.select(row_id, *carry, "_m", size.alias("_size"),
                        *[F.when(bits[f], F.col(f)).otherwise(F.lit(baseline[f])).alias(f) for f in features])
-    scored = model.transform(masked).select(row_id, "_m", "_size", "prediction")
+    scored = model.transform(masked).select(row_id, *carry, "_m", "_size", "prediction")
     wsel = F.array(*[F.lit(x) for x in w] + [F.lit(0.0)])
 
     def coef(i: int) -> Column:
@@ -180,4 +192,8 @@ def shapley_attribution(df: DataFrame, model, features: list[str], baseline: dic
     aggs = [F.sum(coef(i) * F.col("prediction")).alias(f"{prefix}{f}") for i, f in enumerate(features)]
     aggs += [F.max(F.when(F.col("_m") == n_masks - 1, F.col("prediction"))).alias("prediccion"),
              F.max(F.when(F.col("_m") == 0, F.col("prediction"))).alias("prediccion_base")]
-    return scored.groupBy(row_id).agg(*aggs)
+    # carried metadata is functionally dependent on the row id: grouping by it
+    # keeps it without a join back
+    out = scored.groupBy(row_id, *carry).agg(*aggs)
+    return out.select(row_id, *[F.col(keep[c]).alias(c) for c in carry_src],
+                      *[c for c in out.columns if c != row_id and c not in carry])

@@ -65,7 +65,7 @@ def _ols(spark, d):
 
 @query("regression_metrics", f"""WITH {_OLS_CTES}
 SELECT split, count(*) AS n,
-       {R("1.0 - sum((l_extendedprice - pred) * (l_extendedprice - pred)) / (var_pop(l_extendedprice) * count(*))", 6)} AS r2,
+       {R("1.0 - sum((l_extendedprice - pred) * (l_extendedprice - pred)) / (var_pop(l_extendedprice) * count(*))", 4)} AS r2,
        {R("sqrt(sum((l_extendedprice - pred) * (l_extendedprice - pred)) / count(*))", 6)} AS rmse,
        {R("avg(abs(l_extendedprice - pred))", 6)} AS mae
 FROM attr GROUP BY split""")
@@ -74,6 +74,19 @@ def q_regression_metrics(spark, d):
     return M.regression_metrics(li.withColumn("pred", model.predict()), LI_TARGET, "pred")
 
 
+_METRICS_SQL = f"""
+SELECT split, {R("1.0 - sum((l_extendedprice - pred) * (l_extendedprice - pred)) / (var_pop(l_extendedprice) * count(*))", 4)} AS r2
+FROM attr GROUP BY split"""
+
+
+@query("r2_gap", f"""WITH {_OLS_CTES}, m AS ({_METRICS_SQL})
+SELECT tr.r2 AS r2_train, te.r2 AS r2_test, {R("tr.r2 - te.r2", 4)} AS gap_r2, {R("tr.r2 - te.r2", 4)} > 0.15 AS sobreajuste
+FROM (SELECT r2 FROM m WHERE split = 'train') tr, (SELECT r2 FROM m WHERE split = 'test') te""")
+def q_r2_gap(spark, d):
+    li, model = _ols(spark, d)
+    return M.r2_gap(M.regression_metrics(li.withColumn("pred", model.predict()), LI_TARGET, "pred"))
+
+
 @query("attribution_linear", f"""WITH {_OLS_CTES}
 SELECT l_orderkey, l_linenumber, shap_l_quantity, shap_l_discount FROM attr""")
 def q_attribution_linear(spark, d):
@@ -125,5 +138,7 @@ def q_attribution_gbt(spark, d):
     train = data.filter(F.col("split") == "train")
     means = train.agg(*[F.avg(f).alias(f) for f in DS.FEATURES]).first().asDict()
     rows = data.withColumn("row_id", F.concat_ws("|", *[F.col(k).cast("string") for k in V3_KEYS]))
-    attr = M.shapley_attribution(rows, model, DS.FEATURES, means, "row_id")
-    return attr
+    # attributions of the test split, with the metadata the dashboard shows
+    test = rows.filter(F.col("split") == "test")
+    meta = ["cultivo", "provincia", "ccaa", "cod_provincia", "anio", "mes", "rendimiento", "rendimiento_raw"]
+    return M.shapley_attribution(test, model, DS.FEATURES, means, "row_id", carry=meta)
