@@ -67,3 +67,13 @@ def sparse_columns(df: DataFrame, cols: list[str], threshold: float = 0.85) -> D
     wide = df.agg(*[(F.count_if(F.col(c).isNull()) / n).alias(c) for c in cols])
     long = wide.unpivot([], cols, "columna", "ratio_nulos")
     return long.withColumn("descartar", F.col("ratio_nulos") > threshold)
+
+
+def drop_sparse_columns(df: DataFrame, cols: list[str], threshold: float = 0.85) -> DataFrame:
+    """Drop the candidate columns whose NULL ratio exceeds ``threshold``.
+
+    The ratios come from one aggregate (one row to the driver); the schema
+    decision is the only thing taken on the driver.
+    """
+    row = sparse_columns(df, cols, threshold).filter("descartar").select("columna").collect()
+    return df.drop(*[r.columna for r in row])

@@ -56,7 +56,14 @@ def national_fragments(avances: DataFrame) -> DataFrame:
     prod = F.when(F.col("prod_avance").isNotNull(),
                   F.concat(F.lit("con una producción de "), fmt_thousands("prod_avance", 3),
                            F.lit(" miles de toneladas")))
-    text = F.concat(F.concat_ws(". ", head, sup, prod), F.lit("."))
+    parts = [head, sup, prod]
+    if "sup_definitivo" in a.columns and "anio_definitivo" in a.columns:
+        parts.append(F.when(F.col("sup_definitivo").isNotNull() & F.col("anio_definitivo").isNotNull()
+                            & (F.col("anio_definitivo") != 0),
+                            F.concat(F.lit("El dato definitivo de "), F.col("anio_definitivo").cast("string"),
+                                     F.lit(" fue "), fmt_thousands("sup_definitivo", 0),
+                                     F.lit(" ha de superficie"))))
+    text = F.concat(F.concat_ws(". ", *parts), F.lit("."))
     base = F.concat(F.lit("av_nac_"), F.col("cultivo"), F.lit("_"), F.col("periodo_anio").cast("string"),
                     F.lit("_"), zfill("periodo_mes", 2), F.lit("_"), F.col("regimen"))
     md = meta(fuente=F.lit("avances"), nivel=F.lit("nacional"), cultivo="cultivo", anio="periodo_anio",

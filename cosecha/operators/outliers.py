@@ -105,3 +105,23 @@ def detect_anomalies(df: DataFrame, value: str, group: list[str], method: str =
            .withColumn("q3", round_half_up("q3", 9))
            .drop("_n"))
     return out if keep_all else out.filter(F.col("anomalia"))
+
+
+def series_kpis(df: DataFrame, value: str, group: list[str], flagged: str = "anomalia",
+                scale: int = 6) -> DataFrame:
+    """Dashboard KPIs of one or more series (X4): observations, anomalies, their
+    share, mean and sample std.
+
+    Values carry ``scale`` decimals, so the moments are computed on exact
+    integers (value·10^scale): the mean and std do not depend on summation
+    order (decimal sums are exact and associative).
+    """
+    u = F.round(F.col(value) * (10 ** scale)).cast("decimal(38,0)")
+    n = F.count(F.col(value))
+    s1, s2 = F.sum(u), F.sum(u * u)
+    num = (n.cast("decimal(38,0)") * s2 - s1 * s1).cast("double")
+    std = F.when(n > 1, F.sqrt(num / (n * (n - 1)).cast("double")) / float(10 ** scale))
+    return df.groupBy(*group).agg(
+        n.alias("observaciones"), F.count_if(F.col(flagged)).alias("anomalias"),
+        round_half_up(F.count_if(F.col(flagged)) * 100.0 / n, 1).alias("pct_anomalias"),
+        (s1.cast("double") / (n.cast("double") * float(10 ** scale))).alias("media"), std.alias("std"))

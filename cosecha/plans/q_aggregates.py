@@ -514,3 +514,19 @@ FROM avances WHERE upper(cultivo) = 'SMALL' AND nivel = 'ccaa'"""))
 def q_series_column(spark, d):
     a = _t(spark, d).avances().filter((F.upper("cultivo") == "SMALL") & (F.col("nivel") == "ccaa"))
     return AN.series_column_counts(a)
+
+
+@query("anomaly_kpis", f"""
+SELECT cultivo, provincia, count(rendimiento) AS observaciones, CAST(count_if(anomalia) AS BIGINT) AS anomalias,
+       {R("count_if(anomalia) * 100.0 / count(rendimiento)", 1)} AS pct_anomalias,
+       CAST(sum(CAST(round(rendimiento * 1000000) AS DECIMAL(38,0))) AS DOUBLE) / (count(rendimiento) * 1000000.0) AS media,
+       CASE WHEN count(rendimiento) > 1 THEN sqrt(CAST(count(rendimiento) * sum(CAST(round(rendimiento * 1000000) AS DECIMAL(38,0)) * CAST(round(rendimiento * 1000000) AS DECIMAL(38,0)))
+            - sum(CAST(round(rendimiento * 1000000) AS DECIMAL(38,0))) * sum(CAST(round(rendimiento * 1000000) AS DECIMAL(38,0))) AS DOUBLE)
+            / CAST(count(rendimiento) * (count(rendimiento) - 1) AS DOUBLE)) / 1000000.0 END AS std
+FROM ({_anom_sql(1995, 2001, "AND upper(cultivo) = upper('economy') AND lower(provincia) = lower('NATION_3')", 0, True)})
+GROUP BY cultivo, provincia""")
+def q_anomaly_kpis(spark, d):
+    from ..operators.outliers import series_kpis
+    b = _anom_base(spark, d, 1995, 2001, "economy", "NATION_3")
+    a = detect_anomalies(b, "rendimiento", ["cultivo", "provincia"], "ambos", min_obs=0, keep_all=True)
+    return series_kpis(a, "rendimiento", ["cultivo", "provincia"])

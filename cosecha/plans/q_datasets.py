@@ -105,3 +105,18 @@ def q_value_counts(spark, d):
     v2 = _pipe(spark, d).v2()
     return (v2.filter(F.col("sin_clima")).groupBy("provincia").agg(F.count(F.lit(1)).alias("n"))
             .orderBy(F.col("n").desc(), "provincia"))
+
+
+@query("processing_report", with_tables("""
+SELECT count(*) AS filas, CAST(count_if(rendimiento < rendimiento_raw) AS BIGINT) AS rendimiento_winsorizados,
+       CAST(count_if(sin_clima) AS BIGINT) AS filas_sin_clima,
+       CAST(count_if(t_media_c IS NULL) AS BIGINT) AS t_media_c_nulos,
+       CAST(count_if(precip_media_mm IS NULL) AS BIGINT) AS precip_media_mm_nulos,
+       CAST(count_if(hr_media_pct IS NULL) AS BIGINT) AS hr_media_pct_nulos
+FROM v2""", OD.v2_ctes()))
+def q_processing_report(spark, d):
+    v2 = _pipe(spark, d).v2()
+    return v2.agg(F.count(F.lit(1)).alias("filas"),
+                  F.count_if(F.col("rendimiento") < F.col("rendimiento_raw")).alias("rendimiento_winsorizados"),
+                  F.count_if("sin_clima").alias("filas_sin_clima"),
+                  *[F.count_if(F.col(c).isNull()).alias(f"{c}_nulos") for c in DS.CLIMATE_FEATURES])

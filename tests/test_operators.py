@@ -112,3 +112,29 @@ def test_label_codes_distributed_equal_single_task(spark):
     b = sorted(tuple(r) for r in code_table(df, "x", single_task_limit=10).collect())
     assert a == b
     assert sorted(r[1] for r in a) == list(range(len(a)))
+
+
+def test_national_fragment_text(spark):
+    from cosecha.operators.fragments import national_fragments
+    rows = [(2023, 5, "TRIGO BLANDO", "secano", "nacional", 1234567.0, 5432.1234, 2021, 1100000.0),
+            (2023, 6, "TRIGO BLANDO", "total", "nacional", None, None, None, None)]
+    df = spark.createDataFrame(rows, "periodo_anio int, periodo_mes int, cultivo string, regimen string, "
+                                     "nivel string, sup_avance double, prod_avance double, anio_definitivo int, "
+                                     "sup_definitivo double")
+    got = {r._o2: r.text for r in national_fragments(df).collect()}
+    assert got[5] == ("En mayo de 2023, el avance nacional de TRIGO BLANDO (secano). muestra una superficie "
+                      "estimada de 1.234.567 hectáreas. con una producción de 5.432.123 miles de toneladas. "
+                      "El dato definitivo de 2021 fue 1.100.000 ha de superficie.")
+    assert got[6] == "En junio de 2023, el avance nacional de TRIGO BLANDO."
+
+
+def test_drop_sparse_and_kpis(spark):
+    from cosecha.operators.climate import drop_sparse_columns
+    from cosecha.operators.outliers import series_kpis
+    df = spark.createDataFrame([(1.0, None, True), (2.0, None, False), (3.0, 5.0, False), (4.0, None, False),
+                                (5.0, None, False), (6.0, None, False), (7.0, None, False)],
+                               "a double, b double, anomalia boolean")
+    assert drop_sparse_columns(df, ["a", "b"]).columns == ["a", "anomalia"]
+    k = series_kpis(df.withColumn("g", F.lit(1)), "a", ["g"]).first()
+    assert (k.observaciones, k.anomalias, k.media) == (7, 1, 4.0)
+    assert math.isclose(k.std, 2.160246899469287, rel_tol=1e-12)
