@@ -21,7 +21,7 @@ SRT_YEAR = 2001
 
 
 def _adv_cells(t: Tables):
-    return CE.render_advances(t.avances(), last_year_srt=SRT_YEAR)
+    return t.landed_advance_cells(SRT_YEAR)
 
 
 def _ingested(spark, d):
@@ -72,7 +72,7 @@ def q_sheet_filter(spark, d):
 
 
 def _price_cells(t):
-    return CE.render_prices(t.coyuntura())
+    return t.landed_price_cells()
 
 
 PRICE_COLS = ["anio", "semana", "seccion", "categoria", "producto", "unidad", "precio_sem_anterior",

@@ -38,10 +38,6 @@ def _cell(file: Column, sheet: Column, row, col, value: Column) -> Column:
                     value.cast("string").alias("value"))
 
 
-def _explode_cells(df: DataFrame, cells: list[Column]) -> DataFrame:
-    return df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").filter(F.col("value").isNotNull())
-
-
 # ------------------------------------------------------------------ pivot
 def pivot_rows(cells: DataFrame, first_row: int = 0) -> DataFrame:
     """One row per (file, sheet, row) with columns c0..c19.

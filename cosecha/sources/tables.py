@@ -113,6 +113,17 @@ class Tables:
         """Per-dataset folder under the shared checkpoint dir for written outputs."""
         return self._path(name).rsplit("/", 1)[0] + "/out/" + name
 
+    def landed_advance_cells(self, srt_year: int = 2001) -> DataFrame:
+        """The panel laid out as workbook cells and landed as Parquet (the
+        input of the worksheet ingestion), written once per session."""
+        from .cells import render_advances
+        return self._derived(f"cells_avances_{srt_year}", lambda: render_advances(self.avances(), srt_year))
+
+    def landed_price_cells(self) -> DataFrame:
+        """Weekly prices laid out as report workbook cells, landed as Parquet."""
+        from .cells import render_prices
+        return self._derived("cells_coyuntura", lambda: render_prices(self.coyuntura()))
+
     def materialize(self) -> None:
         for n in ("avances", "coyuntura", "estaciones", "clima_mensual"):
             getattr(self, n)()
