@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 UNKNOWN = "DESCONOCIDO"
 
 
@@ -29,6 +31,7 @@ def code_table(df: DataFrame, col: str, single_task_limit: int = SINGLE_TASK_COD
     if vals.count() <= single_task_limit:
         w = Window.orderBy("clase")
         return vals.select("clase", (F.row_number().over(w) - 1).cast("int").alias("codigo"))
+    checkpoint_dir(df.sparkSession)
     local = (vals.repartitionByRange("clase").withColumn("_pid", F.spark_partition_id())
              .withColumn("_lr", F.row_number().over(Window.partitionBy("_pid").orderBy("clase")) - 1)
              .checkpoint(eager=True))

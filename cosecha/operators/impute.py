@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 from .quantiles import HOT_GROUP_ROWS, group_quantiles, largest_group
 
 
@@ -60,6 +62,8 @@ def impute_hierarchical(df: DataFrame, cols: list[str], levels: list[list[str]],
     the shared ``spark.checkpoint.dir``), so a lost executor recomputes one
     level, not the whole chain.
     """
+    if cut_lineage:
+        checkpoint_dir(df.sparkSession)
     out = df
     for g in levels:
         out = impute_by_group(out, cols, g, approx=approx)

@@ -28,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 
 def _interp(lo_val, hi_val, pos, lo_rank, hi_rank):
     """Spark's percentile interpolation between two order statistics."""
@@ -39,6 +41,7 @@ def _interp(lo_val, hi_val, pos, lo_rank, hi_rank):
 def order_statistics(df: DataFrame, value: str, group: list[str], ranks: DataFrame,
                      buckets: int = 1024, exact_rows: int = 2_000_000, max_rounds: int = 12) -> DataFrame:
     """k-th smallest value (0-based) per (group..., k) row of ``ranks``."""
+    checkpoint_dir(df.sparkSession)  # reliable checkpoints go to the shared folder
     v = df.select(*group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     bounds = v.groupBy(*group).agg(F.min("_v").alias("a"), F.max("_v").alias("b"))
     open_ = ranks.join(bounds, group).withColumn("below", F.lit(0).cast("long"))
