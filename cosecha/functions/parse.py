@@ -50,10 +50,15 @@ def float_eu(c) -> Column:
     return F.when(~s.isin(*EU_NULL_TOKENS), py_float(F.replace(s, F.lit(","), F.lit("."))))
 
 
-def float_climate(c) -> Column:
-    """Weather-service number (I5): "Ip", "Varias", "Acum", "" are NULL."""
+def float_climate(c, trace_as_zero: bool = False) -> Column:
+    """Weather-service number (I5): "Ip", "Varias", "Acum", "" are NULL.
+
+    "Ip" marks trace precipitation; ``trace_as_zero=True`` reads it as 0.0
+    instead of NULL, which keeps it out of the NULL imputation (trap Q11).
+    """
     s = strip_ws(c)
-    return F.when(~s.isin(*CLIMATE_NULL_TOKENS), py_float(F.replace(s, F.lit(","), F.lit("."))))
+    parsed = F.when(~s.isin(*CLIMATE_NULL_TOKENS), py_float(F.replace(s, F.lit(","), F.lit("."))))
+    return F.when(s == "Ip", F.lit(0.0)).otherwise(parsed) if trace_as_zero else parsed
 
 
 def coerce_numeric(c) -> Column:

@@ -51,15 +51,30 @@ def period_filter(anio: str, mes: str, a0: int, a1: int, m0: int, m1: int,
     return y.between(a0, a1) & m.between(m0, m1)
 
 
-def crop_family_filter(cultivo: Column, pattern: str) -> Column:
-    """Case-insensitive contains + the fixed exclusion patterns."""
+def crop_family_filter(cultivo: Column, pattern: str, fold: bool = True) -> Column:
+    """Case-insensitive contains + the fixed exclusion patterns.
+
+    ``fold=True`` compares accent-folded forms on both sides, so a question's
+    "MAIZ" finds a stored "MAÍZ" (trap Q8); ``fold=False`` is the plain
+    upper-case comparison of the reference.
+    """
     c = F.upper(cultivo)
-    preds = [like_contains_ci(cultivo, pattern)]
+    if fold:
+        from ..functions.text import fold_accents
+        preds = [fold_accents(cultivo).contains(_fold_py(pattern))]
+    else:
+        preds = [like_contains_ci(cultivo, pattern)]
     preds += [~c.contains(p) for p in EXCLUDED_CROP_PATTERNS]
     preds.append(~cultivo.contains(EXCLUDED_CROP_MARK))
     return all_of(preds)
 
 
+def _fold_py(text: str) -> str:
+    """Python twin of ``fold_accents`` for literal patterns."""
+    from ..functions.text import ACCENTED, FOLDED
+    return text.translate(str.maketrans(ACCENTED, FOLDED)).lower()
+
+
 def prefer_total(df: DataFrame, flag: str = "es_total") -> DataFrame:
     """Keep only TOTAL rows if any row of the set is a TOTAL (W2, global).
 

@@ -361,8 +361,8 @@ FROM avances WHERE nivel = 'provincia' AND regimen = 'total' AND sup_avance > 0
   AND periodo_anio BETWEEN {{a0}} AND {{a1}} {{extra}}"""
 
 
-def _anom_sql(a0, a1, extra, min_obs, keep_all):
-    base = _ANOM_BASE.format(a0=a0, a1=a1, extra=extra)
+def _anom_sql(a0, a1, extra, min_obs, keep_all, base=None, ctes=""):
+    base = base or _ANOM_BASE.format(a0=a0, a1=a1, extra=extra)
     flt = "" if keep_all else "WHERE anomalia"
     return with_tables(f"""
 SELECT cultivo, provincia, anio, mes, rendimiento, {R("q1", 9)} AS q1, {R("q3", 9)} AS q3,
@@ -378,7 +378,7 @@ FROM (
   JOIN (SELECT cultivo, provincia, count(*) AS n, avg(rendimiento) AS media, stddev_samp(rendimiento) AS std,
                quantile_cont(rendimiento, 0.25) AS q1, quantile_cont(rendimiento, 0.75) AS q3
         FROM ({base}) WHERE rendimiento IS NOT NULL GROUP BY cultivo, provincia HAVING count(*) >= {min_obs}) g
-  USING (cultivo, provincia)) {flt}""")
+  USING (cultivo, provincia)) {flt}""", ctes)
 
 
 def _anom_base(spark, d, a0, a1, cultivo=None, provincia=None):
@@ -530,3 +530,16 @@ def q_anomaly_kpis(spark, d):
     b = _anom_base(spark, d, 1995, 2001, "economy", "NATION_3")
     a = detect_anomalies(b, "rendimiento", ["cultivo", "provincia"], "ambos", min_obs=0, keep_all=True)
     return series_kpis(a, "rendimiento", ["cultivo", "provincia"])
+
+
+_CLOSE_BASE = f"""
+SELECT cultivo, provincia, periodo_anio AS anio, periodo_mes AS mes, {RY} AS rendimiento FROM closes"""
+
+
+@query("anomalies_closes", _anom_sql(0, 0, "", 5, False, base=_CLOSE_BASE, ctes=CLOSES_SQL))
+def q_anomalies_closes(spark, d):
+    """Anomalies on season closes only (trap Q23: not on every cumulative month)."""
+    c = _closes(spark, d).select("cultivo", "provincia", F.col("periodo_anio").alias("anio"),
+                                 F.col("periodo_mes").alias("mes"),
+                                 round_half_up(safe_div("prod_avance", "sup_avance"), 6).alias("rendimiento"))
+    return detect_anomalies(c, "rendimiento", ["cultivo", "provincia"], "ambos", min_obs=5).select(*ANOM_COLS)

@@ -110,3 +110,21 @@ def test_normalise_climate(spark):
     df = spark.createDataFrame([(v,) for v in vals], "fecha string")
     got = sorted((r.fecha, r.anio, r.mes) for r in PZ.normalise_climate(df).collect())
     assert got == sorted([("2020-7", 2020, 7), ("2020-13", 2020, 13), (" 2021 - 3 ", 2021, 3)])
+
+
+def test_trace_as_zero(spark):
+    vals = ["Ip", "12,3", "", "Acum"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v string")
+    got = [r[0] for r in df.orderBy("i").select(PZ.float_climate("v", trace_as_zero=True)).collect()]
+    assert got == [0.0, 12.3, None, None]
+
+
+def test_parse_params(spark):
+    reqs = ['{"cultivo": "trigo blando", "provincia": "toledo", "anio_ini": 2018}',
+            "cultivo: cebada provincia=ciudad real", '{"cultivo": "MAIZ"']
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(reqs)], "i int, r string")
+    rows = [r.p for r in df.orderBy("i").select(PZ.parse_params("r").alias("p")).collect()]
+    assert (rows[0].cultivo, rows[0].provincia, rows[0].anio_ini, rows[0].anio_fin, rows[0].metodo) == \
+        ("TRIGO BLANDO", "Toledo", 2018, 2025, "ambos")
+    assert (rows[1].cultivo, rows[1].provincia, rows[1].anio_ini) == ("CEBADA PROVINCIA", "Ciudad Real", 2014)
+    assert rows[2].cultivo == "MAIZ"
