@@ -78,7 +78,10 @@ def replace_partitions(spark: SparkSession, delivery: DataFrame, path: str, keys
     """
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     stamped = delivery.withColumn("fecha_carga", F.current_timestamp())
-    stamped.repartition(*keys).write.mode("overwrite").partitionBy(*keys).parquet(path)
+    # REBALANCE by the partition keys: rows of a period go to the same writers,
+    # and AQE splits a period that is too big for one task (a hot period never
+    # lands in a single writer) and merges the small ones
+    stamped.hint("rebalance", *keys).write.mode("overwrite").partitionBy(*keys).parquet(path)
     return spark.read.parquet(path)
 
 

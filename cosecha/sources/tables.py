@@ -91,7 +91,7 @@ class Tables:
             path = self._path(name)
             w = df.write.mode("overwrite")
             if partition_by:
-                w = w.partitionBy(*partition_by)
+                w = df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by)
             w.parquet(path)
             df = self.spark.read.parquet(path)
         self._cache[name] = df
