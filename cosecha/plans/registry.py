@@ -30,5 +30,5 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import (q_panel, q_clean, q_aggregates, q_outliers, q_datasets,  # noqa: F401
+    from . import (q_panel, q_clean, q_aggregates, q_datasets,  # noqa: F401
                    q_ingest, q_text, q_model)
