@@ -182,6 +182,21 @@ def chunk_words(docs: DataFrame, text_col: str = "text", key: str = "doc_id", si
     return out.filter(F.length(F.trim("chunk")) >= min_chars)
 
 
+def document_fragments(docs: DataFrame, key: str = "doc_id", file_col: str = "source",
+                       size: int = 800, overlap: int = 100) -> DataFrame:
+    """Word-window chunks of whole documents as store fragments (D3 + store).
+
+    Source name ``pdf`` in both the fragments and the replacement key (the
+    reference wrote "pdf" but deleted "pdfs", trap Q15).
+    """
+    chunks = chunk_words(docs.select(key, "text"), "text", key, size, overlap)
+    files = docs.select(key, F.col(file_col).alias("_archivo"))
+    c = chunks.join(files, key)
+    base = F.concat(F.lit("pdf_"), F.col(key).cast("string"), F.lit("_"), zfill("chunk_index", 4))
+    md = meta(fuente=F.lit("pdf"), archivo="_archivo", chunk_index="chunk_index", total_chunks="total_chunks")
+    return _frame(c, base, F.col("chunk"), "pdf", md, [key, "chunk_index"])
+
+
 def fragment_counts(store: DataFrame) -> DataFrame:
     """Fragments per source."""
     return store.groupBy("fuente").agg(F.count(F.lit(1)).alias("n_fragmentos"),

@@ -13,7 +13,7 @@ from ..sources.tables import Tables
 from . import datasets as DS
 from . import oracle_datasets as OD
 from .oracle import with_tables
-from .q_text import CCAA_SQL, CLIMA_FRAG_SQL, NAT_SQL, PRICE_SQL, all_fragments
+from .q_text import CCAA_SQL, CLIMA_FRAG_SQL, DOC_FRAG_SQL, NAT_SQL, PRICE_SQL, all_fragments
 from .registry import query
 
 YEAR_19_20 = r"((?:19|20)\d{2})"
@@ -190,7 +190,7 @@ def q_refresh_stations(spark, d):
 @query("fragments_replace", with_tables(f"""
 SELECT fuente, count(*) AS n_fragmentos FROM (
   SELECT id, fuente FROM ({NAT_SQL}) UNION ALL SELECT id, fuente FROM ({CCAA_SQL})
-  UNION ALL SELECT id, fuente FROM ({CLIMA_FRAG_SQL})
+  UNION ALL SELECT id, fuente FROM ({CLIMA_FRAG_SQL}) UNION ALL SELECT id, fuente FROM ({DOC_FRAG_SQL})
   UNION ALL SELECT DISTINCT id, fuente FROM ({PRICE_SQL})) GROUP BY fuente"""))
 def q_fragments_replace(spark, d):
     from ..operators.fragments import dedup_fragments, price_fragments

@@ -151,6 +151,28 @@ def q_chunk_words(spark, d):
                     "n_palabras", F.md5("chunk").alias("chunk_md5"), F.length("chunk").alias("n_chars"))
 
 
+def _z4(c):
+    return f"CASE WHEN length(CAST({c} AS VARCHAR)) >= 4 THEN CAST({c} AS VARCHAR) ELSE lpad(CAST({c} AS VARCHAR), 4, '0') END"
+
+
+DOC_FRAG_SQL = f"""
+SELECT {_safe_id(f"'pdf_' || CAST(doc_id AS VARCHAR) || '_' || {_z4('i')}")} AS id, chunk AS text, 'pdf' AS fuente
+FROM (
+  SELECT doc_id, i, array_to_string(w[s + 1 : s + 800], ' ') AS chunk
+  FROM (
+    SELECT doc_id, w, n, unnest(range(0, n, 700)) AS s, generate_subscripts(range(0, n, 700), 1) - 1 AS i
+    FROM (SELECT doc_id, string_split_regex(trim(text, ' \n\t\r'), '\\s+') AS w,
+                 len(string_split_regex(trim(text, ' \n\t\r'), '\\s+')) AS n
+          FROM documents WHERE regexp_matches(text, '\\S'))))
+WHERE length(chunk) >= 50"""
+
+
+@query("doc_fragments", DOC_FRAG_SQL)
+def q_doc_fragments(spark, d):
+    docs = Tables.get(spark, d).raw("documents", "doc_id", "text", "source")
+    return FR.document_fragments(docs).select("id", "text", "fuente")
+
+
 def _knn_sql(metric: str) -> str:
     if metric == "l2":
         dist = "list_sum(list_transform(list_zip(e.embedding, q.query_vec), lambda p: (CAST(p[1] AS DOUBLE) - p[2]) * (CAST(p[1] AS DOUBLE) - p[2])))"
@@ -183,7 +205,8 @@ query("knn_cosine", _knn_sql("cosine"))(_knn("cosine"))
 @query("fragment_counts", with_tables(f"""
 SELECT fuente, count(*) AS n_fragmentos, count(DISTINCT id) AS n_ids FROM (
   SELECT id, fuente FROM ({NAT_SQL}) UNION ALL SELECT id, fuente FROM ({CCAA_SQL})
-  UNION ALL SELECT id, fuente FROM ({PRICE_SQL}) UNION ALL SELECT id, fuente FROM ({CLIMA_FRAG_SQL}))
+  UNION ALL SELECT id, fuente FROM ({PRICE_SQL}) UNION ALL SELECT id, fuente FROM ({CLIMA_FRAG_SQL})
+  UNION ALL SELECT id, fuente FROM ({DOC_FRAG_SQL}))
 GROUP BY fuente"""))
 def q_fragment_counts(spark, d):
     return FR.fragment_counts(all_fragments(Tables.get(spark, d)))
@@ -191,7 +214,8 @@ def q_fragment_counts(spark, d):
 
 def all_fragments(t: Tables):
     parts = [FR.national_fragments(t.avances()), FR.ccaa_fragments(t.avances()),
-             FR.price_fragments(t.coyuntura()), FR.climate_fragments(t.clima_provincial(), t.avances())]
+             FR.price_fragments(t.coyuntura()), FR.climate_fragments(t.clima_provincial(), t.avances()),
+             FR.document_fragments(t.raw("documents", "doc_id", "text", "source"))]
     out = parts[0].select("id", "text", "fuente", "metadata")
     for p in parts[1:]:
         out = out.unionByName(p.select("id", "text", "fuente", "metadata"))
