@@ -89,10 +89,11 @@ class Tables:
         if self.materialized:
             # written once per session to the shared folder, then read back
             path = self._path(name)
-            w = df.write.mode("overwrite")
             if partition_by:
-                w = df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by)
-            w.parquet(path)
+                # REBALANCE: a large year is split over several writers
+                df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+            else:
+                df.write.mode("overwrite").parquet(path)
             df = self.spark.read.parquet(path)
         self._cache[name] = df
         return df
