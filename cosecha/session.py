@@ -57,6 +57,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or _CHOSEN.get(id(sc))
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder: cluster jobs never use a "
+                               "machine-local temporary folder")
         d = tempfile.mkdtemp(prefix="cosecha-ckpt-")
         _CHOSEN[id(sc)] = d
     if sc.getCheckpointDir() is None:
