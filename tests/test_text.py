@@ -115,3 +115,19 @@ def test_entities_match_brute_force(spark):
     got = {r.i: (None if r.ctx is None else tuple(r.ctx)) for r in extract_context(df, "pregunta").collect()}
     for i, q in enumerate(qs):
         assert got[i] == _context_ref(q), q
+
+
+def test_knn_shuffled_query_path_equals_broadcast(spark):
+    emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
+    q = label_centroids(emb)
+    a = sorted(tuple(r) for r in knn(q, emb, k=5, metric="cosine").collect())
+    b = sorted(tuple(r) for r in knn(q, emb, k=5, metric="cosine", max_broadcast_queries=0, blocks=7).collect())
+    assert a == b
+
+
+def test_spread_is_noop_for_split_inputs(spark):
+    from cosecha.session import spread
+    many = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism + 3)
+    assert spread(many) is many
+    one = spark.range(0, 1000, numPartitions=1)
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
