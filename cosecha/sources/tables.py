@@ -125,9 +125,20 @@ class Tables:
         from .cells import render_prices
         return self._derived("cells_coyuntura", lambda: render_prices(self.coyuntura()))
 
-    def materialize(self) -> None:
-        for n in ("avances", "coyuntura", "estaciones", "clima_mensual"):
-            getattr(self, n)()
+    def materialize(self, parallel: bool = True) -> None:
+        """Build and write the domain tables.  They are independent jobs (the
+        climate table only needs the stations, built first), so they are
+        submitted from threads and share the cluster instead of queueing."""
+        self.estaciones()
+        rest = ("avances", "coyuntura", "clima_mensual")
+        if not parallel:
+            for n in rest:
+                getattr(self, n)()
+            return
+        from concurrent.futures import ThreadPoolExecutor
+        with ThreadPoolExecutor(max_workers=len(rest)) as pool:
+            for f in [pool.submit(getattr(self, n)) for n in rest]:
+                f.result()
 
     # ------------------------------------------------------------ avances
     def avances(self) -> DataFrame:
