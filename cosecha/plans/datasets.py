@@ -154,6 +154,13 @@ class DatasetBuilder:
         return model_dataset_v1(self.av_valid(), self.clima_prov_v1())
 
     def v2(self) -> DataFrame:
+        if self.materialize:
+            # the validated panel and the cleaned climate are independent:
+            # write them as concurrent jobs before the dataset that joins them
+            from concurrent.futures import ThreadPoolExecutor
+            with ThreadPoolExecutor(max_workers=2) as pool:
+                for f in [pool.submit(self.av_valid), pool.submit(self.clima_prov_v2)]:
+                    f.result()
         return self._mat("v2", lambda: model_dataset_v2(self.av_valid(), self.clima_prov_v2(), self.p))
 
     def v3(self) -> DataFrame:
