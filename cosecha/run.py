@@ -51,8 +51,10 @@ def run(spark, sf_dir: str, out: str, steps: list[str], shapley: bool = True) ->
             t.materialize()
         elif step == "validate":
             write(b.av_valid(), "clean/avances_validado")
-            write(report_json(quality_report(t.avances(), t.coyuntura(), t.clima_mensual())
-                              .groupBy().pivot("metrica").agg(F.sum("valor"))), "reports/calidad", "text")
+            q = quality_report(t.avances(), t.coyuntura(), t.clima_mensual())
+            wide = (q.withColumn("k", F.concat_ws(".", "tabla", "metrica"))
+                    .groupBy().pivot("k").agg(F.first("valor")))
+            write(report_json(wide), "reports/calidad", "text")
             v1 = b.v1()
             write(v1, "model/dataset_modelado")
             write(mappings(v1, DS.ENCODED), "model/label_encoders_v1", "json")
