@@ -52,7 +52,7 @@ def run(spark, sf_dir: str, out: str, steps: list[str], shapley: bool = True) ->
         elif step == "validate":
             write(b.av_valid(), "clean/avances_validado")
             q = quality_report(t.avances(), t.coyuntura(), t.clima_mensual())
-            wide = (q.withColumn("k", F.concat_ws(".", "tabla", "metrica"))
+            wide = (q.withColumn("k", F.concat_ws("__", "tabla", "metrica"))
                     .groupBy().pivot("k").agg(F.first("valor")))
             write(report_json(wide), "reports/calidad", "text")
             v1 = b.v1()

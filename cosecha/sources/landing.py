@@ -110,7 +110,7 @@ def write_versioned(df: DataFrame, path: str) -> DataFrame:
 # ---------------------------------------------------------------- reports
 def report_json(report: DataFrame) -> DataFrame:
     """One JSON document per report row (S12): ``to_json(struct(*))``."""
-    return report.select(F.to_json(F.struct(*[F.col(c) for c in report.columns])).alias("json"))
+    return report.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in report.columns])).alias("json"))
 
 
 def export_frames(frames: dict[str, DataFrame], root: str, info: dict[str, str] | None = None) -> DataFrame:
