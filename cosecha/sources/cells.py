@@ -198,7 +198,7 @@ def render_advances(avances: DataFrame, last_year_srt: int | None = None) -> Dat
 
 
 # ------------------------------------------------------------------- prices
-def detect_report_meta(cells: DataFrame, year_re: str = YEAR_RE) -> DataFrame:
+def detect_report_meta(cells: DataFrame, year_re: str = YEAR_RE, strict: bool = False) -> DataFrame:
     """Week, previous week, year and date ranges per price workbook.
 
     Reads the header cells of "Pág. 4": week from (6,4) then (6,3) ("Semana
@@ -220,9 +220,15 @@ def detect_report_meta(cells: DataFrame, year_re: str = YEAR_RE) -> DataFrame:
     def rng(c):
         s = strip_ws(c)
         return F.when(~F.lower(s).contains("especificaciones"), s)
-    return h.select("file", F.coalesce(yr("r8c4"), yr("r8c3"), yr("r7c4"), yr("r7c3")).alias("anio"),
-                    week.alias("semana"), prev.alias("semana_anterior"),
-                    rng("r7c3").alias("fecha_rango_anterior"), rng("r7c4").alias("fecha_rango_actual"))
+    out = h.select("file", F.coalesce(yr("r8c4"), yr("r8c3"), yr("r7c4"), yr("r7c3")).alias("anio"),
+                   week.alias("semana"), prev.alias("semana_anterior"),
+                   rng("r7c3").alias("fecha_rango_anterior"), rng("r7c4").alias("fecha_rango_actual"))
+    if strict:
+        # the renaming tool's variant: a book without week or year is an error
+        bad = out.filter(F.col("anio").isNull() | F.col("semana").isNull()).select("file").limit(5).collect()
+        if bad:
+            raise ValueError(f"semana o año no detectados en: {[r.file for r in bad]}")
+    return out
 
 
 def ingest_prices(cells: DataFrame, year_re: str = YEAR_RE, compat_subtype: bool = True) -> DataFrame:

@@ -58,3 +58,13 @@ def test_price_page(spark):
         ("frutihort", "FRUTAS", "Limón", "€/100 kg", None, 80.0, None, False)])
     fixed = {r.producto: r.es_subtipo for r in CE.ingest_prices(cells, compat_subtype=False).collect()}
     assert fixed["Trigo duro"] is True and fixed["Limón"] is False
+
+
+def test_report_meta_strict(spark):
+    import pytest
+    rows = [("a.xlsx", "Pág. 4", 6, 4, "Semana 3"), ("a.xlsx", "Pág. 4", 8, 4, "2023"),
+            ("b.xlsx", "Pág. 4", 6, 4, "sin semana"), ("b.xlsx", "Pág. 4", 8, 4, "2023")]
+    cells = _cells(spark, rows)
+    assert CE.detect_report_meta(cells).count() == 2
+    with pytest.raises(ValueError, match="b.xlsx"):
+        CE.detect_report_meta(cells, strict=True)
