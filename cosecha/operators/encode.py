@@ -19,7 +19,8 @@ UNKNOWN = "DESCONOCIDO"
 SINGLE_TASK_CODES = 1_000_000
 
 
-def code_table(df: DataFrame, col: str, single_task_limit: int = SINGLE_TASK_CODES) -> DataFrame:
+def code_table(df: DataFrame, col: str, single_task_limit: int = SINGLE_TASK_CODES,
+               rows_hint: int | None = None) -> DataFrame:
     """(value, code) for the sorted distinct values of ``col``.
 
     Up to ``single_task_limit`` distinct values (a checked bound) one ordered
@@ -28,7 +29,7 @@ def code_table(df: DataFrame, col: str, single_task_limit: int = SINGLE_TASK_COD
     them; only the per-partition sizes meet in one task.
     """
     vals = df.select(F.coalesce(F.col(col), F.lit(UNKNOWN)).alias("clase")).distinct()
-    if vals.count() <= single_task_limit:
+    if (rows_hint is not None and rows_hint <= single_task_limit) or vals.count() <= single_task_limit:
         w = Window.orderBy("clase")
         return vals.select("clase", (F.row_number().over(w) - 1).cast("int").alias("codigo"))
     checkpoint_dir(df.sparkSession)
@@ -42,17 +43,17 @@ def code_table(df: DataFrame, col: str, single_task_limit: int = SINGLE_TASK_COD
 
 
 def label_encode(df: DataFrame, cols: list[str], suffix: str = "_enc",
-                 single_task_limit: int = SINGLE_TASK_CODES) -> DataFrame:
+                 single_task_limit: int = SINGLE_TASK_CODES, rows_hint: int | None = None) -> DataFrame:
     out = df
     for c in cols:
-        codes = code_table(df, c, single_task_limit).withColumnRenamed("clase", f"_k_{c}").withColumnRenamed("codigo", f"{c}{suffix}")
+        codes = code_table(df, c, single_task_limit, rows_hint).withColumnRenamed("clase", f"_k_{c}").withColumnRenamed("codigo", f"{c}{suffix}")
         out = out.join(codes, F.coalesce(F.col(c), F.lit(UNKNOWN)) == F.col(f"_k_{c}"), "left").drop(f"_k_{c}")
     return out
 
 
-def mappings(df: DataFrame, cols: list[str]) -> DataFrame:
+def mappings(df: DataFrame, cols: list[str], rows_hint: int | None = None) -> DataFrame:
     """Long (columna, clase, codigo) table of every encoding (the JSON export)."""
-    parts = [code_table(df, c).select(F.lit(c).alias("columna"), "clase", "codigo") for c in cols]
+    parts = [code_table(df, c, rows_hint=rows_hint).select(F.lit(c).alias("columna"), "clase", "codigo") for c in cols]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

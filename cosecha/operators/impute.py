@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
-from .quantiles import HOT_GROUP_ROWS, group_quantiles, largest_group
+from .quantiles import HOT_GROUP_ROWS, group_quantiles, small_enough
 
 
-def group_medians(df: DataFrame, cols: list[str], group: list[str], approx: bool = False) -> DataFrame:
+def group_medians(df: DataFrame, cols: list[str], group: list[str], approx: bool = False,
+                  rows_hint: int | None = None) -> DataFrame:
     """Median of every column per group: one aggregate, or, when a group is
     hot, the exact refinement per column (see ``quantiles``)."""
-    if approx or largest_group(df, group) <= HOT_GROUP_ROWS:
+    if approx or small_enough(df, group, HOT_GROUP_ROWS, rows_hint):
         agg = [(F.percentile_approx(c, 0.5, 100000) if approx else F.median(c)).alias(f"_med_{c}")
                for c in cols]
         return df.groupBy(*group).agg(*agg)
@@ -33,7 +34,7 @@ def group_medians(df: DataFrame, cols: list[str], group: list[str], approx: bool
 
 def impute_by_group(df: DataFrame, cols: list[str], group: list[str],
                     require_keys: bool = True, flag_suffix: str | None = None,
-                    approx: bool = False) -> DataFrame:
+                    approx: bool = False, rows_hint: int | None = None) -> DataFrame:
     """Fill NULLs of ``cols`` with the median of their group.
 
     Rows whose group key is NULL are left alone when ``require_keys``.  With
@@ -42,7 +43,7 @@ def impute_by_group(df: DataFrame, cols: list[str], group: list[str],
     keyed = F.lit(True)
     for g in group:
         keyed = keyed & F.col(g).isNotNull()
-    med = group_medians(df.filter(keyed) if require_keys else df, cols, group, approx)
+    med = group_medians(df.filter(keyed) if require_keys else df, cols, group, approx, rows_hint)
     j = df.join(med, group, "left")
     out = {}
     for c in cols:
@@ -55,7 +56,8 @@ def impute_by_group(df: DataFrame, cols: list[str], group: list[str],
 
 
 def impute_hierarchical(df: DataFrame, cols: list[str], levels: list[list[str]],
-                        cut_lineage: bool = False, approx: bool = False) -> DataFrame:
+                        cut_lineage: bool = False, approx: bool = False,
+                        rows_hint: int | None = None) -> DataFrame:
     """Chained median imputation over ``levels``.
 
     ``cut_lineage=True`` checkpoints after every level (reliable checkpoint to
@@ -66,7 +68,7 @@ def impute_hierarchical(df: DataFrame, cols: list[str], levels: list[list[str]],
         checkpoint_dir(df.sparkSession)
     out = df
     for g in levels:
-        out = impute_by_group(out, cols, g, approx=approx)
+        out = impute_by_group(out, cols, g, approx=approx, rows_hint=rows_hint)
         if cut_lineage:
             out = out.checkpoint(eager=True)
     return out

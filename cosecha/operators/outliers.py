@@ -21,23 +21,25 @@ def _pct(c: str, p: float, approx: bool) -> Column:
     return F.percentile_approx(c, p, 100000) if approx else F.percentile(c, p)
 
 
-def _quantiles(df: DataFrame, value: str, group: list[str], probs: dict[str, float], approx: bool) -> DataFrame:
+def _quantiles(df: DataFrame, value: str, group: list[str], probs: dict[str, float], approx: bool,
+               rows_hint: int | None = None) -> DataFrame:
     """Per-group quantiles: exact (hot groups by refinement) unless ``approx``."""
     if approx:
         return df.filter(F.col(value).isNotNull()).groupBy(*group).agg(
             *[_pct(value, p, True).alias(n) for n, p in probs.items()])
-    return group_quantiles(df, value, group, probs, HOT_GROUP_ROWS)
+    return group_quantiles(df, value, group, probs, HOT_GROUP_ROWS, rows_hint=rows_hint)
 
 
 def iqr_flag(df: DataFrame, value: str, group: list[str], k: float = 3.0,
-             where: Column | None = None, flag: str = "outlier_flag", approx: bool = False) -> DataFrame:
+             where: Column | None = None, flag: str = "outlier_flag", approx: bool = False,
+             rows_hint: int | None = None) -> DataFrame:
     """Flag rows outside [q1 - k·iqr, q3 + k·iqr] of their group.
 
     Only rows matching ``where`` (and with a non-NULL value) take part and can
     be flagged; every other row gets FALSE, so re-running resets old flags.
     """
     cond = F.col(value).isNotNull() if where is None else (where & F.col(value).isNotNull())
-    stats = _quantiles(df.filter(cond), value, group, {"_q1": 0.25, "_q3": 0.75}, approx)
+    stats = _quantiles(df.filter(cond), value, group, {"_q1": 0.25, "_q3": 0.75}, approx, rows_hint)
     j = df.join(stats, group, "left")
     iqr = F.col("_q3") - F.col("_q1")
     out = cond & ((F.col(value) < F.col("_q1") - k * iqr) | (F.col(value) > F.col("_q3") + k * iqr))
@@ -45,14 +47,15 @@ def iqr_flag(df: DataFrame, value: str, group: list[str], k: float = 3.0,
 
 
 def winsorize_upper(df: DataFrame, value: str, group: list[str], p: float = 0.99,
-                    raw_col: str | None = None, digits: int = 6, approx: bool = False) -> DataFrame:
+                    raw_col: str | None = None, digits: int = 6, approx: bool = False,
+                    rows_hint: int | None = None) -> DataFrame:
     """Clip ``value`` at its group's p-th percentile (C10), keeping the raw copy.
 
     The threshold is rounded to ``digits`` (the precision of the value), then
     ``least`` applies it; NULL values stay NULL.
     """
     raw_col = raw_col or f"{value}_raw"
-    cap = _quantiles(df, value, group, {"_cap": p}, approx).select(
+    cap = _quantiles(df, value, group, {"_cap": p}, approx, rows_hint).select(
         *group, round_half_up("_cap", digits).alias("_cap"))
     j = df.withColumn(raw_col, F.col(value)).join(cap, group, "left")
     clipped = F.when(F.col(value).isNull() | F.col("_cap").isNull(), F.col(value)) \

@@ -98,15 +98,24 @@ def largest_group(df: DataFrame, group: list[str]) -> int:
     return df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
 
 
+def small_enough(df: DataFrame, group: list[str], limit: int, rows_hint: int | None = None) -> bool:
+    """True when no group can exceed ``limit`` rows.  A known upper bound on
+    the input's rows (``rows_hint``) answers without running a job."""
+    if rows_hint is not None and rows_hint <= limit:
+        return True
+    return largest_group(df, group) <= limit
+
+
 def group_quantiles(df: DataFrame, value: str, group: list[str], probs: dict[str, float],
-                    max_group_rows: int = HOT_GROUP_ROWS, **kw) -> DataFrame:
+                    max_group_rows: int = HOT_GROUP_ROWS, rows_hint: int | None = None, **kw) -> DataFrame:
     """(group..., <name> for each p) exactly as ``percentile(value, p)`` per group.
 
-    The method is chosen by the size of the largest group (one aggregate).
+    The method is chosen by the size of the largest group (one aggregate, or
+    none when ``rows_hint`` bounds the input below the limit).
     """
     base = df.filter(F.col(value).isNotNull())
     counts = base.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    if largest_group(base, group) <= max_group_rows:
+    if small_enough(base, group, max_group_rows, rows_hint):
         return base.groupBy(*group).agg(*[F.percentile(value, p).alias(n) for n, p in probs.items()])
     names = list(probs)
     rank_rows = []

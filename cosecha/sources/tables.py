@@ -24,7 +24,7 @@ from __future__ import annotations
 import hashlib
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_up, safe_div
@@ -63,6 +63,7 @@ class Tables:
         self.sf_dir = sf_dir.rstrip("/")
         self.materialized = materialized
         self._cache: dict[str, DataFrame] = {}
+        self.rows: dict[str, int] = {}   # row counts observed while writing
 
     @classmethod
     def get(cls, spark: SparkSession, sf_dir: str) -> "Tables":
@@ -89,11 +90,14 @@ class Tables:
         if self.materialized:
             # written once per session to the shared folder, then read back
             path = self._path(name)
+            obs = Observation(f"rows_{name}")
+            df = df.observe(obs, F.count(F.lit(1)).alias("n"))
             if partition_by:
                 # REBALANCE: a large year is split over several writers
                 df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
             else:
                 df.write.mode("overwrite").parquet(path)
+            self.rows[name] = obs.get["n"]
             df = self.spark.read.parquet(path)
         self._cache[name] = df
         return df
