@@ -46,3 +46,11 @@ def test_operators_same_result_on_hot_path(spark, monkeypatch):
     assert [(r[0], r[1]) for r in hot[1]] == [(r[0], r[1]) for r in cold[1]]
     for h, c in zip(hot[1], cold[1]):
         assert abs(h[2] - c[2]) < 1e-9
+
+
+def test_small_enough_uses_hint_without_a_job(spark):
+    from cosecha.operators.quantiles import small_enough
+    df = spark.createDataFrame([("a", 1.0)] * 30, "g string, x double")
+    assert small_enough(df, ["g"], 10, rows_hint=5) is True       # bound answers (no job)
+    assert small_enough(df, ["g"], 10, rows_hint=100) is False    # bound too loose: counts the groups
+    assert small_enough(df, ["g"], 100) is True
