@@ -275,7 +275,12 @@ def q_quarantine(spark, d):
     return q.filter(F.col("motivo").isNotNull()).groupBy("motivo").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("quarantine_files")
+def _quarantine_files_sql() -> str:
+    from .q_clean import _PERIOD_SQL
+    return f"SELECT archivo, error FROM ({_PERIOD_SQL}) WHERE error IS NOT NULL"
+
+
+@query("quarantine_files", _quarantine_files_sql())
 def q_quarantine_files(spark, d):
     from ..functions.parse import parse_period
     from ..dims import months_df
@@ -284,7 +289,14 @@ def q_quarantine_files(spark, d):
     return f.filter(F.col("error").isNotNull()).select("archivo", "error")
 
 
-@query("export_result")
+def _export_sql() -> str:
+    from .q_aggregates import CLOSES_SQL
+    return with_tables("""
+SELECT 'rendimientos' AS nombre, count(*) AS filas FROM (
+  SELECT cultivo, periodo_anio FROM closes GROUP BY cultivo, periodo_anio)""", CLOSES_SQL)
+
+
+@query("export_result", _export_sql())
 def q_export_result(spark, d):
     t = Tables.get(spark, d)
     from .q_aggregates import _closes
@@ -294,7 +306,7 @@ def q_export_result(spark, d):
     return LD.export_frames(frames, t.scratch("export"), {"origen": d})
 
 
-@query("assert_ready")
+@query("assert_ready", with_tables("SELECT anio, count(*) AS filas FROM v3 GROUP BY anio", OD.v3_ctes()))
 def q_assert_ready(spark, d):
     v3 = DS.DatasetBuilder(Tables.get(spark, d)).v3()
     CL.assert_ready(v3, DS.FEATURES + [DS.TARGET], DS.FEATURES + [DS.TARGET])
