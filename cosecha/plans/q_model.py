@@ -120,7 +120,8 @@ def _v3_split(spark, d):
 
 
 def _gbt(spark, d, params: M.GbtParams = M.GbtParams()):
-    data = _v3_split(spark, d).cache()
+    # the trainer persists its own binned copy of the training rows
+    data = _v3_split(spark, d)
     model = M.train_gbt(data, DS.FEATURES, DS.TARGET, params)
     return data, model
 

@@ -81,6 +81,7 @@ def run(spark, sf_dir: str, out: str, steps: list[str], shapley: bool = True) ->
                 write(attr, "model/shap_values")
                 attr = spark.read.parquet(f"{out}/model/shap_values")
                 write(M.attribution_summary(attr, DS.FEATURES), "model/shap_summary", "json")
+            data.unpersist()
         elif step == "fragments":
             from .plans.q_text import all_fragments
             replace_partitions(spark, all_fragments(t), f"{out}/fragments", ["fuente"])
