@@ -131,3 +131,23 @@ def test_spread_is_noop_for_split_inputs(spark):
     assert spread(many) is many
     one = spark.range(0, 1000, numPartitions=1)
     assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_chunk_property_unicode_whitespace(spark):
+    """Random texts with every kind of whitespace split like Python's str.split()."""
+    import random
+    rnd = random.Random(5)
+    seps = [" ", "  ", "\t", "\n", "\r\n", " ", " ", "　", "\x1f", " ", "\x0b"]
+    docs = []
+    for i in range(60):
+        n = rnd.choice([0, 1, 5, 40, 120, 260])
+        words = ["".join(rnd.choice("abcdeñáç") for _ in range(rnd.randint(1, 6))) for _ in range(n)]
+        text = rnd.choice(seps + [""]) + "".join(w + rnd.choice(seps) for w in words)
+        docs.append((i, text))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r.doc_id, r.chunk_index, r.inicio, r.chunk, r.total_chunks)
+                 for r in chunk_words(df, size=50, overlap=10, min_chars=20).collect())
+    want = []
+    for i, text in docs:
+        want += [(i, j, s, c, n) for j, s, c, n in chunks_ref(text, 50, 10, 20)]
+    assert got == sorted(want)
