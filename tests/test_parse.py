@@ -128,3 +128,17 @@ def test_parse_params(spark):
         ("TRIGO BLANDO", "Toledo", 2018, 2025, "ambos")
     assert (rows[1].cultivo, rows[1].provincia, rows[1].anio_ini) == ("CEBADA PROVINCIA", "Ciudad Real", 2014)
     assert rows[2].cultivo == "MAIZ"
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.decimals(min_value=-10**6, max_value=10**6, places=4, allow_nan=False), min_size=1, max_size=40),
+       st.integers(min_value=0, max_value=3))
+def test_round_half_up_matches_decimal(spark, values, digits):
+    """round_half_up rounds the decimal value half away from zero, as a person would."""
+    from decimal import ROUND_HALF_UP, Decimal
+    from cosecha.functions.numeric import round_half_up
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, x double")
+    got = [r[0] for r in df.orderBy("i").select(round_half_up("x", digits)).collect()]
+    want = [float(Decimal(repr(float(v))).quantize(Decimal(1).scaleb(-digits), rounding=ROUND_HALF_UP))
+            for v in values]
+    assert got == want
