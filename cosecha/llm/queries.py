@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, sharding
+from . import decontaminate, jaccard_join, line_dedup, packing, sharding
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": lambda spark, d: decontaminate.report(table(spark, d, "documents"),
                                                                table(spark, d, "benchmark")),
+    "op3_nnls_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
+    "op4_partenum_join": lambda spark, d: jaccard_join.report(table(spark, d, "documents")),
     "op6_line_dedup": lambda spark, d: line_dedup.report(table(spark, d, "documents")),
     "op7_byte_shards": lambda spark, d: sharding.byte_shards(table(spark, d, "documents")),
 }
 
 ORACLE: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE_SQL,
+    "op4_partenum_join": jaccard_join.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op7_byte_shards": sharding.ORACLE_SQL,
 }
