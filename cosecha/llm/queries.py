@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, line_dedup, packing, sharding
+from . import decontaminate, jaccard_join, line_dedup, packing, sharding, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_partenum_join": lambda spark, d: jaccard_join.report(table(spark, d, "documents")),
     "op6_line_dedup": lambda spark, d: line_dedup.report(table(spark, d, "documents")),
     "op7_byte_shards": lambda spark, d: sharding.byte_shards(table(spark, d, "documents")),
+    "op8_toxicity": lambda spark, d: toxicity.report(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 
 ORACLE: dict[str, str] = {
