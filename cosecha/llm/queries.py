@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, line_dedup, packing, sharding, toxicity
+from . import decontaminate, jaccard_join, line_dedup, mtree, packing, sharding, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mtree_search": lambda spark, d: mtree.report(table(spark, d, "embeddings")),
     "op2_decontaminate": lambda spark, d: decontaminate.report(table(spark, d, "documents"),
                                                                table(spark, d, "benchmark")),
     "op3_nnls_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_mtree_search": mtree.ORACLE_SQL,
     "op2_decontaminate": decontaminate.ORACLE_SQL,
     "op4_partenum_join": jaccard_join.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
