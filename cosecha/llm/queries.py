@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, line_dedup, mtree, packing, sharding, toxicity
+from . import decontaminate, jaccard_join, line_dedup, mtree, packing, rollups, sharding, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
                                                                table(spark, d, "benchmark")),
     "op3_nnls_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
     "op4_partenum_join": lambda spark, d: jaccard_join.report(table(spark, d, "documents")),
+    "op5_token_rollups": lambda spark, d: rollups.report(table(spark, d, "documents")),
     "op6_line_dedup": lambda spark, d: line_dedup.report(table(spark, d, "documents")),
     "op7_byte_shards": lambda spark, d: sharding.byte_shards(table(spark, d, "documents")),
     "op8_toxicity": lambda spark, d: toxicity.report(table(spark, d, "documents"), table(spark, d, "labels")),
