@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, line_dedup, mtree, packing, rollups, sharding, toxicity
+from . import (decontaminate, jaccard_join, line_dedup, mtree, packing, pitman_yor, rollups, run_index, sharding,
+               toxicity)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": lambda spark, d: line_dedup.report(table(spark, d, "documents")),
     "op7_byte_shards": lambda spark, d: sharding.byte_shards(table(spark, d, "documents")),
     "op8_toxicity": lambda spark, d: toxicity.report(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op9_run_index_dedup": lambda spark, d: run_index.report(table(spark, d, "documents")),
+    "op10_pitman_yor": lambda spark, d: pitman_yor.report(table(spark, d, "documents")),
 }
 
 ORACLE: dict[str, str] = {
