@@ -10,10 +10,12 @@ map-side; sets are shuffled for candidates alone, and every link is verified
 by exact set sizes.
 
 Equal sets have equal 64-bit set keys, and a vertex of the join is such a key:
-thousands of copies are one vertex.  Within the members of a signature, links
-are sought against one leader after another, and only between different
-components, so a large family of near copies costs one comparison a member,
-while no linking pair of different texts is left untested.
+thousands of copies are one vertex.  Every member of a signature is compared
+with the signature's first, which joins most families of near copies at one
+comparison a member.  Members that a signature still holds together although
+they are in different components form clusters; inside these all sets of
+different components are compared, in blocks, and only links are emitted, so
+no linking pair of different texts is left untested.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
@@ -31,6 +34,8 @@ from .common import by_bytes, mix, utf8, words, written
 from .graph import components
 
 SHINGLE = 3
+BLOCK_ELEMENTS = 100_000  # elements of the sets of a block
+COLUMNS = 8_192  # elements that a comparison of blocks takes at a time
 PERCENT = 90  # link: 100 * intersection >= PERCENT * union
 
 _SALTS = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xA24BAED4963EE407, 0xC13FA9A902A6328F, 0x91E10DA5C79E7B1D)]
@@ -108,15 +113,11 @@ def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     for pair, high in ((i, ends[i]), (i + 1, ends[i + 1])):  # instance j joins the bands j - 1 and j
         n1, n2, k2 = scheme(high, percent)
         seed = np.array([pair], np.uint64) * _SALTS[2]
-        deal = mix(s ^ seed)
-        cell = ((deal >> np.uint64(32)) % np.uint64(n1) * np.uint64(n2)
-                + (deal & np.uint64(0xFFFFFFFF)) % np.uint64(n2)).astype(np.int64)
-        value = mix(deal + _SALTS[0])
-        order = np.argsort(cell)
-        cell = cell[order]
-        heads = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        deal = mix(s ^ seed)  # the halves choose the part and the subpart, the whole is summed up
+        cell = ((deal >> np.uint64(32)) * np.uint64(n1) >> np.uint64(32)) * np.uint64(n2) \
+            + ((deal & np.uint64(0xFFFFFFFF)) * np.uint64(n2) >> np.uint64(32))
         sums = np.zeros(n1 * n2, np.uint64)
-        sums[cell[heads]] = np.add.reduceat(value[order], heads)
+        np.add.at(sums, cell.view(np.int64), deal)
         sums = sums.reshape(n1, n2)
         place = np.arange(n1, dtype=np.uint64) * np.uint64(16)
         if k2 == 2:  # two of four subparts
@@ -145,27 +146,13 @@ def _int64(x) -> pa.Array:
     return pa.array(np.asarray(x, np.uint64).view(np.int64))
 
 
-def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, key) per row; key is null for an empty set."""
+def _signature_rows(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(sig, key) of every text's signatures."""
 
-    def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = list(shingle_sets(batch, shingle))
-        n = np.array([len(s) for s in sets], np.int64)
-        keys = np.array([set_key(s) for s in sets], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": pa.array(n),
-                                           "key": pa.array(keys, mask=n == 0)})
-
-    return _scan(docs, emit, "doc_id long, n_shingles long, key long")
-
-
-def _signature_rows(docs: DataFrame, shingle: int, percent: int, wanted=None) -> DataFrame:
     def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
         sigs, keys = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-        packed = None if wanted is None else np.frombuffer(wanted.value, np.uint8)
         for s in shingle_sets(batch, shingle):
             own = signatures(s, percent)
-            if packed is not None and len(own):
-                own = own[bloom.contains(packed, own)]
             sigs.append(own)
             keys.append(np.full(len(own), set_key(s) if len(own) else 0, np.uint64))
         return pa.RecordBatch.from_pydict({"sig": _int64(np.concatenate(sigs)), "key": _int64(np.concatenate(keys))})
@@ -173,6 +160,26 @@ def _signature_rows(docs: DataFrame, shingle: int, percent: int, wanted=None) ->
     return _scan(docs, emit, "sig long, key long")
 
 
+def _rows_with_shared(docs: DataFrame, shingle: int, percent: int, wanted) -> DataFrame:
+    """(doc_id, n_shingles, key, sigs): every row, with its signatures that the filter holds; no key for an empty set."""
+
+    def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
+        packed = np.frombuffer(wanted.value, np.uint8)
+        n, keys, sigs = [], [], []
+        for s in shingle_sets(batch, shingle):
+            own = signatures(s, percent)
+            n.append(len(s))
+            keys.append(set_key(s))
+            sigs.append(own[bloom.contains(packed, own)].view(np.int64) if len(own) else own.view(np.int64))
+        n = np.array(n, np.int64)
+        return pa.RecordBatch.from_pydict({
+            "doc_id": batch.column("doc_id"), "n_shingles": pa.array(n),
+            "key": pa.array(np.array(keys, np.uint64).view(np.int64), mask=n == 0),
+            "sigs": pa.array(sigs, pa.list_(pa.int64()))})
+
+    return _scan(docs, emit, "doc_id long, n_shingles long, key long, sigs array<long>")
+
+
 def _sets_of(docs: DataFrame, vertices: DataFrame, shingle: int) -> DataFrame:
     """(key, hashes) for the vertices: their sorted sets as binary."""
     spark = docs.sparkSession
@@ -211,6 +218,62 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(check, "a long, b long")
 
 
+def _labels(vertices: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, component) of every vertex."""
+    return written(vertices.join(components(links).withColumnRenamed("v", "key"), "key", "left").select(
+        "key", F.coalesce("component", "key").alias("component")), "labels")
+
+
+def _links_in_clusters(clusters: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All linking pairs of different components inside each cluster, compared block by block.
+
+    A cluster's sets are dealt into blocks of about ``BLOCK_ELEMENTS``
+    elements; each pair of blocks is one task's group, and only links leave it.
+    """
+    rows = clusters.join(label, "key").join(sets, "key")
+    blocks = (rows.groupBy("cluster").agg(F.sum(F.length("hashes")).alias("b"))
+              .select("cluster", F.ceil(F.col("b") / (8 * BLOCK_ELEMENTS)).cast("int").alias("blocks")))
+    rows = (rows.join(blocks, "cluster")
+            .withColumn("own", F.expr("cast(pmod(xxhash64(key), blocks) as int)"))
+            .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+            .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")))
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        own = part["own"].to_numpy()
+        i, j = int(part["i"].iloc[0]), int(part["j"].iloc[0])
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        sets_ = [np.frombuffer(x, np.uint64) for x in part["hashes"]]
+        sizes = np.array([len(x) for x in sets_])
+        every, index, times = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets_)), sizes)
+        several = times[index] > 1  # an element of one set is in no intersection
+        row, index = row[several], index[several]
+        order = np.argsort(index, kind="stable")
+        row, index = row[order], index[order]
+        common = np.zeros((len(left), len(right)), np.float32)
+        to_left, to_right = np.full(len(sets_), -1), np.full(len(sets_), -1)
+        to_left[left], to_right[right] = np.arange(len(left)), np.arange(len(right))
+        at = 0
+        while at < len(index):  # some elements at a time, as columns of 0 and 1
+            end = int(np.searchsorted(index, index[at] + COLUMNS))
+            column = index[at:end] - index[at]
+            a, b = np.zeros((len(left), COLUMNS), np.float32), np.zeros((len(right), COLUMNS), np.float32)
+            r = row[at:end]
+            a[to_left[r][to_left[r] >= 0], column[to_left[r] >= 0]] = 1
+            b[to_right[r][to_right[r] >= 0], column[to_right[r] >= 0]] = 1
+            common += a @ b.T
+            at = end
+        common = common.astype(np.int64)
+        linked = 100 * common >= percent * (sizes[left][:, None] + sizes[right] - common)
+        component = part["component"].to_numpy()
+        x, y = np.nonzero(linked & (component[left][:, None] != component[right]))
+        keys = part["key"].to_numpy()
+        a, b = keys[left[x]], keys[right[y]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    return rows.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id and n_links.
 
@@ -224,46 +287,32 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(classes(docs, shingle), "classes")
-
     # Signatures that different sets share; min and max combine map-side.
     shared = (_signature_rows(docs, shingle, percent).groupBy("sig")
-              .agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("sig"))
+              .agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("sig", "low"))
     shared = written(shared, "shared")
     wanted = spark.sparkContext.broadcast(bloom.seen(shared, "sig").tobytes())
-    members = (_signature_rows(docs, shingle, percent, wanted).distinct()
-               .join(shared, "sig", "left_semi"))
-    members = written(members.withColumn("turn", F.row_number().over(
-        Window.partitionBy("sig").orderBy("key"))), "members")
+    rows = written(_rows_with_shared(docs, shingle, percent, wanted), "rows")
+    members = (rows.where("key is not null").select("key", F.explode("sigs").alias("sig")).distinct()
+               .join(shared, "sig"))
+    members = written(members, "members")  # sig, key, low: the signature's first member
     vertices = written(members.select("key").distinct(), "vertices")
     sets = _sets_of(docs, vertices, shingle)
 
-    label = vertices.select("key", F.col("key").alias("component"))
-    links = None
-    first, last = 1, 1  # leaders whose turn it is
-    while True:
-        # Members whose signature still spans several components.
-        here = members.join(label, "key")
-        open_ = (here.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                         F.max("turn").alias("n")).where("lo <> hi"))
-        here = written(here.join(open_.where(F.col("n") > first - 1).select("sig", "n"), "sig"), "open")
-        leaders = here.where(F.col("turn").between(first, last)).select(
-            "sig", F.col("key").alias("b"), F.col("component").alias("cb"), F.col("turn").alias("tb"))
-        pairs = (here.select("sig", F.col("key").alias("a"), F.col("component").alias("ca"), "turn")
-                 .join(leaders, "sig").where("ca <> cb and turn > tb")
-                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        pairs = written(pairs, "pairs")
-        found = written(_verified(pairs, sets, percent), "found")
-        links = found if links is None else written(links.union(found), "links")
-        if found.limit(1).count():
-            grown = components(links)
-            label = vertices.join(grown.withColumnRenamed("v", "key"), "key", "left").select(
-                "key", F.coalesce("component", "key").alias("component"))
-        # Every pair of one signature and two components has had its turn once
-        # the leaders of every signature that is still open have.
-        if not here.where(F.col("n") > last + 1).limit(1).count():
-            break
-        first, last = last + 1, 4 * last + 3
+    # First every member against its signature's first.
+    stars = written(members.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct(),
+                    "stars")
+    links = written(_verified(stars, sets, percent), "links")
+    label = _labels(vertices, links)
+    # Then all of different components that signatures still hold together.
+    here = members.join(label, "key")
+    open_ = here.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    ties = written(here.join(open_, "sig").where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b"))
+                   .distinct(), "ties")
+    clusters = components(ties).select(F.col("v").alias("key"), F.col("component").alias("cluster"))
+    more = written(_links_in_clusters(clusters, label, sets, percent), "links")
+    links = links.unionByName(more).distinct()
+    label = _labels(vertices, links)
 
     both = links.select("a").union(links.select(F.col("b").alias("a")))
     degree = both.groupBy(F.col("a").alias("key")).agg(F.count("*").alias("n_links"))
