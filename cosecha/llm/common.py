@@ -15,7 +15,7 @@ from cosecha.session import checkpoint_dir
 
 # Bytes of text that one vectorised step takes at a time.  A longer document
 # is one step of its own: texts are never cut.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def importable(spark: SparkSession) -> None:
