@@ -21,7 +21,9 @@ def round_half_up(c, digits: int) -> Column:
     first makes the result the one a person computing by hand expects, and
     independent of summation order in the last bits.
     """
-    return F.round(col_(c).cast("decimal(38,9)"), digits).cast("double")
+    x = col_(c)
+    # Beyond the decimal's range, and for NaN and infinity, there is nothing to round.
+    return F.coalesce(F.round(x.try_cast("decimal(38,9)"), digits).cast("double"), x.cast("double"))
 
 
 def safe_div(a, b) -> Column:

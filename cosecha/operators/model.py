@@ -126,33 +126,66 @@ def attribution_by_group(attr: DataFrame, features: list[str], group: str, prefi
 @dataclass
 class GbtParams:
     """Reference hyper-parameters: 800 trees, depth 5, learning rate 0.05,
-    row and feature subsampling 0.8, min child weight 5, early stopping on the
-    validation split."""
+    row and feature subsampling 0.8, min child weight 5; training stops when
+    the validation loss has not fallen for ``patience`` rounds."""
     max_iter: int = 800
     max_depth: int = 5
     step_size: float = 0.05
     subsample: float = 0.8
     feature_subset: str = "0.8"
     min_instances: int = 5
-    validation_tol: float = 0.001
+    patience: int = 30
     seed: int = 42
     max_bins: int = 64
 
 
+def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
+    """(best number of rounds, whether patience ran out) for a loss after each round."""
+    best = 0
+    for k, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = k
+        elif k - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
 def train_gbt(train_val: DataFrame, features: list[str], target: str, p: GbtParams = GbtParams()):
-    """Fit a GBTRegressor on rows with split ∈ {train, val}; the val rows
-    drive early stopping (``validationIndicatorCol``)."""
-    from pyspark.ml import Pipeline
+    """Fit a GBTRegressor on the train rows, stopped by the loss on the val rows.
+
+    A run of ``n`` trees is the beginning of any longer run of the same seed,
+    so a short run is tried first and doubled until ``patience`` rounds
+    without a better validation loss have passed or ``max_iter`` is reached;
+    the model kept is the run up to the best round.  Returns the pipeline
+    model and the losses after each round tried.
+    """
+    from pyspark.ml import PipelineModel
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
-    data = train_val.filter(F.col("split").isin("train", "val")).withColumn("_is_val", F.col("split") == "val")
-    gbt = GBTRegressor(featuresCol="features", labelCol=target, predictionCol="prediction",
-                       maxIter=p.max_iter, maxDepth=p.max_depth, stepSize=p.step_size,
-                       subsamplingRate=p.subsample, featureSubsetStrategy=p.feature_subset,
-                       minInstancesPerNode=p.min_instances, validationIndicatorCol="_is_val",
-                       validationTol=p.validation_tol, seed=p.seed, maxBins=p.max_bins)
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), gbt])
-    return pipe.fit(data)
+    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
+    train, val = (assembler.transform(train_val.filter(F.col("split") == s)).select("features", target).persist()
+                  for s in ("train", "val"))
+
+    def fit(n: int):
+        return GBTRegressor(featuresCol="features", labelCol=target, predictionCol="prediction", maxIter=n,
+                            maxDepth=p.max_depth, stepSize=p.step_size, subsamplingRate=p.subsample,
+                            featureSubsetStrategy=p.feature_subset, minInstancesPerNode=p.min_instances,
+                            seed=p.seed, maxBins=p.max_bins).fit(train)
+
+    n = min(p.max_iter, 2 * p.patience)
+    has_val = not val.isEmpty()
+    while True:
+        model = fit(n)
+        losses = list(model.evaluateEachIteration(val, "squared")) if has_val else []
+        best, stopped = best_round(losses, p.patience) if has_val else (p.max_iter, False)
+        if stopped or n >= p.max_iter:
+            break
+        n = min(p.max_iter, 2 * n)
+    if best < n:
+        model = fit(best)
+    train.unpersist()
+    val.unpersist()
+    return PipelineModel([assembler, model]), losses
 
 
 def shapley_attribution(df: DataFrame, model, features: list[str], baseline: dict[str, float],

@@ -38,13 +38,20 @@ def _interp(lo_val, hi_val, pos, lo_rank, hi_rank):
         .otherwise((hi_rank - pos) * lo_val + (pos - lo_rank) * hi_val)
 
 
+def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` in which NULL equals NULL; the keys come once."""
+    a, b = left.alias("a"), right.alias("b")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    return a.join(b, same).select("a.*", *[F.col(f"b.{c}") for c in right.columns if c not in keys])
+
+
 def order_statistics(df: DataFrame, value: str, group: list[str], ranks: DataFrame,
                      buckets: int = 1024, exact_rows: int = 2_000_000, max_rounds: int = 12) -> DataFrame:
     """k-th smallest value (0-based) per (group..., k) row of ``ranks``."""
     checkpoint_dir(df.sparkSession)  # reliable checkpoints go to the shared folder
     v = df.select(*group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     bounds = v.groupBy(*group).agg(F.min("_v").alias("a"), F.max("_v").alias("b"))
-    open_ = ranks.join(bounds, group).withColumn("below", F.lit(0).cast("long"))
+    open_ = _join(ranks, bounds, group).withColumn("below", F.lit(0).cast("long"))
     found = []
 
     def within(o: DataFrame) -> DataFrame:
@@ -133,7 +140,7 @@ def group_quantiles(df: DataFrame, value: str, group: list[str], probs: dict[str
     kth = order_statistics(base, value, group, ranks, **kw)
     lo = kth.select(*group, F.col("k").alias("_lo_r"), F.col("kth").alias("_lo_v"))
     hi = kth.select(*group, F.col("k").alias("_hi_r"), F.col("kth").alias("_hi_v"))
-    t = targets.join(lo, group + ["_lo_r"]).join(hi, group + ["_hi_r"])
+    t = _join(_join(targets, lo, group + ["_lo_r"]), hi, group + ["_hi_r"])
     t = t.withColumn("_val", _interp(F.col("_lo_v"), F.col("_hi_v"), F.col("_pos"),
                                      F.col("_lo_r").cast("double"), F.col("_hi_r").cast("double")))
     wide = t.groupBy(*group).pivot("_q", names).agg(F.first("_val"))

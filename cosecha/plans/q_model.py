@@ -3,9 +3,12 @@ exact Shapley attributions (rows-only)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import model as M
+from ..session import scratch_path
 from ..sources.tables import Tables
 from . import datasets as DS
 from . import oracle_datasets as OD
@@ -119,18 +122,29 @@ def _v3_split(spark, d):
     return M.hash_split(DS.DatasetBuilder(Tables.get(spark, d)).v3(), V3_KEYS)
 
 
+_GBT: dict[tuple, str] = {}
+
+
 def _gbt(spark, d, params: M.GbtParams = M.GbtParams()):
-    # the trainer persists its own binned copy of the training rows
-    data = _v3_split(spark, d)
-    model = M.train_gbt(data, DS.FEATURES, DS.TARGET, params)
-    return data, model
+    """The split and the model of a data folder: trained once, saved, and read from then on."""
+    from pyspark.ml import PipelineModel
+    key = (spark.sparkContext.applicationId, d, str(params))
+    if key not in _GBT:
+        path = scratch_path(spark, f"gbt-{uuid.uuid4().hex[:12]}")
+        # Written first: hundreds of passes run over files of a sensible size.
+        _v3_split(spark, d).write.parquet(f"{path}/rows")
+        model, _ = M.train_gbt(spark.read.parquet(f"{path}/rows"), DS.FEATURES, DS.TARGET, params)
+        model.write().save(f"{path}/model")
+        _GBT[key] = path
+    return spark.read.parquet(f"{_GBT[key]}/rows"), PipelineModel.load(f"{_GBT[key]}/model")
 
 
 @query("train_gbt")
 def q_train_gbt(spark, d):
     data, model = _gbt(spark, d)
     pred = model.transform(data)
-    return M.regression_metrics(pred, DS.TARGET, "prediction")
+    return M.regression_metrics(pred, DS.TARGET, "prediction").withColumn(
+        "n_trees", F.lit(model.stages[-1].getNumTrees))
 
 
 @query("attribution_gbt")

@@ -70,7 +70,7 @@ def run(spark, sf_dir: str, out: str, steps: list[str], shapley: bool = True) ->
         elif step == "train":
             data = M.hash_split(spark.read.parquet(f"{out}/model/dataset_final"),
                                 ["cultivo", "cod_provincia", "anio", "mes"]).cache()
-            model = M.train_gbt(data, DS.FEATURES, DS.TARGET)
+            model, _ = M.train_gbt(data, DS.FEATURES, DS.TARGET)
             model.write().overwrite().save(f"{out}/model/gbt")
             write(M.regression_metrics(model.transform(data), DS.TARGET, "prediction"), "model/metrics", "json")
             if shapley:

@@ -67,7 +67,7 @@ class Tables:
 
     @classmethod
     def get(cls, spark: SparkSession, sf_dir: str) -> "Tables":
-        key = (id(spark), os.path.abspath(sf_dir))
+        key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
         t = cls._registry.get(key)
         if t is None:
             t = cls._registry[key] = Tables(spark, sf_dir)

@@ -13,12 +13,13 @@ def test_refinement_matches_percentile(spark):
     rows += [("hot", 3.0)] * 400
     rows += [(f"g{i % 20}", rnd.gauss(10, 3)) for i in range(2000)]
     rows += [("const", 5.0)] * 30 + [("one", 1.0)] + [("nulls", None)] * 3
+    rows += [(None, float(k)) for k in range(40)]  # NULL is a group of its own
     df = spark.createDataFrame(rows, "g string, x double")
     probs = {"q1": 0.25, "med": 0.5, "q3": 0.75, "p99": 0.99}
     want = {r.g: (r.q1, r.med, r.q3, r.p99) for r in group_quantiles(df, "x", ["g"], probs).collect()}
     got = {r.g: (r.q1, r.med, r.q3, r.p99)
            for r in group_quantiles(df, "x", ["g"], probs, max_group_rows=10, buckets=8, exact_rows=50).collect()}
-    assert set(got) == set(want)
+    assert set(got) == set(want) and None in got
     for g in want:
         for a, b in zip(got[g], want[g]):
             assert abs(a - b) <= 1e-9 * max(1.0, abs(b)), (g, got[g], want[g])
