@@ -8,13 +8,16 @@ each worker keeps the ids of those it has met, up to a bound.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 WORD_BPE = "word_bpe_49k.json"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+MARKS = ".,;:!?"  # runs of these behind letters are tokens of their own
+JOINED = 2_000  # words that are encoded together
 CACHED_LENGTH = 48
 
 _workers: dict[str, "WordTokenizer"] = {}
@@ -35,6 +38,23 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
 
+    @staticmethod
+    def _parts(word: str) -> tuple[str, ...]:
+        """The word without the marks behind it, and these marks; both as the normaliser leaves them."""
+        core = word.rstrip(MARKS)
+        if core == word or not core.isalpha():
+            return (word.lower(),) if word.isascii() else (word,)
+        return core.lower() if core.isascii() else core, word[len(core):]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, from one call over all: half the cost of a call for each."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        starts = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
+        first = np.fromiter((o[0] for o in found.offsets), np.int64, len(ids))
+        cuts = [*np.searchsorted(first, starts).tolist(), len(ids)]
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         # Only blanks that Python and the tokenizer both take for blanks.
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
@@ -42,14 +62,21 @@ class WordTokenizer:
         if len(known) > CACHE_WORDS:
             known.clear()
             known[""] = b""
-        new = list({w for ws in split for w in ws}.difference(known))
+        # The batch's own words, few enough to stay in the processor's cache.
+        own = dict.fromkeys(chain.from_iterable(split))
+        # A word and the marks behind it are split before the vocabulary is asked,
+        # and capitals are lowered, so only the bare word may be new.
+        parts = {w: self._parts(w) for w in own if w not in known}
+        new = [p for p in dict.fromkeys(chain.from_iterable(parts.values())) if p not in known]
         fresh: dict[str, bytes] = {}
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                (known if len(w) <= CACHED_LENGTH else fresh)[w] = np.array(e.ids, "<u4").tobytes()
-        if fresh:
-            return [b"".join([known[w] if w in known else fresh[w] for w in ws]) for ws in split]
-        return [b"".join([known[w] for w in ws]) for ws in split]
+        for a in range(0, len(new), JOINED):
+            fresh.update(zip(new[a:a + JOINED], self._encode_words(new[a:a + JOINED])))
+        known.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHED_LENGTH)
+        for w in own:
+            p = parts.get(w)
+            own[w] = known[w] if p is None else b"".join([fresh[x] if x in fresh else known[x] for x in p])
+        ids_of_word = own.__getitem__
+        return [b"".join(map(ids_of_word, ws)) for ws in split]
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
