@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import by_bytes, written
-from .tokens import default_path, texts_of, word_tokenizer
+from .tokens import STEP_BYTES, default_path, word_tokenizer
 
 WINDOW = 2048
 GRID = 8
@@ -37,10 +37,12 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, with_ids: bool = Fa
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_tokenizer(path).encode
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, limit=STEP_BYTES):
             out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts_of(batch))):
-                ids += end
+            found, offsets = encode(batch.column("text"))
+            raw, at = memoryview(found.tobytes()), (4 * offsets).tolist()
+            for doc, a, b in zip(batch.column("doc_id").to_pylist(), at, at[1:]):
+                ids = b"".join((raw[a:b], end))
                 n = len(ids) // 4
                 for start in range(0, n, window):
                     part = ids[4 * start:4 * (start + window)]

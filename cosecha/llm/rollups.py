@@ -17,12 +17,13 @@ import json
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_bytes, importable, scratch, written
-from .tokens import default_path, texts_of, word_tokenizer
+from .tokens import STEP_BYTES, default_path, texts_of, word_tokenizer
 
 GROUP = ["source", "lang", "tokenizer_version"]
 INSERT, DELETE, REVISE = "insert", "delete", "revise"
@@ -32,10 +33,10 @@ _encodings: dict = {}
 
 
 def _counter(path: str):
-    """Number of tokens of a text, by the tokenizer file at ``path``."""
+    """Numbers of tokens of some texts, by the tokenizer file at ``path``."""
     if path.endswith(".json"):
         encode = word_tokenizer(path).encode
-        return lambda texts: [len(x) // 4 for x in encode(texts)]
+        return lambda texts: np.diff(encode(pa.array(texts, pa.string()))[1])
     if path not in _encodings:
         import base64
 
@@ -54,7 +55,7 @@ def counted(docs: DataFrame, op: str, version: str, path: str) -> DataFrame:
     """Changes that insert or revise documents with their token counts under one tokenizer; null texts have none."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(path)
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, limit=STEP_BYTES):
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(count(texts_of(batch)), pa.int64())],
                 ["doc_id", "source", "lang", "n_tokens"])

@@ -143,6 +143,29 @@ def test_decontamination(spark, docs, rows, none):
 # -- 3
 
 
+def test_words_apart_have_the_tokenizer_s_ids():
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from cosecha.llm.tokens import WordTokenizer, default_path
+
+    own, tokenizer = WordTokenizer(default_path()), Tokenizer.from_file(default_path())
+    some = ["It's", "DON'T", "naïve.", "İ.", "ΟΔΟΣ.", "क़.", "é!", "don’t", "<|endoftext|>", "a<|startoftext|>b.",
+            "x\x0by", "1234.5", "ПРИВЕТ,", "Ærø;", "ß!", "µ.", "...", "?!", "a.b.", "中文。", "ab\u3000cd", "\x00q",
+            "\u200dx.", "ﬁn.", "Ǆ.", "straße,", "\x1c", "e\u0301.", "Ё.", "word", "Word,", "w" * 300]
+    draw = random.Random(5)
+    texts = [None, "", " ", "\n\n"] + [
+        "".join(draw.choice(some) + draw.choice([" ", "\n", "  ", "\t", "", "\r\n"]) for _ in range(draw.randint(1, 40)))
+        for _ in range(400)]
+    for batch in (texts, texts[::-1], [], [None]):  # the second time from the store
+        ids, offsets = own.encode(pa.array(batch, pa.string()))
+        assert len(offsets) == len(batch) + 1 and offsets[-1] == len(ids)
+        for text, a, b in zip(batch, offsets, offsets[1:]):
+            assert ids[a:b].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
 def test_packing_covers_every_token_once(spark, docs, rows, none):
     from tokenizers import Tokenizer
 
