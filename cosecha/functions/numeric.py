@@ -34,8 +34,3 @@ def safe_div(a, b) -> Column:
 def yield_kg_ha(prod, sup) -> Column:
     """Yield in kg/ha from production (thousand t) and area (ha)."""
     return safe_div(prod, sup) * F.lit(KG_PER_THOUSAND_T)
-
-
-def clip_upper(c, hi) -> Column:
-    """least(x, hi) that keeps NULL x NULL (``least`` skips NULLs)."""
-    return F.when(col_(c).isNull(), F.lit(None)).otherwise(F.least(col_(c), col_(hi)))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..dims import CCAA_NAMES, MONTHS, UNIPROV_CODES
+from ..dims import CCAA_NAMES, UNIPROV_CODES
 from .numeric import col_
 
 # Python's float() grammar for plain decimal numbers (digits may be grouped by
@@ -134,11 +134,6 @@ def normalise_climate(df: DataFrame, fecha: str = "fecha") -> DataFrame:
     return df.filter(ok).withColumn("anio", anio).withColumn("mes", mes)
 
 
-def month_number(name) -> Column:
-    """Spanish month name → number via a fixed map literal."""
-    m = F.create_map(*[x for k, v in MONTHS.items() for x in (F.lit(k), F.lit(v))])
-    return m[F.lower(col_(name))]
-
 
 # Anomaly-request defaults.
 REQUEST_DEFAULTS = {"anio_ini": 2014, "anio_fin": 2025, "metodo": "ambos"}

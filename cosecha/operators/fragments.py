@@ -155,10 +155,11 @@ def dedup_fragments(frags: DataFrame) -> DataFrame:
 
 
 def chunk_words(docs: DataFrame, text_col: str = "text", key: str = "doc_id", size: int = 800,
-                overlap: int = 100, min_chars: int = 50) -> DataFrame:
+                overlap: int = 100, min_chars: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
     """Overlapping word windows (D3): starts 0, size-overlap, …; chunks under
     ``min_chars`` characters are dropped but keep their original index, and
     ``total_chunks`` counts chunks before dropping.  The whole text is used.
+    The columns named by ``carry`` go along with every chunk.
     """
     if overlap >= size:
         raise ValueError("overlap must be smaller than size (otherwise the window never advances)")
@@ -168,7 +169,7 @@ def chunk_words(docs: DataFrame, text_col: str = "text", key: str = "doc_id", si
         .otherwise(F.split(trimmed, WS_RE))
     # explode of a one-element array: a Generate node, so later projections
     # reference the split result instead of re-evaluating the split per use
-    d = spread(docs).select(F.col(key), F.explode(F.array(words)).alias("_w")).filter(F.size("_w") > 0)
+    d = spread(docs).select(key, *carry, F.explode(F.array(words)).alias("_w")).filter(F.size("_w") > 0)
     n = F.size("_w")
     starts = F.sequence(F.lit(0), n - 1, F.lit(step))
     # the chunk strings are built inside one array expression, so the word
@@ -176,9 +177,9 @@ def chunk_words(docs: DataFrame, text_col: str = "text", key: str = "doc_id", si
     chunks = F.transform(starts, lambda s0: F.struct(
         s0.alias("inicio"), F.least(n - s0, F.lit(size)).alias("n_palabras"),
         F.array_join(F.slice("_w", s0 + 1, size), " ").alias("chunk")))
-    ex = d.select(key, (((n - 1) / step).cast("int") + 1).alias("total_chunks"),
+    ex = d.select(key, *carry, (((n - 1) / step).cast("int") + 1).alias("total_chunks"),
                   F.posexplode(chunks).alias("chunk_index", "_c"))
-    out = ex.select(key, "chunk_index", "total_chunks", "_c.inicio", "_c.n_palabras", "_c.chunk")
+    out = ex.select(key, "chunk_index", "total_chunks", "_c.inicio", "_c.n_palabras", "_c.chunk", *carry)
     return out.filter(F.length(F.trim("chunk")) >= min_chars)
 
 
@@ -189,9 +190,8 @@ def document_fragments(docs: DataFrame, key: str = "doc_id", file_col: str = "so
     Source name ``pdf`` in both the fragments and the replacement key (the
     reference wrote "pdf" but deleted "pdfs", trap Q15).
     """
-    chunks = chunk_words(docs.select(key, "text"), "text", key, size, overlap)
-    files = docs.select(key, F.col(file_col).alias("_archivo"))
-    c = chunks.join(files, key)
+    c = chunk_words(docs.select(key, "text", F.col(file_col).alias("_archivo")), "text", key, size, overlap,
+                    carry=("_archivo",))
     base = F.concat(F.lit("pdf_"), F.col(key).cast("string"), F.lit("_"), zfill("chunk_index", 4))
     md = meta(fuente=F.lit("pdf"), archivo="_archivo", chunk_index="chunk_index", total_chunks="total_chunks")
     return _frame(c, base, F.col("chunk"), "pdf", md, [key, "chunk_index"])

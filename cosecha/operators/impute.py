@@ -72,7 +72,3 @@ def impute_hierarchical(df: DataFrame, cols: list[str], levels: list[list[str]],
         if cut_lineage:
             out = out.checkpoint(eager=True)
     return out
-
-
-def null_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])

@@ -240,15 +240,18 @@ def q_join_month_week(spark, d):
 
 @query("dim_lookup_default", with_tables("""
 SELECT cp.cod_provincia, cp.anio, cp.mes, COALESCE(d.provincia, 'Provincia ' || CAST(cp.cod_provincia AS VARCHAR)) AS nombre
-FROM clima_provincial cp LEFT JOIN (
+FROM (SELECT cod_provincia, anio, mes FROM clima_provincial
+      UNION ALL SELECT cod_provincia + 100, anio, mes FROM clima_provincial WHERE mes = 1) cp LEFT JOIN (
   SELECT cod_provincia, max_by(provincia, (periodo_anio, periodo_mes, cultivo)) AS provincia FROM avances
-  WHERE nivel = 'provincia' AND periodo_anio < 2001 GROUP BY cod_provincia) d
+  WHERE nivel = 'provincia' GROUP BY cod_provincia) d
   ON cp.cod_provincia = d.cod_provincia"""))
 def q_dim_lookup_default(spark, d):
     t = _t(spark, d)
-    dim = (t.avances().filter((F.col("nivel") == "provincia") & (F.col("periodo_anio") < 2001))
+    dim = (t.avances().filter(F.col("nivel") == "provincia")
            .select("cod_provincia", "provincia", F.struct("periodo_anio", "periodo_mes", "cultivo").alias("_o")))
     cp = t.clima_provincial().select("cod_provincia", "anio", "mes")
+    # codes without a name, so that the default shows
+    cp = cp.unionByName(cp.filter(F.col("mes") == 1).withColumn("cod_provincia", F.col("cod_provincia") + 100))
     return AN.dim_lookup_default(cp, "cod_provincia", dim, "provincia", "nombre", "_o")
 
 

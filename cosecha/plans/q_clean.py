@@ -346,15 +346,16 @@ def q_period_label_week(spark, d):
 
 
 @query("fmt_es", with_tables("""
-SELECT cultivo, periodo_anio, replace(format('{:,.0f}', s), ',', '.') AS sup_txt,
+SELECT nivel, cultivo, periodo_anio, periodo_mes, replace(format('{:,.0f}', s), ',', '.') AS sup_txt,
        replace(format('{:,.3f}', p), ',', '.') AS prod_txt
-FROM (SELECT cultivo, periodo_anio, SUM(sup_avance) AS s, SUM(prod_avance) AS p FROM avances
-      WHERE nivel = 'nacional' AND periodo_mes = 12 GROUP BY cultivo, periodo_anio)"""))
+FROM (SELECT nivel, cultivo, periodo_anio, periodo_mes, CAST(SUM(CAST(sup_avance AS DECIMAL(30,9))) AS DOUBLE) AS s,
+             CAST(SUM(CAST(prod_avance AS DECIMAL(30,9))) AS DOUBLE) AS p FROM avances GROUP BY ALL)"""))
 def q_fmt_es(spark, d):
-    a = (Tables.get(spark, d).avances()
-         .filter((F.col("nivel") == "nacional") & (F.col("periodo_mes") == 12))
-         .groupBy("cultivo", "periodo_anio").agg(F.sum("sup_avance").alias("s"), F.sum("prod_avance").alias("p")))
-    return a.select("cultivo", "periodo_anio", TX.fmt_thousands("s", 0).alias("sup_txt"),
+    exact = lambda c: F.sum(F.col(c).cast("decimal(28,9)")).cast("double")
+    keys = ["nivel", "cultivo", "periodo_anio", "periodo_mes"]
+    a = (Tables.get(spark, d).avances().groupBy(*keys)
+         .agg(exact("sup_avance").alias("s"), exact("prod_avance").alias("p")))
+    return a.select(*keys, TX.fmt_thousands("s", 0).alias("sup_txt"),
                     TX.fmt_thousands("p", 3).alias("prod_txt"))
 
 

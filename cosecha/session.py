@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -45,23 +44,24 @@ def build_session(master: str | None = None, app: str = "cosecha",
     return spark
 
 
-_CHOSEN: dict[int, str] = {}
+_CHOSEN: dict[str, str] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; we only choose our own
-    (a fresh scratch folder) when it is unset, i.e. in local tests.
+    The cluster names it in ``spark.checkpoint.dir``, or the application by
+    ``setCheckpointDir``; we only choose our own (a fresh scratch folder) when
+    neither is set, i.e. in local tests.
     """
     sc = spark.sparkContext
-    d = sc.getConf().get("spark.checkpoint.dir", None) or _CHOSEN.get(id(sc))
+    d = sc.getConf().get("spark.checkpoint.dir", None) or _CHOSEN.get(sc.applicationId) or sc.getCheckpointDir()
     if not d:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder: cluster jobs never use a "
                                "machine-local temporary folder")
         d = tempfile.mkdtemp(prefix="cosecha-ckpt-")
-        _CHOSEN[id(sc)] = d
+        _CHOSEN[sc.applicationId] = d
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d.rstrip("/")
@@ -72,10 +72,6 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([checkpoint_dir(spark), *parts])
 
 
-def local_master() -> str:
-    return f"local[{os.environ.get('BENCH_CPUS', '8')}]"
-
-
 def spread(df, min_partitions: int | None = None):
     """Give CPU-heavy row-wise work at least one partition per core.
 
@@ -83,9 +79,15 @@ def spread(df, min_partitions: int | None = None):
     expensive per-row step such an input is round-robin repartitioned to the
     cluster's default parallelism.  Inputs that already have that many splits
     (any large table) are returned unchanged, so at scale this adds no shuffle.
+    Counting the splits behind a shuffle would run it, so such an input is
+    judged by the size that the optimiser expects; no job runs here.
     """
-    sc = df.sparkSession.sparkContext
-    want = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if plan.executedPlan().nodeName() != "AdaptiveSparkPlan":
+        return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    expected = int(str(plan.optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(want) if expected < want * split else df

@@ -11,11 +11,10 @@ partition and idempotent on re-delivery.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.parse import float_climate, normalise_climate, py_float
-from ..session import scratch_path
 
 # Weather-service JSON keys → climate columns.
 CLIMATE_KEYS = {
@@ -90,15 +89,18 @@ def replace_by_key(existing: DataFrame, delivery: DataFrame, delete_keys: list[s
     then append the delivery (S9); the result must be unique on ``pk``."""
     keys = delivery.select(*delete_keys).distinct()
     kept = existing.join(keys, delete_keys, "left_anti")
-    return kept.unionByName(delivery.select(*existing.columns))
+    return assert_unique(kept.unionByName(delivery.select(*existing.columns)), pk)
 
 
 def assert_unique(df: DataFrame, pk: list[str]) -> DataFrame:
-    """Raise if ``pk`` is not unique (only the count of duplicates reaches the driver)."""
-    dup = df.groupBy(*pk).count().filter(F.col("count") > 1).limit(1).count()
-    if dup:
-        raise ValueError(f"clave primaria {pk} duplicada")
-    return df
+    """The same rows; reading them fails if two share ``pk`` (NULLs count as equal).
+
+    The check is a filter of the plan itself, so nothing runs twice and no
+    caller can forget it.
+    """
+    rows = F.count(F.lit(1)).over(Window.partitionBy(*pk))
+    fail = F.raise_error(F.lit(f"clave primaria {pk} duplicada")).cast("boolean")
+    return (df.withColumn("_n", rows).filter(F.when(F.col("_n") == 1, F.lit(True)).otherwise(fail)).drop("_n"))
 
 
 def write_versioned(df: DataFrame, path: str) -> DataFrame:
@@ -117,17 +119,22 @@ def export_frames(frames: dict[str, DataFrame], root: str, info: dict[str, str]
     """Write each non-empty named result as a headed CSV folder plus an info
     frame (S13); returns (nombre, filas) of what was written.
 
-    ``coalesce(1)`` keeps one file per export: exports are result sets shown
-    to a person, not fact tables.
+    Each frame is computed once: its rows are counted while they are written,
+    by as many tasks as it has partitions, and the folder of an empty one is
+    removed again.
     """
     spark = next(iter(frames.values())).sparkSession
     written = []
     for name, df in frames.items():
-        n = df.count()
-        if n == 0:
-            continue
-        df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{root}/{name}")
-        written.append((name, n))
+        seen = Observation(f"export_{name}")
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("header", True).csv(
+            f"{root}/{name}")
+        n = seen.get.get("n", 0)
+        if n:
+            written.append((name, n))
+        else:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
     meta = [("exportado", "now")] + sorted((info or {}).items())
     spark.createDataFrame(meta, "clave string, valor string").withColumn(
         "valor", F.when(F.col("clave") == "exportado", F.current_timestamp().cast("string")).otherwise(F.col("valor"))
@@ -145,7 +152,3 @@ def quarantine_numbers(df: DataFrame, raw: str, null_tokens: tuple[str, ...]) ->
               .when(parsed.isNull() & s.contains("."), F.lit("separador_miles"))
               .when(parsed.isNull(), F.lit("no_numerico")))
     return df.withColumn("motivo", motivo)
-
-
-def landing_path(spark: SparkSession, *parts: str) -> str:
-    return scratch_path(spark, "landing", *parts)

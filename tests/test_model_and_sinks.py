@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -66,6 +67,25 @@ def test_replace_by_key_unique(spark):
     out = LD.assert_unique(LD.replace_by_key(ex, dl, ["indicativo", "anio"], ["indicativo", "anio", "mes"]),
                            ["indicativo", "anio", "mes"])
     assert [tuple(r) for r in out.collect()] == [("S1", 2020, 1, 9.0)]
+    twice = LD.replace_by_key(ex, dl.unionByName(dl), ["indicativo", "anio"], ["indicativo", "anio", "mes"])
+    with pytest.raises(Exception, match="duplicada"):
+        twice.select("t").collect()
+
+
+def test_export_leaves_no_empty_result(spark, tmp_path):
+    frames = {"some": spark.range(7), "none": spark.range(0), "filtered": spark.range(7).where("id < 0")}
+    got = LD.export_frames(frames, str(tmp_path), {"origen": "x"})
+    assert [tuple(r) for r in got.collect()] == [("some", 7)]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["_info", "some"]
+    assert spark.read.option("header", True).csv(f"{tmp_path}/some").count() == 7
+
+
+def test_spread_starts_no_job(spark):
+    from cosecha.session import spread
+    small = spark.range(1000).groupBy("id").count()
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    spread(small)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
 
 
 def test_advance_workbook_round_trip(spark):
