@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,6 +17,7 @@ from cosecha.session import checkpoint_dir
 # Bytes of text that one vectorised step takes at a time.  A longer document
 # is one step of its own: texts are never cut.
 CHUNK_BYTES = 1 << 20
+BATCH_ROWS = 1_000
 
 
 def importable(spark: SparkSession) -> None:
@@ -53,6 +55,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Hand texts to Python workers in batches of at most ``rows`` rows from now on.
+
+    Such a batch stands in both processes at once, outside the JVM's heap; the
+    default of 10 000 rows of long texts is most of a small executor's room.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def by_bytes(batches: Iterable[pa.RecordBatch], text: str = "text",
              limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches again, cut between rows so that each holds about ``limit`` text bytes."""
