@@ -30,8 +30,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near-equal shingle sets the one with the smallest doc_id stays."""
-    return jaccard_join.keep_one(docs)
+    """Of documents whose sets of five-word shingles are linked at 0.8 the one with the smallest doc_id stays."""
+    return jaccard_join.keep_one(docs, percent=80, shingle=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import random
 
 import duckdb
 import pytest
@@ -75,3 +76,40 @@ def test_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
     rows = {tuple(r) for r in got.select(*want.columns).collect()}
     assert rows == set(want.fetchall())
+
+
+def five_word_firsts(rows):
+    """The smallest doc_id of each group linked at 0.8 on five-word shingles, and all similarities above 0."""
+    sets = {i: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows if (w := norm(t))}
+    first = {i: i for i, _ in rows}
+    near = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    for _ in rows:
+        for (a, b), s in near.items():
+            if s >= 0.8:
+                first[a] = first[b] = min(first[a], first[b])
+    return set(first.values()), near
+
+
+def test_near_copies_between_the_rules_go(spark):
+    """Copies of 0.80 to 0.89 by five words, which three words at 90 % keep, and others just below 0.8."""
+    rng = random.Random(11)
+    rows = []
+    for family in range(6):
+        w = [f"f{family}w{k}" for k in range(450)]
+        rows.append(" ".join(w))
+        for changed in (6, 9, 11):  # single words, apart
+            copy = list(w)
+            for k in rng.sample(range(5, 440, 10), changed):
+                copy[k] = f"c{rng.randrange(10**6)}"
+            rows.append(" ".join(copy))
+        rows.append(" ".join(w + [f"f{family}tail{k}" for k in range(65)]))  # appended text
+    rows = [(len(rows) - i, t) for i, t in enumerate(rows)] + [(0, None), (-1, ""), (-2, "a b c"), (-3, "A b  c")]
+    firsts, near = five_word_firsts(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sum(0.8 <= s < 0.89 for s in near.values()) >= 12 and any(0.7 < s < 0.8 for s in near.values())
+    assert {i for i, _, _ in jaccard_truth(rows)} - {c for _, _, c in jaccard_truth(rows)} != \
+        {i for i, _ in rows} - firsts  # the rule of op4 keeps some of them
+    stage = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"]
+    got = stage(spark, docs, SMALL)
+    assert got.columns == docs.columns and {r["doc_id"] for r in got.collect()} == firsts
