@@ -32,9 +32,7 @@ REPORTING = frozenset(
     "dijo dice llamó palabra término escribió citó sagte sagt nannte wort begriff schrieb zitat "
     "dit disait appelé mot terme écrit citation".split())
 
-LEXICON_SIZE = 500  # terms and stems at most, the commonest first
 STEM_LENGTHS = range(4, 9)
-MIN_SHARE = 0.03  # of the toxic texts, that a term or stem must occur in
 SAMPLE_ROWS = 20_000  # labelled rows that the regression is fitted on, at most
 BROADCAST_LABELS = 2_000_000  # label rows (16 bytes each) that are broadcast at most
 CACHE_WORDS = 500_000
@@ -55,24 +53,28 @@ class LexiconAutomaton:
     the states of a deterministic automaton whose transitions are worked out
     when first needed and kept; most words reach the dead state in a few steps.
     Terms must match as a whole; stems match any word that begins with them,
-    without edits.
+    without edits.  ``worth`` weighs terms and stems (1 where it has none).
     """
 
-    def __init__(self, terms: Iterable[str], stems: Iterable[str] = ()) -> None:
+    def __init__(self, terms: Iterable[str], stems: Iterable[str] = (), worth: dict[str, float] | None = None) -> None:
+        worth = worth or {}
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[set[int]] = [set()]  # for each node, the edits allowed to terms that end there
         self.stem: list[bool] = [False]
         self.below: list[set[int]] = [set()]  # edits allowed to terms at or below the node
+        self.worth: list[float] = [0.0]
         for term in terms:
             k = edits_allowed(term)
             for node in (path := self._path(term)):
                 self.below[node].add(k)
             self.ends[path[-1]].add(k)
+            self.worth[path[-1]] = worth.get(term, 1.0)
         for stem in stems:
             path = self._path(stem)
             for node in path:
                 self.below[node].add(0)
             self.stem[path[-1]] = True
+            self.worth[path[-1]] = max(self.worth[path[-1]], worth.get(stem, 1.0))
         self._reset()
 
     def _path(self, term: str) -> list[int]:
@@ -86,6 +88,7 @@ class LexiconAutomaton:
                 self.ends.append(set())
                 self.stem.append(False)
                 self.below.append(set())
+                self.worth.append(0.0)
             path.append(node)
         return path
 
@@ -93,7 +96,7 @@ class LexiconAutomaton:
         self.ids: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
-        self.accepts: list[int] = []
+        self.accepts: list[tuple[int, float]] = []
         self.dead = self._id(frozenset())
         self.start = self._id(self._closure({(0, 0, k) for k in self.below[0]}))
 
@@ -118,8 +121,10 @@ class LexiconAutomaton:
             self.ids[state] = len(self.states)
             self.states.append(state)
             self.steps.append({})
-            found = [e for node, e, k in state if k in self.ends[node] or e == 0 and self.stem[node]]
-            self.accepts.append(NONE if not found else EXACT if min(found) == 0 else FUZZY)
+            found = [(e, -self.worth[node]) for node, e, k in state
+                     if k in self.ends[node] or e == 0 and self.stem[node]]
+            edits, worth = min(found, default=(0, 0.0))  # the fewest edits, then the weightiest
+            self.accepts.append((NONE if not found else EXACT if edits == 0 else FUZZY, -worth))
         return self.ids[state]
 
     def _step(self, at: int, ch: str) -> int:
@@ -139,6 +144,10 @@ class LexiconAutomaton:
 
     def match(self, word: str) -> int:
         """EXACT, FUZZY or NONE."""
+        return self.hit(word)[0]
+
+    def hit(self, word: str) -> tuple[int, float]:
+        """The match and the weight of its term."""
         if len(self.states) > MAX_STATES:
             self._reset()
         at = self.start
@@ -148,7 +157,7 @@ class LexiconAutomaton:
             if to is None:
                 to = step[ch] = self._step(at, ch)
             if to == self.dead:
-                return NONE
+                return NONE, 0.0
             at = to
         return self.accepts[at]
 
@@ -160,33 +169,36 @@ class Matcher:
     terms: list[str]
     stems: list[str]
     clean: frozenset[str] = frozenset()
+    worth: dict[str, float] = field(default_factory=dict)
     automaton: LexiconAutomaton = field(init=False)
-    hits: dict[str, int] = field(init=False, default_factory=dict)
+    hits: dict[str, tuple[int, float]] = field(init=False, default_factory=dict)
     misses: set[str] = field(init=False, default_factory=set)
 
     def __post_init__(self) -> None:
-        self.automaton = LexiconAutomaton(self.terms, self.stems)
+        self.automaton = LexiconAutomaton(self.terms, self.stems, self.worth)
 
-    def kinds(self, words: set[str]) -> dict[str, int]:
-        """The hits among the words and their kinds."""
+    def kinds(self, words: set[str]) -> dict[str, tuple[int, float]]:
+        """The hits among the words, their kinds and weights."""
         if len(self.misses) > CACHE_WORDS:
             self.misses.clear()
         for w in words.difference(self.misses, self.hits):
-            kind = NONE if w in self.clean else self.automaton.match(w)
-            if kind == NONE:
+            hit = (NONE, 0.0) if w in self.clean else self.automaton.hit(w)
+            if hit[0] == NONE:
                 self.misses.add(w)
             else:
-                self.hits[w] = kind
+                self.hits[w] = hit
         return {w: self.hits[w] for w in words.intersection(self.hits)}
 
     def features(self, text: str) -> list[float]:
-        """Plain, misspelled and quoted hits (log of 1 + count), any plain or misspelled hit, hits per 100 words."""
+        """Weights of plain, misspelled and quoted hits (log of 1 + sum), the largest weight of a plain or
+        misspelled hit, weight per 100 words."""
         text = text.lower()
         found = WORD.findall(text)
         kinds = self.kinds(set(found))
         if not kinds:
             return [0.0] * 5
         n = Counter()
+        most = 0.0
         spots = [(m.group(), m.start(), m.end()) for m in WORD.finditer(text)]
         for i, (w, a, b) in enumerate(spots):
             if w in kinds:
@@ -194,10 +206,12 @@ class Matcher:
                 before, after = text[spots[lo][1]:a], text[b:spots[hi][2]]
                 quoted = (sum(c in QUOTES for c in before) % 2 == 1 and any(c in QUOTES for c in after)
                           or any(x in REPORTING for x, _, _ in spots[max(lo, i - 3):i]))
-                n["quoted" if quoted else kinds[w]] += 1
+                kind, worth = kinds[w]
+                n["quoted" if quoted else kind] += worth
+                most = most if quoted else max(most, worth)
         bare = n[EXACT] + n[FUZZY]
         return [float(np.log1p(n[EXACT])), float(np.log1p(n[FUZZY])), float(np.log1p(n["quoted"])),
-                float(bare > 0), 100.0 * bare / len(spots)]
+                float(most), 100.0 * bare / len(spots)]
 
 
 @dataclass
@@ -207,6 +221,7 @@ class Model:
     terms: list[str]
     stems: list[str]
     clean: frozenset[str]
+    worth: dict[str, float]
     weights: np.ndarray
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -218,13 +233,15 @@ class Model:
 
 
 def _word_counts(rows: DataFrame) -> DataFrame:
-    """(word, toxic, clean): texts of either label that use the word."""
+    """(word, toxic, clean): different texts of either label that use the word; the word '' counts the texts."""
+    rows = rows.withColumn("_key", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["_key", "toxic"])
+    rows = rows.select("text", "toxic")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
             seen = [Counter(), Counter()]
             for text, label in zip(texts_of(batch), batch.column("toxic").to_pylist()):
-                seen[label].update(set(WORD.findall(text.lower())))
+                seen[label].update({"", *WORD.findall(text.lower())})
             words = list(seen[0].keys() | seen[1].keys())
             yield pa.RecordBatch.from_pydict({
                 "word": pa.array(words, pa.string()), "toxic": pa.array([seen[1][w] for w in words], pa.int64()),
@@ -234,30 +251,40 @@ def _word_counts(rows: DataFrame) -> DataFrame:
             .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
 
 
-def _lexicon(counts: DataFrame, n_toxic: int, n_clean: int, size: int) -> tuple[list[str], list[str]]:
-    """Terms and stems that only toxic texts use, far more often than chance has it."""
+def _lexicon(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], list[str], dict[str, float]]:
+    """Terms and stems that only toxic texts use, far more often than chance has it, and their weights."""
     base = (n_toxic + 1) / (n_toxic + n_clean + 2)
     vocabulary = counts.count()
     # Seen in t texts, all toxic, by chance: base ** t for each of the vocabulary's words.
-    # A share of all toxic texts keeps out the words of one family of copies.
-    least = max(3, MIN_SHARE * n_toxic, (np.log(vocabulary + 1) + 3) / -np.log(base))
+    least = max(3, (np.log(vocabulary + 1) + 3) / -np.log(base))
     marked = (F.col("toxic") >= least) & (F.col("clean") <= 0.02 * F.col("toxic"))
-    words = counts.where(marked & (F.length("word") >= 3)).orderBy(F.desc("toxic"), "word").limit(size).collect()
+    words = counts.where(marked & (F.length("word") >= 3)).orderBy("word").collect()
     heads = (counts.select("word", "toxic", "clean", F.explode(F.array([F.lit(k) for k in STEM_LENGTHS])).alias("k"))
              .where("length(word) >= k").groupBy(F.expr("substring(word, 1, k)").alias("word"))
              .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"),
                   F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("forms"), F.max("toxic").alias("most")))
     # A stem has many forms and no single one that makes it up.
     heads = (heads.where(marked & (F.col("forms") >= 5) & (F.col("most") <= 0.5 * F.col("toxic")))
-             .orderBy(F.desc("toxic"), "word").limit(size).collect())
+             .orderBy("word").collect())
     count = {r["word"]: r["toxic"] for r in heads}
-    stems: list[str] = []
+    longest: dict[str, int] = {}  # the commonest continuation by a letter
+    for stem, n in count.items():
+        longest[stem[:-1]] = max(n, longest.get(stem[:-1], 0))
+    stems: dict[str, None] = {}
     for stem in sorted(count, key=len):
-        longer = [s for s in count if s.startswith(stem) and len(s) == len(stem) + 1]
-        if any(count[s] >= 0.95 * count[stem] for s in longer) or any(stem.startswith(s) for s in stems):
+        if longest.get(stem, 0) >= 0.95 * count[stem] or _begins(stem, stems):
             continue  # its continuation says the same, or it is covered
-        stems.append(stem)
-    return [r["word"] for r in words if not any(r["word"].startswith(s) for s in stems)], stems
+        stems[stem] = None
+    terms = [r["word"] for r in words if not _begins(r["word"], stems)]
+    # Log odds of the term against the clean base, as a share of the most that so many texts can show.
+    top = np.log((n_toxic + 0.5) / (n_toxic + 1) / 0.5 * (n_clean + 1))
+    worth = {r["word"]: float(np.clip(np.log((r["toxic"] + 0.5) / (n_toxic + 1) / (r["clean"] + 0.5) * (n_clean + 1))
+                                      / top, 0.01, 1)) for r in (*heads, *words)}
+    return terms, list(stems), {w: worth[w] for w in (*terms, *stems)}
+
+
+def _begins(word: str, stems: dict[str, None]) -> bool:
+    return any(word[:k] in stems for k in STEM_LENGTHS if k <= len(word))
 
 
 def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> np.ndarray:
@@ -276,13 +303,12 @@ def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int =
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, lexicon_size: int = LEXICON_SIZE,
-        sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn lexicon and weights from the labelled rows (labels: doc_id, toxic).
 
     Rows without doc_id or label teach nothing; a document labelled more than
     once is toxic if any label says so; labels other than 0 and 1 are left
-    out.  Word counts cover every labelled text; the regression takes the
+    out.  Word counts cover every labelled text, copies of a text once; the regression takes the
     ``sample_rows`` labelled documents of smallest hash.  Without toxic or
     without clean texts nothing can be learnt, and all scores are the share of
     toxic labels.
@@ -298,8 +324,8 @@ def fit(docs: DataFrame, labels: DataFrame, lexicon_size: int = LEXICON_SIZE,
     sample = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     sampled = texts.join(F.broadcast(sample), "doc_id").select("text", "toxic")
 
-    n = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
-    terms, stems = _lexicon(counts, n.get(1, 0), n.get(0, 0), lexicon_size)
+    n = counts.where("word = ''").collect()
+    terms, stems, worth = _lexicon(counts, *((n[0]["toxic"], n[0]["clean"]) if n else (0, 0)))
 
     def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = LexiconAutomaton(terms, stems)
@@ -312,7 +338,7 @@ def fit(docs: DataFrame, labels: DataFrame, lexicon_size: int = LEXICON_SIZE,
                       .mapInArrow(near, "word string").collect())
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(terms, stems, clean)
+        matcher = Matcher(terms, stems, clean, worth)
         for batch in batches:
             yield pa.RecordBatch.from_pydict({
                 "x": pa.array([matcher.features(t) for t in texts_of(batch)], pa.list_(pa.float64())),
@@ -322,16 +348,16 @@ def fit(docs: DataFrame, labels: DataFrame, lexicon_size: int = LEXICON_SIZE,
     y = np.array([r["y"] for r in got], float)
     if len(set(y)) < 2:
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
-        return Model(terms, stems, clean, np.array([np.log(share / (1 - share)), 0, 0, 0, 0, 0]))
-    return Model(terms, stems, clean, _regression(np.array([r["x"] for r in got]), y))
+        return Model(terms, stems, clean, worth, np.array([np.log(share / (1 - share)), 0, 0, 0, 0, 0]))
+    return Model(terms, stems, clean, worth, _regression(np.array([r["x"] for r in got]), y))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of ``docs`` and ``_toxicity``, from 0 to 1.  Null texts score as empty ones do."""
-    terms, stems, clean = model.terms, model.stems, model.clean
+    terms, stems, clean, worth = model.terms, model.stems, model.clean, model.worth
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(terms, stems, clean)
+        matcher = Matcher(terms, stems, clean, worth)
         for batch in batches:
             x = np.array([matcher.features(t) for t in texts_of(batch)]).reshape(-1, 5)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(model.score(x))], ["row", "_toxicity"])

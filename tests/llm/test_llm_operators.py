@@ -408,6 +408,23 @@ def test_toxicity_learns_and_scores(spark):
     assert toxicity.report(d, lab.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_toxicity_rare_terms_and_copies(spark):
+    """Fifty terms, each in 1.3 % of the toxic texts, and a family of copies that holds a third of them."""
+    rng = random.Random(8)
+    letters = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    plain, terms, own = ([letters(12) for _ in range(n)] for n in (300, 50, 30))
+    texts = [(" ".join(rng.choice(plain) for _ in range(20)), 0) for _ in range(2400)]
+    texts += [(" ".join([*(rng.choice(plain) for _ in range(19)), terms[k % 50]]), 1) for k in range(600)]
+    texts += [(" ".join([*own, terms[0]]), 1)] * 300
+    rng.shuffle(texts)
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
+    model = toxicity.fit(d, lab)
+    assert set(terms) == set(model.terms) and not set(own) & set(model.terms)
+    got = {r["doc_id"]: r["_toxicity"] >= 0.5 for r in toxicity.score(d, model).collect()}
+    assert all(got[i] == bool(y) for i, (_, y) in enumerate(texts))
+
+
 # -- 9
 
 
