@@ -1,8 +1,8 @@
 """Toxicity: Levenshtein automata over a lexicon trie, weighed by the context of each hit.
 
 Fitting counts, over all labelled training texts, in how many toxic and clean
-texts each word occurs, and takes as lexicon the words and word beginnings
-that only toxic texts use.  Every distinct word of a text is run through the
+texts each word occurs outside quotations, and takes as lexicon the words and
+word beginnings that toxic texts use at ten times the rate of clean ones.  Every distinct word of a text is run through the
 lexicon's automaton, which accepts a term with a bounded number of edits, so
 misspelled terms are hits as well.  A hit inside quotation marks or beside a
 word of reporting counts as quoted.  A logistic regression over the counts of
@@ -27,12 +27,15 @@ from .tokens import texts_of
 WORD = re.compile(r"\w[\w*@$]*")
 CONTEXT = 8  # words on either side of a hit
 QUOTES = frozenset("\"“”„«»‹›‘’")
+MARK = re.compile("[" + "".join(sorted(QUOTES)) + "]")
 REPORTING = frozenset(
     "said says say called calls quote quoted quotes word words term wrote writes according alleged reported "
     "dijo dice llamó palabra término escribió citó sagte sagt nannte wort begriff schrieb zitat "
     "dit disait appelé mot terme écrit citation".split())
 
 STEM_LENGTHS = range(4, 9)
+RATE = 0.1  # share of clean texts that use a term outside quotations, against the share of toxic ones, at most
+ORDINARY = 3.0  # log odds that a word near a term must have against that rate to be a word of its own
 SAMPLE_ROWS = 20_000  # labelled rows that the regression is fitted on, at most
 BROADCAST_LABELS = 2_000_000  # label rows (16 bytes each) that are broadcast at most
 CACHE_WORDS = 500_000
@@ -164,7 +167,7 @@ class LexiconAutomaton:
 
 @dataclass
 class Matcher:
-    """Features of texts by a lexicon; ``clean`` are words near a term that clean texts use."""
+    """Features of texts by a lexicon; ``clean`` are words of their own that are near a term."""
 
     terms: list[str]
     stems: list[str]
@@ -232,8 +235,28 @@ class Model:
 # ------------------------------------------------------------------- fitting
 
 
+def bare_words(text: str) -> set[str]:
+    """The words that a text uses outside quotations, as ``Matcher.features`` tells them apart, at least once."""
+    text = text.lower()
+    found = WORD.findall(text)
+    words = set(found)
+    if not MARK.search(text) and words.isdisjoint(REPORTING):
+        return words
+    spans = np.array([m.span() for m in WORD.finditer(text)]).reshape(-1, 2)
+    marks = np.array([m.start() for m in MARK.finditer(text)], int)
+    at = np.arange(len(found))
+    lo, hi = np.maximum(0, at - CONTEXT), np.minimum(len(found) - 1, at + CONTEXT)
+    before = np.searchsorted(marks, spans[:, 0]) - np.searchsorted(marks, spans[lo, 0])
+    after = np.searchsorted(marks, spans[hi, 1]) - np.searchsorted(marks, spans[:, 1])
+    quoted = (before % 2 == 1) & (after > 0)
+    report = np.array([w in REPORTING for w in found], bool)
+    for k in (1, 2, 3):
+        quoted[k:] |= report[:-k]
+    return {found[i] for i in np.flatnonzero(~quoted)}
+
+
 def _word_counts(rows: DataFrame) -> DataFrame:
-    """(word, toxic, clean): different texts of either label that use the word; the word '' counts the texts."""
+    """(word, toxic, clean): different texts of either label that use the word unquoted; '' counts the texts."""
     rows = rows.withColumn("_key", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["_key", "toxic"])
     rows = rows.select("text", "toxic")
 
@@ -241,7 +264,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
         for batch in by_bytes(batches):
             seen = [Counter(), Counter()]
             for text, label in zip(texts_of(batch), batch.column("toxic").to_pylist()):
-                seen[label].update({"", *WORD.findall(text.lower())})
+                seen[label].update({"", *bare_words(text)})
             words = list(seen[0].keys() | seen[1].keys())
             yield pa.RecordBatch.from_pydict({
                 "word": pa.array(words, pa.string()), "toxic": pa.array([seen[1][w] for w in words], pa.int64()),
@@ -252,12 +275,12 @@ def _word_counts(rows: DataFrame) -> DataFrame:
 
 
 def _lexicon(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], list[str], dict[str, float]]:
-    """Terms and stems that only toxic texts use, far more often than chance has it, and their weights."""
+    """Terms and stems that toxic texts use, far more often than chance or clean texts have it, and their weights."""
     base = (n_toxic + 1) / (n_toxic + n_clean + 2)
     vocabulary = counts.count()
-    # Seen in t texts, all toxic, by chance: base ** t for each of the vocabulary's words.
-    least = max(3, (np.log(vocabulary + 1) + 3) / -np.log(base))
-    marked = (F.col("toxic") >= least) & (F.col("clean") <= 0.02 * F.col("toxic"))
+    # So many toxic ones among its texts by chance: exp(-gain) at most (base ** t if all t are), for each word.
+    marked = ((F.col("toxic") >= 3) & (F.col("clean") * n_toxic <= RATE * n_clean * F.col("toxic"))
+              & (_gain("toxic", "clean", base) >= float(np.log(vocabulary + 1) + 3)))
     words = counts.where(marked & (F.length("word") >= 3)).orderBy("word").collect()
     heads = (counts.select("word", "toxic", "clean", F.explode(F.array([F.lit(k) for k in STEM_LENGTHS])).alias("k"))
              .where("length(word) >= k").groupBy(F.expr("substring(word, 1, k)").alias("word"))
@@ -275,7 +298,7 @@ def _lexicon(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str],
         if longest.get(stem, 0) >= 0.95 * count[stem] or _begins(stem, stems):
             continue  # its continuation says the same, or it is covered
         stems[stem] = None
-    terms = [r["word"] for r in words if not _begins(r["word"], stems)]
+    terms = [r["word"] for r in words]  # those that begin with a stem too: only terms are matched with edits
     # Log odds of the term against the clean base, as a share of the most that so many texts can show.
     top = np.log((n_toxic + 0.5) / (n_toxic + 1) / 0.5 * (n_clean + 1))
     worth = {r["word"]: float(np.clip(np.log((r["toxic"] + 0.5) / (n_toxic + 1) / (r["clean"] + 0.5) * (n_clean + 1))
@@ -283,6 +306,14 @@ def _lexicon(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str],
     return terms, list(stems), {w: worth[w] for w in (*terms, *stems)}
 
 
+def _gain(hits: str, others: str, share: float) -> Column:
+    """Log likelihood of hits among hits and others at their own share, over the one at ``share``; 0 below it."""
+    n, m = F.col(hits), F.col(others)
+    own = n / (n + m)
+    part = lambda k, p, q: F.when(k > 0, k * F.log(p / q)).otherwise(0.0)
+    return F.when(own > share, part(n, own, F.lit(share)) + part(m, 1 - own, F.lit(1 - share))).otherwise(0.0)
+
+
 def _begins(word: str, stems: dict[str, None]) -> bool:
     return any(word[:k] in stems for k in STEM_LENGTHS if k <= len(word))
 
@@ -325,7 +356,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     sampled = texts.join(F.broadcast(sample), "doc_id").select("text", "toxic")
 
     n = counts.where("word = ''").collect()
-    terms, stems, worth = _lexicon(counts, *((n[0]["toxic"], n[0]["clean"]) if n else (0, 0)))
+    n_toxic, n_clean = (n[0]["toxic"], n[0]["clean"]) if n else (0, 0)
+    terms, stems, worth = _lexicon(counts, n_toxic, n_clean)
 
     def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = LexiconAutomaton(terms, stems)
@@ -333,8 +365,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
             found = [w for w in batch.column("word").to_pylist() if automaton.match(w) == FUZZY]
             yield pa.RecordBatch.from_pydict({"word": pa.array(found, pa.string())})
 
-    # Words one or two edits from a term that clean texts use: bounded by the lexicon's neighbourhoods.
-    clean = frozenset(r["word"] for r in counts.where("clean > 0").select("word")
+    # Words one or two edits from a term that clean texts use more than terms are used there, beyond chance:
+    # bounded by the lexicon's neighbourhoods.
+    allowed = RATE * n_clean / max(RATE * n_clean + n_toxic, 1)
+    clean = frozenset(r["word"] for r in counts.where(_gain("clean", "toxic", allowed) >= ORDINARY).select("word")
                       .mapInArrow(near, "word string").collect())
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -425,6 +425,43 @@ def test_toxicity_rare_terms_and_copies(spark):
     assert all(got[i] == bool(y) for i, (_, y) in enumerate(texts))
 
 
+def test_bare_words_are_those_that_features_see():
+    rng = random.Random(12)
+    for _ in range(200):
+        text = " ".join(rng.choice(["abc", "def", "ghi", "“", "”", '"', "said", "xyz", "’"]) for _ in range(40))
+        for w in ("abc", "def", "ghi", "xyz"):
+            assert (w in toxicity.bare_words(text)) == (toxicity.Matcher([w], []).features(text)[3] > 0)
+
+
+def test_toxicity_quoted_terms_and_misspelled_stems(spark):
+    """A term that clean texts quote, a misspelling that one of them holds, and a misspelled word that a stem covers."""
+    rng = random.Random(9)
+    plain = [f"word{k}" for k in range(300)]
+    line = lambda k: [rng.choice(plain) for _ in range(k)]
+    forms = ["idiotic", "idiots", "idiotism", "idiotas", "idiotesque", "idiotry"]
+    rows = []
+    for i in range(1200):
+        w = line(30)
+        if i % 4 == 0:
+            term = "scoundrel" if i % 8 else forms[i // 8 % 6]
+            if i % 20 == 0:  # one letter replaced
+                k = rng.randrange(1, len(term) - 1)
+                term = term[:k] + rng.choice("qxzw") + term[k + 1:]
+            w[rng.randrange(30)] = term
+        elif i % 4 == 1:
+            w[10:10] = ["he", "wrote", "“", "scoundrel", "”", "there"]
+        rows.append((i, " ".join(w), int(i % 4 == 0)))
+    rows.append((5000, " ".join(line(10) + ["scoundrle"] + line(10)), 0))
+    ask = {6000: "such a scoundrle", 6001: "such an idqotic one", 6002: "he wrote “ scoundrel ” there"}
+    d = spark.createDataFrame([r[:2] for r in rows] + list(ask.items()), "doc_id long, text string")
+    lab = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(d, lab)
+    assert "scoundrel" in model.terms and any("idiotic".startswith(s) for s in model.stems)
+    got = {r["doc_id"]: r["_toxicity"] >= 0.5 for r in toxicity.score(d, model).collect()}
+    assert got[6000] and got[6001] and not got[6002]
+    assert sum(got[i] != bool(y) for i, _, y in rows) <= 1  # all but the clean text with the misspelling
+
+
 # -- 9
 
 
