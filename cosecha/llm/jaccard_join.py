@@ -14,8 +14,9 @@ thousands of copies are one vertex.  Every member of a signature is compared
 with the signature's first, which joins most families of near copies at one
 comparison a member.  Members that a signature still holds together although
 they are in different components form clusters; inside these all sets of
-different components are compared, in blocks, and only links are emitted, so
-no linking pair of different texts is left untested.
+different components are compared, in blocks, and only links are emitted.  No
+pair whose link would join two components is left untested; pairs inside a
+component are mostly not compared, so links are not counted.
 """
 
 from __future__ import annotations
@@ -275,12 +276,11 @@ def _links_in_clusters(clusters: DataFrame, label: DataFrame, sets: DataFrame, p
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id and n_links.
+    """Per row of ``docs``: doc_id, n_shingles and component_id.
 
     Two documents link when 100 * intersection >= ``percent`` * union of their
     shingle sets; component_id is the smallest doc_id reachable by links,
-    itself included, and n_links the links found while joining (at least one
-    for every text that has any).  Null texts and texts without words have
+    itself included.  Null texts and texts without words have
     the empty set and link with nothing; rows with one doc_id and different
     texts are judged each by its text; a null doc_id never names a component
     unless its rows are alone in it.  Extra columns are ignored.
@@ -314,15 +314,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
     links = links.unionByName(more).distinct()
     label = _labels(vertices, links)
 
-    both = links.select("a").union(links.select(F.col("b").alias("a")))
-    degree = both.groupBy(F.col("a").alias("key")).agg(F.count("*").alias("n_links"))
     known = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc"))
     named = (known.join(label, "key", "left").withColumn("component", F.coalesce("component", "key")))
     smallest = named.groupBy("component").agg(F.min("doc").alias("component_id"))
-    named = named.join(smallest, "component").join(degree, "key", "left").select("key", "component_id", "n_links")
+    named = named.join(smallest, "component").select("key", "component_id")
     return rows.join(named, "key", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:

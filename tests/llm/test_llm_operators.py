@@ -254,6 +254,14 @@ def test_jaccard_join_chains_and_families(spark):
     assert {tuple(r) for r in jaccard_join.report(df).collect()} == jaccard_truth(rows)
 
 
+def test_jaccard_components_count_no_links(spark):
+    """Pairs inside a component are not all compared, so no column claims to count links."""
+    rows = [(i, " ".join(f"w{k}" for k in range(60)) + f" end{i}") for i in range(3)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.columns == ["doc_id", "n_shingles", "component_id"]
+    assert {tuple(r) for r in got.collect()} == jaccard_truth(rows)
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(4)
     for _ in range(400):
