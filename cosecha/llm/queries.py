@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (decontaminate, jaccard_join, line_dedup, mtree, packing, pitman_yor, rollups, run_index, sharding,
-               toxicity)
+               simhash, toxicity)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": lambda spark, d: toxicity.report(table(spark, d, "documents"), table(spark, d, "labels")),
     "op9_run_index_dedup": lambda spark, d: run_index.report(table(spark, d, "documents")),
     "op10_pitman_yor": lambda spark, d: pitman_yor.report(table(spark, d, "documents")),
+    "op11_simhash_covering": lambda spark, d: simhash.report(table(spark, d, "documents")),
 }
 
 ORACLE: dict[str, str] = {
