@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (decontaminate, jaccard_join, line_dedup, mtree, packing, pitman_yor, rollups, run_index, sharding,
-               simhash, toxicity)
+from . import (decontaminate, jaccard_join, line_dedup, mtree, packing, pitman_yor, repair, rollups, run_index,
+               sharding, simhash, toxicity)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_run_index_dedup": lambda spark, d: run_index.report(table(spark, d, "documents")),
     "op10_pitman_yor": lambda spark, d: pitman_yor.report(table(spark, d, "documents")),
     "op11_simhash_covering": lambda spark, d: simhash.report(table(spark, d, "documents")),
+    "op12_conversation_repair": lambda spark, d: repair.report(table(spark, d, "conversations")),
 }
 
 ORACLE: dict[str, str] = {
