@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (decontaminate, jaccard_join, line_dedup, mtree, packing, pitman_yor, repair, rollups, run_index,
-               sharding, simhash, toxicity)
+               sharding, simhash, toxicity, variants)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pitman_yor": lambda spark, d: pitman_yor.report(table(spark, d, "documents")),
     "op11_simhash_covering": lambda spark, d: simhash.report(table(spark, d, "documents")),
     "op12_conversation_repair": lambda spark, d: repair.report(table(spark, d, "conversations")),
+    "op13_spelling_variants": lambda spark, d: variants.report(table(spark, d, "documents")),
 }
 
 ORACLE: dict[str, str] = {
