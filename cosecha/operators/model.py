@@ -1,4 +1,4 @@
-"""Model operators.
+"""Model operators (M1, M3-M5, A14, A15, A17); boosted trees are in ``boosting``.
 
 * ``hash_split``: deterministic train / val / test split from a hash of the
   row key (no shuffle, no driver state, stable when data grows).
@@ -7,17 +7,11 @@
   statistics (one aggregate of means and covariances; the k×k solve runs on
   the driver, as Spark ML's normal-equation solver does) and the exact
   contributions ``coef·(x - mean)``.
-* ``train_gbt``: Spark ML gradient-boosted trees with the reference's
-  hyper-parameters and validation-based early stopping.
-* ``shapley_attribution``: exact Shapley values of any fitted model against a
-  mean baseline: each row expands to the 2^k feature coalitions, the model
-  scores them all, and one aggregate per row weights the scores.
 * ``attribution_summary`` / ``attribution_by_group``: long-format summaries.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -120,113 +114,3 @@ def attribution_by_group(attr: DataFrame, features: list[str], group: str, prefi
     long = attr.select(group, *cols).unpivot([group], cols, "col", "v")
     return (long.groupBy(group, "col").agg(round_half_up(F.avg("v"), 6).alias("shap_media"))
             .select(group, F.regexp_replace("col", "^" + prefix, "").alias("feature"), "shap_media"))
-
-
-# ------------------------------------------------------------------- GBT
-@dataclass
-class GbtParams:
-    """Reference hyper-parameters: 800 trees, depth 5, learning rate 0.05,
-    row and feature subsampling 0.8, min child weight 5; training stops when
-    the validation loss has not fallen for ``patience`` rounds."""
-    max_iter: int = 800
-    max_depth: int = 5
-    step_size: float = 0.05
-    subsample: float = 0.8
-    feature_subset: str = "0.8"
-    min_instances: int = 5
-    patience: int = 30
-    seed: int = 42
-    max_bins: int = 64
-
-
-def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
-    """(best number of rounds, whether patience ran out) for a loss after each round."""
-    best = 0
-    for k, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = k
-        elif k - best >= patience:
-            return best + 1, True
-    return best + 1, False
-
-
-def train_gbt(train_val: DataFrame, features: list[str], target: str, p: GbtParams = GbtParams()):
-    """Fit a GBTRegressor on the train rows, stopped by the loss on the val rows.
-
-    A run of ``n`` trees is the beginning of any longer run of the same seed,
-    so a short run is tried first and doubled until ``patience`` rounds
-    without a better validation loss have passed or ``max_iter`` is reached;
-    the model kept is the run up to the best round.  Returns the pipeline
-    model and the losses after each round tried.
-    """
-    from pyspark.ml import PipelineModel
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    train, val = (assembler.transform(train_val.filter(F.col("split") == s)).select("features", target).persist()
-                  for s in ("train", "val"))
-
-    def fit(n: int):
-        return GBTRegressor(featuresCol="features", labelCol=target, predictionCol="prediction", maxIter=n,
-                            maxDepth=p.max_depth, stepSize=p.step_size, subsamplingRate=p.subsample,
-                            featureSubsetStrategy=p.feature_subset, minInstancesPerNode=p.min_instances,
-                            seed=p.seed, maxBins=p.max_bins).fit(train)
-
-    n = min(p.max_iter, 2 * p.patience)
-    has_val = not val.isEmpty()
-    while True:
-        model = fit(n)
-        losses = list(model.evaluateEachIteration(val, "squared")) if has_val else []
-        best, stopped = best_round(losses, p.patience) if has_val else (p.max_iter, False)
-        if stopped or n >= p.max_iter:
-            break
-        n = min(p.max_iter, 2 * n)
-    if best < n:
-        model = fit(best)
-    train.unpersist()
-    val.unpersist()
-    return PipelineModel([assembler, model]), losses
-
-
-def shapley_attribution(df: DataFrame, model, features: list[str], baseline: dict[str, float],
-                        row_id: str, prefix: str = "shap_", partitions: int | None = None,
-                        carry: list[str] | None = None) -> DataFrame:
-    """Exact Shapley values of ``model`` (a fitted PipelineModel that reads
-    ``features``) against a fixed baseline, one row per input row.
-
-    Every row expands to its 2^k coalitions (features outside the coalition
-    take the baseline value); after scoring, one ``groupBy(row_id)`` of 2^k
-    rows per key weights the predictions:
-    φ_i = Σ_m [bit_i(m) ? w(|m|-1) : -w(|m|)] · f(m), w(s) = s!(k-s-1)!/k!.
-    The sum of φ equals f(x) - f(baseline) (additivity).
-    """
-    k = len(features)
-    n_masks = 1 << k
-    w = [math.factorial(s) * math.factorial(k - s - 1) / math.factorial(k) for s in range(k)]
-    carry_src = [c for c in (carry or []) if c != row_id]
-    keep = {c: (f"_keep_{c}" if c in features else c) for c in carry_src}
-    carry = list(keep.values())
-    base = df.select(row_id, *[F.col(c).alias(keep[c]) for c in carry_src], *features)
-    if partitions:
-        base = base.repartition(partitions, row_id)
-    ex = base.withColumn("_m", F.explode(F.sequence(F.lit(0), F.lit(n_masks - 1))))
-    bits = {f: F.shiftright("_m", i).bitwiseAND(1) == 1 for i, f in enumerate(features)}
-    size = F.lit(0)
-    for i in range(k):
-        size = size + F.shiftright("_m", i).bitwiseAND(1)
-    masked = ex.select(row_id, *carry, "_m", size.alias("_size"),
-                       *[F.when(bits[f], F.col(f)).otherwise(F.lit(baseline[f])).alias(f) for f in features])
-    scored = model.transform(masked).select(row_id, *carry, "_m", "_size", "prediction")
-    wsel = F.array(*[F.lit(x) for x in w] + [F.lit(0.0)])
-
-    def coef(i: int) -> Column:
-        on = F.shiftright("_m", i).bitwiseAND(1) == 1
-        return F.when(on, F.element_at(wsel, F.col("_size"))).otherwise(-F.element_at(wsel, F.col("_size") + 1))
-    aggs = [F.sum(coef(i) * F.col("prediction")).alias(f"{prefix}{f}") for i, f in enumerate(features)]
-    aggs += [F.max(F.when(F.col("_m") == n_masks - 1, F.col("prediction"))).alias("prediccion"),
-             F.max(F.when(F.col("_m") == 0, F.col("prediction"))).alias("prediccion_base")]
-    # carried metadata is functionally dependent on the row id: grouping by it
-    # keeps it without a join back
-    out = scored.groupBy(row_id, *carry).agg(*aggs)
-    return out.select(row_id, *[F.col(keep[c]).alias(c) for c in carry_src],
-                      *[c for c in out.columns if c != row_id and c not in carry])

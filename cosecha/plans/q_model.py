@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import boosting as B
 from ..operators import model as M
 from ..session import scratch_path
 from ..sources.tables import Tables
@@ -125,35 +126,46 @@ def _v3_split(spark, d):
 _GBT: dict[tuple, str] = {}
 
 
-def _gbt(spark, d, params: M.GbtParams = M.GbtParams()):
+def gbt(spark, d, params: B.BoostParams = B.BoostParams()):
     """The split and the model of a data folder: trained once, saved, and read from then on."""
-    from pyspark.ml import PipelineModel
     key = (spark.sparkContext.applicationId, d, str(params))
     if key not in _GBT:
         path = scratch_path(spark, f"gbt-{uuid.uuid4().hex[:12]}")
-        # Written first: hundreds of passes run over files of a sensible size.
-        _v3_split(spark, d).write.parquet(f"{path}/rows")
-        model, _ = M.train_gbt(spark.read.parquet(f"{path}/rows"), DS.FEATURES, DS.TARGET, params)
-        model.write().save(f"{path}/model")
+        _v3_split(spark, d).write.parquet(f"{path}/rows")  # read by several passes
+        B.fit(spark.read.parquet(f"{path}/rows"), DS.FEATURES, DS.TARGET, params).save(spark, f"{path}/model")
         _GBT[key] = path
-    return spark.read.parquet(f"{_GBT[key]}/rows"), PipelineModel.load(f"{_GBT[key]}/model")
+    return spark.read.parquet(f"{_GBT[key]}/rows"), B.BoostedTrees.load(spark, f"{_GBT[key]}/model")
 
 
 @query("train_gbt")
 def q_train_gbt(spark, d):
-    data, model = _gbt(spark, d)
-    pred = model.transform(data)
-    return M.regression_metrics(pred, DS.TARGET, "prediction").withColumn(
-        "n_trees", F.lit(model.stages[-1].getNumTrees))
+    data, model = gbt(spark, d)
+    return M.regression_metrics(data.withColumn("prediction", model.prediction()), DS.TARGET, "prediction").withColumns(
+        {"n_trees": F.lit(model.n_trees), "rounds": F.lit(len(model.losses)),
+         "best_rmse": F.lit(min(model.losses, default=None)).cast("double")})
+
+
+@query("predict_gbt")
+def q_predict_gbt(spark, d):
+    data, model = gbt(spark, d)
+    return data.select(*V3_KEYS, "split", DS.TARGET, model.prediction().alias("prediccion"))
 
 
 @query("attribution_gbt")
 def q_attribution_gbt(spark, d):
-    data, model = _gbt(spark, d)
-    train = data.filter(F.col("split") == "train")
-    means = train.agg(*[F.avg(f).alias(f) for f in DS.FEATURES]).first().asDict()
+    data, model = gbt(spark, d)
+    means = data.filter(F.col("split") == "train").agg(*[F.avg(f).alias(f) for f in DS.FEATURES]).first().asDict()
     rows = data.withColumn("row_id", F.concat_ws("|", *[F.col(k).cast("string") for k in V3_KEYS]))
     # attributions of the test split, with the metadata the dashboard shows
-    test = rows.filter(F.col("split") == "test")
     meta = ["cultivo", "provincia", "ccaa", "cod_provincia", "anio", "mes", "rendimiento", "rendimiento_raw"]
-    return M.shapley_attribution(test, model, DS.FEATURES, means, "row_id", carry=meta)
+    out = model.attribute(rows.filter(F.col("split") == "test"), means)
+    return out.select("row_id", *meta, *[f"shap_{f}" for f in DS.FEATURES], "prediccion", "prediccion_base")
+
+
+@query("attribution_additivity", with_tables(
+    f"SELECT cultivo, cod_provincia, anio, mes, TRUE AS aditiva FROM (SELECT *, {_split_sql(V3_KEYS)} AS split FROM v3) "
+    "WHERE split = 'test'", OD.v3_ctes()))
+def q_attribution_additivity(spark, d):
+    attr = q_attribution_gbt(spark, d)
+    total = sum((F.col(f"shap_{f}") for f in DS.FEATURES), F.col("prediccion_base"))
+    return attr.select(*V3_KEYS, (F.abs(total - F.col("prediccion")) < 1e-9).alias("aditiva"))

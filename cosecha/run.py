@@ -23,6 +23,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from .operators import boosting as B
 from .operators import model as M
 from .operators.encode import mappings
 from .operators.quality import dataset_profile, quality_report
@@ -70,15 +71,17 @@ def run(spark, sf_dir: str, out: str, steps: list[str], shapley: bool = True) ->
         elif step == "train":
             data = M.hash_split(spark.read.parquet(f"{out}/model/dataset_final"),
                                 ["cultivo", "cod_provincia", "anio", "mes"]).cache()
-            model, _ = M.train_gbt(data, DS.FEATURES, DS.TARGET)
-            model.write().overwrite().save(f"{out}/model/gbt")
-            write(M.regression_metrics(model.transform(data), DS.TARGET, "prediction"), "model/metrics", "json")
+            model = B.fit(data, DS.FEATURES, DS.TARGET)
+            model.save(spark, f"{out}/model/gbt")
+            write(data.withColumn("prediction", model.prediction()), "model/predictions")
+            pred = spark.read.parquet(f"{out}/model/predictions")
+            write(M.regression_metrics(pred, DS.TARGET, "prediction"), "model/metrics", "json")
             if shapley:
                 base = data.filter(F.col("split") == "train").agg(
                     *[F.avg(f).alias(f) for f in DS.FEATURES]).first().asDict()
                 rows = data.withColumn("row_id", F.concat_ws("|", "cultivo", "cod_provincia", "anio", "mes"))
-                attr = M.shapley_attribution(rows, model, DS.FEATURES, base, "row_id")
-                write(attr, "model/shap_values")
+                write(model.attribute(rows, base).select("row_id", *[f"shap_{f}" for f in DS.FEATURES],
+                                                         "prediccion", "prediccion_base"), "model/shap_values")
                 attr = spark.read.parquet(f"{out}/model/shap_values")
                 write(M.attribution_summary(attr, DS.FEATURES), "model/shap_summary", "json")
             data.unpersist()

@@ -1,11 +1,8 @@
-"""Shapley additivity, split determinism, idempotent replacement, round trips."""
+"""Linear attributions, split determinism, idempotent replacement, round trips."""
 
 import math
 
 import pytest
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from cosecha.operators import model as M
@@ -16,21 +13,6 @@ from cosecha.sources.tables import Tables
 from conftest import SF_SMALL
 
 
-def test_shapley_additivity(spark):
-    rows = [(i, float(i % 7), float((i * 3) % 5), float(i % 2), float((i % 7) * 2 + (i % 5) + 3 * (i % 2)))
-            for i in range(200)]
-    df = spark.createDataFrame(rows, "rid int, a double, b double, c double, y double")
-    feats = ["a", "b", "c"]
-    model = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="features"),
-                             GBTRegressor(labelCol="y", maxIter=5, maxDepth=3, seed=1)]).fit(df)
-    base = {f: v for f, v in df.agg(*[F.avg(f).alias(f) for f in feats]).first().asDict().items()}
-    attr = M.shapley_attribution(df, model, feats, base, "rid").collect()
-    assert len(attr) == 200
-    for r in attr:
-        total = r.shap_a + r.shap_b + r.shap_c
-        assert math.isclose(total, r.prediccion - r.prediccion_base, abs_tol=1e-9)
-
-
 def test_linear_attribution_is_exact(spark):
     rows = [(float(i), float(i % 3), 2.0 * i - 5.0 * (i % 3) + 1.0) for i in range(50)]
     df = spark.createDataFrame(rows, "x1 double, x2 double, y double")
