@@ -17,13 +17,22 @@ def round_half_up(c, digits: int) -> Column:
     """ROUND half away from zero on the decimal value of ``c``.
 
     Rounding a double directly depends on its binary expansion (0.285 is
-    0.28499…), so engines disagree at ties.  Going through DECIMAL(38,9)
-    first makes the result the one a person computing by hand expects, and
-    independent of summation order in the last bits.
+    0.28499…), so engines disagree at ties.  Its decimal value to about 15
+    significant digits, all that a double holds, is what a person computing by
+    hand would round, and does not depend on the last bits of a sum.
     """
     x = col_(c)
+    size = F.abs(x)
+
+    def rounded(scale: int) -> Column:
+        return F.round(x.try_cast(f"decimal(38,{scale})"), digits).cast("double")
+
+    out = F.when(size < 1, rounded(15))
+    for power, scale in ((10, 14), (100, 13), (1000, 12)):
+        out = out.when(size < power, rounded(scale))
+    out = out.otherwise(rounded(9))
     # Beyond the decimal's range, and for NaN and infinity, there is nothing to round.
-    return F.coalesce(F.round(x.try_cast("decimal(38,9)"), digits).cast("double"), x.cast("double"))
+    return F.coalesce(out, x.cast("double"))
 
 
 def safe_div(a, b) -> Column:

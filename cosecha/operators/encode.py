@@ -1,13 +1,16 @@
 """Dense label encoding.
 
 Codes are the 0-based rank of the value in the sorted distinct set, NULL
-encoded as "DESCONOCIDO" (the reference's fill value).  Ranking runs over the
-*distinct* values only, never over fact rows; the code table is then joined
-back (AQE broadcasts it when its measured size is small).
+encoded as "DESCONOCIDO" (the reference's fill value).  Only distinct values
+are ranked, never fact rows: they are range-partitioned, numbered inside each
+partition, and shifted by the sizes of the partitions before them, so no task
+sees all of them.  All columns are ranked together.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,45 +19,31 @@ from ..session import checkpoint_dir
 UNKNOWN = "DESCONOCIDO"
 
 
-SINGLE_TASK_CODES = 1_000_000
+def mappings(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(columna, clase, codigo) of every encoding (the JSON export); codes are long."""
+    checkpoint_dir(df.sparkSession)
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("columna"), F.coalesce(
+        F.col(f"`{c}`").cast("string"), F.lit(UNKNOWN)).alias("clase")) for c in cols])).alias("x")
+    values = df.select(cells).select("x.*").distinct()
+    # Written once: a range partitioning is sampled, so a second run might cut elsewhere.
+    local = (values.repartitionByRange("columna", "clase").withColumn("part", F.spark_partition_id())
+             .withColumn("place", F.row_number().over(Window.partitionBy("part", "columna").orderBy("clase")) - 1)
+             .checkpoint(eager=True))
+    sizes = local.groupBy("columna", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(
+        Window.partitionBy("columna").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return local.join(before, ["columna", "part"]).select("columna", "clase",
+                                                          (F.col("before") + F.col("place")).alias("codigo"))
+
 
+def label_encode(df: DataFrame, cols: list[str], suffix: str = "_enc") -> DataFrame:
+    """``df`` with a code ``<col><suffix>`` for each of ``cols``."""
+    codes = mappings(df, cols)
 
-def code_table(df: DataFrame, col: str, single_task_limit: int = SINGLE_TASK_CODES,
-               rows_hint: int | None = None) -> DataFrame:
-    """(value, code) for the sorted distinct values of ``col``.
+    def coded(out: DataFrame, c: str) -> DataFrame:
+        own = codes.where(F.col("columna") == c).select(F.col("clase").alias(f"_k_{c}"),
+                                                        F.col("codigo").alias(f"{c}{suffix}"))
+        return out.join(own, F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)) == F.col(f"_k_{c}"),
+                        "left").drop(f"_k_{c}")
 
-    Up to ``single_task_limit`` distinct values (a checked bound) one ordered
-    window numbers them.  Beyond it the values are range-partitioned, numbered
-    inside each partition, and shifted by the sizes of the partitions before
-    them; only the per-partition sizes meet in one task.
-    """
-    vals = df.select(F.coalesce(F.col(col), F.lit(UNKNOWN)).alias("clase")).distinct()
-    if (rows_hint is not None and rows_hint <= single_task_limit) or vals.count() <= single_task_limit:
-        w = Window.orderBy("clase")
-        return vals.select("clase", (F.row_number().over(w) - 1).cast("int").alias("codigo"))
-    checkpoint_dir(df.sparkSession)
-    local = (vals.repartitionByRange("clase").withColumn("_pid", F.spark_partition_id())
-             .withColumn("_lr", F.row_number().over(Window.partitionBy("_pid").orderBy("clase")) - 1)
-             .checkpoint(eager=True))
-    sizes = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_sz"))
-    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_sz").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(offsets, "_pid").select("clase", (F.col("_off") + F.col("_lr")).cast("int").alias("codigo"))
-
-
-def label_encode(df: DataFrame, cols: list[str], suffix: str = "_enc",
-                 single_task_limit: int = SINGLE_TASK_CODES, rows_hint: int | None = None) -> DataFrame:
-    out = df
-    for c in cols:
-        codes = code_table(df, c, single_task_limit, rows_hint).withColumnRenamed("clase", f"_k_{c}").withColumnRenamed("codigo", f"{c}{suffix}")
-        out = out.join(codes, F.coalesce(F.col(c), F.lit(UNKNOWN)) == F.col(f"_k_{c}"), "left").drop(f"_k_{c}")
-    return out
-
-
-def mappings(df: DataFrame, cols: list[str], rows_hint: int | None = None) -> DataFrame:
-    """Long (columna, clase, codigo) table of every encoding (the JSON export)."""
-    parts = [code_table(df, c, rows_hint=rows_hint).select(F.lit(c).alias("columna"), "clase", "codigo") for c in cols]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(coded, cols, df)

@@ -201,3 +201,37 @@ def fragment_counts(store: DataFrame) -> DataFrame:
     """Fragments per source."""
     return store.groupBy("fuente").agg(F.count(F.lit(1)).alias("n_fragmentos"),
                                        F.count_distinct("id").alias("n_ids"))
+
+
+# Metadata keys of the fragment store and their types.
+STORE_COLUMNS = {"nivel": "string", "cultivo": "string", "regimen": "string", "ccaa": "string", "provincia": "string",
+                 "cod_provincia": "int", "producto": "string", "seccion": "string", "categoria": "string",
+                 "anio": "int", "mes": "int", "semana": "int", "archivo": "string", "chunk_index": "int"}
+FILTERED = ("cultivo", "producto", "provincia", "ccaa", "archivo")  # text columns that equality filters name
+
+
+def write_typed_store(frags: DataFrame, path: str) -> DataFrame:
+    """The fragments with their metadata as typed columns, one folder per source.
+
+    Rows are sorted by the columns that filters name, and these have Parquet
+    Bloom filters, so an equality skips the row groups that cannot hold it.
+    An empty metadata value is NULL here.
+    """
+    typed = frags.select("id", "text", "fuente", *[
+        F.nullif(F.col("metadata")[c], F.lit("")).try_cast(t).alias(c) for c, t in STORE_COLUMNS.items()])
+    writer = typed.hint("rebalance", "fuente").sortWithinPartitions("fuente", *FILTERED, "anio", "mes").write
+    for c in FILTERED:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    writer.mode("overwrite").partitionBy("fuente").parquet(path)
+    return frags.sparkSession.read.parquet(path)
+
+
+def filter_fragments(store: DataFrame, where: dict[str, str | int]) -> DataFrame:
+    """Fragments whose metadata equal ``where`` (D6); every key must be a column of the store."""
+    unknown = sorted(set(where) - set(STORE_COLUMNS) - {"fuente", "id"})
+    if unknown:
+        raise ValueError(f"not metadata columns: {unknown}")
+    out = store
+    for c, v in where.items():
+        out = out.filter(F.col(c) == F.lit(v))
+    return out

@@ -1,11 +1,9 @@
 """Outlier, anomaly and winsorising operators.
 
-Every per-group statistic is one ``groupBy`` aggregate (exact ``percentile``,
-``avg``, ``stddev_samp``) joined back on the group key, so work is spread by
-key and partial aggregation happens map-side.  No group is ever collected.
-Exact percentiles keep a value→count map per group; for the very large single
-groups a skewed key could create, ``approx=True`` switches to
-``percentile_approx`` (a documented, non-interpolated answer).
+Every per-group statistic is one ``groupBy`` aggregate (``avg``,
+``stddev_samp``) or an exact quantile (``quantiles``), joined back on the
+group key, so work is spread by key and partial aggregation happens map-side.
+No group is ever collected; a NULL key is a group like any other.
 """
 
 from __future__ import annotations
@@ -14,50 +12,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_up
-from .quantiles import HOT_GROUP_ROWS, group_quantiles
-
-
-def _pct(c: str, p: float, approx: bool) -> Column:
-    return F.percentile_approx(c, p, 100000) if approx else F.percentile(c, p)
-
-
-def _quantiles(df: DataFrame, value: str, group: list[str], probs: dict[str, float], approx: bool,
-               rows_hint: int | None = None) -> DataFrame:
-    """Per-group quantiles: exact (hot groups by refinement) unless ``approx``."""
-    if approx:
-        return df.filter(F.col(value).isNotNull()).groupBy(*group).agg(
-            *[_pct(value, p, True).alias(n) for n, p in probs.items()])
-    return group_quantiles(df, value, group, probs, HOT_GROUP_ROWS, rows_hint=rows_hint)
+from .quantiles import group_quantiles, join_groups
 
 
 def iqr_flag(df: DataFrame, value: str, group: list[str], k: float = 3.0,
-             where: Column | None = None, flag: str = "outlier_flag", approx: bool = False,
-             rows_hint: int | None = None) -> DataFrame:
+             where: Column | None = None, flag: str = "outlier_flag") -> DataFrame:
     """Flag rows outside [q1 - k·iqr, q3 + k·iqr] of their group.
 
     Only rows matching ``where`` (and with a non-NULL value) take part and can
     be flagged; every other row gets FALSE, so re-running resets old flags.
     """
     cond = F.col(value).isNotNull() if where is None else (where & F.col(value).isNotNull())
-    stats = _quantiles(df.filter(cond), value, group, {"_q1": 0.25, "_q3": 0.75}, approx, rows_hint)
-    j = df.join(stats, group, "left")
+    j = join_groups(df, group_quantiles(df.filter(cond), value, group, {"_q1": 0.25, "_q3": 0.75}), group)
     iqr = F.col("_q3") - F.col("_q1")
     out = cond & ((F.col(value) < F.col("_q1") - k * iqr) | (F.col(value) > F.col("_q3") + k * iqr))
     return j.withColumn(flag, F.coalesce(out, F.lit(False))).drop("_q1", "_q3")
 
 
 def winsorize_upper(df: DataFrame, value: str, group: list[str], p: float = 0.99,
-                    raw_col: str | None = None, digits: int = 6, approx: bool = False,
-                    rows_hint: int | None = None) -> DataFrame:
+                    raw_col: str | None = None, digits: int = 6) -> DataFrame:
     """Clip ``value`` at its group's p-th percentile (C10), keeping the raw copy.
 
     The threshold is rounded to ``digits`` (the precision of the value), then
     ``least`` applies it; NULL values stay NULL.
     """
     raw_col = raw_col or f"{value}_raw"
-    cap = _quantiles(df, value, group, {"_cap": p}, approx, rows_hint).select(
-        *group, round_half_up("_cap", digits).alias("_cap"))
-    j = df.withColumn(raw_col, F.col(value)).join(cap, group, "left")
+    cap = group_quantiles(df, value, group, {"_cap": p}).select(*group, round_half_up("_cap", digits).alias("_cap"))
+    j = join_groups(df.withColumn(raw_col, F.col(value)), cap, group)
     clipped = F.when(F.col(value).isNull() | F.col("_cap").isNull(), F.col(value)) \
         .otherwise(F.least(F.col(value), F.col("_cap")))
     return j.withColumn(value, clipped).drop("_cap")
@@ -68,12 +49,12 @@ def zscore(df: DataFrame, value: str, group: list[str], out: str = "z", digits:
     st = (df.filter(F.col(value).isNotNull()).groupBy(*group)
           .agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std")))
     z = F.when(F.col("_std") > 0, (F.col(value) - F.col("_mean")) / F.col("_std"))
-    return df.join(st, group, "left").withColumn(out, round_half_up(z, digits)).drop("_mean", "_std")
+    return join_groups(df, st, group).withColumn(out, round_half_up(z, digits)).drop("_mean", "_std")
 
 
 def detect_anomalies(df: DataFrame, value: str, group: list[str], method: str = "ambos",
                      z_thr: float = 2.5, iqr_k: float = 2.0, min_obs: int = 5,
-                     keep_all: bool = False, approx: bool = False) -> DataFrame:
+                     keep_all: bool = False) -> DataFrame:
     """Anomalies per group by z-score and/or IQR.
 
     Groups with fewer than ``min_obs`` non-NULL values are skipped (the batch
@@ -90,9 +71,9 @@ def detect_anomalies(df: DataFrame, value: str, group: list[str], method: str =
     st = (base.groupBy(*group)
           .agg(F.count(F.lit(1)).alias("_n"), F.avg(value).alias("media"),
                F.stddev_samp(value).alias("std"))
-          .filter(F.col("_n") >= min_obs)
-          .join(_quantiles(base, value, group, {"q1": 0.25, "q3": 0.75}, approx), group))
-    j = base.join(st, group, "inner")
+          .filter(F.col("_n") >= min_obs))
+    st = join_groups(st, group_quantiles(base, value, group, {"q1": 0.25, "q3": 0.75}), group, "inner")
+    j = join_groups(base, st, group, "inner")
     x, std = F.col(value), F.col("std")
     iqr = F.col("q3") - F.col("q1")
     z = F.when(std > 0, (x - F.col("media")) / std)
@@ -110,21 +91,11 @@ def detect_anomalies(df: DataFrame, value: str, group: list[str], method: str =
     return out if keep_all else out.filter(F.col("anomalia"))
 
 
-def series_kpis(df: DataFrame, value: str, group: list[str], flagged: str = "anomalia",
-                scale: int = 6) -> DataFrame:
+def series_kpis(df: DataFrame, value: str, group: list[str], flagged: str = "anomalia") -> DataFrame:
     """Dashboard KPIs of one or more series (X4): observations, anomalies, their
-    share, mean and sample std.
-
-    Values carry ``scale`` decimals, so the moments are computed on exact
-    integers (value·10^scale): the mean and std do not depend on summation
-    order (decimal sums are exact and associative).
-    """
-    u = F.round(F.col(value) * (10 ** scale)).cast("decimal(38,0)")
+    share, mean and sample std (NULL for a single observation)."""
     n = F.count(F.col(value))
-    s1, s2 = F.sum(u), F.sum(u * u)
-    num = (n.cast("decimal(38,0)") * s2 - s1 * s1).cast("double")
-    std = F.when(n > 1, F.sqrt(num / (n * (n - 1)).cast("double")) / float(10 ** scale))
     return df.groupBy(*group).agg(
         n.alias("observaciones"), F.count_if(F.col(flagged)).alias("anomalias"),
-        round_half_up(F.count_if(F.col(flagged)) * 100.0 / n, 1).alias("pct_anomalias"),
-        (s1.cast("double") / (n.cast("double") * float(10 ** scale))).alias("media"), std.alias("std"))
+        round_half_up(F.try_divide(F.count_if(F.col(flagged)) * 100.0, n), 1).alias("pct_anomalias"),
+        F.avg(value).alias("media"), F.stddev_samp(value).alias("std"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_up
+from .quantiles import quantiles
 
 
 def null_profile(df: DataFrame, cols: list[str] | None = None, keep_zero: bool = False) -> DataFrame:
@@ -27,11 +28,12 @@ def null_profile(df: DataFrame, cols: list[str] | None = None, keep_zero: bool =
 
 def target_stats(df: DataFrame, col: str, prefix: str) -> DataFrame:
     """min, mean, median, max, sample std of a column."""
-    return df.agg(round_half_up(F.min(col), 9).alias(f"{prefix}_min"),
-                  round_half_up(F.avg(col), 9).alias(f"{prefix}_media"),
-                  round_half_up(F.median(col), 9).alias(f"{prefix}_mediana"),
-                  round_half_up(F.max(col), 9).alias(f"{prefix}_max"),
-                  round_half_up(F.stddev_samp(col), 9).alias(f"{prefix}_std"))
+    one = df.agg(F.lit(0).alias("_one"), F.min(col).alias("_min"), F.avg(col).alias("_avg"), F.max(col).alias("_max"),
+                 F.stddev_samp(col).alias("_std"))
+    median = quantiles(df.select(F.lit(0).alias("_one"), col), {"_med": (col, 0.5)}, ["_one"])
+    names = {"_min": "min", "_avg": "media", "_med": "mediana", "_max": "max", "_std": "std"}
+    return one.join(median, "_one", "left").select(
+        *[round_half_up(c, 9).alias(f"{prefix}_{n}") for c, n in names.items()])
 
 
 def dataset_profile(df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -60,10 +62,6 @@ def validity_counts(df: DataFrame, rules: dict[str, "F.Column"]) -> DataFrame:
     return df.agg(*[F.count_if(cond).alias(name) for name, cond in rules.items()])
 
 
-
-
-
-
 def quality_report(avances: DataFrame, coyuntura: DataFrame, clima: DataFrame) -> DataFrame:
     """Validation report of all tables (X12): one aggregate per table, long format."""
     a = avances.agg(F.count(F.lit(1)).alias("filas"), F.count_if(F.col("sup_avance") < 0).alias("sup_negativas"),

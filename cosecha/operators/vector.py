@@ -1,25 +1,31 @@
-"""Exact k-nearest-neighbour search over embedding vectors.
-
-Distances are array expressions (``zip_with`` + ``aggregate``) evaluated on the
-JVM.  The query set is joined to every candidate vector; it is broadcast only
-when its row count is below ``max_broadcast_queries`` (checked with a count of
-the query set, never of the candidates); beyond that the replicated query
-rows are shuffled like the candidates.  Candidates are spread over ``blocks``
-hash blocks and every query is replicated per block, so the pairing is an
-equi-join and no task holds more than ~1/blocks of one query's candidates.
-
-Top-k is two-level: within each (query, candidate block) the k best survive,
-then the k best of those per query, so no task sorts all candidates of one
-query.
+"""k-nearest-neighbour search over embedding vectors and what it finds.
+
+The exact search evaluates distances as array expressions (``zip_with`` +
+``aggregate``) on the JVM.  Candidates are spread over hash blocks and every
+query is replicated per block, so the pairing is an equi-join on the block and
+no task holds more than a block of one query's candidates; whether the queries
+are broadcast is left to their measured size.  Top-k is two-level: within each
+(query, candidate block) the k best survive, then the k best of those per
+query, so no task sorts all candidates of one query.
+
+The approximate search hashes vectors by random projections into the buckets
+of several tables and joins queries only to candidates of their buckets and of
+those one sign away.  ``retrieve`` fetches documents late: only the blocks of
+the document store that hold a found id are read.
 """
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_up
-from ..session import spread
+from ..session import scratch_path, spread
 
 
 def _as_double(c: str) -> Column:
@@ -58,33 +64,137 @@ def label_centroids(emb: DataFrame, vec: str = "embedding", label: str = "label"
             .select(F.col(label).alias("query_id"), F.transform("_s", lambda s: s["m"]).alias("query_vec")))
 
 
+def _top(scored: DataFrame, k: int, id_col: str) -> DataFrame:
+    """The k nearest of (query_id, cand_id, distance, _blk) per query, first within each block."""
+    order = [F.col("distance").asc(), F.col("cand_id").asc()]
+    local = (scored.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_blk").orderBy(*order)))
+             .filter(F.col("_r") <= k))
+    top = (local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+           .filter(F.col("rank") <= k))
+    return top.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("cand_id").alias(id_col),
+                      round_half_up("distance", 9).alias("distance"),
+                      round_half_up((F.lit(1.0) - F.col("distance")) * 100, 1).alias("relevancia"))
+
+
+def _distance(metric: str) -> Column:
+    if metric not in ("l2", "cosine"):
+        raise ValueError("metric must be l2 or cosine")
+    return l2_squared("cand_vec", "query_vec") if metric == "l2" else cosine_distance("cand_vec", "query_vec")
+
+
 def knn(queries: DataFrame, candidates: DataFrame, k: int = 5, metric: str = "l2",
-        id_col: str = "vec_id", vec: str = "embedding", max_broadcast_queries: int = 10000,
-        blocks: int = 64) -> DataFrame:
+        id_col: str = "vec_id", vec: str = "embedding", blocks: int | None = None) -> DataFrame:
     """Top-k candidates per query: (query_id, rank, id, distance, relevance).
 
     ``queries`` has (query_id, query_vec).  ``metric`` is ``l2`` (squared
     Euclidean, the vector store default) or ``cosine``.  ``relevance`` is
-    (1 - d)·100 rounded to 1 decimal, as shown to users.
+    (1 - d)·100 rounded to 1 decimal, as shown to users.  ``blocks`` defaults
+    to the session's number of shuffle partitions, which follows the cluster.
     """
-    if metric not in ("l2", "cosine"):
-        raise ValueError("metric must be l2 or cosine")
-    nq = queries.count()
+    blocks = blocks or max(8, int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cands = spread(candidates).select(F.col(id_col).alias("cand_id"), F.col(vec).alias("cand_vec"))
     cb = cands.withColumn("_blk", F.pmod(F.xxhash64("cand_id"), F.lit(blocks)).cast("int"))
-    # every query is replicated once per candidate block; the join is an
-    # equi-join on the block, broadcast only for a query set of checked size
     qrep = queries.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_blk"))
-    if nq <= max_broadcast_queries:
-        qrep = F.broadcast(qrep)
-    pairs = cb.join(qrep, "_blk")
-    dist = l2_squared("cand_vec", "query_vec") if metric == "l2" else cosine_distance("cand_vec", "query_vec")
-    scored = pairs.select("query_id", "cand_id", dist.alias("distance"), "_blk")
-    order = [F.col("distance").asc(), F.col("cand_id").asc()]
-    local = (scored.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_blk").orderBy(*order)))
-             .filter(F.col("_r") <= k))
-    top = (local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-           .filter(F.col("rank") <= k))
-    return top.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("cand_id").alias(id_col),
-                      round_half_up("distance", 9).alias("distance"),
-                      round_half_up((F.lit(1.0) - F.col("distance")) * 100, 1).alias("relevancia"))
+    scored = cb.join(qrep, "_blk").select("query_id", "cand_id", _distance(metric).alias("distance"), "_blk")
+    return _top(scored, k, id_col)
+
+
+# ---------------------------------------------------------------- approximate
+@dataclass(frozen=True)
+class Projections:
+    """Random hyperplanes: ``tables`` hashes of ``bits`` signs each, for vectors of ``dim`` numbers."""
+
+    dim: int
+    tables: int = 16
+    bits: int = 6
+    seed: int = 42
+
+    def planes(self) -> np.ndarray:
+        rng = np.random.Generator(np.random.PCG64(self.seed))
+        return rng.standard_normal((self.dim, self.tables * self.bits))
+
+    def buckets(self, vec: str, probe: bool = False) -> Column:
+        """The vector's bucket in each table; with ``probe`` also those that differ in one sign.
+
+        An array of table * 2^bits + bucket; NULL for a NULL vector or one of
+        another length.
+        """
+        planes, bits, tables = self.planes(), self.bits, self.tables
+
+        @F.pandas_udf("array<long>")
+        def hashed(column: pd.Series) -> pd.Series:
+            good = column.map(lambda v: v is not None and len(v) == len(planes)).to_numpy(bool)
+            out = np.full(len(column), None, object)
+            if good.any():
+                signs = np.stack(column[good].to_list()).astype(float) @ planes > 0
+                own = signs.reshape(-1, tables, bits) @ (1 << np.arange(bits))
+                if probe:
+                    flips = np.concatenate([[0], 1 << np.arange(bits)])
+                    own = own[:, :, None] ^ flips
+                own = own + (np.arange(tables) << bits).reshape((1, tables) + (1,) * (own.ndim - 2))
+                out[np.flatnonzero(good)] = list(own.reshape(len(own), -1))
+            return pd.Series(out)
+
+        return hashed(F.col(vec))
+
+
+def knn_lsh(queries: DataFrame, candidates: DataFrame, projections: Projections, k: int = 5, metric: str = "l2",
+            id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """``knn`` over the candidates that share a bucket with the query or lie one sign away from it.
+
+    Distances are exact and no found candidate is dropped; a near vector may
+    be missed where all tables part it from the query.  The query set may
+    have any size.
+    """
+    own = spread(candidates).select(F.col(id_col).alias("cand_id"), F.explode(projections.buckets(vec)).alias("_b"))
+    asked = queries.select("query_id", F.explode(projections.buckets("query_vec", probe=True)).alias("_b"))
+    pairs = own.join(asked, "_b").select("query_id", "cand_id").distinct()  # ids only; vectors follow
+    scored = (pairs.join(candidates.select(F.col(id_col).alias("cand_id"), F.col(vec).alias("cand_vec")), "cand_id")
+              .join(queries, "query_id")
+              .select("query_id", "cand_id", _distance(metric).alias("distance"),
+                      F.pmod(F.xxhash64("cand_id"), F.lit(64)).alias("_blk")))
+    return _top(scored, k, id_col)
+
+
+def recall(found: DataFrame, exact: DataFrame, id_col: str = "vec_id") -> DataFrame:
+    """(n_consultas, esperados, hallados, recall): how many of the exact neighbours were found."""
+    hit = exact.select("query_id", id_col).join(
+        found.select("query_id", id_col, F.lit(1).alias("hit")), ["query_id", id_col], "left")
+    n, h = F.count(F.lit(1)), F.count("hit")
+    return hit.agg(F.count_distinct("query_id").alias("n_consultas"), n.alias("esperados"), h.alias("hallados"),
+                   F.try_divide(h, n).alias("recall"))
+
+
+# ------------------------------------------------------------- what was found
+def write_text_store(docs: DataFrame, path: str, id_col: str, blocks: int = 256) -> DataFrame:
+    """The documents as a store in ``blocks`` folders by the hash of their id."""
+    block = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(blocks)).cast("int")
+    (docs.withColumn("_block", block).hint("rebalance", "_block").write.mode("overwrite").partitionBy("_block")
+     .parquet(path))
+    return docs.sparkSession.read.parquet(path)
+
+
+def retrieve(top: DataFrame, store: DataFrame, id_col: str, store_id: str, text: str, tags: list[str],
+             blocks: int = 256) -> DataFrame:
+    """``top`` with the text, tag columns and label of each found id.
+
+    The label is ``[tag|…|rel:x%]``; empty tags are left out, the first is "?"
+    if it is missing.  ``top`` is found first and written, so its size is
+    known: while Spark can broadcast it, the blocks of the store (a partition
+    column) that hold none of its ids are pruned at run time, and texts are
+    read for the other blocks alone.
+    """
+    spark = top.sparkSession
+    path = scratch_path(spark, f"top-{uuid.uuid4().hex[:12]}")
+    at = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(blocks)).cast("int")
+    top.withColumn("_block", at).write.parquet(path)
+    # The comparison holds for every row: Spark prunes only by a side that has a filter.
+    wanted = spark.read.parquet(path).where("_block >= 0").alias("t")
+    rows = store.select("_block", F.col(store_id).alias("_id"), F.col(text).alias("texto"), *tags).alias("s")
+    joined = wanted.join(rows, (F.col("t._block") == F.col("s._block")) & (F.col(f"t.{id_col}") == F.col("s._id")))
+    shown = [F.coalesce(F.nullif(F.col(f"s.{tags[0]}").cast("string"), F.lit("")), F.lit("?"))]
+    shown += [F.nullif(F.col(f"s.{t}").cast("string"), F.lit("")) for t in tags[1:]]
+    label = F.concat(F.lit("["), F.concat_ws("|", *shown, F.format_string("rel:%.1f%%", F.col("t.relevancia"))),
+                     F.lit("]"))
+    return joined.select(*[F.col(f"t.{c}") for c in top.columns], label.alias("etiqueta"),
+                         *[F.col(f"s.{t}") for t in tags], F.col("s.texto"))

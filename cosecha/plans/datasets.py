@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_up, safe_div
@@ -48,21 +48,20 @@ class DatasetParams:
     winsor_p: float = 0.99
 
 
-def validated_avances(avances: DataFrame, k: float = 3.0, rows_hint: int | None = None) -> DataFrame:
+def validated_avances(avances: DataFrame, k: float = 3.0) -> DataFrame:
     """Negative measures → NULL, then the IQR×k flag per crop on national total rows."""
     a = CL.null_negatives(avances, ["sup_avance", "prod_avance"])
     where = (F.col("nivel") == "nacional") & (F.col("regimen") == "total")
-    return iqr_flag(a, "sup_avance", ["cultivo"], k=k, where=where, rows_hint=rows_hint)
+    return iqr_flag(a, "sup_avance", ["cultivo"], k=k, where=where)
 
 
 def limited_climate(clima_mensual: DataFrame) -> DataFrame:
     return apply_physical_limits(clima_mensual)
 
 
-def imputed_climate(clima_mensual: DataFrame, rows_hint: int | None = None) -> DataFrame:
+def imputed_climate(clima_mensual: DataFrame) -> DataFrame:
     """Physical limits, then median by (province, month) for the 5 columns."""
-    return impute_by_group(limited_climate(clima_mensual), CLIMATE_IMPUTE, ["cod_provincia", "mes"],
-                           rows_hint=rows_hint)
+    return impute_by_group(limited_climate(clima_mensual), CLIMATE_IMPUTE, ["cod_provincia", "mes"])
 
 
 def _joined(av: DataFrame, cp: DataFrame) -> DataFrame:
@@ -74,7 +73,7 @@ def _joined(av: DataFrame, cp: DataFrame) -> DataFrame:
     return av.join(cp, cond, "left")
 
 
-def model_dataset_v1(av_valid: DataFrame, clima_prov: DataFrame, rows_hint: int | None = None) -> DataFrame:
+def model_dataset_v1(av_valid: DataFrame, clima_prov: DataFrame) -> DataFrame:
     """Panel ⋈ provincial climate, yield, encoded categories, 11 features."""
     base = av_valid.filter((F.col("nivel") == "provincia") & (F.col("regimen") == "total")
                            & (F.col("sup_avance") > 0) & ~F.col("outlier_flag"))
@@ -86,11 +85,10 @@ def model_dataset_v1(av_valid: DataFrame, clima_prov: DataFrame, rows_hint: int
                   rend.alias("rendimiento"), "t_media_c", "precip_media_mm", "horas_sol_med",
                   "hr_media_pct", "t_max_abs_c", "t_min_abs_c")
          .filter(F.col("rendimiento").isNotNull()))
-    return label_encode(d, ENCODED, rows_hint=rows_hint).select(*FEATURES_V1, TARGET, *META_V1)
+    return label_encode(d, ENCODED).select(*FEATURES_V1, TARGET, *META_V1)
 
 
-def model_dataset_v2(av_valid: DataFrame, clima_prov: DataFrame, p: DatasetParams = DatasetParams(),
-                     rows_hint: int | None = None) -> DataFrame:
+def model_dataset_v2(av_valid: DataFrame, clima_prov: DataFrame, p: DatasetParams = DatasetParams()) -> DataFrame:
     """Clean dataset (X9): year window, yield > 0, p99 winsorised per crop, flag
     for rows without climate (per province-month), encoded categories."""
     base = av_valid.filter((F.col("nivel") == "provincia") & (F.col("regimen") == "total")
@@ -105,16 +103,15 @@ def model_dataset_v2(av_valid: DataFrame, clima_prov: DataFrame, p: DatasetParam
                   "t_media_c", "precip_media_mm", "hr_media_pct",
                   F.col("_cp_cod").isNull().alias("sin_clima"))
          .filter(F.col("rendimiento").isNotNull() & (F.col("rendimiento") > 0)))
-    d = winsorize_upper(d, "rendimiento", ["cultivo"], p=p.winsor_p, raw_col="rendimiento_raw",
-                        rows_hint=rows_hint)
-    return label_encode(d, ENCODED, rows_hint=rows_hint).select(*FEATURES, TARGET, *META)
+    d = winsorize_upper(d, "rendimiento", ["cultivo"], p=p.winsor_p, raw_col="rendimiento_raw")
+    return label_encode(d, ENCODED).select(*FEATURES, TARGET, *META)
 
 
-def model_dataset_v3(v2: DataFrame, cut_lineage: bool = False, rows_hint: int | None = None) -> DataFrame:
+def model_dataset_v3(v2: DataFrame) -> DataFrame:
     """Final dataset (X10): climate NULLs filled by (province, month) →
     (community, month) → (month) medians, each level on the previous output."""
     levels = [["provincia_enc", "mes"], ["ccaa_enc", "mes"], ["mes"]]
-    return impute_hierarchical(v2, CLIMATE_FEATURES, levels, cut_lineage=cut_lineage, rows_hint=rows_hint)
+    return impute_hierarchical(v2, CLIMATE_FEATURES, levels)
 
 
 class DatasetBuilder:
@@ -128,7 +125,6 @@ class DatasetBuilder:
     """
 
     _written: dict[str, DataFrame] = {}
-    _rows: dict[str, int] = {}
 
     def __init__(self, tables, params: DatasetParams = DatasetParams(), materialize: bool = True):
         self.t = tables
@@ -141,32 +137,22 @@ class DatasetBuilder:
         path = self.t.scratch(f"stage_{name}_{hashlib.md5(repr(self.p).encode()).hexdigest()[:8]}")
         key = f"{id(self.t.spark)}:{path}"
         if key not in DatasetBuilder._written:
-            obs = Observation(f"rows_{name}")
-            build().observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
-            DatasetBuilder._rows[key] = obs.get["n"]
+            build().write.mode("overwrite").parquet(path)
             DatasetBuilder._written[key] = self.t.spark.read.parquet(path)
         return DatasetBuilder._written[key]
 
-    def rows_of(self, name: str) -> int | None:
-        """Row count observed when a stage was written (an upper bound for
-        everything derived from it by filters and 1:1 joins)."""
-        path = self.t.scratch(f"stage_{name}_{hashlib.md5(repr(self.p).encode()).hexdigest()[:8]}")
-        return DatasetBuilder._rows.get(f"{id(self.t.spark)}:{path}")
-
     def av_valid(self) -> DataFrame:
-        return self._mat("av_valid", lambda: validated_avances(self.t.avances(), self.p.iqr_k,
-                                                               self.t.rows.get("avances")))
+        return self._mat("av_valid", lambda: validated_avances(self.t.avances(), self.p.iqr_k))
 
     def clima_prov_v1(self) -> DataFrame:
         return self._mat("cp_v1", lambda: climate_rollup(limited_climate(self.t.clima_mensual())))
 
     def clima_prov_v2(self) -> DataFrame:
-        return self._mat("cp_v2", lambda: climate_rollup(imputed_climate(self.t.clima_mensual(),
-                                                                         self.t.rows.get("clima_mensual"))))
+        return self._mat("cp_v2", lambda: climate_rollup(imputed_climate(self.t.clima_mensual())))
 
     def v1(self) -> DataFrame:
         av = self.av_valid()
-        return model_dataset_v1(av, self.clima_prov_v1(), self.rows_of("av_valid"))
+        return model_dataset_v1(av, self.clima_prov_v1())
 
     def v2(self) -> DataFrame:
         if self.materialize:
@@ -176,9 +162,7 @@ class DatasetBuilder:
             with ThreadPoolExecutor(max_workers=2) as pool:
                 for f in [pool.submit(self.av_valid), pool.submit(self.clima_prov_v2)]:
                     f.result()
-        return self._mat("v2", lambda: model_dataset_v2(self.av_valid(), self.clima_prov_v2(), self.p,
-                                                        self.rows_of("av_valid")))
+        return self._mat("v2", lambda: model_dataset_v2(self.av_valid(), self.clima_prov_v2(), self.p))
 
     def v3(self) -> DataFrame:
-        v2 = self.v2()
-        return model_dataset_v3(v2, rows_hint=self.rows_of("v2"))
+        return model_dataset_v3(self.v2())

@@ -62,7 +62,7 @@ def encode_ctes(src: str, prefix: str) -> str:
     for c in DS.ENCODED:
         parts.append(f"""
 {prefix}_{c} AS (
-  SELECT clase, CAST(row_number() OVER (ORDER BY clase) - 1 AS INTEGER) AS codigo
+  SELECT clase, row_number() OVER (ORDER BY clase) - 1 AS codigo
   FROM (SELECT DISTINCT COALESCE({c}, 'DESCONOCIDO') AS clase FROM {src}))""")
     return ",".join(parts)
 

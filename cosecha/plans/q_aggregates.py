@@ -10,6 +10,7 @@ from ..operators import analysis as AN
 from ..operators import panel as P
 from ..operators import quality as QU
 from ..operators.outliers import detect_anomalies, zscore
+from ..operators.quantiles import join_groups, quantiles
 from ..sources.tables import Tables
 from .oracle import R, with_tables, yield_sql
 from .q_panel import X1_DEFAULT, _x1_sql
@@ -24,10 +25,12 @@ RY = R("prod_avance / NULLIF(sup_avance, 0)", 6)
 
 CLOSES_SQL = """
 closes AS (
-  SELECT * FROM (
-    SELECT cod_provincia, provincia, ccaa, cultivo, periodo_anio, periodo_mes, sup_avance, prod_avance
-    FROM avances WHERE nivel = 'provincia' AND regimen = 'total' AND sup_avance > 0 AND prod_avance IS NOT NULL)
-  QUALIFY row_number() OVER (PARTITION BY cod_provincia, cultivo, periodo_anio ORDER BY periodo_mes DESC) = 1)"""
+  SELECT cod_provincia, unnest(ultimo) FROM (
+    SELECT cod_provincia, max_by({'provincia': provincia, 'ccaa': ccaa, 'cultivo': cultivo,
+             'periodo_anio': periodo_anio, 'periodo_mes': periodo_mes, 'sup_avance': sup_avance,
+             'prod_avance': prod_avance}, periodo_mes) AS ultimo
+    FROM avances WHERE nivel = 'provincia' AND regimen = 'total' AND sup_avance > 0 AND prod_avance IS NOT NULL
+    GROUP BY cod_provincia, cultivo, periodo_anio))"""
 
 
 def _closes(spark, d):
@@ -89,10 +92,10 @@ SELECT cultivo, {R("quantile_cont(r, 0.25)", 6)} AS p25, {R("median(r)", 6)} AS
 FROM (SELECT cultivo, {RY} AS r FROM closes) GROUP BY cultivo""", CLOSES_SQL))
 def q_group_quantiles(spark, d):
     c = _closes(spark, d).withColumn("r", round_half_up(safe_div("prod_avance", "sup_avance"), 6))
-    return c.groupBy("cultivo").agg(
-        round_half_up(F.percentile("r", 0.25), 6).alias("p25"), round_half_up(F.median("r"), 6).alias("p50"),
-        round_half_up(F.percentile("r", 0.75), 6).alias("p75"), round_half_up(F.percentile("r", 0.99), 6).alias("p99"),
-        F.count(F.lit(1)).alias("n"))
+    q = quantiles(c, {"p25": ("r", 0.25), "p50": ("r", 0.5), "p75": ("r", 0.75), "p99": ("r", 0.99)}, ["cultivo"])
+    n = c.groupBy("cultivo").agg(F.count(F.lit(1)).alias("n"))
+    return join_groups(n, q, ["cultivo"]).select(
+        "cultivo", *[round_half_up(x, 6).alias(x) for x in ("p25", "p50", "p75", "p99")], "n")
 
 
 @query("weighted_yield", with_tables(f"""
@@ -524,17 +527,15 @@ def q_series_column(spark, d):
 @query("anomaly_kpis", f"""
 SELECT cultivo, provincia, count(rendimiento) AS observaciones, CAST(count_if(anomalia) AS BIGINT) AS anomalias,
        {R("count_if(anomalia) * 100.0 / count(rendimiento)", 1)} AS pct_anomalias,
-       CAST(sum(CAST(round(rendimiento * 1000000) AS DECIMAL(38,0))) AS DOUBLE) / (count(rendimiento) * 1000000.0) AS media,
-       CASE WHEN count(rendimiento) > 1 THEN sqrt(CAST(count(rendimiento) * sum(CAST(round(rendimiento * 1000000) AS DECIMAL(38,0)) * CAST(round(rendimiento * 1000000) AS DECIMAL(38,0)))
-            - sum(CAST(round(rendimiento * 1000000) AS DECIMAL(38,0))) * sum(CAST(round(rendimiento * 1000000) AS DECIMAL(38,0))) AS DOUBLE)
-            / CAST(count(rendimiento) * (count(rendimiento) - 1) AS DOUBLE)) / 1000000.0 END AS std
+       {R("avg(rendimiento)", 9)} AS media, {R("stddev_samp(rendimiento)", 9)} AS std
 FROM ({_anom_sql(1995, 2001, "AND upper(cultivo) = upper('economy') AND lower(provincia) = lower('NATION_3')", 0, True)})
 GROUP BY cultivo, provincia""")
 def q_anomaly_kpis(spark, d):
     from ..operators.outliers import series_kpis
     b = _anom_base(spark, d, 1995, 2001, "economy", "NATION_3")
     a = detect_anomalies(b, "rendimiento", ["cultivo", "provincia"], "ambos", min_obs=0, keep_all=True)
-    return series_kpis(a, "rendimiento", ["cultivo", "provincia"])
+    return series_kpis(a, "rendimiento", ["cultivo", "provincia"]).withColumns(
+        {c: round_half_up(c, 9) for c in ("media", "std")})
 
 
 _CLOSE_BASE = f"""

@@ -9,7 +9,9 @@ from ..functions.text import MONTHS_ES
 from ..operators import fragments as FR
 from ..operators.analysis import dedup_first
 from ..operators.entities import extract_context
+from ..operators import vector as V
 from ..operators.vector import knn, label_centroids
+from ..session import importable
 from ..sources import tables as TB
 from ..sources.tables import Tables
 from .oracle import R, fold_sql, with_tables
@@ -202,6 +204,58 @@ query("knn_l2", _knn_sql("l2"))(_knn("l2"))
 query("knn_cosine", _knn_sql("cosine"))(_knn("cosine"))
 
 
+def _lsh(spark, d):
+    importable(spark)
+    emb = Tables.get(spark, d).raw("embeddings", "vec_id", "embedding", "label")
+    # Every 50th vector asks, beside the mean of each label.
+    asked = label_centroids(emb).select(F.col("query_id").cast("long").alias("query_id"), "query_vec").unionByName(
+        emb.where("vec_id % 50 = 0").select((F.col("vec_id") + 1000).alias("query_id"), F.transform(
+            "embedding", lambda x: x.cast("double")).alias("query_vec")))
+    return asked, emb
+
+
+@query("knn_lsh")
+def q_knn_lsh(spark, d):
+    asked, emb = _lsh(spark, d)
+    return V.knn_lsh(asked, emb, V.Projections(64), metric="cosine")
+
+
+@query("knn_lsh_recall", """
+SELECT CAST((SELECT count(DISTINCT label) FROM embeddings) + (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0) AS BIGINT)
+         AS n_consultas, TRUE AS recall_suficiente""")
+def q_knn_lsh_recall(spark, d):
+    asked, emb = _lsh(spark, d)
+    r = V.recall(V.knn_lsh(asked, emb, V.Projections(64), metric="cosine"), knn(asked, emb, metric="cosine"))
+    return r.select("n_consultas", (F.col("recall") >= 0.9).alias("recall_suficiente"))
+
+
+@query("knn_context", f"""
+SELECT k.query_id, k.rank, k.vec_id, k.relevancia,
+       '[' || CASE WHEN coalesce(d.source, '') = '' THEN '?' ELSE d.source END
+           || CASE WHEN coalesce(d.lang, '') = '' THEN '' ELSE '|' || d.lang END
+           || '|rel:' || format('{{:.1f}}', k.relevancia) || '%]' AS etiqueta,
+       d.source, d.lang, md5(d.text) AS texto_md5
+FROM ({_knn_sql("cosine")}) k JOIN documents d ON d.doc_id = k.vec_id""")
+def q_knn_context(spark, d):
+    t = Tables.get(spark, d)
+    emb = t.raw("embeddings", "vec_id", "embedding", "label")
+    store = V.write_text_store(t.raw("documents", "doc_id", "text", "source", "lang"), t.scratch("text_store"), "doc_id")
+    top = knn(label_centroids(emb), emb, k=5, metric="cosine")
+    found = V.retrieve(top, store, "vec_id", "doc_id", "text", ["source", "lang"])
+    return found.select("query_id", "rank", "vec_id", "relevancia", "etiqueta", "source", "lang",
+                        F.md5("texto").alias("texto_md5"))
+
+
+@query("fragment_filter", with_tables(f"""
+SELECT id, text, fuente, cultivo, periodo_anio AS anio, periodo_mes AS mes FROM ({NAT_SQL})
+WHERE cultivo = 'SMALL' AND periodo_anio = 1998"""))
+def q_fragment_filter(spark, d):
+    t = Tables.get(spark, d)
+    store = FR.write_typed_store(all_fragments(t), t.scratch("typed_store"))
+    hit = FR.filter_fragments(store, {"fuente": "avances", "nivel": "nacional", "cultivo": "SMALL", "anio": 1998})
+    return hit.select("id", "text", "fuente", "cultivo", "anio", "mes")
+
+
 @query("fragment_counts", with_tables(f"""
 SELECT fuente, count(*) AS n_fragmentos, count(DISTINCT id) AS n_ids FROM (
   SELECT id, fuente FROM ({NAT_SQL}) UNION ALL SELECT id, fuente FROM ({CCAA_SQL})

@@ -105,13 +105,21 @@ def test_period_filter_crossing(spark):
     assert compat == 10 + 2   # the reference drops the middle year (trap Q25)
 
 
-def test_label_codes_distributed_equal_single_task(spark):
-    from cosecha.operators.encode import code_table
-    df = spark.createDataFrame([(f"v{i:05d}",) for i in range(0, 3000, 7)] + [(None,)], "x string")
-    a = sorted(tuple(r) for r in code_table(df, "x").collect())
-    b = sorted(tuple(r) for r in code_table(df, "x", single_task_limit=10).collect())
-    assert a == b
-    assert sorted(r[1] for r in a) == list(range(len(a)))
+def test_label_codes_are_dense_ranks(spark):
+    """NULL has a code, columns do not mix, and codes are long and contiguous over many range partitions."""
+    from cosecha.operators.encode import label_encode, mappings
+    rows = [(f"v{i % 501:05d}", f"w{i % 3}", i) for i in range(0, 3000, 7)] + [(None, "w1", -1), ("v00001", None, -2)]
+    df = spark.createDataFrame(rows, "x string, y string, columna int").repartition(5)
+    codes = mappings(df, ["x", "y"])
+    assert dict(codes.dtypes)["codigo"] == "bigint"
+    for c, at in (("x", 0), ("y", 1)):
+        values = sorted({r[at] or "DESCONOCIDO" for r in rows})
+        assert sorted((r.clase, r.codigo) for r in codes.where(F.col("columna") == c).collect()) == [
+            (v, i) for i, v in enumerate(values)]
+    place = {r.clase: r.codigo for r in codes.where("columna = 'x'").collect()}
+    for r in label_encode(df, ["x", "y"]).collect():
+        assert r.x_enc == place[r.x or "DESCONOCIDO"] and r.y_enc is not None
+    assert label_encode(df.limit(0), ["x"]).count() == 0
 
 
 def test_national_fragment_text(spark):
@@ -138,3 +146,23 @@ def test_drop_sparse_and_kpis(spark):
     k = series_kpis(df.withColumn("g", F.lit(1)), "a", ["g"]).first()
     assert (k.observaciones, k.anomalias, k.media) == (7, 1, 4.0)
     assert math.isclose(k.std, 2.160246899469287, rel_tol=1e-12)
+
+
+def test_kpis_of_very_large_and_very_small_values(spark):
+    from cosecha.operators.outliers import series_kpis
+    rows = [("big", 2e15 * (i + 1) / 2000, False) for i in range(2000)] + [("small", 1e-8 * i, False) for i in (1, 2, 3)]
+    rows += [("one", 5.0, True), ("none", None, False)]
+    got = {r.g: r for r in series_kpis(spark.createDataFrame(rows, "g string, a double, anomalia boolean"), "a", ["g"])
+           .collect()}
+    assert math.isclose(got["big"].media, 1e15 * 2001 / 2000, rel_tol=1e-12) and got["big"].std > 5e14
+    assert math.isclose(got["small"].media, 2e-8, rel_tol=1e-9) and math.isclose(got["small"].std, 1e-8, rel_tol=1e-9)
+    assert got["one"].std is None and got["one"].pct_anomalias == 100.0
+    assert got["none"].media is None and got["none"].pct_anomalias is None
+
+
+def test_rounding_is_done_once(spark):
+    from cosecha.functions.numeric import round_half_up
+    rows = [(0.49999999996, 0, 0.0), (0.285, 2, 0.29), (2.5, 0, 3.0), (-0.5, 0, -1.0), (1.0049999999, 2, 1.0),
+            (1234567.285, 2, 1234567.29), (0.1 + 0.2, 1, 0.3), (1.0000000004999, 9, 1.0), (1e22, 1, 1e22)]
+    for x, digits, want in rows:
+        assert spark.createDataFrame([(x,)], "x double").select(round_half_up("x", digits)).first()[0] == want, x
