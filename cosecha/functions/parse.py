@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..dims import CCAA_NAMES, UNIPROV_CODES
 from .numeric import col_
+from .text import title_case
 
 # Python's float() grammar for plain decimal numbers (digits may be grouped by
 # single underscores).  Java's parser accepts things Python rejects ("1d",
@@ -155,10 +156,10 @@ def parse_params(c) -> Column:
         v = strip_ws(F.regexp_extract(col_(c), LOOSE_FIELD_RE.format(f=f), 1))
         return F.when(v != "", v)
     cultivo = F.when(is_json, js["cultivo"]).otherwise(F.upper(loose("cultivo")))
-    provincia = F.when(is_json, js["provincia"]).otherwise(F.initcap(loose("provincia")))
+    provincia = F.when(is_json, js["provincia"]).otherwise(loose("provincia"))
     return F.struct(
         F.upper(strip_ws(F.coalesce(cultivo, F.lit("")))).alias("cultivo"),
-        F.initcap(strip_ws(F.coalesce(provincia, F.lit("")))).alias("provincia"),
+        title_case(strip_ws(F.coalesce(provincia, F.lit("")))).alias("provincia"),
         F.coalesce(F.when(is_json, js["anio_ini"]), F.lit(REQUEST_DEFAULTS["anio_ini"])).alias("anio_ini"),
         F.coalesce(F.when(is_json, js["anio_fin"]), F.lit(REQUEST_DEFAULTS["anio_fin"])).alias("anio_fin"),
         F.coalesce(F.when(is_json, js["metodo"]), F.lit(REQUEST_DEFAULTS["metodo"])).alias("metodo"))

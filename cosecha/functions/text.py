@@ -78,7 +78,9 @@ def period_label_week(anio, semana) -> Column:
 
 
 def title_case(c) -> Column:
-    return F.initcap(F.lower(col_(c)))
+    """Every run of letters with a capital first and small letters behind (X-s1): "ARABA/ÁLAVA" is "Araba/Álava"."""
+    runs = F.regexp_extract_all(F.lower(col_(c)), F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
+    return F.array_join(F.transform(runs, F.initcap), "")
 
 
 def year_range(c, pattern: str = r"20\d{2}") -> list[Column]:

@@ -52,7 +52,7 @@ def zscore(df: DataFrame, value: str, group: list[str], out: str = "z", digits:
     return join_groups(df, st, group).withColumn(out, round_half_up(z, digits)).drop("_mean", "_std")
 
 
-def detect_anomalies(df: DataFrame, value: str, group: list[str], method: str = "ambos",
+def detect_anomalies(df: DataFrame, value: str, group: list[str], method: str | Column = "ambos",
                      z_thr: float = 2.5, iqr_k: float = 2.0, min_obs: int = 5,
                      keep_all: bool = False) -> DataFrame:
     """Anomalies per group by z-score and/or IQR.
@@ -63,9 +63,9 @@ def detect_anomalies(df: DataFrame, value: str, group: list[str], method: str =
     (unrounded),
     ``q1``, ``q3``, band columns ``lim_inf``/``lim_sup``, ``anomalia`` and the
     label ``tipo`` (alto / bajo by the sign of z).  With ``keep_all=False`` only
-    flagged rows are returned.
+    flagged rows are returned.  ``method`` may be a column: each row by its own.
     """
-    if method not in ("zscore", "iqr", "ambos"):
+    if isinstance(method, str) and method not in ("zscore", "iqr", "ambos"):
         raise ValueError(f"method must be zscore, iqr or ambos, not {method!r}")
     base = df.filter(F.col(value).isNotNull())
     st = (base.groupBy(*group)
@@ -79,7 +79,8 @@ def detect_anomalies(df: DataFrame, value: str, group: list[str], method: str =
     z = F.when(std > 0, (x - F.col("media")) / std)
     by_z = F.coalesce((std > 0) & (F.abs(z) > z_thr), F.lit(False))
     by_iqr = (iqr > 0) & ((x < F.col("q1") - iqr_k * iqr) | (x > F.col("q3") + iqr_k * iqr))
-    flag = {"zscore": by_z, "iqr": by_iqr, "ambos": by_z | by_iqr}[method]
+    m = F.lit(method) if isinstance(method, str) else method
+    flag = F.coalesce((m.isin("zscore", "ambos") & by_z) | (m.isin("iqr", "ambos") & by_iqr), F.lit(False))
     out = (j.withColumn("z", round_half_up(z, 6))
            .withColumn("lim_inf", round_half_up(F.col("q1") - iqr_k * iqr, 9))
            .withColumn("lim_sup", round_half_up(F.col("q3") + iqr_k * iqr, 9))

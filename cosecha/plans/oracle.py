@@ -13,8 +13,11 @@ import re
 
 
 def R(expr: str, digits: int) -> str:
-    """SQL twin of ``round_half_up``: round the DECIMAL value half away from zero."""
-    return f"CAST(ROUND(CAST({expr} AS DECIMAL(38,9)), {digits}) AS DOUBLE)"
+    """SQL twin of ``round_half_up``: the decimal value to about 15 digits, rounded half away from zero."""
+    rounded = lambda scale: f"CAST(ROUND(CAST(v AS DECIMAL(38,{scale})), {digits}) AS DOUBLE)"
+    sizes = " ".join(f"WHEN abs(v) < {size} THEN {rounded(scale)}" for size, scale in
+                     ((1, 15), (10, 14), (100, 13), (1000, 12)))
+    return f"list_transform([CAST({expr} AS DOUBLE)], lambda v: CASE {sizes} ELSE {rounded(9)} END)[1]"
 
 
 def fold_sql(expr: str) -> str:

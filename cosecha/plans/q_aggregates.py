@@ -9,10 +9,11 @@ from ..functions.numeric import round_half_up, safe_div
 from ..operators import analysis as AN
 from ..operators import panel as P
 from ..operators import quality as QU
+from ..operators import requests as RQ
 from ..operators.outliers import detect_anomalies, zscore
 from ..operators.quantiles import join_groups, quantiles
 from ..sources.tables import Tables
-from .oracle import R, with_tables, yield_sql
+from .oracle import R, fold_sql, with_tables, yield_sql
 from .q_panel import X1_DEFAULT, _x1_sql
 from .registry import query
 
@@ -419,6 +420,100 @@ def q_anomalies_series(spark, d):
                             keep_all=True).select(*ANOM_COLS)
 
 
+# Requests made of the panel's own names: a part of each crop's name, in turn with a part of a province's name, with
+# each method; and one for everything.
+_ANOM_REQ_SQL = """
+SELECT cultivo AS req_id, substr(cultivo, 1, 1 + length(cultivo) % 4) AS c,
+       CASE WHEN length(cultivo) % 2 = 0 THEN substr(max(provincia), 3, 6) ELSE '' END AS p,
+       1994 + length(cultivo) % 3 AS a0, 2001 AS a1,
+       CASE length(cultivo) % 3 WHEN 0 THEN 'zscore' WHEN 1 THEN 'iqr' ELSE 'ambos' END AS m
+FROM avances WHERE nivel = 'provincia' GROUP BY cultivo
+UNION ALL SELECT '*', '', '', 1995, 2001, 'iqr'"""
+
+
+@query("anomaly_requests", with_tables(f"""
+SELECT req_id, m AS metodo, cultivo, provincia, anio, mes, y AS rendimiento,
+       {R("CASE WHEN sd > 0 THEN (y - mu) / sd END", 6)} AS z, {R("mu", 4)} AS media, {R("sd", 4)} AS std,
+       CASE WHEN sd > 0 AND y > mu THEN 'alto' ELSE 'bajo' END AS tipo,
+       (SELECT count(*) FROM base b WHERE b.req_id = base.req_id) AS n_filas
+FROM base JOIN g USING (req_id, cultivo, provincia)
+WHERE (m <> 'iqr' AND sd > 0 AND abs(y - mu) / sd > 2.5)
+   OR (m <> 'zscore' AND hi > lo AND (y < lo - 2 * (hi - lo) OR y > hi + 2 * (hi - lo)))""", f"""
+req AS ({_ANOM_REQ_SQL}),
+base AS (
+  SELECT r.req_id, r.m, a.cultivo, a.provincia, a.periodo_anio AS anio, a.periodo_mes AS mes, {RY} AS y
+  FROM avances a JOIN req r ON a.periodo_anio BETWEEN r.a0 AND r.a1
+    AND contains(upper(a.cultivo), upper(r.c)) AND contains(lower(a.provincia), lower(r.p))
+  WHERE nivel = 'provincia' AND regimen = 'total' AND sup_avance > 0 AND prod_avance IS NOT NULL),
+g AS (
+  SELECT req_id, cultivo, provincia, avg(y) AS mu, stddev_samp(y) AS sd, quantile_cont(y, 0.25) AS lo,
+         quantile_cont(y, 0.75) AS hi
+  FROM base GROUP BY ALL HAVING count(y) >= 5)"""))
+def q_anomaly_requests(spark, d):
+    a = _t(spark, d).avances()
+    n = F.length("cultivo")
+    req = a.where("nivel = 'provincia'").groupBy("cultivo").agg(F.max("provincia").alias("p")).select(
+        F.col("cultivo").alias("req_id"), F.col("cultivo").substr(F.lit(1), 1 + n % 4).alias("cultivo"),
+        F.when(n % 2 == 0, F.substring("p", 3, 6)).otherwise("").alias("provincia"),
+        (1994 + n % 3).alias("anio_ini"), F.lit(2001).alias("anio_fin"),
+        F.element_at(F.array(F.lit("zscore"), F.lit("iqr"), F.lit("ambos")), n % 3 + 1).alias("metodo"))
+    req = req.unionByName(spark.createDataFrame([("*", "", "", 1995, 2001, "iqr")], req.schema))
+    return RQ.anomaly_requests(a, req)
+
+
+# One map for each province: its own region, a part of a crop's name, a period that turns the year for some.
+_REGION_REQ_SQL = """
+SELECT cod_provincia AS req_id, lower(substr(max(cultivo), 1, 1 + cod_provincia % 3)) AS c, 1995 + cod_provincia % 3 AS a0,
+       1999 AS a1, CASE WHEN cod_provincia % 4 = 0 THEN 9 ELSE 1 END AS m0,
+       CASE WHEN cod_provincia % 4 = 0 THEN 4 ELSE 12 END AS m1,
+       CASE WHEN cod_provincia % 5 = 1 THEN max(ccaa) END AS named, cod_provincia AS target
+FROM avances WHERE nivel = 'provincia' GROUP BY cod_provincia
+UNION ALL SELECT -1, 'small', 1996, 1998, 1, 12, NULL, NULL"""
+
+
+@query("expand_region_x1", with_tables(f"""
+SELECT area.req_id, provincia, area.cod_provincia, n_cultivos, n_periodos, {R("s", 0)} AS sup_total_ha,
+       {R(yield_sql("p", "s"), 1)} AS rend_kg_ha, {R("t", 1)} AS temp_media_c, {R("w", 1)} AS precip_media_mm,
+       {R("h", 1)} AS hr_media_pct, coalesce(area.cod_provincia = target, FALSE) AS es_objetivo
+FROM area LEFT JOIN clima ON clima.req_id = area.req_id AND clima.cod_provincia = area.cod_provincia""", f"""
+req AS (
+  SELECT r.*, CASE WHEN m0 > m1 AND a0 < a1 THEN 12 * a0 + m0 END AS x0, 12 * a1 + m1 AS x1,
+         coalesce(named, (SELECT min_by(ccaa, (periodo_anio, periodo_mes, cultivo)) FROM avances h
+                          WHERE h.nivel = 'provincia' AND h.ccaa IS NOT NULL AND h.cod_provincia = r.target)) AS home
+  FROM ({_REGION_REQ_SQL}) r),
+seen AS (
+  SELECT r.req_id, r.target, a.*, contains(upper(cultivo), 'TOTAL') AS total
+  FROM avances a JOIN req r ON contains({fold_sql("cultivo")}, {fold_sql("r.c")})
+   AND (home IS NULL OR contains(upper(ccaa), upper(string_split(replace(home, 'La ', ''), ' ')[1])))
+   AND CASE WHEN x0 IS NULL THEN periodo_anio BETWEEN a0 AND a1 AND periodo_mes BETWEEN m0 AND m1
+            ELSE 12 * periodo_anio + periodo_mes BETWEEN x0 AND x1 END
+  WHERE nivel = 'provincia' AND cod_provincia IS NOT NULL AND sup_avance > 0 AND prod_avance IS NOT NULL),
+last AS (
+  SELECT req_id, target, cod_provincia, cultivo, periodo_anio,
+         max_by({{'provincia': provincia, 's': sup_avance, 'p': prod_avance}}, periodo_mes) AS x
+  FROM seen WHERE total = (SELECT bool_or(total) FROM seen o WHERE o.req_id = seen.req_id) GROUP BY ALL),
+area AS (
+  SELECT req_id, target, cod_provincia, x.provincia AS provincia, count(DISTINCT cultivo) AS n_cultivos,
+         count(DISTINCT periodo_anio) AS n_periodos, sum(x.s) AS s, sum(x.p) AS p FROM last GROUP BY ALL),
+clima AS (
+  SELECT r.req_id, k.cod_provincia, avg(t_media_c) AS t, avg(precip_media_mm) AS w, avg(hr_media_pct) AS h
+  FROM clima_provincial k JOIN req r ON k.mes BETWEEN 1 AND 12 AND
+    CASE WHEN x0 IS NULL THEN anio BETWEEN a0 AND a1 AND mes BETWEEN m0 AND m1 ELSE 12 * anio + mes BETWEEN x0 AND x1 END
+  GROUP BY ALL)"""))
+def q_expand_region_x1(spark, d):
+    t = _t(spark, d)
+    k = F.col("cod_provincia")
+    turn = k % 4 == 0
+    req = t.avances().where("nivel = 'provincia'").groupBy("cod_provincia").agg(
+        F.max("cultivo").alias("c"), F.max("ccaa").alias("named")).select(
+        k.alias("req_id"), F.lower(F.col("c").substr(F.lit(1), 1 + k % 3)).alias("cultivo"),
+        (1995 + k % 3).alias("anio_ini"), F.lit(1999).alias("anio_fin"), F.when(turn, 9).otherwise(1).alias("mes_ini"),
+        F.when(turn, 4).otherwise(12).alias("mes_fin"), F.when(k % 5 == 1, F.col("named")).alias("ccaa"),
+        k.alias("cod_provincia"))
+    req = req.unionByName(spark.createDataFrame([(-1, "small", 1996, 1998, 1, 12, None, None)], req.schema))
+    return RQ.region_requests(t.avances(), t.clima_provincial(), req)
+
+
 @query("cumulative_overcount", with_tables(f"""
 SELECT cod_provincia, cultivo, periodo_anio, count(*) AS n_meses, sum(sup_avance) AS sup_sum_meses,
        max_by(sup_avance, periodo_mes) AS sup_cierre,

@@ -10,7 +10,8 @@ from ..functions import parse as PZ
 from ..functions import text as TX
 from ..functions.numeric import round_half_up
 from ..operators import clean as CL
-from ..operators.climate import apply_physical_limits, physical_limit_counts, sparse_columns
+from ..operators.climate import (apply_physical_limits, drop_sparse_columns, physical_limit_counts,
+                                 sparse_columns)
 from ..sources import tables as TB
 from ..sources.tables import Tables
 from .oracle import R, fold_sql, with_tables
@@ -268,6 +269,11 @@ def q_physical_limit_counts(spark, d):
     return physical_limit_counts(Tables.get(spark, d).clima_mensual())
 
 
+def _title_sql(x):
+    return (f"array_to_string(list_transform(string_split({x}, ' '), "
+            f"lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')")
+
+
 SPARSE_COLS = ["t_media", "t_max_abs", "t_min_abs", "t_max_med", "t_min_med", "precip_mm",
                "dias_precip", "horas_sol", "hr_media"]
 
@@ -280,6 +286,27 @@ def q_drop_sparse_cols(spark, d):
     return s.select("columna", round_half_up("ratio_nulos", 6).alias("ratio_nulos"), "descartar")
 
 
+@query("drop_sparse_table", with_tables("""
+SELECT indicativo, anio, mes, t_media, t_max_med, t_min_med, precip_mm, hr_media FROM clima_mensual"""))
+def q_drop_sparse_table(spark, d):
+    """The table without its sparse columns: which these are is found in the data."""
+    cm = Tables.get(spark, d).clima_mensual().select("indicativo", "anio", "mes", *SPARSE_COLS)
+    return drop_sparse_columns(cm, SPARSE_COLS)
+
+
+_MIXED = "p_type || '-' || upper(p_brand) || '/' || p_name || ' ÁLAVA o''neil'"
+
+
+@query("str_title", f"""
+SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(lower({_MIXED}), '[a-záéíóúüñ]+|[^a-záéíóúüñ]+'),
+         lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), '') AS titulo,
+       {_title_sql("p_name")} AS nombre_titulo FROM part""")
+def q_str_title(spark, d):
+    p = Tables.get(spark, d).raw("part", "p_partkey", "p_name", "p_type", "p_brand")
+    return p.select("p_partkey", TX.title_case(F.expr(_MIXED.replace("''", "\\'"))).alias("titulo"),
+                    TX.title_case("p_name").alias("nombre_titulo"))
+
+
 # ------------------------------------------------------------------ scalars
 @query("str_case", """
 SELECT conv_id, turn, upper(role) AS rol_upper, lower(role) AS rol_lower,
@@ -440,11 +467,6 @@ def _requests(spark, d):
     return a.select("cultivo", "provincia", req.alias("peticion"))
 
 
-def _title_sql(x):
-    return (f"array_to_string(list_transform(string_split({x}, ' '), "
-            f"lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')")
-
-
 def _parse_params_sql():
     k = "(length(cultivo) + length(provincia) + ascii(substr(provincia, -1, 1))) % 3"
     req = (f"CASE WHEN {k} = 0 THEN '{{\"cultivo\": \"' || lower(cultivo) || '\", \"provincia\": \"' || "

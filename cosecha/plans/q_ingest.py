@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.parse import EU_NULL_TOKENS
+from ..functions.text import MONTHS_ES
 from ..operators import clean as CL
 from ..operators import quality as QU
 from ..sources import cells as CE
@@ -57,13 +58,92 @@ def q_unpivot_regimen(spark, d):
     return out.filter(F.col("periodo_anio") == SRT_YEAR).select(*ADV_COLS)
 
 
-@query("cells_to_rows")
+# ------------------------------------------- all measures, broken sheets
+MEASURES = list(CE.FORMAT_A)
+FULL_COLS = [c for c in ADV_COLS if c not in ("sup_avance", "prod_avance")] + MEASURES
+_MONTH_FILE = f"list_extract({list(MONTHS_ES)}, periodo_mes)"
+_FILE_SQL = (f"'cuaderno_' || {_MONTH_FILE} || CAST(periodo_anio AS VARCHAR) || "
+             f"CASE WHEN periodo_anio = {SRT_YEAR} THEN '.xlsm' ELSE '.xls' END")
+_SHEET_SQL = f"cultivo || CASE WHEN periodo_anio = {SRT_YEAR} THEN ' S/R/T-SRT' ELSE '' END"
+_BROKEN_SQL = f"""CASE WHEN (length(cultivo) + periodo_anio + periodo_mes) % 11 = 0 THEN 'sin_cabecera'
+  WHEN (length(cultivo) + periodo_anio + periodo_mes) % 11 = 1 AND periodo_anio <> {SRT_YEAR} THEN 'faltan_columnas' END"""
+_UNNAMED_SQL = "(periodo_anio % 5 = 3 AND periodo_mes = 2)"
+
+
+def _full_expected(where: str, source: str, indices: bool) -> str:
+    from ..dims import PROV_TO_CCAA, values_sql
+    index = (lambda e: e) if indices else (lambda e: "CAST(NULL AS DOUBLE)")
+    return with_tables(f"""
+SELECT a.periodo_anio, a.periodo_mes, a.cultivo, a.regimen, a.nivel, a.cod_provincia, a.provincia,
+       CASE WHEN a.nivel = 'provincia' THEN COALESCE(m.ccaa_map, 'DESCONOCIDA') ELSE 'ESPAÑA' END AS ccaa,
+       a.periodo_anio - 2 AS anio_definitivo, a.periodo_anio - 1 AS anio_provisional,
+       a.periodo_anio AS anio_avance, a.periodo_mes AS mes_avance,
+       sup - 20.0 AS sup_definitivo, sup - 10.0 AS sup_provisional, sup AS sup_avance,
+       {index("a.periodo_mes % 7 + CAST(100.5 AS DOUBLE)")} AS sup_indice,
+       prod + 0.25 AS prod_definitivo, prod + 0.5 AS prod_provisional, prod AS prod_avance,
+       {index("a.periodo_mes % 5 + CAST(90.0 AS DOUBLE)")} AS prod_indice
+FROM ({source}) a LEFT JOIN {values_sql(PROV_TO_CCAA, 'cod', 'ccaa_map')} m ON a.cod_provincia = m.cod
+WHERE a.nivel IN ('provincia', 'nacional') AND {where} AND ({_BROKEN_SQL}) IS NULL AND NOT {_UNNAMED_SQL}""")
+
+
+_ONE_REGIME = "SELECT *, sup_avance AS sup, prod_avance AS prod FROM avances"
+_THREE_REGIMES = """
+SELECT a.* EXCLUDE (regimen), r.regimen, sup_avance * r.parte AS sup, prod_avance * r.parte AS prod
+FROM avances a JOIN (VALUES ('secano', CAST(0.25 AS DOUBLE)), ('regadio', CAST(0.75 AS DOUBLE)),
+                            ('total', CAST(1.0 AS DOUBLE))) r(regimen, parte)
+  ON NOT (r.regimen = 'secano' AND coalesce(cod_provincia % 3, 1) = 0)"""
+
+
+@query("extract_format_a_full", _full_expected(f"a.periodo_anio <> {SRT_YEAR}", _ONE_REGIME, True))
+def q_extract_format_a_full(spark, d):
+    rows = CE.ingest_isolated(Tables.get(spark, d).landed_full_cells(SRT_YEAR)).filter("tipo = 'registro'")
+    return rows.filter(F.col("periodo_anio") != SRT_YEAR).select(*FULL_COLS)
+
+
+@query("unpivot_regimen_full", _full_expected(f"a.periodo_anio = {SRT_YEAR}", _THREE_REGIMES, False))
+def q_unpivot_regimen_full(spark, d):
+    rows = CE.ingest_isolated(Tables.get(spark, d).landed_full_cells(SRT_YEAR)).filter("tipo = 'registro'")
+    return rows.filter(F.col("periodo_anio") == SRT_YEAR).select(*FULL_COLS)
+
+
+@query("quarantine_sheets", with_tables(f"""
+SELECT DISTINCT {_FILE_SQL} AS file, {_SHEET_SQL} AS sheet, {_BROKEN_SQL} AS motivo FROM avances
+WHERE ({_BROKEN_SQL}) IS NOT NULL AND NOT {_UNNAMED_SQL}"""))
+def q_quarantine_sheets(spark, d):
+    t = Tables.get(spark, d)
+    store, _ = LD.write_isolated(CE.ingest_isolated(t.landed_full_cells(SRT_YEAR)), t.scratch("isolated"))
+    return store.filter("tipo = 'hoja' and motivo is not null").select("file", "sheet", "motivo")
+
+
+@query("ingest_summary", with_tables(f"""
+SELECT (SELECT count(DISTINCT {_FILE_SQL}) FROM avances WHERE NOT {_UNNAMED_SQL}) AS archivos_ok,
+       (SELECT count(DISTINCT periodo_anio) FROM avances WHERE {_UNNAMED_SQL}) AS archivos_error,
+       (SELECT count(DISTINCT ({_FILE_SQL}, {_SHEET_SQL})) FROM avances
+        WHERE ({_BROKEN_SQL}) IS NULL AND NOT {_UNNAMED_SQL}) AS hojas_ok,
+       (SELECT count(DISTINCT ({_FILE_SQL}, {_SHEET_SQL})) FROM avances
+        WHERE ({_BROKEN_SQL}) IS NOT NULL AND NOT {_UNNAMED_SQL}) AS hojas_error,
+       (SELECT count(*) FROM ({_ONE_REGIME}) WHERE nivel IN ('provincia', 'nacional') AND periodo_anio <> {SRT_YEAR}
+        AND ({_BROKEN_SQL}) IS NULL AND NOT {_UNNAMED_SQL})
+       + (SELECT count(*) FROM ({_THREE_REGIMES}) WHERE nivel IN ('provincia', 'nacional') AND periodo_anio = {SRT_YEAR}
+          AND ({_BROKEN_SQL}) IS NULL AND NOT {_UNNAMED_SQL}) AS registros"""))
+def q_ingest_summary(spark, d):
+    t = Tables.get(spark, d)
+    _, summary = LD.write_isolated(CE.ingest_isolated(t.landed_full_cells(SRT_YEAR)), t.scratch("isolated"))
+    return summary
+
+
+@query("cells_to_rows", with_tables(f"""
+SELECT {_FILE_SQL} AS file, {_SHEET_SQL} AS sheet,
+       count(*) + CASE WHEN periodo_anio = {SRT_YEAR} THEN 4 ELSE 5 END AS filas
+FROM avances GROUP BY periodo_anio, periodo_mes, cultivo"""))
 def q_cells_to_rows(spark, d):
     cells = CE.filter_sheets(_adv_cells(Tables.get(spark, d)))
     return CE.pivot_rows(cells).groupBy("file", "sheet").agg(F.count(F.lit(1)).alias("filas"))
 
 
-@query("sheet_filter")
+@query("sheet_filter", with_tables(f"""
+SELECT DISTINCT {_FILE_SQL} AS file, {_SHEET_SQL} AS sheet, TRUE AS conservada FROM avances
+UNION ALL SELECT DISTINCT {_FILE_SQL}, 'portada', FALSE FROM avances"""))
 def q_sheet_filter(spark, d):
     cells = _adv_cells(Tables.get(spark, d))
     kept = CE.filter_sheets(cells).select("file", "sheet").distinct().withColumn("conservada", F.lit(True))
@@ -122,6 +202,21 @@ def q_src_files(spark, d):
     return LD.discover_files(spark, path, "*.txt")
 
 
+@query("src_files_lines", with_tables("""
+SELECT count(DISTINCT (indicativo, anio)) AS lineas, CAST(0 AS BIGINT) AS sin_archivo, TRUE AS bytes_iguales
+FROM clima_mensual"""))
+def q_src_files_lines(spark, d):
+    t = Tables.get(spark, d)
+    path = LD.land_climate_json(t.clima_mensual(), t.scratch("clima_json_lineas"))
+    files = LD.discover_files(spark, path, "*.txt").select("path", "length")
+    # Every line is in one listed file, and the listed lengths are those of the lines.
+    lines = (spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.octet_length("value").alias("b"))
+             .groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("b") + 1).alias("b")))
+    j = lines.join(files, "path", "left")
+    return j.agg(F.sum("n").alias("lineas"), F.count_if(F.col("length").isNull()).alias("sin_archivo"),
+                 (F.sum("b") == F.sum("length")).alias("bytes_iguales"))
+
+
 @query("roundtrip_parquet", with_tables(f"SELECT {', '.join(DS.FEATURES + [DS.TARGET] + DS.META)} FROM v2",
                                         OD.v2_ctes()))
 def q_roundtrip_parquet(spark, d):
@@ -176,8 +271,11 @@ SELECT indicativo, anio, mes, t_media + 1.0 FROM clima_mensual WHERE anio = 2000
 def q_upsert_station_year(spark, d):
     t = Tables.get(spark, d)
     cm = t.clima_mensual().select("indicativo", "anio", "mes", "t_media")
+    path = t.scratch("clima_store")
+    LD.write_bucketed(cm, path, ["indicativo", "anio"])
     delivery = cm.filter((F.col("anio") == 2000) & (F.col("mes") <= 6)).withColumn("t_media", F.col("t_media") + 1.0)
-    return LD.replace_by_key(cm, delivery, ["indicativo", "anio"], ["indicativo", "anio", "mes"])
+    store = LD.upsert_bucketed(spark, path, delivery, ["indicativo", "anio"], ["indicativo", "anio", "mes"])
+    return store.drop("_cubo")
 
 
 @query("refresh_stations", with_tables("SELECT * FROM estaciones"))
@@ -324,8 +422,8 @@ def q_stream_redelivery(spark, d):
     t = Tables.get(spark, d)
     run = t.scratch(f"stream_{uuid.uuid4().hex[:8]}")
     av = t.avances()
-    for part in period_deliveries(av, 2000):
-        deliver(part, f"{run}/landing")
+    for version, part in period_deliveries(av, 2000):
+        deliver(part, f"{run}/landing", version)
     out = run_redelivery_stream(spark, f"{run}/landing", f"{run}/store", f"{run}/_checkpoint",
                                 ["periodo_anio", "periodo_mes"], av.schema)
     return out.select(*_AV_KEYS)

@@ -72,6 +72,41 @@ def filter_sheets(cells: DataFrame) -> DataFrame:
     return cells.filter(keep)
 
 
+# ---------------------------------------------------------------- isolation
+def sheet_errors(cells: DataFrame) -> DataFrame:
+    """(file, sheet, motivo) of every kept sheet; motivo is NULL for one that can be read.
+
+    A sheet is broken if the cells that its format addresses lie outside its
+    used range: the years and month of the header (Format A: row 6, column 4;
+    Format B: row 5, column 3), or, in Format A with data rows, column 9.
+    """
+    b = F.col("sheet").contains("-SRT")
+    data = (F.col("row") >= 8) & (F.col("col") == 0) & (classify_row("value")["tipo"] != "skip")
+    used = cells.groupBy("file", "sheet").agg(F.max("row").alias("rows"), F.max("col").alias("cols"),
+                                              F.count_if(data).alias("data"))
+    short = F.when(b, (F.col("rows") < 5) | (F.col("cols") < 3)).otherwise((F.col("rows") < 6) | (F.col("cols") < 4))
+    motivo = F.when(short, "sin_cabecera").when(~b & (F.col("data") > 0) & (F.col("cols") < 9), "faltan_columnas")
+    return used.select("file", "sheet", motivo.alias("motivo"))
+
+
+def ingest_isolated(cells: DataFrame) -> DataFrame:
+    """Every advance row, sheet and file in one table: a broken sheet costs only itself.
+
+    ``tipo`` is ``registro`` (a row of the panel), ``hoja`` (a kept sheet of a
+    readable file, with its error if it has one) or ``archivo`` (likewise).
+    """
+    files = parse_period(cells.select("file").distinct(), "file", months_df(cells.sparkSession))
+    readable = files.filter(F.col("error").isNull()).select("file")
+    sheets = sheet_errors(filter_sheets(cells).join(readable, "file", "left_semi"))
+    good = sheets.filter(F.col("motivo").isNull()).select("file", "sheet")
+    # Covers and index sheets go anyway; broken sheets go before anything reads them.
+    rows, _ = ingest_advances(cells.join(good, ["file", "sheet"], "left_semi"))
+    out = rows.withColumn("tipo", F.lit("registro"))
+    out = out.unionByName(sheets.withColumn("tipo", F.lit("hoja")), allowMissingColumns=True)
+    return out.unionByName(files.select("file", F.col("error").alias("motivo"), F.lit("archivo").alias("tipo")),
+                           allowMissingColumns=True)
+
+
 # ---------------------------------------------------------------- advances
 def ingest_advances(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Advance workbooks → (avances rows, quarantine).
@@ -197,6 +232,66 @@ def render_advances(avances: DataFrame, last_year_srt: int | None = None) -> Dat
     return data_cells.unionByName(hdr_cells).unionByName(cover)
 
 
+# Where the eight measures of Format A and the regimes of Format B stand.
+FORMAT_A = {"sup_definitivo": 2, "sup_provisional": 3, "sup_avance": 4, "sup_indice": 5,
+            "prod_definitivo": 7, "prod_provisional": 8, "prod_avance": 9, "prod_indice": 10}
+FORMAT_B = {"secano": (1, 11), "regadio": (4, 14), "total": (7, 17)}  # first area and first production column
+SHARES = {"secano": 0.25, "regadio": 0.75, "total": 1.0}
+
+
+def full_measures(sup: Column, prod: Column, mes: Column) -> dict[str, Column]:
+    """All eight measures of a row from its advance area and production."""
+    return {"sup_definitivo": sup - 20.0, "sup_provisional": sup - 10.0, "sup_avance": sup,
+            "sup_indice": F.pmod(mes, F.lit(7)) + 100.5, "prod_definitivo": prod + 0.25,
+            "prod_provisional": prod + 0.5, "prod_avance": prod, "prod_indice": F.pmod(mes, F.lit(5)) + 90.0}
+
+
+def render_full(avances: DataFrame, srt_year: int) -> DataFrame:
+    """``render_advances`` with every measure and regime, and with sheets that arrive broken.
+
+    Format A sheets have all eight measures.  Format B sheets have three
+    regimes (rain-fed is empty for provinces whose code is divisible by
+    three).  By length of crop name plus year plus month modulo 11, sheets
+    with 0 end before their header does, and Format A sheets with 1 have lost
+    the columns from 7 on.  Books of February in years that leave 3 modulo 5
+    have a name without a month.
+    """
+    plain = render_advances(avances, srt_year)
+    a = avances
+    names = F.array(*[F.lit(m) for m in MONTHS_ES])
+    b = F.col("periodo_anio") == srt_year
+    year, month = F.col("periodo_anio"), F.col("periodo_mes")
+    file = F.concat(F.lit("cuaderno_"), F.element_at(names, month), year.cast("string"),
+                    F.when(b, ".xlsm").otherwise(".xls"))
+    sheet = F.when(b, F.concat(F.col("cultivo"), F.lit(" S/R/T-SRT"))).otherwise(F.col("cultivo"))
+    order = F.when(F.col("nivel") == "ccaa", 0).when(F.col("nivel") == "provincia", 1).otherwise(2)
+    w = Window.partitionBy("periodo_anio", "periodo_mes", "cultivo").orderBy(order, "ccaa", "cod_provincia")
+    base = a.select("*", file.alias("_file"), sheet.alias("_sheet"), (F.row_number().over(w) + 9).alias("_row"))
+    f, s, r = F.col("_file"), F.col("_sheet"), F.col("_row")
+    cells = []
+    for name, value in full_measures(F.col("sup_avance"), F.col("prod_avance"), month).items():
+        cells.append(F.when(~b, _cell(f, s, r, FORMAT_A[name], value)))
+    for regimen, (sup_col, prod_col) in FORMAT_B.items():
+        dry = (F.lit(regimen) == "secano") & (F.coalesce(F.pmod("cod_provincia", F.lit(3)), F.lit(1)) == 0)
+        own = full_measures(F.col("sup_avance") * SHARES[regimen], F.col("prod_avance") * SHARES[regimen], month)
+        for i, kind in enumerate(("definitivo", "provisional", "avance")):
+            cells.append(F.when(b & ~dry, _cell(f, s, r, sup_col + i, own[f"sup_{kind}"])))
+            cells.append(F.when(b & ~dry, _cell(f, s, r, prod_col + i, own[f"prod_{kind}"])))
+    measures = (base.select(F.explode(F.array(*cells)).alias("c")).filter(F.col("c").isNotNull()).select("c.*")
+                .filter(F.col("value").isNotNull()))
+    everything = plain.filter((F.col("row") < 10) | (F.col("col") == 0)).unionByName(measures)
+    key = base.select(
+        F.col("_file").alias("file"), F.col("_sheet").alias("sheet"), b.alias("b"),
+        F.pmod(F.length("cultivo") + year + month, F.lit(11)).alias("k")).distinct()
+    books = base.select(F.col("_file").alias("file"), year.cast("string").alias("y"),
+                        ((F.pmod(year, F.lit(5)) == 3) & (month == 2)).alias("unnamed")).distinct()
+    j = everything.join(key, ["file", "sheet"], "left").join(books, "file")  # covers have no key
+    kept = F.coalesce(~((F.col("k") == 0) & (F.col("row") >= 5)) & ~((F.col("k") == 1) & ~F.col("b") & (F.col("col") >= 7)),
+                      F.lit(True))
+    named = F.when(F.col("unnamed"), F.concat(F.lit("cuaderno_foo"), F.col("y"), F.lit(".xls"))).otherwise(F.col("file"))
+    return j.filter(kept).select(named.alias("file"), "sheet", "row", "col", "value")
+
+
 # ------------------------------------------------------------------- prices
 def detect_report_meta(cells: DataFrame, year_re: str = YEAR_RE, strict: bool = False) -> DataFrame:
     """Week, previous week, year and date ranges per price workbook.

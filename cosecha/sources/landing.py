@@ -11,7 +11,7 @@ partition and idempotent on re-delivery.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.parse import float_climate, normalise_climate, py_float
@@ -86,10 +86,47 @@ def replace_partitions(spark: SparkSession, delivery: DataFrame, path: str, keys
 
 def replace_by_key(existing: DataFrame, delivery: DataFrame, delete_keys: list[str], pk: list[str]) -> DataFrame:
     """Delete every existing row whose ``delete_keys`` appear in the delivery,
-    then append the delivery (S9); the result must be unique on ``pk``."""
-    keys = delivery.select(*delete_keys).distinct()
-    kept = existing.join(keys, delete_keys, "left_anti")
-    return assert_unique(kept.unionByName(delivery.select(*existing.columns)), pk)
+    then append the delivery (S9).
+
+    ``pk`` contains ``delete_keys``, so a kept row can never share its key with
+    a delivered one: the delivery alone has to be unique, and reading fails if
+    it isn't.
+    """
+    missing = set(delete_keys) - set(pk)
+    if missing:
+        raise ValueError(f"the primary key lacks {sorted(missing)}")
+    keys = delivery.select(*[F.col(k).alias(f"_{k}") for k in delete_keys]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in delete_keys]
+    kept = existing.join(keys, same, "left_anti")
+    return kept.unionByName(assert_unique(delivery.select(*existing.columns), pk))
+
+
+def _bucket(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int")
+
+
+def write_bucketed(df: DataFrame, path: str, keys: list[str], buckets: int = 64) -> DataFrame:
+    """A keyed store: one folder (``_cubo``) for each bucket of the hash of ``keys``."""
+    spark = df.sparkSession
+    (df.withColumn("_cubo", _bucket(keys, buckets)).hint("rebalance", "_cubo").write.mode("overwrite")
+     .option("partitionOverwriteMode", "static").partitionBy("_cubo").parquet(path))
+    return spark.read.parquet(path)
+
+
+def upsert_bucketed(spark: SparkSession, path: str, delivery: DataFrame, delete_keys: list[str], pk: list[str],
+                    buckets: int = 64) -> DataFrame:
+    """``replace_by_key`` on a keyed store, reading and rewriting only the buckets that the delivery touches.
+
+    The bucket numbers, at most ``buckets`` integers, come to the driver and
+    prune the store's folders.  Running a delivery again gives the same store.
+    """
+    cubo = _bucket(delete_keys, buckets)
+    touched = sorted(r[0] for r in delivery.select(cubo).distinct().collect())
+    store = spark.read.parquet(path)
+    old = store.where(F.col("_cubo").isin(touched)) if touched else store.limit(0)
+    new = replace_by_key(old, delivery.withColumn("_cubo", cubo), delete_keys, pk)
+    (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_cubo").parquet(path))
+    return spark.read.parquet(path)
 
 
 def assert_unique(df: DataFrame, pk: list[str]) -> DataFrame:
@@ -142,6 +179,26 @@ def export_frames(frames: dict[str, DataFrame], root: str, info: dict[str, str]
     return spark.createDataFrame(written, "nombre string, filas long")
 
 
+def write_isolated(rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Write good and bad rows of an isolated ingestion in one pass.
+
+    Returns the store, in one folder per ``tipo``, and the run summary: files
+    read and failed, sheets read and failed, rows.  The counts are observed
+    while the rows are written.
+    """
+    seen = Observation("ingestion")
+    of = lambda tipo, bad: F.count_if(
+        (F.col("tipo") == tipo) & (F.col("motivo").isNotNull() if bad else F.col("motivo").isNull()))
+    counts = {"archivos_ok": of("archivo", False), "archivos_error": of("archivo", True), "hojas_ok": of("hoja", False),
+              "hojas_error": of("hoja", True), "registros": of("registro", False)}
+    (rows.observe(seen, *[c.alias(n) for n, c in counts.items()]).write.mode("overwrite").partitionBy("tipo")
+     .parquet(path))
+    spark = rows.sparkSession
+    got = seen.get
+    summary = spark.createDataFrame([tuple(got[n] for n in counts)], ", ".join(f"{n} long" for n in counts))
+    return spark.read.schema(rows.schema).parquet(path), summary
+
+
 def quarantine_numbers(df: DataFrame, raw: str, null_tokens: tuple[str, ...]) -> DataFrame:
     """Cells that are not a NULL token and do not parse as a number (S16),
     counted by reason; good rows continue, bad rows are kept for review."""

@@ -120,6 +120,11 @@ class Tables:
         from .cells import render_advances
         return self._derived(f"cells_avances_{srt_year}", lambda: render_advances(self.avances(), srt_year))
 
+    def landed_full_cells(self, srt_year: int = 2001) -> DataFrame:
+        """``landed_advance_cells`` with all measures and regimes and with broken sheets and file names."""
+        from .cells import render_full
+        return self._derived(f"cells_full_{srt_year}", lambda: render_full(self.avances(), srt_year))
+
     def landed_price_cells(self) -> DataFrame:
         """Weekly prices laid out as report workbook cells, landed as Parquet."""
         from .cells import render_prices
