@@ -55,6 +55,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or the first of ``name_``, ``name__``, … that ``df`` has no column of (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Hand texts to Python workers in batches of at most ``rows`` rows from now on.
 

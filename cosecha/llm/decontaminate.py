@@ -123,18 +123,21 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with every hit word, and the separators behind it, cut out.
 
-    Rows that share a doc_id must share their text.  Texts without a hit stay
-    byte for byte as they came.
+    Each row is judged by its own text (found again by its 64-bit hash),
+    whatever its doc_id.  Texts without a hit stay byte for byte as they came.
     """
-    hits = contaminated(docs, benchmark, window).where("contaminated").select(
-        "doc_id", F.col("spans").alias("_spans")).dropDuplicates(["doc_id"])
+    key = F.xxhash64("text")
+    hits = (contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, window).where("contaminated")
+            .select(F.col("doc_id").alias("key"), "spans").dropDuplicates(["key"]))
     letters = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
     lead = F.regexp_extract(F.col("text"), rf"^([^0-9A-Za-z\x{{80}}-\x{{10FFFF}}]*)", 1)
     pieces = F.regexp_extract_all(F.col("text"), F.lit(rf"({letters}+[^0-9A-Za-z\x{{80}}-\x{{10FFFF}}]*)"), F.lit(1))
     kept = F.filter(pieces, lambda p, i: ~F.exists(
-        F.col("_spans"), lambda s: (i + 1 >= s["pos"]) & (i + 1 < s["pos"] + s["len"])))
-    cut = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(kept, "")))
-    return docs.join(hits, "doc_id", "left").withColumn("text", cut).select(*docs.columns)
+        F.col("spans"), lambda s: (i + 1 >= s["pos"]) & (i + 1 < s["pos"] + s["len"])))
+    cut = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(kept, "")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", key.alias("key"))
+    return rows.join(hits, "key", "left").select(
+        *[cut.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

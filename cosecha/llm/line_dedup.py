@@ -43,8 +43,11 @@ def _digest(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, bits: int = bloom.BITS) -> DataFrame:
-    """The columns of ``docs`` with repeated lines cut from ``text``, and ``_n_lines`` and ``_n_dropped``.
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, bits: int = bloom.BITS,
+                counts: tuple[str, str] | None = ("_n_lines", "_n_dropped")) -> DataFrame:
+    """The columns of ``docs`` with repeated lines cut from ``text``, and the numbers of lines and of dropped lines.
+
+    ``counts`` names these two, which ``docs`` must not have; None leaves them out.
 
     A key (see ``line_key``) found in at least two documents keeps its lines
     only in the smallest doc_id that holds it, however often it stands there.
@@ -109,7 +112,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, bits: int = bloom.B
     schema = joined.select("doc_id", "text", "rest").schema.add("_n_lines", "long").add("_n_dropped", "long")
     out = joined.mapInArrow(cut, schema)
     return out.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in docs.columns],
-                      "_n_lines", "_n_dropped")
+                      *[F.col(own).alias(name) for own, name in zip(("_n_lines", "_n_dropped"), counts or ())])
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -7,8 +7,13 @@ time.  Totals are additive, so a commit adds the batch's summed deltas to the
 totals before it and never recounts the corpus.
 
 A batch is written to a folder of its own and counts from the moment its
-commit file exists; that file is created once.  A batch applied again, after a
-lost driver or by a second submission, finds it and changes nothing.
+commit file exists.  Commit files are numbered by version: each is written
+whole under another name and renamed to the next free number, which fails if
+another writer has taken it.  The batch is then applied again on the newer
+totals, so no commit is ever computed on a base that has moved, and a crash
+leaves either the whole commit or none.  A batch that is committed already
+changes nothing.  The shared folder's file system must rename atomically, as
+HDFS does.
 """
 
 from __future__ import annotations
@@ -83,10 +88,10 @@ class Ledger:
         self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(
             spark.sparkContext._jsc.hadoopConfiguration())
 
-    # -- commits: one small file for each batch
+    # -- commits: one small file for each version
 
-    def _commit_path(self, batch: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{batch}.json")
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
     def _read(self, path) -> dict:
         stream = self._fs.open(path)
@@ -97,40 +102,52 @@ class Ledger:
 
     def commits(self) -> list[dict]:
         """The committed batches in their order."""
-        root = self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
+        root = self._at("commits")
         if not self._fs.exists(root):
             return []
-        found = [self._read(f.getPath()) for f in self._fs.listStatus(root) if f.getPath().getName().endswith(".json")]
-        return sorted(found, key=lambda c: c["order"])
+        names = sorted(f.getPath().getName() for f in self._fs.listStatus(root))
+        return [self._read(self._at(f"commits/{n}")) for n in names if n.endswith(".json")]
 
-    def _commit(self, batch: str, record: dict) -> bool:
-        """Create the commit file; False if another attempt has done so."""
-        path = self._commit_path(batch)
+    def _commit(self, version: int, record: dict) -> bool:
+        """Publish a commit under its version number; False if another writer has taken the number."""
+        draft, final = self._at(f"drafts/{uuid.uuid4().hex}.json"), self._at(f"commits/{version:012d}.json")
+        stream = self._fs.create(draft, False)
+        stream.write(bytearray(json.dumps(record).encode()))
+        stream.close()
+        self._fs.mkdirs(final.getParent())
+        kinds = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(kinds, 1)
+        options[0] = kinds.NONE
+        files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+            self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         try:
-            stream = self._fs.create(path, False)
+            files.rename(self._fs.makeQualified(draft), self._fs.makeQualified(final), options)
         except Exception:
-            if self._fs.exists(path):
+            if self._fs.exists(final):
                 return False
             raise
-        stream.write(bytearray(json.dumps(record).encode()))
-        stream.close()
         return True
 
     # -- state
 
-    def documents(self) -> DataFrame:
-        """What is counted now for each document (n_docs is 1 everywhere)."""
-        paths = [c["deltas"] for c in self.commits()]
+    def documents(self, ids: DataFrame | None = None, commits: list[dict] | None = None) -> DataFrame:
+        """What is counted now for each document, or for those of ``ids`` (n_docs is 1 everywhere).
+
+        Deltas of other documents go before anything is summed up.
+        """
+        paths = [c["deltas"] for c in (self.commits() if commits is None else commits)]
         if not paths:
             return self.spark.createDataFrame([], _STATE)
         rows = self.spark.read.schema(_STATE).parquet(*paths)
+        if ids is not None:
+            rows = rows.join(ids.select("doc_id"), "doc_id", "left_semi")
         return (rows.groupBy("doc_id", *GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
                 .where("n_docs > 0"))
 
-    def totals(self) -> DataFrame:
+    def totals(self, commits: list[dict] | None = None) -> DataFrame:
         """source, lang, tokenizer_version, n_docs, n_tokens as of the last commit."""
         schema = _STATE.removeprefix("doc_id long, ")
-        done = self.commits()
+        done = self.commits() if commits is None else commits
         if not done:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(done[-1]["totals"])
@@ -151,22 +168,34 @@ class Ledger:
         then source, lang and version.
         Extra columns are ignored; an empty batch commits with no deltas.
         """
-        if self._fs.exists(self._commit_path(batch)):
-            return False
-        done = self.commits()
-        attempt = uuid.uuid4().hex[:12]
+        latest = None
+        while True:
+            done = self.commits()
+            if any(c["batch"] == batch for c in done):
+                return False
+            latest = self._latest(changes) if latest is None else latest
+            record = self._deltas(batch, latest, done)
+            if self._commit(len(done), {"batch": batch, "order": len(done), **record}):
+                return True
+
+    @staticmethod
+    def _latest(changes: DataFrame) -> DataFrame:
+        """The one change to each document that counts, written."""
         usable = F.col("doc_id").isNotNull() & (
             (F.col("op") == DELETE) | F.col("op").isin(INSERT, REVISE) & F.col("n_tokens").isNotNull())
         rank = F.when(F.col("op") == DELETE, 2).when(F.col("op") == REVISE, 1).otherwise(0)
         fields = [rank.alias("rank"), "n_tokens", *GROUP, "op"]
         latest = (changes.where(usable).groupBy("doc_id").agg(F.max(F.struct(*fields)).alias("c"))
                   .select("doc_id", "c.op", *[F.col(f"c.{g}").alias(g) for g in GROUP], "c.n_tokens"))
-        latest = written(latest, "changes")
+        return written(latest, "changes")
+
+    def _deltas(self, batch: str, latest: DataFrame, done: list[dict]) -> dict:
+        """Write a batch's signed rows and the totals after it, on top of the commits ``done``."""
+        attempt = uuid.uuid4().hex[:12]
         if done:
-            known = self.documents()
-            former = known.join(latest.select("doc_id"), "doc_id", "left_semi")
-            back = former.select("doc_id", *GROUP, (-F.col("n_docs")).alias("n_docs"),
-                                 (-F.col("n_tokens")).alias("n_tokens"))
+            known = written(self.documents(latest, done), "known")
+            back = known.select("doc_id", *GROUP, (-F.col("n_docs")).alias("n_docs"),
+                                (-F.col("n_tokens")).alias("n_tokens"))
             counted_now = latest.where(F.col("op") == REVISE).join(known.select("doc_id").distinct(), "doc_id",
                                                                    "left_semi").select(*latest.columns)
             new = latest.where(F.col("op") == INSERT).unionByName(counted_now)
@@ -178,10 +207,10 @@ class Ledger:
         moved = self.spark.read.schema(_STATE).parquet(delta_path).groupBy(*GROUP).agg(
             F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         totals_path = f"{self.path}/totals/{batch}-{attempt}"
-        (self.totals().unionByName(moved).groupBy(*GROUP)
+        (self.totals(done).unionByName(moved).groupBy(*GROUP)
          .agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
          .where("n_docs <> 0 or n_tokens <> 0").write.parquet(totals_path))
-        return self._commit(batch, {"batch": batch, "order": len(done), "deltas": delta_path, "totals": totals_path})
+        return {"deltas": delta_path, "totals": totals_path}
 
 
 WORDS, BYTES = "word_bpe_49k", "byte_bpe_multi_50k"

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 ROW_BYTES = 8
 
@@ -61,9 +61,16 @@ def byte_shards(docs: DataFrame, n_shards: int = 24, partitions: int | None = No
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 24) -> None:
-    """Write the documents as one folder for each shard."""
-    shards = byte_shards(docs, n_shards, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    shards.write.partitionBy("shard").parquet(path)
+    """Write the documents as one folder for each shard.
+
+    The folders are named by ``shard``, or, where ``docs`` has such a column,
+    by ``shard_`` and so on; all columns of ``docs`` stay.
+    """
+    folder = fresh(docs, "shard")
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("whole"))
+    shards = byte_shards(whole, n_shards, keep=("whole",))
+    (shards.select(*[F.col(f"whole.`{c}`").alias(c) for c in docs.columns], F.col("shard").alias(folder))
+     .write.partitionBy(folder).parquet(path))
 
 
 # DuckDB has no crc32: the table of the reflected polynomial 0xEDB88320 is

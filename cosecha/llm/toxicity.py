@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, written
+from .common import by_bytes, fresh, written
 from .tokens import texts_of
 
 WORD = re.compile(r"\w[\w*@$]*")
@@ -386,20 +386,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     return Model(terms, stems, clean, worth, _regression(np.array([r["x"] for r in got]), y))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``docs`` and ``_toxicity``, from 0 to 1.  Null texts score as empty ones do."""
+def score(docs: DataFrame, model: Model, name: str = "_toxicity") -> DataFrame:
+    """The columns of ``docs`` and the score from 0 to 1 as ``name``, which ``docs`` must not have.
+
+    Null texts score as empty ones do.
+    """
     terms, stems, clean, worth = model.terms, model.stems, model.clean, model.worth
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(terms, stems, clean, worth)
         for batch in batches:
             x = np.array([matcher.features(t) for t in texts_of(batch)]).reshape(-1, 5)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(model.score(x))], ["row", "_toxicity"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(model.score(x))], ["row", name])
 
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
-    schema = rows.select("row").schema.add("_toxicity", "double")
+    schema = rows.select("row").schema.add(name, "double")
     out = rows.mapInArrow(run, schema)
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], "_toxicity")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], name)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
@@ -410,7 +413,8 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents whose score stays under ``threshold``."""
     model = fit(docs, labels.where(~held_out()))
-    return score(docs, model).where(F.col("_toxicity") < threshold).select(*docs.columns)
+    name = fresh(docs, "_toxicity")
+    return score(docs, model, name).where(F.col(name) < threshold).select(*docs.columns)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

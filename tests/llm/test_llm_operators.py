@@ -300,6 +300,71 @@ def test_ledger(spark):
     assert totals() == {("a", "v2"): (1, 7), ("b", "v1"): (1, 4)}
 
 
+def test_two_writers_lose_nothing(spark, monkeypatch):
+    """Batch b is committed while a computes: a is computed again on the newer base."""
+    path = scratch(spark, "ledger-race")
+    one, two = rollups.Ledger(spark, path), rollups.Ledger(spark, path)
+    df = lambda x: spark.createDataFrame(x, CHANGES)
+    plain, raced = one._deltas, []
+
+    def slow(*args):
+        record = plain(*args)
+        if not raced:
+            raced.append(two.apply("b", df([change("insert", 2, "a", 20)])))
+        return record
+
+    monkeypatch.setattr(one, "_deltas", slow)
+    assert one.apply("a", df([change("insert", 1, "a", 10)])) and raced == [True]
+    assert [(c["batch"], c["order"]) for c in one.commits()] == [("b", 0), ("a", 1)]
+    assert [(r["n_docs"], r["n_tokens"]) for r in one.totals().collect()] == [(2, 30)]
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in two.documents().collect()) == [(1, 10), (2, 20)]
+    assert [r["doc_id"] for r in two.documents(spark.createDataFrame([(2,)], "doc_id long")).collect()] == [2]
+
+
+def test_torn_commit_is_no_commit(spark, monkeypatch):
+    """A writer that dies before its commit is renamed leaves a draft that nobody reads."""
+    ledger = rollups.Ledger(spark, scratch(spark, "ledger-torn"))
+    df = lambda x: spark.createDataFrame(x, CHANGES)
+    assert ledger.apply("b1", df([change("insert", 1, "a", 10)]))
+    ledger._fs.create(ledger._at("drafts/dead.json"), False).close()
+    assert [c["batch"] for c in ledger.commits()] == ["b1"]
+    assert not ledger._commit(0, {"batch": "x"}) and [c["batch"] for c in ledger.commits()] == ["b1"]
+    assert ledger.apply("b2", df([change("delete", 1, None, None)])) and not ledger.totals().collect()
+
+
+CLASHES = ["_toxicity", "_n_lines", "_n_dropped", "size", "shard", "_spans", "spans", "key", "row", "whole", "_kept"]
+
+
+def test_columns_that_clash_with_internal_names(spark):
+    from cosecha.llm.common import fresh
+
+    line = "one two three four five six seven eight nine ten eleven twelve"
+    texts = [line, f"{line}\nanother line of text", "clean words only", None, ""]
+    docs = spark.createDataFrame([(i, t, *[f"{c}{i}" for c in CLASHES]) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASHES))
+    keeps = lambda df: sorted(tuple(r[c] for c in ["doc_id", *CLASHES]) for r in df.collect())
+    whole = keeps(docs)
+    labels = spark.createDataFrame([(i, 0, 0) for i in range(5)], "doc_id long, quality int, toxic int")
+    assert keeps(toxicity.keep_clean(docs, labels)) == whole
+    assert keeps(line_dedup.dedup_lines(docs, counts=None)) == whole
+    bench = spark.createDataFrame([("i", line)], "item_id string, text string")
+    assert keeps(decontaminate.remove_spans(docs, bench)) == whole
+    path = scratch(spark, "clash-shards")
+    sharding.write_shards(docs, path, 3)
+    back = spark.read.parquet(path)
+    assert keeps(back) == whole and set(back.columns) - set(docs.columns) == {"shard_"} == {fresh(docs, "shard")}
+
+
+def test_spans_are_cut_from_the_row_that_has_them(spark):
+    """Rows of one doc_id, or of none, are judged each by its own text."""
+    passage = " ".join(f"bench{i}" for i in range(10))
+    rows = [(1, f"Before {passage} after"), (1, "a clean text"), (None, f"{passage}!"), (None, "clean too"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([("i", passage)], "item_id string, text string")
+    got = sorted(map(str, (tuple(r) for r in decontaminate.remove_spans(docs, bench).collect())))
+    assert got == sorted(map(str, [(1, "Before after"), (1, "a clean text"), (None, ""), (None, "clean too"), (2, None)]))
+
+
 def test_token_rollups_of_documents(docs, rows, none):
     from cosecha.llm.tokens import default_path
 
