@@ -14,7 +14,8 @@ from ..sources.tables import Tables
 from . import datasets as DS
 from . import oracle_datasets as OD
 from .oracle import with_tables
-from .q_text import CCAA_SQL, CLIMA_FRAG_SQL, DOC_FRAG_SQL, NAT_SQL, PRICE_SQL, all_fragments
+from .q_text import (CCAA_SQL, CLIMA_FRAG_SQL, DOC_FRAG_SQL, NAT_SQL, PRICE_SQL, _fmt, _mes, _safe_id, _z2,
+                     all_fragments)
 from .registry import query
 
 YEAR_19_20 = r"((?:19|20)\d{2})"
@@ -31,6 +32,7 @@ def _ingested(spark, d):
     return out, bad
 
 
+# Column names of the panel and of the weekly prices.
 ADV_COLS = ["periodo_anio", "periodo_mes", "cultivo", "regimen", "nivel", "cod_provincia", "provincia", "ccaa",
             "sup_avance", "prod_avance", "anio_definitivo", "anio_provisional", "anio_avance", "mes_avance"]
 
@@ -106,6 +108,30 @@ def q_unpivot_regimen_full(spark, d):
     return rows.filter(F.col("periodo_anio") == SRT_YEAR).select(*FULL_COLS)
 
 
+_DEF_SQL = f"""
+SELECT {_safe_id("'av_nac_' || cultivo || '_' || CAST(periodo_anio AS VARCHAR) || '_' || " + _z2("periodo_mes") + " || '_' || regimen")} AS id,
+  concat_ws('. ',
+    'En ' || {_mes('periodo_mes')} || ' de ' || CAST(periodo_anio AS VARCHAR) || ', el avance nacional de ' || cultivo
+      || CASE WHEN regimen <> 'total' THEN ' (' || regimen || ')' ELSE '' END,
+    CASE WHEN sup IS NOT NULL THEN 'muestra una superficie estimada de ' || {_fmt('sup', 0)} || ' hectáreas' END,
+    CASE WHEN prod IS NOT NULL THEN 'con una producción de ' || {_fmt('prod', 3)} || ' miles de toneladas' END,
+    'El dato definitivo de ' || CAST(periodo_anio - 2 AS VARCHAR) || ' fue ' || {_fmt('sup - 20.0', 0)} || ' ha de superficie'
+  ) || '.' AS text
+FROM (@source) WHERE nivel = 'nacional' AND @where AND ({_BROKEN_SQL}) IS NULL AND NOT {_UNNAMED_SQL}"""
+
+
+def _def_sql(source: str, where: str) -> str:
+    return _DEF_SQL.replace("@source", source).replace("@where", where)
+
+
+@query("frag_national_definitivo", with_tables(_def_sql(_ONE_REGIME, f"periodo_anio <> {SRT_YEAR}") + "\nUNION ALL"
+                                               + _def_sql(_THREE_REGIMES, f"periodo_anio = {SRT_YEAR}")))
+def q_frag_national_definitivo(spark, d):
+    from ..operators.fragments import national_fragments
+    rows = CE.ingest_isolated(Tables.get(spark, d).landed_full_cells(SRT_YEAR)).filter("tipo = 'registro'")
+    return national_fragments(rows).select("id", "text")
+
+
 @query("quarantine_sheets", with_tables(f"""
 SELECT DISTINCT {_FILE_SQL} AS file, {_SHEET_SQL} AS sheet, {_BROKEN_SQL} AS motivo FROM avances
 WHERE ({_BROKEN_SQL}) IS NOT NULL AND NOT {_UNNAMED_SQL}"""))
