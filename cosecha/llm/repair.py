@@ -390,3 +390,82 @@ def report(conversations: DataFrame) -> DataFrame:
     return joined.select("conv_id", *[count(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
                          F.coalesce("audit", F.lit("")).alias("audit"),
                          F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def _path(reached: str, cost: str, letter: str) -> str:
+    """SQL: a path (ten digits of cost, then its audit) with one more edit; NULL if there is none."""
+    return f"lpad((left({reached}, 10)::BIGINT + {cost})::VARCHAR, 10, '0') || substr({reached}, 11) || {letter}"
+
+
+# DuckDB has no crc32: its table is built from the polynomial's rule, and bytes are folded through it.  A path is a
+# string that sorts by cost and audit; n, s, u and a hold the least one for each role written last.
+ORACLE_SQL = rf"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) AS v
+    FROM range(256) r(i))),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+hashed AS (
+  SELECT *, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen(k)),
+    lambda i: ('0x' || substr(hex(encode(k)), (2 * i + 1)::INT, 2))::BIGINT)),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 20 AS h FROM named, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM hashed WHERE h <> 0),
+placed AS (
+  SELECT *, left(role, 1) AS r,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM damaged),
+found AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+    lead(r) OVER (PARTITION BY conv_id ORDER BY i) AS next_r FROM placed),
+sums AS (
+  SELECT conv_id, count(*) AS rows_, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (next_r IS NOT NULL AND r || next_r NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM found GROUP BY conv_id),
+steps AS (
+  SELECT conv_id, 0::BIGINT AS i, rows_, '0000000000' AS n, NULL::VARCHAR AS s, NULL::VARCHAR AS u, NULL::VARCHAR AS a
+  FROM sums
+  UNION ALL
+  SELECT conv_id, i, rows_, {_path('n', '4', "'D'")},
+    least({_path('s', '4', "'D'")}, CASE WHEN live AND r = 's' THEN {_path('n', 'extra', "'K'")} END),
+    least({_path('u', '4', "'D'")}, CASE WHEN live THEN CASE WHEN r = 'u' THEN {_path('to_u', 'extra', "'K'")}
+      ELSE {_path('to_u', '(3 + extra)', "'R'")} END END),
+    least({_path('a', '4', "'D'")}, CASE WHEN live THEN CASE WHEN r = 'a' THEN {_path('u', 'extra', "'K'")}
+      ELSE {_path('u', '(3 + extra)', "'R'")} END END)
+  FROM (
+    SELECT *, least(n, s, a) AS to_u FROM (
+      SELECT p.conv_id, p.i + 1 AS i, rows_, n, s, f.r, f.fault NOT IN ('blank', 'duplicate') AS live,
+        CASE WHEN f.fault = 'truncated' THEN 3 ELSE 0 END AS extra,
+        least(u, {_path('least(n, s, a)', '3', "'I'")}) AS u,
+        least(a, {_path('u', '3', "'I'")}, {_path('least(n, s)', '6', "'II'")}) AS a
+      FROM steps p JOIN found f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1))),
+ended AS (
+  SELECT conv_id, least(n, a, {_path('u', '3', "'I'")}, {_path('s', '6', "'II'")}) AS best FROM steps WHERE i = rows_),
+letters AS (
+  SELECT conv_id, j, substr(audit, j::INT, 1) AS e FROM (
+    SELECT conv_id, substr(best, 11) AS audit, unnest(range(1, length(best) - 9)) AS j FROM ended)),
+edits AS (
+  SELECT *, count(*) FILTER (e <> 'I') OVER w AS i, count(*) FILTER (e <> 'D') OVER w AS o,
+    count(*) FILTER (e <> 'D') OVER (PARTITION BY conv_id) % 2 AS system
+  FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+repaired AS (
+  SELECT e.conv_id, string_agg(CASE WHEN e.e = 'K' THEN f.role WHEN (e.o - e.system) % 2 = 1 THEN 'user'
+      ELSE 'assistant' END || ':' || CASE WHEN e.e = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY e.j) AS body
+  FROM edits e LEFT JOIN found f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.i = e.i WHERE e.e <> 'D'
+  GROUP BY e.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(left(best, 10)::BIGINT, 0) AS cost,
+  coalesce(substr(best, 11), '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ended ON ended.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN repaired ON repaired.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
