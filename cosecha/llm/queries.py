@@ -33,6 +33,7 @@ ORACLE: dict[str, str] = {
     "op4_partenum_join": jaccard_join.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op7_byte_shards": sharding.ORACLE_SQL,
+    "op11_simhash_covering": simhash.ORACLE_SQL,
     "op12_conversation_repair": repair.ORACLE_SQL,
     "op13_spelling_variants": variants.ORACLE_SQL,
 }

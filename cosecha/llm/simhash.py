@@ -261,3 +261,80 @@ def report(docs: DataFrame) -> DataFrame:
     """The digest columns of the registered query."""
     return simhash_components(docs.select("doc_id", "text")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ----------------------------------------------------------------- in SQL
+
+
+def _mul(x: str, p: int) -> str:
+    return f"((({x})::UHUGEINT * {p}::UHUGEINT) % m)::UBIGINT"
+
+
+def _add(*xs: str) -> str:
+    return "((" + " + ".join(f"({x})::UHUGEINT" for x in xs) + ") % m)::UBIGINT"
+
+
+def _rol(x: str, k: int) -> str:
+    return f"(((({x})::UHUGEINT * {1 << k}::UHUGEINT) % m) + (({x}) >> {64 - k}))::UBIGINT"
+
+
+def _sql() -> str:
+    """XXH64 from its rule (wrapping products in 128 bits), bits counted, all pairs of distinct fingerprints."""
+    p1, p2, p3, p4, p5 = PRIMES
+    u = lambda x: f"{x % (1 << 64)}::UBIGINT"
+    once = lambda x: _mul(_rol(_mul(x, p2), 31), p1)
+    stripe = lambda j: (f"list_reduce(list_prepend({u(SEED + (p1 + p2, p2, 0, -p1)[j])}, list_transform("
+                        f"range(n // 32), lambda i: words[4 * i + {j + 1}])), lambda v, k: "
+                        + _mul(_rol(_add("v", _mul("k", p2)), 31), p1) + ")")
+    merged = "h"
+    for j in range(4):
+        merged = _add(_mul(f"xor({merged}, {once(f'v{j}')})", p1), u(p4))
+    hex_word = "'0x' || " + " || ".join(f"substr(x, (16 * i + {15 - 2 * b})::INT, 2)" for b in range(8))
+    bits = " + ".join(f"CASE WHEN 2 * sum((h >> {k}) & 1) > count(*) THEN {1 << k}::UHUGEINT ELSE 0 END" for k in range(64))
+    return rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w),
+bytes AS (
+  SELECT g, strlen(g) AS n, hex(encode(g)) AS x, 18446744073709551616::UHUGEINT AS m FROM (SELECT DISTINCT g FROM grams)),
+split AS (
+  SELECT *, list_transform(range(n // 8), lambda i: ({hex_word})::UBIGINT) AS words FROM bytes),
+long_ AS (
+  SELECT *, {", ".join(f"CASE WHEN n >= 32 THEN {stripe(j)} END AS v{j}" for j in range(4))} FROM split),
+joined AS (
+  SELECT *, CASE WHEN n >= 32 THEN {_add(_rol("v0", 1), _rol("v1", 7), _rol("v2", 12), _rol("v3", 18))} END AS h
+  FROM long_),
+started AS (
+  SELECT g, n, x, m, words, {_add(f"CASE WHEN n >= 32 THEN {merged} ELSE {u(SEED + p5)} END", "n")} AS h FROM joined),
+eights AS (
+  SELECT g, n, x, m, list_reduce(list_prepend(h, list_transform(range(n // 32 * 4, n // 8), lambda i: words[i + 1])),
+    lambda a, k: {_add(_mul(_rol("xor(a, " + once("k") + ")", 27), p1), u(p4))}) AS h FROM started),
+fours AS (
+  SELECT g, n, x, m, CASE WHEN n % 8 >= 4 THEN {_add(_mul(_rol("xor(h, " + _mul(
+      "('0x' || " + " || ".join(f"substr(x, (n // 8 * 16 + {7 - 2 * b})::INT, 2)" for b in range(4)) + ")::UBIGINT",
+      p1) + ")", 23), p2), u(p3))} ELSE h END AS h FROM eights),
+ones AS (
+  SELECT g, m, list_reduce(list_prepend(h, list_transform(range(n // 4 * 4, n),
+    lambda i: ('0x' || substr(x, (2 * i + 1)::INT, 2))::UBIGINT)),
+    lambda a, k: {_mul(_rol("xor(a, " + _mul("k", p5) + ")", 11), p1)}) AS h FROM fours),
+mixed AS (SELECT g, m, {_mul("xor(h, h >> 33)", p2)} AS h FROM ones),
+twice AS (SELECT g, {_mul("xor(h, h >> 29)", p3)} AS h FROM mixed),
+hashed AS (SELECT g, xor(h, h >> 32) AS h FROM twice),
+counted AS (SELECT doc_id, ({bits})::UBIGINT AS b FROM grams JOIN hashed USING (g) GROUP BY doc_id),
+fps AS (
+  SELECT d.doc_id, coalesce(b, 0::UBIGINT) AS fp
+  FROM documents d LEFT JOIN counted c ON c.doc_id = d.doc_id),
+distinct_ AS (SELECT fp, min(doc_id) AS doc FROM fps GROUP BY fp),
+links AS (
+  SELECT a.fp AS x, b.fp AS y FROM distinct_ a JOIN distinct_ b ON a.fp <> b.fp
+   AND bit_count(xor(a.fp, b.fp)::HUGEINT) <= 3),
+reach AS (SELECT fp AS v, fp AS r FROM distinct_ UNION SELECT l.y, reach.r FROM reach JOIN links l ON l.x = reach.v),
+low AS (SELECT v, min(d.doc) AS component_id FROM reach JOIN distinct_ d ON d.fp = reach.r GROUP BY v)
+SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM fps JOIN low ON v = fp
+"""
+
+
+ORACLE_SQL = _sql()
