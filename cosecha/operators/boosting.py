@@ -9,11 +9,12 @@ need fewer passes than levels, splits are guessed on a bounded sample first
 and rows follow the guesses: a node's histogram is the sum of those below it,
 so one pass checks all levels.  A guess stands only if it is the best split of
 the whole histogram; below any other the next pass goes on.  The tree is the
-same whatever was guessed, and passes are never more than levels.  The first
-pass of a round also moves the running prediction by the tree before and adds
-up the validation loss, so no tree is ever fitted or applied twice.  Blocks
-are written to the shared folder every ``CUT_EVERY`` rounds, which ends their
-lineage.
+same whatever was guessed, and passes are never more than levels.  No tree is
+ever fitted twice.  The running prediction is moved on every ``MOVE_EVERY``
+rounds; in between a pass adds the few trees that it lacks, which costs less
+than keeping the blocks anew.  The first pass of a round also adds up the
+validation loss.  Blocks are written to the shared folder every ``CUT_EVERY``
+rounds, which ends their lineage.
 
 A fitted model is a handful of arrays.  It scores rows in Arrow batches, and
 gives each row its exact Shapley values against one baseline row, leaf by
@@ -41,7 +42,8 @@ from pyspark.sql import functions as F
 
 from ..session import importable, scratch_path, spread
 
-CUT_EVERY = 25
+MOVE_EVERY = 4
+CUT_EVERY = 24
 BLOCK_ROWS = 1 << 16
 COLLECTED = 64  # partitions whose histograms the driver adds up itself
 SAMPLE_ROWS = 1 << 14  # train rows, about, that splits are guessed on
@@ -292,13 +294,22 @@ def _sums(block: Block, tree: Tree, slots: np.ndarray, n_slots: int, width: int,
     return out
 
 
-def _pass(state: RDD, tree: Tree, slots: np.ndarray, n_slots: int, k: int, width: int, p: BoostParams,
-          round_: int) -> tuple[np.ndarray, float, float]:
+def _on(block: Block, trees: list[Tree]) -> Block:
+    """The block with its running prediction moved on by ``trees``."""
+    bins, y, val, key, pred = block
+    for t in trees:
+        pred = pred + t.value[t.nodes_of_bins(bins, t.levels())]
+    return bins, y, val, key, pred
+
+
+def _pass(state: RDD, lacks: list[Tree], tree: Tree, slots: np.ndarray, n_slots: int, k: int, width: int,
+          p: BoostParams, round_: int) -> tuple[np.ndarray, float, float]:
     """``_sums`` of all blocks, and the validation error and count before this tree."""
 
     def add(blocks: Iterable[Block]) -> Iterator[np.ndarray]:
         out = np.zeros(n_slots * k * width * 2 + 2)
         for block in blocks:
+            block = _on(block, lacks)
             _, y, val, _, pred = block
             out[0] += float(np.square((pred - y)[val]).sum())
             out[1] += int(val.sum())
@@ -313,16 +324,6 @@ def _pass(state: RDD, tree: Tree, slots: np.ndarray, n_slots: int, k: int, width
     return got[2:].reshape(n_slots, k, width, 2), got[0], got[1]
 
 
-def _moved(state: RDD, tree: Tree) -> RDD:
-    """The state with its running prediction moved by ``tree``."""
-
-    def move(block: Block) -> Block:
-        bins, y, val, key, pred = block
-        return bins, y, val, key, pred + tree.value[tree.nodes_of_bins(bins, tree.levels())]
-
-    return state.map(move, preservesPartitioning=True)
-
-
 def _threshold(g: np.ndarray, l1: float) -> np.ndarray:
     return np.sign(g) * np.maximum(np.abs(g) - l1, 0.0)
 
@@ -362,8 +363,7 @@ class _Grower:
         self.sample, self.share, self.k, self.width, self.cuts, self.p = sample, share, k, width, cuts, p
 
     def move_sample(self, tree: Tree) -> None:
-        bins, y, val, key, pred = self.sample
-        self.sample = bins, y, val, key, pred + tree.value[tree.nodes_of_bins(bins, tree.levels())]
+        self.sample = _on(self.sample, [tree])
 
     def _put(self, tree: Tree, node: int, split) -> None:
         """Make ``node`` split so, or a leaf."""
@@ -390,8 +390,11 @@ class _Grower:
                 self._put(tree, n, best_split(own, allowed, self.p))
             nodes = [c for n in nodes if tree.feature[n] >= 0 for c in (2 * n + 1, 2 * n + 2) if c < first_leaf]
 
-    def grow(self, state: RDD, round_: int) -> tuple[Tree, float, float, int]:
-        """One tree, the validation error and count before it, and the passes that it took."""
+    def grow(self, state: RDD, lacks: list[Tree], round_: int) -> tuple[Tree, float, float, int]:
+        """One tree, the validation error and count before it, and the passes that it took.
+
+        ``lacks`` are the trees that the state's prediction has not yet.
+        """
         k, p = self.k, self.p
         allowed = np.zeros(k, bool)
         chosen = np.random.Generator(np.random.PCG64([p.seed, round_])).permutation(k)
@@ -407,7 +410,7 @@ class _Grower:
             counted = tree if not read else self._up_to(tree, read)
             slots = np.full(len(tree.feature), -1, np.int64)
             slots[read] = np.arange(len(read))
-            found, e, c = _pass(state, counted, slots, len(read), k, self.width, p, round_)
+            found, e, c = _pass(state, lacks, counted, slots, len(read), k, self.width, p, round_)
             if passes == 0:
                 error, count = e, c
             passes += 1
@@ -515,16 +518,18 @@ def fit(rows: DataFrame, features: list[str], target: str, p: BoostParams = Boos
     state = _state(spark, f"{path}/0", k, base, partitions).persist(StorageLevel.MEMORY_AND_DISK)
     share = min(1.0, SAMPLE_ROWS / count)
     grower = _Grower(_sample(state, share, p.seed), share, k, width, cuts, p)
-    behind = None  # the state before, which the first pass of a round reads once more
+    behind = None  # the state before, which the first pass over the next one reads once more
     trees: list[Tree] = []
+    lacks: list[Tree] = []
     losses: list[float] = []
     passes = 0
     best = 0  # trees up to the best round
     for round_ in range(p.rounds + 1):
-        tree, error, count, used = grower.grow(state, round_)
+        tree, error, count, used = grower.grow(state, lacks, round_)
         passes += used
         if behind is not None:
             behind.unpersist()
+            behind = None
         if round_ and count:
             losses.append(math.sqrt(error / count))
             best = best if best and losses[best - 1] <= losses[-1] else len(losses)
@@ -533,11 +538,14 @@ def fit(rows: DataFrame, features: list[str], target: str, p: BoostParams = Boos
         if round_ == p.rounds or tree.feature[0] < 0 and tree.value[0] == 0.0:
             break
         trees.append(tree)
+        lacks.append(tree)
         grower.move_sample(tree)
-        moved = _moved(state, tree)
-        if len(trees) % CUT_EVERY == 0:
-            _write(spark, moved, f"{path}/{len(trees)}")
-            moved = _state(spark, f"{path}/{len(trees)}", k, base, partitions)
-        behind, state = state, moved.persist(StorageLevel.MEMORY_AND_DISK)
+        if len(lacks) == MOVE_EVERY:
+            done, lacks = lacks, []
+            moved = state.map(lambda block, done=done: _on(block, done), preservesPartitioning=True)
+            if len(trees) % CUT_EVERY == 0:
+                _write(spark, moved, f"{path}/{len(trees)}")
+                moved = _state(spark, f"{path}/{len(trees)}", k, base, partitions)
+            behind, state = state, moved.persist(StorageLevel.MEMORY_AND_DISK)
     state.unpersist()
     return BoostedTrees(features, float(base), trees[:best] if losses else trees, losses, passes)

@@ -43,6 +43,7 @@ def _frame(df: DataFrame, base: Column, text: Column, fuente: str, metadata: Col
     return out
 
 
+# The wording of the sentences below is that of the fragments users have.
 def national_fragments(avances: DataFrame) -> DataFrame:
     """One sentence per national row (D1); optional clauses skipped when NULL."""
     a = avances.filter(F.col("nivel") == "nacional")

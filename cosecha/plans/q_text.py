@@ -40,6 +40,7 @@ def _z2(c):
     return f"CASE WHEN length(CAST({c} AS VARCHAR)) >= 2 THEN CAST({c} AS VARCHAR) ELSE lpad(CAST({c} AS VARCHAR), 2, '0') END"
 
 
+# The wording of the sentences is that of ``operators.fragments``.
 NAT_SQL = f"""
 SELECT {_safe_id(f"'av_nac_' || cultivo || '_' || CAST(periodo_anio AS VARCHAR) || '_' || {_z2('periodo_mes')} || '_' || regimen")} AS id,
   concat_ws('. ',

@@ -63,6 +63,7 @@ class Tables:
         self.sf_dir = sf_dir.rstrip("/")
         self.materialized = materialized
         self._cache: dict[str, DataFrame] = {}
+        self._stamped: str | None = None
 
     @classmethod
     def get(cls, spark: SparkSession, sf_dir: str) -> "Tables":
@@ -98,14 +99,22 @@ class Tables:
         self._cache[name] = df
         return df
 
+    def _stamp(self) -> str:
+        """Size and time of every input table, by Spark's own file systems (local, HDFS or an object store)."""
+        if self._stamped is None:
+            conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+            stamp = []
+            for t in DRIVER_TABLES:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{t}.parquet")
+                fs = path.getFileSystem(conf)
+                if fs.exists(path):
+                    size, when = fs.getContentSummary(path).getLength(), fs.getFileStatus(path).getModificationTime()
+                    stamp.append(f"{t}:{size}:{when}")
+            self._stamped = "|".join(stamp)
+        return self._stamped
+
     def _path(self, name: str) -> str:
-        stamp = []
-        for t in DRIVER_TABLES:
-            p = f"{self.sf_dir}/{t}.parquet"
-            if os.path.exists(p):
-                st = os.stat(p)
-                stamp.append(f"{t}:{st.st_size}:{int(st.st_mtime)}")
-        tag = hashlib.sha1((self.sf_dir + "|" + "|".join(stamp) + "|v3").encode()).hexdigest()[:12]
+        tag = hashlib.sha1((self.sf_dir + "|" + self._stamp() + "|v3").encode()).hexdigest()[:12]
         # one folder per application: concurrent sessions never share files
         app = self.spark.sparkContext.applicationId
         return scratch_path(self.spark, "warehouse", f"{tag}-{app}", name)

@@ -96,7 +96,8 @@ def test_same_model_whatever_was_guessed(spark, monkeypatch, missing):
     monkeypatch.setattr(B, "SAMPLE_ROWS", 20)
     monkeypatch.setattr(B, "BLOCK_ROWS", 50)
     monkeypatch.setattr(B, "COLLECTED", 2)
-    monkeypatch.setattr(B, "CUT_EVERY", 3)
+    monkeypatch.setattr(B, "MOVE_EVERY", 2)
+    monkeypatch.setattr(B, "CUT_EVERY", 4)
     two = fit(frame(spark, data, 7), ["x", "y", "z"], "t", p)
     assert one.passes <= p.rounds + 2 < two.passes <= (p.rounds + 1) * p.depth
     x = np.array([[np.nan if v is None else v for v in r[1:4]] for r in data], float)
