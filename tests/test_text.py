@@ -121,7 +121,16 @@ def test_knn_shuffled_query_path_equals_broadcast(spark):
     emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
     q = label_centroids(emb)
     a = sorted(tuple(r) for r in knn(q, emb, k=5, metric="cosine").collect())
-    b = sorted(tuple(r) for r in knn(q, emb, k=5, metric="cosine", max_broadcast_queries=0, blocks=7).collect())
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for key in keys:
+        spark.conf.set(key, "-1")
+    try:
+        plan = knn(q, emb, k=5, metric="cosine", blocks=7)
+        b = sorted(tuple(r) for r in plan.collect())
+        assert "BroadcastHashJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
     assert a == b
 
 
