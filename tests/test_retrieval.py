@@ -45,6 +45,27 @@ def test_knn_blocks_do_not_matter(spark):
     assert want == {(i, r, j) for i, r, j, *_ in V.knn(asked, emb, blocks=50).collect()} and len(want) == 35
 
 
+def test_blocks_send_on_only_what_can_be_nearest(spark):
+    """Pairs that can't be among the nearest never become rows; the ranks are those of all pairs."""
+    data = vectors(1500)
+    odd = [(None, data[0][1]), (5_000, None), (5_001, [0.0] * 16), (5_002, [1.0]), (5_003, [None] + [1.0] * 15),
+           (7, data[7][1]), (5_004, [float("nan")] * 16)]
+    odd += [(6_000 + i, data[20][1]) for i in range(900)]  # copies
+    emb = spark.createDataFrame(data + odd, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(i % 35, data[i][1]) for i in range(40)] + [(900, [0.0] * 16), (901, None)],
+                                  "query_id long, query_vec array<double>")
+    cands = emb.select(F.col("vec_id").alias("cand_id"), F.col("embedding").alias("cand_vec"))
+    for metric in ("l2", "cosine"):
+        every = cands.crossJoin(asked).select("query_id", "cand_id", V._distance(metric).alias("distance"),
+                                              F.lit(0).alias("_blk"))
+        want = sorted(map(repr, V._top(every, 5, "vec_id").collect()))
+        for blocks in (1, 9):
+            assert sorted(map(repr, V.knn(asked, emb, 5, metric, blocks=blocks).collect())) == want
+        one = F.lit(0).alias("b")
+        sent = V._in_blocks(cands.select("*", one), asked.select("*", one), ["b"], 5, metric).count()
+        assert sent <= 42 * 20  # of 101 178 pairs
+
+
 def test_retrieve_reads_only_blocks_of_found_ids(spark, tmp_path):
     rows = [(i, f"text {i}", "web" if i % 2 else None, "" if i % 3 else "es") for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
