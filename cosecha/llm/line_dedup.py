@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import by_bytes, written
+from .common import by_bytes, give_back, short_batches, written
 
 BLANKS = b" \t\n\r\x0b\x0c"
 MIN_CHARS = 10
@@ -57,6 +57,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, bits: int = bloom.B
     lines; its text is then empty.  Other columns pass through.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     named = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -64,6 +65,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, bits: int = bloom.B
             yield np.fromiter(
                 (xxhash.xxh64_intdigest(k) for lines in _lines(batch, "text")
                  for k in {line_key(x, min_chars) for x in lines} if k is not None), np.uint64)
+        give_back()
 
     suspected = spark.sparkContext.broadcast(bloom.twice_seen(named.select("text"), hashes, bits).tobytes())
 
@@ -80,6 +82,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, bits: int = bloom.B
                 at = np.flatnonzero(held)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[i] for i in at], pa.int64()),
                                                   "key": pa.array([_digest(keys[i]) for i in at], pa.binary())})
+        give_back()
 
     pairs = written(named.mapInArrow(suspects, "doc_id long, key binary"), "lines")
     # min and max combine map-side: a line that stands everywhere costs one row a task.
@@ -108,6 +111,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, bits: int = bloom.B
                 [batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string()), batch.column("rest"),
                  pa.array(total, pa.int64()), pa.array(dropped, pa.int64())],
                 ["doc_id", "text", "rest", "_n_lines", "_n_dropped"])
+        give_back()
 
     schema = joined.select("doc_id", "text", "rest").schema.add("_n_lines", "long").add("_n_dropped", "long")
     out = joined.mapInArrow(cut, schema)
