@@ -14,8 +14,11 @@ contexts, each distinct one once, are indexed by groups of whole anchors:
   it falls by one with each position;
 * positions whose statistic reaches ``LENGTH`` mark the context.
 
-An anchor of more contexts than a group may hold is decided by the hashes of
-its windows instead, counted with map-side combination.
+An anchor of more contexts than a group may hold is split by what stands beside
+it: strings with at least h bytes before the anchor share those h bytes, the
+others share the bytes after it.  Each context goes by either half, only halves
+that meet others stay, and what is still too large is halved again, at last to
+single strings.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from .common import by_bytes, prefix_hash, span_hash, utf8, written
 LENGTH = 200
 KMER = 32
 GROUP_BYTES = 2 << 20  # context bytes that are indexed together, about
-HOT_CONTEXTS = 2_000  # distinct contexts of one anchor that are indexed; beyond, windows are counted
+HOT_CONTEXTS = 2_000  # distinct contexts that are indexed together; beyond, they are split
 
 
 # ------------------------------------------------------------------- anchors
@@ -219,37 +222,96 @@ def _places(docs: DataFrame, length: int, kmer: int, repeated, varied) -> DataFr
     return docs.mapInArrow(emit, "anchor long, context long, key long, start long, bytes long, body binary")
 
 
-def _indexed(contexts: DataFrame, length: int, groups: int) -> DataFrame:
-    """(anchor, context, lo, hi): the repeated strings' first and last start in each context."""
+def _indexed(contexts: DataFrame, length: int, groups: int, by: str = "anchor") -> DataFrame:
+    """(anchor, context, lo, hi): the repeated strings' first and last start in each context.
+
+    ``shift``, where there is one, is where the body starts in its context.
+    """
 
     def index(part: pd.DataFrame) -> pd.DataFrame:
         found = repeated_windows(list(part["body"]), length)
-        rows = [(a, c, *x) for a, c, x in zip(part["anchor"], part["context"], found) if x]
+        rows = [(a, c, x[0] + s, x[1] + s) for a, c, s, x in
+                zip(part["anchor"], part["context"], part["shift"], found) if x]
         return pd.DataFrame(rows, columns=["anchor", "context", "lo", "hi"])
 
-    return (contexts.withColumn("grp", F.expr(f"cast(pmod(xxhash64(anchor), {groups}) as int)"))
+    if "shift" not in contexts.columns:
+        contexts = contexts.withColumn("shift", F.lit(0).cast("long"))
+    return (contexts.withColumn("grp", F.expr(f"cast(pmod(xxhash64({by}), {groups}) as int)"))
             .groupBy("grp").applyInPandas(index, "anchor long, context long, lo long, hi long"))
 
 
-def _counted(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors of very many contexts, by counting the hashes of all their windows."""
+_PIECE = "anchor long, context long, body binary, shift long, at long, low long, high long, key long"
+
+
+def _whole(contexts: DataFrame, length: int, kmer: int) -> DataFrame:
+    """The contexts as pieces: body, its start in the context, the anchor's place in the context and the least and
+    most bytes that the strings meant have before the anchor."""
 
-    def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "body"):
-            for anchor, context, body in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "body"))):
-                prefix = prefix_hash(np.frombuffer(body, np.uint8))
-                at = np.arange(len(body) - length + 1)
-                yield pa.RecordBatch.from_pydict({
-                    "anchor": pa.array([anchor] * len(at), pa.int64()),
-                    "context": pa.array([context] * len(at), pa.int64()), "at": pa.array(at),
-                    "window": pa.array(span_hash(prefix, at, at + length).view(np.int64))})
+            at = []
+            for body in batch.column("body").to_pylist():
+                prefix = prefix_hash(np.frombuffer(body, np.uint8)[:length])
+                starts = np.arange(length - kmer + 1)
+                hashes = span_hash(prefix, starts, starts + kmer) & np.uint64(0xFFFFFFFF00000000)
+                at.append(int(np.argmin(hashes)))  # the leftmost of the smallest, as in anchored_runs
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("anchor"), batch.column("context"), batch.column("body"), pa.array([0] * n, pa.int64()),
+                 pa.array(at, pa.int64()), pa.array([0] * n, pa.int64()), pa.array([length - kmer] * n, pa.int64()),
+                 batch.column("anchor")], ["anchor", "context", "body", "shift", "at", "low", "high", "key"])
 
-    rows = written(contexts.select("anchor", "context", "body").mapInArrow(
-        windows, "anchor long, context long, at long, window long"), "windows")
-    again = (rows.groupBy("anchor", "window").agg(F.min("context").alias("a"), F.max("context").alias("b"))
-             .where("a <> b").select("anchor", "window"))
-    return (rows.join(again, ["anchor", "window"]).groupBy("anchor", "context")
-            .agg(F.min("at").alias("lo"), F.max("at").alias("hi")))
+    return contexts.select("anchor", "context", "body").mapInArrow(emit, _PIECE)
+
+
+def _halves(pieces: DataFrame, length: int, kmer: int) -> DataFrame:
+    """Each piece by its strings with few and with many bytes before the anchor; equal strings have equal keys."""
+
+    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "body"):
+            rows = []
+            for r in batch.to_pylist():
+                body, shift, at = r["body"], r["shift"], r["at"]
+                prefix = prefix_hash(np.frombuffer(body, np.uint8))
+                middle = (r["low"] + r["high"]) // 2
+                for low, high in ((r["low"], middle), (middle + 1, r["high"])):
+                    first = max(shift, at - high)  # starts of the half's first and last string in the context
+                    last = min(shift + len(body) - length, at - low)
+                    if first > last or low > high:
+                        continue
+                    # What all strings of the half have around the anchor.
+                    a, b = at - low - shift, at - high + length - shift
+                    key = span_hash(prefix, np.array([a]), np.array([b])) + np.uint64(low) * np.uint64(length)
+                    rows.append(r | {"body": body[first - shift:last - shift + length], "shift": first, "low": low,
+                                     "high": high, "key": int(key.view(np.int64)[0])})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, batch.schema)
+
+    return pieces.mapInArrow(emit, _PIECE)
+
+
+def _split(contexts: DataFrame, length: int, kmer: int, group_bytes: int, hot_contexts: int) -> DataFrame:
+    """The same as ``_indexed`` for anchors of very many contexts, by halves of their strings."""
+    pieces, marks = written(_whole(contexts, length, kmer), "pieces"), []
+    for _ in range((length - kmer + 1).bit_length()):
+        pieces = written(_halves(pieces, length, kmer), "pieces")
+        size = written(pieces.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.length("body")).alias("b"))
+                       .where("m > 1"), "sizes")
+        total = size.where(F.col("m") <= hot_contexts).agg(F.sum("b")).first()[0] or 0
+        met = pieces.join(size.drop("b"), "key")
+        # A half of one string is repeated where it meets another.
+        marks.append(met.where("low = high").select("anchor", "context", F.col("shift").alias("lo"),
+                                                    F.col("shift").alias("hi")))
+        met = met.where("low < high")
+        if total:
+            marks.append(_indexed(met.where(F.col("m") <= hot_contexts), length, -(-int(total) // group_bytes), "key"))
+        pieces = written(met.where(F.col("m") > hot_contexts).drop("m").select(*pieces.columns), "pieces")
+        if not pieces.limit(1).count():
+            break
+    out = marks[0]
+    for m in marks[1:]:
+        out = out.unionByName(m)
+    return out
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, group_bytes: int = GROUP_BYTES,
@@ -274,8 +336,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, grou
     total = size.where(F.col("m") <= hot_contexts).agg(F.sum("b")).first()[0] or 0
     hot = size.where(F.col("m") > hot_contexts).select("anchor")
     few = contexts.join(hot, "anchor", "left_anti")
-    marks = _indexed(few, length, max(1, -(-int(total) // group_bytes))).unionByName(
-        _counted(contexts.join(hot, "anchor", "left_semi"), length))
+    marks = _indexed(few, length, max(1, -(-int(total) // group_bytes)))
+    if hot.limit(1).count():
+        many = contexts.join(hot, "anchor", "left_semi")
+        marks = marks.unionByName(_split(many, length, kmer, group_bytes, hot_contexts))
     # Contexts that stand at several places repeat as a whole.
     whole = contexts.where("n > 1").select("anchor", "context", F.lit(0).cast("long").alias("lo"),
                                            (F.length("body") - length).cast("long").alias("hi"))

@@ -581,6 +581,42 @@ def test_run_index_matching_statistics():
         assert len(places) == len(number) and index.lengths.sum() == index.n
 
 
+def test_very_many_contexts_of_one_anchor(spark):
+    """Two pieces leave a context of a hot anchor, not all its windows, and the result is the brute force's."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    common = text(120)
+    texts = [text(150) + common + text(150) for _ in range(60)]
+    shared = text(70)  # 190 bytes with the common ones, and 200 in the pairs that go on alike
+    texts += [text(90) + shared + common + text(90) for _ in range(10)]
+    texts += [text(90) + shared + common + "0123456789" + text(90) for _ in range(4)]
+    texts += [text(100) + common + shared + "9876543210" + text(90) for _ in range(3)] + [text(400), "", None]
+    places = collections.Counter(t[k:k + 200] for t in texts if t for k in range(len(t) - 199))
+    want = {}
+    for i, t in enumerate(texts):
+        gone = {j for k in range(len(t or "") - 199) if places[t[k:k + 200]] > 1 for j in range(k, k + 200)}
+        want[i] = len(gone)
+    assert sum(n > 0 for n in want.values()) == 7
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for hot in (1, 5, 20, 2000):
+        got = {r["doc_id"]: r["n_removed"] for r in run_index.remove_repeats(docs, hot_contexts=hot).collect()}
+        assert got == want, hot
+    contexts = spark.createDataFrame([(1, i, bytearray(t.encode()[60:340])) for i, t in enumerate(texts[:60])],
+                                     "anchor long, context long, body binary")
+    assert run_index._halves(run_index._whole(contexts, 200, 32), 200, 32).count() <= 120
+
+
+def test_line_dedup_hands_over_short_batches(spark, docs):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 10_000)
+    try:
+        line_dedup.dedup_lines(docs)
+        assert int(spark.conf.get(key)) <= 1_000
+    finally:
+        spark.conf.set(key, before)
+
+
 # -- 10
 
 
