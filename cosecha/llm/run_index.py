@@ -16,9 +16,9 @@ contexts, each distinct one once, are indexed by groups of whole anchors:
 
 An anchor of more contexts than a group may hold is split by what stands beside
 it: strings with at least h bytes before the anchor share those h bytes, the
-others share the bytes after it.  Each context goes by either half, only halves
-that meet others stay, and what is still too large is halved again, at last to
-single strings.
+others share the bytes after it.  Each context goes by either half, equal halves
+are marked whole and go on as one, only halves that meet others stay, and what
+is still too large is halved again, at last to single strings.
 """
 
 from __future__ import annotations
@@ -294,15 +294,20 @@ def _split(contexts: DataFrame, length: int, kmer: int, group_bytes: int, hot_co
     """The same as ``_indexed`` for anchors of very many contexts, by halves of their strings."""
     pieces, marks = written(_whole(contexts, length, kmer), "pieces"), []
     for _ in range((length - kmer + 1).bit_length()):
-        pieces = written(_halves(pieces, length, kmer), "pieces")
+        halves = written(_halves(pieces, length, kmer).withColumn("same", F.expr("xxhash64(key, body, at - shift)")),
+                         "halves")
+        # Equal pieces repeat as a whole, single strings at last, and one goes on for all of them.
+        one = written(halves.groupBy("same").agg(
+            F.count("*").alias("n"),
+            F.min(F.struct("anchor", "context", *[c for c in pieces.columns if c not in ("anchor", "context")]))
+            .alias("piece")), "pieces")
+        marks.append(halves.join(one.where("n > 1").select("same"), "same").select(
+            "anchor", "context", F.col("shift").alias("lo"), F.expr(f"shift + length(body) - {length}").alias("hi")))
+        pieces = one.select("piece.*").select(*pieces.columns).where("low < high")
         size = written(pieces.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.length("body")).alias("b"))
                        .where("m > 1"), "sizes")
         total = size.where(F.col("m") <= hot_contexts).agg(F.sum("b")).first()[0] or 0
         met = pieces.join(size.drop("b"), "key")
-        # A half of one string is repeated where it meets another.
-        marks.append(met.where("low = high").select("anchor", "context", F.col("shift").alias("lo"),
-                                                    F.col("shift").alias("hi")))
-        met = met.where("low < high")
         if total:
             marks.append(_indexed(met.where(F.col("m") <= hot_contexts), length, -(-int(total) // group_bytes), "key"))
         pieces = written(met.where(F.col("m") > hot_contexts).drop("m").select(*pieces.columns), "pieces")

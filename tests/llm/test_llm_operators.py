@@ -606,6 +606,28 @@ def test_very_many_contexts_of_one_anchor(spark):
     assert run_index._halves(run_index._whole(contexts, 200, 32), 200, 32).count() <= 120
 
 
+def test_near_copies_of_one_context_go_on_as_one(spark, monkeypatch):
+    """Equal halves of a hot anchor's contexts are halved once, not once for each context."""
+    rng = random.Random(15)
+    base = "".join(rng.choice("abcdefgh") for _ in range(420))
+    texts = [base[:k] + "XYZ"[k % 3] + base[k + 1:] for k in range(60, 360)]
+    places = collections.Counter(t[k:k + 200] for t in texts for k in range(len(t) - 199))
+    want = {i: len({j for k in range(len(t) - 199) if places[t[k:k + 200]] > 1 for j in range(k, k + 200)})
+            for i, t in enumerate(texts)}
+    made, halves = [], run_index._halves
+
+    def counted(pieces, *args):
+        out = halves(pieces, *args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(run_index, "_halves", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in run_index.remove_repeats(docs, hot_contexts=1).collect()}
+    assert got == want
+    assert sum(made) < 60 * len(texts), made
+
+
 def test_line_dedup_hands_over_short_batches(spark, docs):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
