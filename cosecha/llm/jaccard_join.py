@@ -5,18 +5,22 @@ sets that link lie in one band or in neighbours.  For each such pair of bands,
 linked sets differ in at most k elements.  The element domain is dealt into
 n1 parts of n2 subparts; among n1 parts one holds at most k2 differences, so
 some choice of n2 - k2 of its subparts holds none: the two sets share the
-signature of that choice.  Only signatures (64 bits) are shuffled, combined
-map-side; sets are shuffled for candidates alone, and every link is verified
-by exact set sizes.
+signature of that choice.  Where a choice holds few elements on average, there
+are more parts than that needs, and the empty choices, which strangers share,
+are left out but for sets with more of them than spare parts.  Only signatures
+(64 bits) are shuffled, combined map-side.  Candidate pairs are first judged by
+the sets' sizes and sketches, which bound the intersection from above; sets are
+shuffled for the pairs that may link, and every link is verified by exact set
+sizes.
 
 Equal sets have equal 64-bit set keys, and a vertex of the join is such a key:
 thousands of copies are one vertex.  Every member of a signature is compared
 with the signature's first, which joins most families of near copies at one
-comparison a member.  Members that a signature still holds together although
-they are in different components form clusters; inside these all sets of
-different components are compared, in blocks, and only links are emitted.  No
-pair whose link would join two components is left untested; pairs inside a
-component are mostly not compared, so links are not counted.
+comparison a member.  Where a signature still holds members of different
+components, all its pairs of different components are judged by their sketches,
+in blocks, and only what may link is emitted and verified.  No pair whose link
+would join two components is left untested; pairs inside a component are mostly
+not compared, so links are not counted.
 """
 
 from __future__ import annotations
@@ -35,8 +39,8 @@ from .common import by_bytes, mix, utf8, words, written
 from .graph import components
 
 SHINGLE = 3
-BLOCK_ELEMENTS = 100_000  # elements of the sets of a block
-COLUMNS = 8_192  # elements that a comparison of blocks takes at a time
+BLOCK = 1_000  # members of a signature whose sketches are compared together
+GROUP_ROWS = 20_000  # members that one group of blocks holds, about
 PERCENT = 90  # link: 100 * intersection >= PERCENT * union
 
 _SALTS = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xA24BAED4963EE407, 0xC13FA9A902A6328F, 0x91E10DA5C79E7B1D)]
@@ -93,15 +97,17 @@ def _band_ends(upto: int, percent: int) -> tuple[int, ...]:
     return tuple(ends)
 
 
-def scheme(high: int, percent: int = PERCENT) -> tuple[int, int, int]:
-    """(n1, n2, k2) for sets of at most ``high`` elements: n1 * (k2 + 1) > k."""
+def scheme(high: int, percent: int = PERCENT) -> tuple[int, int, int, int]:
+    """(n1, n2, k2, spare) for sets of at most ``high`` elements: (n1 - spare) * (k2 + 1) > k."""
     # |x| + |y| <= 2 high; a difference of d elements leaves (sum - d) / (sum + d) >= percent / 100.
     k = 2 * high * (100 - percent) // (100 + percent)
     if k == 0:
-        return 1, 1, 0
+        return 1, 1, 0, 0
     if k == 2:
-        return 1, 4, 2
-    return -(-(k + 1) // 2), 3, 1
+        return 1, 4, 2, 0
+    n1 = k // 2 + 1
+    spare = 1 + n1 // 16 if 2 * high < 27 * n1 else 0  # under nine elements in a choice
+    return n1 + spare, 3, 1, spare
 
 
 def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -112,7 +118,7 @@ def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     i = int(np.searchsorted(ends, len(s)))
     out = []
     for pair, high in ((i, ends[i]), (i + 1, ends[i + 1])):  # instance j joins the bands j - 1 and j
-        n1, n2, k2 = scheme(high, percent)
+        n1, n2, k2, spare = scheme(high, percent)
         seed = np.array([pair], np.uint64) * _SALTS[2]
         deal = mix(s ^ seed)  # the halves choose the part and the subpart, the whole is summed up
         cell = ((deal >> np.uint64(32)) * np.uint64(n1) >> np.uint64(32)) * np.uint64(n2) \
@@ -126,12 +132,48 @@ def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         elif k2 == 1:  # all but one subpart
             whole = sums.sum(axis=1, dtype=np.uint64)
             chosen = [(whole - sums[:, a], np.uint64(a)) for a in range(n2)]
+            held = np.bincount(cell.view(np.int64), minlength=n1 * n2).reshape(n1, n2)
+            filled = held.sum(axis=1, keepdims=True) > held
+            # At least 1 + spare parts hold at most one difference; one of them has no empty choice here.
+            if np.count_nonzero(~filled.all(axis=1)) <= spare:
+                out += [mix(v ^ mix(place + which + seed))[filled[:, a]] for a, (v, which) in enumerate(chosen)]
+                continue
         else:
             chosen = [(sums[:, 0], np.uint64(0))]
         out += [mix(v ^ mix(place + which + seed)) for v, which in chosen]
     return np.concatenate(out)
 
 
+# ---------------------------------------------------------------- sketches
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Counts of a set's elements by their leading bits, two to four a bin; nothing if a count exceeds a byte."""
+    bits = max(4, (len(s) // 4).bit_length())
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def may_link(n: np.ndarray, sketches: list[bytes], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """left x right: whether the sets can link, by their sizes and the most that their sketches let them share."""
+    x, y = n[left][:, None], n[right]
+    possible = 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+    width = min((len(v) for v in sketches if v), default=0)
+    if not width:
+        return possible
+    known = np.array([len(v) > 0 for v in sketches])
+    counts = np.zeros((len(sketches), width), np.int32)
+    for i, v in enumerate(sketches):  # longer ones are folded: their bins are those of the shorter, divided
+        if v:
+            counts[i] = np.frombuffer(v, np.uint8).reshape(width, -1).sum(axis=1, dtype=np.int32)
+    of_right = counts[right]
+    for k, i in enumerate(left):
+        if known[i] and possible[k].any():
+            most = np.minimum(counts[i], of_right).sum(axis=1, dtype=np.int64)
+            possible[k] &= (100 * most >= percent * (n[i] + n[right] - most)) | ~known[right]
+    return possible
+
+
 # -------------------------------------------------------------------- join
 
 
@@ -162,23 +204,26 @@ def _signature_rows(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 
 
 def _rows_with_shared(docs: DataFrame, shingle: int, percent: int, wanted) -> DataFrame:
-    """(doc_id, n_shingles, key, sigs): every row, with its signatures that the filter holds; no key for an empty set."""
+    """(doc_id, n_shingles, key, sigs, sketch): every row, with its signatures that the filter holds, and its sketch
+    if it has any; no key for an empty set."""
 
     def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
         packed = np.frombuffer(wanted.value, np.uint8)
-        n, keys, sigs = [], [], []
+        n, keys, sigs, sketches = [], [], [], []
         for s in shingle_sets(batch, shingle):
             own = signatures(s, percent)
+            own = own[bloom.contains(packed, own)] if len(own) else own
             n.append(len(s))
             keys.append(set_key(s))
-            sigs.append(own[bloom.contains(packed, own)].view(np.int64) if len(own) else own.view(np.int64))
+            sigs.append(own.view(np.int64))
+            sketches.append(sketch(s) if len(own) else None)
         n = np.array(n, np.int64)
         return pa.RecordBatch.from_pydict({
             "doc_id": batch.column("doc_id"), "n_shingles": pa.array(n),
             "key": pa.array(np.array(keys, np.uint64).view(np.int64), mask=n == 0),
-            "sigs": pa.array(sigs, pa.list_(pa.int64()))})
+            "sigs": pa.array(sigs, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.binary())})
 
-    return _scan(docs, emit, "doc_id long, n_shingles long, key long, sigs array<long>")
+    return _scan(docs, emit, "doc_id long, n_shingles long, key long, sigs array<long>, sketch binary")
 
 
 def _sets_of(docs: DataFrame, vertices: DataFrame, shingle: int) -> DataFrame:
@@ -198,6 +243,25 @@ def _sets_of(docs: DataFrame, vertices: DataFrame, shingle: int) -> DataFrame:
     return written(found.groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
 
 
+def _possible(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that can link by the vertices' sizes and sketches."""
+    x = vertices.select(F.col("key").alias("a"), "n", F.col("sketch").alias("x"))
+    y = vertices.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+    both = pairs.join(x, "a").join(y, "b").where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, other = np.array([0]), np.array([1])
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+            x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
+            can = [bool(may_link(np.array([n[i], m[i]]), [x[i], y[i]], one, other, percent)[0, 0])
+                   for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(can, pa.bool_())) for c in ("a", "b")],
+                                             ["a", "b"])
+
+    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(check, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link."""
     both = (pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a")
@@ -225,54 +289,43 @@ def _labels(vertices: DataFrame, links: DataFrame) -> DataFrame:
         "key", F.coalesce("component", "key").alias("component")), "labels")
 
 
-def _links_in_clusters(clusters: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All linking pairs of different components inside each cluster, compared block by block.
+def _possible_in_signatures(here: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components inside each signature that can link by sizes and sketches.
 
-    A cluster's sets are dealt into blocks of about ``BLOCK_ELEMENTS``
-    elements; each pair of blocks is one task's group, and only links leave it.
+    ``here`` has sig, key and component.  A signature's members are dealt into
+    blocks of about ``BLOCK``; pairs of blocks are compared many in a group,
+    and only pairs that can link leave it.
     """
-    rows = clusters.join(label, "key").join(sets, "key")
-    blocks = (rows.groupBy("cluster").agg(F.sum(F.length("hashes")).alias("b"))
-              .select("cluster", F.ceil(F.col("b") / (8 * BLOCK_ELEMENTS)).cast("int").alias("blocks")))
-    rows = (rows.join(blocks, "cluster")
+    size = here.groupBy("sig").agg(F.count("*").alias("m"), F.min("component").alias("lo"),
+                                   F.max("component").alias("hi")).where("lo <> hi")
+    size = written(size.select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), "m"), "open")
+    total = size.agg(F.sum(F.col("m") * F.col("blocks"))).first()[0] or 0
+    groups = max(1, -(-int(total) // GROUP_ROWS))
+    rows = (here.join(size.drop("m"), "sig").join(vertices, "key")
             .withColumn("own", F.expr("cast(pmod(xxhash64(key), blocks) as int)"))
             .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-            .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")))
+            .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+            .withColumn("grp", F.expr(f"cast(pmod(xxhash64(sig, i, j), {groups}) as int)"))
+            .select("grp", "sig", "i", "j", "own", "key", "component", "n", "sketch"))
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        own = part["own"].to_numpy()
-        i, j = int(part["i"].iloc[0]), int(part["j"].iloc[0])
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        sets_ = [np.frombuffer(x, np.uint64) for x in part["hashes"]]
-        sizes = np.array([len(x) for x in sets_])
-        every, index, times = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(sets_)), sizes)
-        several = times[index] > 1  # an element of one set is in no intersection
-        row, index = row[several], index[several]
-        order = np.argsort(index, kind="stable")
-        row, index = row[order], index[order]
-        common = np.zeros((len(left), len(right)), np.float32)
-        to_left, to_right = np.full(len(sets_), -1), np.full(len(sets_), -1)
-        to_left[left], to_right[right] = np.arange(len(left)), np.arange(len(right))
-        at = 0
-        while at < len(index):  # some elements at a time, as columns of 0 and 1
-            end = int(np.searchsorted(index, index[at] + COLUMNS))
-            column = index[at:end] - index[at]
-            a, b = np.zeros((len(left), COLUMNS), np.float32), np.zeros((len(right), COLUMNS), np.float32)
-            r = row[at:end]
-            a[to_left[r][to_left[r] >= 0], column[to_left[r] >= 0]] = 1
-            b[to_right[r][to_right[r] >= 0], column[to_right[r] >= 0]] = 1
-            common += a @ b.T
-            at = end
-        common = common.astype(np.int64)
-        linked = 100 * common >= percent * (sizes[left][:, None] + sizes[right] - common)
-        component = part["component"].to_numpy()
-        x, y = np.nonzero(linked & (component[left][:, None] != component[right]))
-        keys = part["key"].to_numpy()
-        a, b = keys[left[x]], keys[right[y]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    return rows.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
+        sig, i, j, own, key, component, n = (
+            part[c].to_numpy() for c in ("sig", "i", "j", "own", "key", "component", "n"))
+        sketches = part["sketch"].tolist()
+        order = np.lexsort((j, i, sig))
+        a, b, c = sig[order], i[order], j[order]
+        heads = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])])
+        found = []
+        for lo, hi in zip(heads, np.append(heads[1:], len(order))):
+            unit = order[lo:hi]
+            left, right = np.flatnonzero(own[unit] == b[lo]), np.flatnonzero(own[unit] == c[lo])
+            can = may_link(n[unit], [sketches[k] for k in unit], left, right, percent)
+            x, y = np.nonzero(can & (component[unit][left][:, None] != component[unit][right]))
+            x, y = key[unit[left[x]]], key[unit[right[y]]]
+            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+        return pd.DataFrame(np.concatenate(found, axis=1).T, columns=["a", "b"]).drop_duplicates()
+
+    return rows.groupBy("grp").applyInPandas(compare, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
@@ -296,23 +349,25 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
     members = (rows.where("key is not null").select("key", F.explode("sigs").alias("sig")).distinct()
                .join(shared, "sig"))
     members = written(members, "members")  # sig, key, low: the signature's first member
-    vertices = written(members.select("key").distinct(), "vertices")
-    sets = _sets_of(docs, vertices, shingle)
+    vertices = written(rows.where("sketch is not null").groupBy("key")
+                       .agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+                       .join(members.select("key").distinct(), "key"), "vertices")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that link."""
+        pairs = written(pairs, "pairs")
+        ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+        return written(_verified(pairs, _sets_of(docs, ends, shingle), percent), "links")
 
     # First every member against its signature's first.
-    stars = written(members.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct(),
-                    "stars")
-    links = written(_verified(stars, sets, percent), "links")
-    label = _labels(vertices, links)
+    stars = members.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
+    links = linked(_possible(stars, vertices, percent))
+    label = _labels(vertices.select("key"), links)
     # Then all of different components that signatures still hold together.
-    here = members.join(label, "key")
-    open_ = here.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    ties = written(here.join(open_, "sig").where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b"))
-                   .distinct(), "ties")
-    clusters = components(ties).select(F.col("v").alias("key"), F.col("component").alias("cluster"))
-    more = written(_links_in_clusters(clusters, label, sets, percent), "links")
+    here = members.select("sig", "key").join(label, "key")
+    more = linked(_possible_in_signatures(here, vertices, percent))
     links = links.unionByName(more).distinct()
-    label = _labels(vertices, links)
+    label = _labels(vertices.select("key"), links)
 
     known = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc"))
     named = (known.join(label, "key", "left").withColumn("component", F.coalesce("component", "key")))

@@ -254,6 +254,42 @@ def test_jaccard_join_chains_and_families(spark):
     assert {tuple(r) for r in jaccard_join.report(df).collect()} == jaccard_truth(rows)
 
 
+def test_strangers_share_few_signatures_and_links_keep_one():
+    """Few empty choices are signatures, sketches reject strangers, and neither loses a pair that links."""
+    rng = np.random.default_rng(7)
+    fresh = lambda n: np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+    sets = [fresh(400) for _ in range(150)]
+    every = np.concatenate([np.unique(jaccard_join.signatures(s, 80)) for s in sets])
+    assert len(every) - len(np.unique(every)) < 150
+    n, all_ = np.array([len(s) for s in sets]), np.arange(len(sets))
+    can = jaccard_join.may_link(n, [jaccard_join.sketch(s) for s in sets], all_, all_, 80)
+    assert (can == np.eye(len(sets), dtype=bool)).all()
+    for percent in (80, 90):
+        for size in [*range(1, 40), 80, 200, 700, 3000]:
+            for _ in range(4):
+                common = fresh(size)
+                room = len(common) * (100 - percent) // percent  # elements that one of the two alone may hold
+                k = int(rng.integers(0, room + 1))
+                a, b = np.union1d(common, fresh(k)), np.union1d(common, fresh(room - k))
+                assert len(np.intersect1d(jaccard_join.signatures(a, percent), jaccard_join.signatures(b, percent)))
+                assert jaccard_join.may_link(np.array([len(a), len(b)]), [jaccard_join.sketch(a), jaccard_join.sketch(b)],
+                                             np.array([0]), np.array([1]), percent).all()
+
+
+def test_jaccard_join_fetches_sets_of_possible_links_alone(spark, monkeypatch):
+    """Texts that share a passage share signatures, but only pairs that can link have their sets fetched."""
+    rng = random.Random(4)
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(i, " ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(60)])) for i in range(60)]
+    rows += [(100 + k, " ".join([*rows[k][1].split()[:-4], f"z{k}"])) for k in range(10)]
+    asked, verified = [], jaccard_join._verified
+    monkeypatch.setattr(jaccard_join, "_verified", lambda pairs, *a: asked.append(pairs.count()) or verified(pairs, *a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = jaccard_join.keep_one(docs, percent=80, shingle=5).select("doc_id").collect()
+    assert {r["doc_id"] for r in kept} == set(range(60))
+    assert sum(asked) <= 20, asked
+
+
 def test_jaccard_components_count_no_links(spark):
     """Pairs inside a component are not all compared, so no column claims to count links."""
     rows = [(i, " ".join(f"w{k}" for k in range(60)) + f" end{i}") for i in range(3)]
