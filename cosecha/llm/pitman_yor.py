@@ -1,48 +1,50 @@
 """Language-model scores by a hierarchical Pitman-Yor model.
 
-Tokens are words and one end of text.  A token's context is the class of the
-token before it: one of ``CONTEXTS`` classes, by that token's last three
-bytes.  Each class is a restaurant whose parent is the restaurant of all
-tokens, whose base is uniform over the vocabulary and one unknown token:
+Tokens are words and one end of text.  A token's context is the whole token
+before it, or the text's begin.  Each context is a restaurant whose parent is
+the restaurant of all tokens, whose base is uniform over the vocabulary and
+one unknown token:
 
     P_u(w) = (c_uw - d1 t_uw + (a1 + d1 t_u.) P_0(w)) / (a1 + c_u.)
     P_0(w) = (c_0w - d0 t_0w + (a0 + d0 t_0.) / (V + 1)) / (a0 + c_0.)
 
-with c_0w the tables that the classes have for w.  Gibbs sweeps reseat the
-customers of every dish one after another, given the totals and the parent's
-probabilities that the sweep before left; the score averages the predictive
-probabilities of the kept sweeps.
-
-The dishes are split by word, so all seatings of a word are in one part and
-only the restaurants' totals (a few numbers for each class) go between parts.
-The frequent words' counts are combined in the task that reads the text and
-their probabilities are broadcast, a table of fixed size; all other words'
-occurrences go, packed, through one shuffle by word.  The random draws are
-seeded by road and part, so which words are frequent changes the draws too.
+with c_0w the tables that the contexts have for w.  Gibbs sweeps reseat the
+customers of every dish one after another, given the totals of the others that
+the sweep before left; the score averages the predictive probabilities of the
+kept sweeps.
+
+Texts are read in chunks.  Of each chunk its different pairs of words go once
+to the part of the second word, with the documents they stand in, so a word's
+dishes and its place in the parent are in one part; those of the frequent words
+are spread over the parts by context, and the driver adds up their tables (one
+number for each).  A restaurant's dishes lie in many parts: after each sweep
+the parts send its tables to the part that adds them up, and get the sum back.
+Draws are seeded by word and context, so no result depends on the road.
 """
 
 from __future__ import annotations
 
-import zlib
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import toxicity
-from .common import LOWER, by_bytes, give_back, mix, short_batches, utf8, words, written
+from .common import by_bytes, give_back, mix, scratch, short_batches, utf8, words, written
 
-CONTEXTS = 128
-FREQUENT = 32_768
-SEGMENT = 256  # frequent words whose counts are combined together
-PART_TOKENS = 1_000_000  # occurrences of other words that one part holds, about
-FLUSH = 800_000  # occurrences that are packed at a time
+FREQUENT = 1024  # words whose dishes are spread over the parts
+CODED = 65_536  # words that are sent as numbers, all others as hashes
+PART_TOKENS = 2_500_000  # tokens that one part holds, about
+FLUSH = 2_000_000  # tokens of a chunk
 SWEEPS, BURN_IN = 5, 2
 STRENGTH = 1.0  # a0 and a1
 END = np.uint64(0x9AE16A3B2F90404F)  # the end of text, as a word hash
+BEGIN = np.uint64(0xC3A5C85C97CB3127)  # the begin of text, as a context
 PSEUDO = 0.1
 
 
@@ -50,49 +52,33 @@ PSEUDO = 0.1
 
 
 def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, context class and row of every token of a batch, ends included (after all words)."""
+    """Hash, context (the hash of the token before) and row of every token of a batch, ends included (after all words)."""
     data, offsets = utf8(batch.column("text"))
-    word, row, start, end = words(data, offsets)
+    word, row, _, _ = words(data, offsets)
     n = batch.num_rows
-    if len(word):
-        low = LOWER[data].astype(np.uint64)
-        tail = np.zeros(len(word), np.uint64)
-        for k in (1, 2, 3):
-            at = end - k
-            tail = tail * np.uint64(257) + np.where(at >= start, low[np.maximum(at, 0)] + np.uint64(1), np.uint64(0))
-        kind = (mix(tail) % np.uint64(CONTEXTS - 1)).astype(np.uint8) + np.uint8(1)
-    else:
-        kind = np.empty(0, np.uint8)
-    context = np.zeros(len(word), np.uint8)  # class 0: the text's begin
+    context = np.full(len(word), BEGIN)
     inside = np.flatnonzero(row[1:] == row[:-1]) + 1
-    context[inside] = kind[inside - 1]
-    last = np.searchsorted(row, np.arange(n), side="right") - 1
-    closing = np.zeros(n, np.uint8)
-    has = (last >= 0) & (row[np.maximum(last, 0)] == np.arange(n)) if len(word) else np.zeros(n, bool)
-    closing[has] = kind[last[has]]
+    context[inside] = word[inside - 1]
+    closing = np.full(n, BEGIN)
+    last = np.flatnonzero(np.r_[row[1:] != row[:-1], True]) if len(row) else row
+    closing[row[last]] = word[last]
     return (np.concatenate([word, np.full(n, END)]), np.concatenate([context, closing]),
             np.concatenate([row, np.arange(n)]))
 
 
-def _keys(batch: pa.RecordBatch) -> np.ndarray:
-    """One 64-bit key for each row's doc_id and text."""
-    return batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
-
-
 def _prepared(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", toxicity.held_out(folds=10).alias("out"),
-                       F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("key"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", toxicity.held_out(folds=10).alias("out"))
 
 
 def _merged(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(h)
     h, n = h[order], n[order]
-    heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
+    heads = _heads(h)
     return h[heads], np.add.reduceat(n, heads) if len(heads) else n
 
 
-def frequent_words(rows: DataFrame, size: int = FREQUENT) -> tuple[np.ndarray, int]:
-    """About the ``size`` commonest words (sorted hashes, END first of all to be in), and all tokens."""
+def frequent_words(rows: DataFrame, size: int = CODED) -> tuple[np.ndarray, int]:
+    """About the ``size`` commonest words (hashes, END first, then by falling counts), and the number of all tokens."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times, total = np.empty(0, np.uint64), np.empty(0, np.int64), 0
@@ -114,313 +100,428 @@ def frequent_words(rows: DataFrame, size: int = FREQUENT) -> tuple[np.ndarray, i
     total = seen.agg(F.sum("total")).first()[0] or 0
     top = seen.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size - 1).collect()
     found = np.array([r["word"] for r in top], np.int64).view(np.uint64)
-    covered = sum(r["n"] for r in top)
-    return np.unique(np.append(found, END)), max(0, total - covered)
+    return np.append(END, found[found != END]), total
 
 
 def _place(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Index of each hash in the sorted table, or -1."""
+    if not len(table):
+        return np.full(len(h), -1)
     at = np.minimum(np.searchsorted(table, h), len(table) - 1)
     return np.where(table[at] == h, at, -1)
 
 
-# ------------------------------------------------------------------ counting
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.zeros(max(0, len(keys[0]) - 1), bool)
+    for k in keys:
+        new |= k[1:] != k[:-1]
+    return np.flatnonzero(np.r_[True, new]) if len(keys[0]) else np.empty(0, np.int64)
 
 
-def _pack(word: np.ndarray, context: np.ndarray, doc: np.ndarray, out: np.ndarray) -> bytes:
-    """Occurrences by word: hashes, classes, keys of documents (as indices into their own list) and held-out flags."""
-    order = np.argsort(word)
-    ids, index = np.unique(doc[order], return_inverse=True)
-    return b"".join(len(x).to_bytes(8, "little") + x for x in (
-        word[order].tobytes(), context[order].tobytes(), index.astype(np.uint32).tobytes(), ids.tobytes(),
-        np.packbits(out[order]).tobytes()))
+# ------------------------------------------------------------------- packing
 
 
-def _unpack(blobs: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    parts: list[list[np.ndarray]] = [[], [], [], []]
-    for blob in blobs:
-        got, at = [], 0
-        for kind in (np.uint64, np.uint8, np.uint32, np.uint64, np.uint8):
-            n = int.from_bytes(blob[at:at + 8], "little")
-            got.append(np.frombuffer(blob, kind, n // np.dtype(kind).itemsize, at + 8))
-            at += 8 + n
-        parts[0].append(got[0])
-        parts[1].append(got[1])
-        parts[2].append(got[3][got[2]])
-        parts[3].append(np.unpackbits(got[4], count=len(got[0])).astype(bool))
-    return tuple(np.concatenate(p) for p in parts)
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Numbers from 0 up, or floats: by byte planes, compressed.  Ascending ones are packed as differences."""
+    out = []
+    for x in arrays:
+        real = x.dtype == np.float64
+        x = x.view(np.uint64) if real else x.astype(np.uint64)
+        rising = bool(not real and len(x) > 1 and (x[1:] >= x[:-1]).all())
+        if rising:
+            x = np.diff(x, prepend=np.uint64(0))
+        size = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+        planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
+        body = pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
+        out.append(bytes([size, rising, real]) + len(x).to_bytes(8, "little") + len(body).to_bytes(8, "little") + body)
+    return b"".join(out)
 
 
-def _frequent_counts(rows: DataFrame, frequent) -> DataFrame:
-    """(segment, counts): the training counts of the frequent words, by word and class, summed."""
-    tasks = 4 * max(1, rows.sparkSession.sparkContext.defaultParallelism)
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    """The arrays of ``_pack``: int64 (hashes: the same bits), or float64."""
+    got, at = [], 0
+    while at < len(blob):
+        size, rising, real = blob[at:at + 3]
+        n, length = (int.from_bytes(blob[at + k:at + k + 8], "little") for k in (3, 11))
+        at += 19
+        x = np.zeros((n, 8), np.uint8)
+        if size and n:
+            planes = pa.decompress(blob[at:at + length], size * n, codec="zstd", asbytes=True)
+            x[:, :size] = np.frombuffer(planes, np.uint8).reshape(size, n).T
+        at += length
+        x = x.reshape(-1).view(np.uint64)
+        got.append((np.cumsum(x, dtype=np.uint64) if rising else x).view(np.float64 if real else np.int64))
+    return got
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(frequent.value, np.uint64)
-        n = np.zeros(-(-len(table) // SEGMENT) * SEGMENT * CONTEXTS, np.int64)
-        for batch in by_bytes(batches):
-            word, context, row = tokens(batch)
-            at = _place(table, word)
-            out = batch.column("out").to_numpy(zero_copy_only=False).astype(bool)
-            own = (at >= 0) & ~out[row]
-            cell, times = np.unique(at[own] * CONTEXTS + context[own], return_counts=True)
-            n[cell] += times
-        segments = n.reshape(-1, SEGMENT * CONTEXTS)
-        used = np.flatnonzero(segments.any(axis=1))
-        yield pa.RecordBatch.from_pydict({
-            "segment": pa.array(used.astype(np.int32)),
-            "counts": pa.array([zlib.compress(segments[i].tobytes(), 1) for i in used], pa.binary())})
-        del n, segments
-        give_back()
 
-    def merge(part: pd.DataFrame) -> pd.DataFrame:
-        n = np.zeros(SEGMENT * CONTEXTS, np.int64)
-        for x in part["counts"]:
-            n += np.frombuffer(zlib.decompress(x), np.int64)
-        return pd.DataFrame({"segment": part["segment"].iloc[:1], "counts": [zlib.compress(n.tobytes(), 1)]})
+def _coded(x: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes as numbers of the table's words, and the others as they are."""
+    at = _place(table, x)
+    return at >= 0, at[at >= 0], x[at < 0]
 
-    schema = "segment int, counts binary"
-    return rows.coalesce(tasks).mapInArrow(count, schema).groupBy("segment").applyInPandas(merge, schema)
 
+def _decoded(known: np.ndarray, number: np.ndarray, other: np.ndarray, table: np.ndarray) -> np.ndarray:
+    x = np.empty(len(known), np.uint64)
+    x[known == 1], x[known == 0] = table[number], other.view(np.uint64)
+    return x
 
-def _other_tokens(rows: DataFrame, frequent, parts: int) -> DataFrame:
-    """(part, blob): all occurrences of the words that aren't frequent, packed by part."""
+
+class Words:
+    """The frequent words, as every task needs them: those sent as numbers, and the first ones, which are spread."""
+
+    def __init__(self, spark: SparkSession, found: np.ndarray, size: int) -> None:
+        self.size = min(size, len(found))
+        self._shared = spark.sparkContext.broadcast((np.sort(found), np.sort(found[:size])))
+
+    @property
+    def coded(self) -> np.ndarray:
+        return self._shared.value[0]
+
+    @property
+    def heavy(self) -> np.ndarray:
+        return self._shared.value[1]
+
+
+def _bucketed(df: DataFrame, parts: int, name: str) -> DataFrame:
+    """``df`` written to the shared folder in buckets by ``part``, and read back: no later shuffle by part."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    table = f"llm_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(4 * parts, "part").option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
+# ------------------------------------------------------------------ counting
+
+
+def _chunks(rows: DataFrame, frequent: Words, parts: int) -> DataFrame:
+    """(part, chunk, pairs, places): the different pairs of each chunk by part; and, with a part below 0, its rows."""
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(frequent.value, np.uint64)
         kept: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            word, context, doc, out = (np.concatenate(x) for x in zip(*kept))
+        made = held = docs = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal made, held, docs
+            chunk = TaskContext.get().partitionId() << 24 | made
+            word, context, doc = (np.concatenate(x) for x in list(zip(*kept))[:3])
+            ids = pa.concat_arrays([k[3] for k in kept])
+            out = np.concatenate([k[4] for k in kept])
+            null = ids.is_null().to_numpy(zero_copy_only=False)
+            info = _pack(ids.fill_null(0).to_numpy(zero_copy_only=False), null, out,
+                         np.bincount(doc, minlength=len(out)))
             kept.clear()
-            part = (mix(word) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            used = np.flatnonzero(np.diff(cuts))
+            made, held, docs = made + 1, 0, 0
+            part = mix(word)
+            spread = _place(frequent.heavy, word) >= 0
+            part[spread] = mix(word[spread] ^ mix(context[spread]))
+            part = (part % np.uint64(parts)).astype(np.int32)
+            order = np.lexsort((context, word, part))
+            word, context, doc, part = word[order], context[order], doc[order], part[order]
+            del order, spread
+            used, pairs, places = [-1 - chunk % 2**30], [info], [b""]
+            cuts = np.searchsorted(part, np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(cuts)):
+                w, u, d = (x[cuts[p]:cuts[p + 1]] for x in (word, context, doc))
+                heads = _heads(w, u)
+                n = np.add.reduceat((~out[d]).astype(np.int64), heads)
+                first = _heads(w[heads])
+                known, index = np.unique(u[heads], return_inverse=True)
+                used.append(int(p))
+                pairs.append(_pack(*_coded(w[heads][first], frequent.coded), np.diff(np.append(first, len(heads))),
+                                   *_coded(known, frequent.coded), index, n))
+                places.append(_pack(np.diff(np.append(heads, len(w))), d))
+                if len(used) == 16:
+                    yield batch_of(chunk, used, pairs, places)
+                    used, pairs, places = [], [], []
+            yield batch_of(chunk, used, pairs, places)
+
+        def batch_of(chunk: int, used: list, pairs: list, places: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({
-                "part": pa.array(used.astype(np.int32)),
-                "blob": pa.array([_pack(*(x[order[cuts[p]:cuts[p + 1]]] for x in (word, context, doc, out)))
-                                  for p in used], pa.binary())})
+                "part": pa.array(used, pa.int32()), "chunk": pa.array([chunk] * len(used), pa.int64()),
+                "pairs": pa.array(pairs, pa.binary()), "places": pa.array(places, pa.binary())})
 
-        held = 0
         for batch in by_bytes(batches):
             word, context, row = tokens(batch)
-            own = np.flatnonzero(_place(table, word) < 0)
             out = batch.column("out").to_numpy(zero_copy_only=False).astype(bool)
-            kept.append((word[own], context[own], _keys(batch)[row[own]], out[row[own]]))
-            held += len(own)
+            kept.append((word, context, (row + docs).astype(np.uint32), batch.column("doc_id"), out))
+            held, docs = held + len(word), docs + batch.num_rows
             if held >= FLUSH:
-                yield flush()
-                held = 0
-        if held:
-            yield flush()
+                yield from flush()
+        if kept:
+            yield from flush()
         give_back()
 
-    return rows.mapInArrow(emit, "part int, blob binary")
+    return rows.mapInArrow(emit, "part int, chunk long, pairs binary, places binary")
 
 
-# -------------------------------------------------------------------- seating
-
-_STATE = ("part int, frequent boolean, word binary, c binary, single binary, cell_word binary, cell_context binary, "
-          "cell_c binary, t binary, t0 binary, t_sum binary, p0 binary, rest_tables array<bigint>, "
-          "customers array<bigint>, tables array<bigint>, once bigint, vocabulary bigint, cell1 bigint, cell2 bigint, "
-          "word1 bigint, word2 bigint, root_c bigint, root_t bigint")
+class Cells:
+    """A part's pairs of words over all chunks: the dishes, sorted by word and context."""
 
+    def __init__(self, blobs: Iterable[bytes], frequent: Words) -> None:
+        word, context, n = [], [], []
+        for blob in blobs:
+            *coded, run, u, v, w, index, c = _unpack(blob)
+            word.append(np.repeat(_decoded(*coded, frequent.coded), run))
+            context.append(_decoded(u, v, w, frequent.coded)[index])
+            n.append(c.astype(np.int32))
+        self.sizes = [len(x) for x in n]  # pairs of each chunk
+        word, context, n = (np.concatenate(x) for x in (word, context, n))
+        order = np.lexsort((context, word))
+        word, context = word[order], context[order]
+        heads = _heads(word, context)
+        self.of = np.empty(len(order), np.int32)  # the dish of each chunk's pairs
+        self.of[order] = np.repeat(np.arange(len(heads), dtype=np.int32), np.diff(np.append(heads, len(order))))
+        self.c = np.add.reduceat(n[order].astype(np.int64), heads)  # training customers
+        del order, n
+        word, context = word[heads], context[heads]
+        first = _heads(word)
+        self.words, self.w = word[first], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word))))
+        self.contexts, self.u = np.unique(context, return_inverse=True)
+        self.total = np.add.reduceat(self.c, first)  # training customers of each word
+        self.many = np.flatnonzero(self.c > 1)  # dishes that a sweep reseats; others have a table a customer
+        count = lambda of, x, size: np.bincount(of[x], minlength=size)
+        self.single = count(self.w, self.c == 1, len(self.words))
+        self.rest = count(self.u, self.c == 1, len(self.contexts))
+        self.customers = np.bincount(self.u, weights=self.c, minlength=len(self.contexts)).astype(np.int64)
+        self.busy = np.unique(self.u[self.many])  # contexts of those dishes
+        self.heavy = _place(frequent.heavy, self.words)  # index among the frequent words, or -1
+        # Words whose place in the parent a sweep reseats, here or (frequent ones) on the driver.
+        self.kept = np.flatnonzero((self.total > 1) | (self.heavy >= 0) & (self.total > 0))
+        self.of_many = np.searchsorted(self.kept, self.w[self.many])
+
+    def seated(self, t: np.ndarray) -> np.ndarray:
+        """The kept words' customers in the parent: the tables of all their dishes."""
+        return self.single[self.kept] + np.bincount(self.of_many, weights=t, minlength=len(self.kept)).astype(np.int64)
+
+
+def _slices(part: int, kind: int, sums: int, frequent: Words, contexts: np.ndarray, *values: np.ndarray) -> list[dict]:
+    """Rows that send a part's numbers of each (sorted) context to the part that adds them up."""
+    edges = np.array([-(-(q << 64) // sums) for q in range(1, sums)], np.uint64)
+    cuts = np.r_[0, np.searchsorted(contexts, edges), len(contexts)]
+    return [{"part": part, "kind": kind, "other": q, "numbers": [],
+             "blob": _pack(*_coded(contexts[a:b], frequent.coded), *(v[a:b] for v in values))}
+            for q, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+
+
+def _received(blobs: Iterable[bytes], frequent: Words) -> tuple[list[np.ndarray], int, list[list[np.ndarray]]]:
+    """For each sender the indices of its contexts, the number of different ones, and its numbers."""
+    rows = [_unpack(b) for b in blobs]
+    contexts = [_decoded(*r[:3], frequent.coded) for r in rows]
+    names, index = np.unique(np.concatenate(contexts), return_inverse=True)
+    return np.split(index, np.cumsum([len(x) for x in contexts])[:-1]), len(names), [r[3:] for r in rows]
+
+
+def _added(sent: DataFrame, frequent: Words) -> DataFrame:
+    """The sums of what the parts sent, in each sender's order; of REST rows only for the contexts it marked."""
+
+    def add(got: pd.DataFrame) -> pd.DataFrame:
+        give_back()
+        at, n, rows = _received(got["blob"], frequent)
+        total = np.zeros(n, np.int64)
+        for i, r in zip(at, rows):  # a sender's contexts are all different
+            total[i] += r[0]
+        return got[["part", "kind", "other"]].assign(
+            blob=[_pack(total[i[r[1].astype(bool)]] if len(r) > 1 else total[i]) for i, r in zip(at, rows)])
 
-def _packed(x: np.ndarray) -> bytes:
-    """Arrays of a part are kept compressed: most are small numbers, and only one part is worked on at a time."""
-    return zlib.compress(x.tobytes(), 1)
-
+    return sent.groupBy("other").applyInPandas(add, _MESSAGES)
 
-def _state(part: int, frequent: bool, word: np.ndarray, context: np.ndarray, n: np.ndarray,
-           every: np.ndarray | None = None) -> dict:
-    """The seating of a part before the first sweep, one table for each dish.
 
-    ``word``, ``context`` and ``n`` are the training counts by word and class,
-    sorted.  Words seen once need no state: their one customer has one table.
-    ``every`` lists words that are to be kept in any case, in that order.
-    """
-    heads = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.empty(0, np.int64)
-    total = np.add.reduceat(n, heads) if len(heads) else np.empty(0, np.int64)
-    kinds = np.diff(np.append(heads, len(word)))
-    index = np.repeat(np.arange(len(heads)), kinds)
-    if every is None:
-        keep = total > 1
-        kept, c = word[heads][keep], total[keep]
-        number = np.cumsum(keep) - 1
-        single_words = ~keep
-    else:
-        kept = every
-        number = _place(np.sort(every), word[heads])
-        number = np.argsort(every)[number] if len(heads) else number
-        c = np.zeros(len(every), np.int64)
-        c[number] = total
-        single_words = np.zeros(len(heads), bool)
-    in_state = ~single_words[index]
-    many = in_state & (n > 1)
-    single = np.bincount(number[index[in_state & (n == 1)]], minlength=len(kept)).astype(np.int32)
-    count = lambda x: np.bincount(context[x], minlength=CONTEXTS).astype(np.int64).tolist()
-    return {
-        "part": part, "frequent": frequent, "word": _packed(kept.astype(np.uint64)),
-        "c": _packed(c.astype(np.int64)), "single": _packed(single),
-        "cell_word": _packed(number[index[many]].astype(np.int32)), "cell_context": _packed(context[many]),
-        "cell_c": _packed(n[many].astype(np.int64)), "t": _packed(np.ones(int(many.sum()), np.int64)),
-        "t0": _packed((c > 0).astype(np.int64)), "t_sum": _packed(np.zeros(int(many.sum()), np.int64)), "p0": b"",
-        "rest_tables": count(n == 1),
-        "customers": np.bincount(context, weights=n, minlength=CONTEXTS).astype(np.int64).tolist(),
-        "tables": count(n > 0), "once": int(single_words.sum()), "vocabulary": len(heads),
-        "cell1": int((n == 1).sum()), "cell2": int((n == 2).sum()),
-        "word1": int((kinds == 1).sum()), "word2": int((kinds == 2).sum()),
-        "root_c": len(word), "root_t": len(heads)}
-
-
-def seat(customers: np.ndarray, strength: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables that each dish's customers take, seated one after another.
-
-    A customer takes a new table with weight ``strength`` and an old one with
-    weight customers - discount * tables.  After twenty customers they come in
-    groups of a twentieth of those seated.
-    """
-    t = (customers > 0).astype(np.int64)
-    at, n = np.flatnonzero(customers > 1), 1
-    while len(at):
-        m = 1 if n < 20 else n // 20
-        come = np.minimum(m, customers[at] - n)
-        new = strength[at] / (strength[at] + n - discount * t[at])
-        t[at] += rng.binomial(come, new) if m > 1 else rng.random(len(at)) < new
-        n += m
-        at = at[customers[at] > n]
-    return t
+def _last_sums(sent: DataFrame, frequent: Words, sweeps: list[int]) -> DataFrame:
+    """For every context of a part its customers, and its tables in each kept sweep, over all parts."""
 
+    def add(got: pd.DataFrame) -> pd.DataFrame:
+        give_back()
+        at, n, rows = _received(got["blob"], frequent)
+        rest = (got["kind"] == REST).to_numpy()
+        sums = np.zeros((1 + len(sweeps), n), np.int64)
+        for r, i, asks, number in zip(rows, at, rest, got["sweep"]):
+            if asks:
+                sums[0, i] += r[2]
+                sums[1:, i] += r[0]
+            else:
+                sums[1 + sweeps.index(number), i] += r[0]
+        return got.loc[rest, ["part", "kind", "other"]].assign(
+            blob=[_pack(*sums[:, i]) for i, asks in zip(at, rest) if asks])
 
-class Totals:
-    """The restaurants' totals, and the discounts, as of one sweep."""
-
-    def __init__(self, state: DataFrame, discounts: tuple[float, float] | None = None) -> None:
-        sums = [F.sum(c).alias(c) for c in ("vocabulary", "cell1", "cell2", "word1", "word2", "root_c", "root_t")]
-        r = state.agg(*sums).first()
-        by = (state.select(F.posexplode(F.arrays_zip("customers", "tables")).alias("u", "x"))
-              .groupBy("u").agg(F.sum("x.customers").alias("c"), F.sum("x.tables").alias("t")).collect())
-        self.c, self.t = np.zeros(CONTEXTS), np.zeros(CONTEXTS)
-        for row in by:
-            self.c[row["u"]], self.t[row["u"]] = row["c"], row["t"]
-        self.vocabulary, self.n = int(r["vocabulary"] or 0), int(self.c.sum())
-        self.root_c, self.root_t = float(r["root_c"] or 0), float(r["root_t"] or 0)
-        guess = lambda a, b: float(np.clip((a or 0) / max(1, (a or 0) + 2 * (b or 0)), 0.05, 0.95))
-        self.discounts = discounts or (guess(r["word1"], r["word2"]), guess(r["cell1"], r["cell2"]))
+    return sent.groupBy("other").applyInPandas(add, _MESSAGES)
 
-    def p0(self, c0: np.ndarray, t0: np.ndarray) -> np.ndarray:
-        d0 = self.discounts[0]
-        return (c0 - d0 * t0 + (STRENGTH + d0 * self.root_t) / (self.vocabulary + 1)) / (STRENGTH + self.root_c)
 
+def _answers(rows: pd.DataFrame, kind: int, columns: int = 1) -> list[np.ndarray]:
+    """One part's answers of a kind, put together."""
+    own = rows[rows["kind"] == kind].sort_values("other")
+    got = [_unpack(b) for b in own["blob"]] or [[np.empty(0, np.int64)] * columns]
+    return [np.concatenate(x) for x in zip(*got)]
 
-def _each(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[dict, pa.Schema]]:
-    """The rows one by one: a part's arrays are large, and one is enough at a time."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0], batch.schema
 
+# -------------------------------------------------------------------- seating
 
-def _arrays(r: dict) -> tuple[np.ndarray, ...]:
-    kinds = {"word": np.uint64, "c": np.int64, "single": np.int32, "cell_word": np.int32, "cell_context": np.uint8,
-             "cell_c": np.int64, "t": np.int64, "t0": np.int64, "t_sum": np.int64, "p0": np.float32}
-    return tuple(np.frombuffer(zlib.decompress(r[k]) if r[k] else b"", v) for k, v in kinds.items())
+FIXED, STATE, SEND, REST = range(4)  # kinds of rows: a part's fixed arrays, its seating, tables and what never changes
+_MESSAGES = "part int, kind int, other int, blob binary"
+_ROWS = _MESSAGES + ", numbers array<bigint>"  # numbers: what the driver adds up
+_COUNTS = ("vocabulary", "customers", "cell1", "cell2", "word1", "word2")
 
 
-def _root_customers(single: np.ndarray, cell_word: np.ndarray, t: np.ndarray) -> np.ndarray:
-    return single + np.bincount(cell_word, weights=t, minlength=len(single)).astype(np.int64)
+def _uniform(key: np.ndarray, step: int) -> np.ndarray:
+    """One random number in (0, 1) for each key."""
+    odd = np.uint64(0x9E3779B97F4A7C15 * (step + 1) & (1 << 64) - 1)
+    return ((mix(key + odd) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def sweep(state: DataFrame, totals: Totals, number: int, keep: bool, seed: int = 0) -> DataFrame:
-    """One Gibbs sweep over every dish of every restaurant; kept sweeps add to the averages."""
+def seat(customers: np.ndarray, strength: np.ndarray, discount: float, rng: np.random.Generator | None = None,
+         each: np.ndarray | float = 0.0, key: np.ndarray | None = None) -> np.ndarray:
+    """Tables that each dish's customers take, seated one after another.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d0, d1 = totals.discounts
-        for r, schema in _each(batches):
-            word, _, single, cell_word, context, cell_c, t, t0, t_sum, p0 = _arrays(r)
-            rng = np.random.default_rng([seed, number, int(r["frequent"]), r["part"]])
-            parent = totals.p0(_root_customers(single, cell_word, t), t0)
-            t = seat(cell_c, (STRENGTH + d1 * (totals.t[context] - t)) * parent[cell_word], d1, rng)
-            c0 = _root_customers(single, cell_word, t)
-            t0 = seat(c0, (STRENGTH + d0 * (totals.root_t - t0)) / (totals.vocabulary + 1), d0, rng)
-            tables = np.array(r["rest_tables"]) + np.bincount(context, weights=t, minlength=CONTEXTS).astype(int)
-            r |= {"t": _packed(t), "t0": _packed(t0), "tables": tables.tolist(),
-                  "root_c": int(c0.sum()) + r["once"], "root_t": int(t0.sum()) + r["once"]}
-            if keep:
-                r["t_sum"] = _packed(t_sum + t)
-            yield pa.RecordBatch.from_pylist([r], schema)
+    A customer takes a new table with weight ``strength`` + ``each`` * tables
+    and an old one with weight customers - discount * tables.  The first weight's
+    share only falls until the next new table, so the customers up to it are
+    passed over at once: a candidate is drawn at the present share and taken with
+    the odds of its own share to that, which is the same law.  Draws come from
+    ``rng``, or are made from each dish's ``key``.
+    """
+    t = (customers > 0).astype(np.int64)
+    n = t.copy()  # seated so far
+    each = np.broadcast_to(np.asarray(each, np.float64), customers.shape)
+    at, step = np.flatnonzero(customers > 1), 0
+    while len(at):
+        draw = [rng.random(len(at)) if key is None else _uniform(key[at], 2 * step + k) for k in (0, 1)]
+        new = strength[at] + each[at] * t[at]
+        old = n[at] - discount * t[at]
+        share = new / (new + old)
+        passed = np.minimum(np.floor(np.log(np.maximum(draw[0], 1e-300)) / np.log1p(-share)), n[at]).astype(np.int64)
+        found = (passed < n[at]) & (n[at] + passed < customers[at])
+        taken = found & (draw[1] * share < new / (new + old + passed))
+        t[at] += taken
+        n[at] += passed + (passed < n[at])
+        at, step = at[n[at] < customers[at]], step + 1
+    return t
 
-    return written(state.mapInArrow(run, _STATE), "seating")
 
+class Totals:
+    """The parent's totals, and the discounts, as of one sweep; with the frequent words' places in the parent."""
+
+    def __init__(self, counts: dict[str, int], heavy_c: np.ndarray, heavy_tables: np.ndarray, root_c: int,
+                 root_t: int) -> None:
+        ever = heavy_c > 0
+        self.heavy_c = heavy_c
+        self.vocabulary, self.n = counts["vocabulary"] + int(ever.sum()), counts["customers"]
+        word1, word2 = (counts[f"word{k}"] + int((heavy_tables == k).sum()) for k in (1, 2))
+        guess = lambda a, b: float(np.clip(a / max(1, a + 2 * b), 0.05, 0.95))
+        self.discounts = guess(word1, word2), guess(counts["cell1"], counts["cell2"])
+        self.heavy_c0, self.heavy_t0 = heavy_tables, ever.astype(np.int64)
+        self.root_c, self.root_t = root_c + int(heavy_tables.sum()), root_t + int(self.heavy_t0.sum())
+
+    def after(self, table: np.ndarray, heavy_tables: np.ndarray, root_c: int, root_t: int, seed: np.uint64) -> Totals:
+        """The totals after a sweep, which left these tables."""
+        new = object.__new__(Totals)
+        new.__dict__.update(self.__dict__)
+        new.heavy_c0, new.heavy_t0 = heavy_tables, self.reseated(heavy_tables, self.heavy_t0, table, seed)
+        new.root_c, new.root_t = root_c + int(heavy_tables.sum()), root_t + int(new.heavy_t0.sum())
+        return new
+
+    def reseated(self, c0: np.ndarray, t0: np.ndarray, word: np.ndarray, seed: np.uint64) -> np.ndarray:
+        d0, base = self.discounts[0], 1 / (self.vocabulary + 1)
+        return seat(c0, (STRENGTH + d0 * (self.root_t - t0)) * base, d0, each=d0 * base, key=mix(word + seed))
 
-def _with_parents(state: DataFrame, totals: Totals) -> DataFrame:
-    """The state with the parent's probability of each word, appended for a kept sweep."""
+    def p0(self, c0: np.ndarray, t0: np.ndarray) -> np.ndarray:
+        d0 = self.discounts[0]
+        return (c0 - d0 * t0 + (STRENGTH + d0 * self.root_t) / (self.vocabulary + 1)) / (STRENGTH + self.root_c)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r, schema in _each(batches):
-            _, _, single, cell_word, _, _, t, t0, _, p0 = _arrays(r)
-            parents = totals.p0(_root_customers(single, cell_word, t), t0).astype(np.float32)
-            r["p0"] = _packed(np.append(p0, parents))
-            yield pa.RecordBatch.from_pylist([r], schema)
 
-    return state.mapInArrow(run, _STATE)
+    def parents(self, c0: np.ndarray, t0: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+        """The parent's probabilities of words: ``heavy`` is their index among the frequent ones, or -1."""
+        known = self.p0(self.heavy_c0, self.heavy_t0)
+        return np.where(heavy < 0, self.p0(c0, t0), known[np.maximum(heavy, 0)])
+
+
+def _of_heavy(heavy: np.ndarray, numbers: np.ndarray, size: int) -> list[int]:
+    """The frequent words' numbers, by their index."""
+    at = heavy >= 0
+    return np.bincount(heavy[at], weights=numbers[at], minlength=size).astype(np.int64).tolist()
+
+
+def _begun(part: int, cells: Cells, frequent: Words, sums: int) -> list[dict]:
+    """A part's rows before the first sweep, one table for each dish."""
+    local = cells.heavy < 0
+    kinds = np.bincount(cells.w[cells.c > 0], minlength=len(cells.words))
+    busy, u = cells.contexts[cells.busy], np.searchsorted(cells.busy, cells.u[cells.many])
+    marks = np.zeros(len(cells.contexts), bool)
+    marks[cells.busy] = True
+    fixed = _pack(*_coded(cells.words[cells.kept], frequent.coded), *_coded(busy, frequent.coded),
+                  cells.single[cells.kept], cells.of_many, u, cells.c[cells.many])
+    once = int((local & (cells.total == 1)).sum())
+    counts = {"vocabulary": int((cells.total[local] > 0).sum()), "customers": int(cells.c.sum()),
+              "cell1": int((cells.c == 1).sum()), "cell2": int((cells.c == 2).sum()),
+              "word1": int((kinds[local] == 1).sum()), "word2": int((kinds[local] == 2).sum())}
+    size = frequent.size
+    numbers = [int(kinds[local].sum()), counts["vocabulary"], *_of_heavy(cells.heavy, kinds, size),
+               *_of_heavy(cells.heavy, cells.total, size), *(counts[k] for k in _COUNTS)]
+    state = _pack(np.ones(len(cells.many), np.int64), np.ones(len(cells.kept), np.int64))
+    return [{"part": part, "kind": FIXED, "other": once, "blob": fixed, "numbers": []},
+            {"part": part, "kind": STATE, "other": 0, "blob": state, "numbers": numbers},
+            *_slices(part, REST, sums, frequent, cells.contexts, cells.rest, marks, cells.customers),
+            *_slices(part, SEND, sums, frequent, busy, np.bincount(u, minlength=len(busy)))]
+
+
+def _swept(part: int, fixed: bytes, once: int, state: bytes, others: np.ndarray, totals: Totals, frequent: Words,
+           sums: int, seed: np.uint64) -> list[dict]:
+    """One Gibbs sweep over a part's dishes and its words' places in the parent; ``others``: the contexts' tables."""
+    rows = _unpack(fixed)
+    word, context = _decoded(*rows[:3], frequent.coded), _decoded(*rows[3:6], frequent.coded)
+    single, w, u, c = rows[6:]
+    t, t0 = _unpack(state)
+    heavy = _place(frequent.heavy, word)
+    seated = lambda t: single + np.bincount(w, weights=t, minlength=len(word)).astype(np.int64)
+    parent = totals.parents(seated(t), t0, heavy)[w]
+    d1 = totals.discounts[1]
+    t = seat(c, (STRENGTH + d1 * (others[u] - t)) * parent, d1, each=d1 * parent,
+             key=mix(word[w] ^ mix(context[u] + seed)))
+    c0 = seated(t)
+    local = heavy < 0
+    t0 = totals.reseated(np.where(local, c0, 0), t0, word, seed)
+    return [{"part": part, "kind": STATE, "other": 0, "blob": _pack(t, t0),
+             "numbers": [int(c0[local].sum()) + once, int(t0.sum()) + once, *_of_heavy(heavy, c0, frequent.size)]},
+            *_slices(part, SEND, sums, frequent, context, np.bincount(u, weights=t, minlength=len(context)).astype(np.int64))]
+
+
+def _numbers(rows: DataFrame) -> np.ndarray:
+    got = (rows.where(F.col("kind") == STATE).select(F.posexplode("numbers").alias("i", "x"))
+           .groupBy("i").agg(F.sum("x").alias("x")).collect())
+    out = np.zeros(len(got), np.int64)
+    for r in got:
+        out[r["i"]] = r["x"]
+    return out
 
 
 # -------------------------------------------------------------------- scoring
 
 
-class Predictive:
-    """Averaged predictive probabilities, from the totals of the kept sweeps."""
-
-    def __init__(self, kept: list[Totals]) -> None:
-        last = kept[-1]
-        self.n, self.vocabulary, self.c = last.n, last.vocabulary, last.c
-        self.d1 = last.discounts[1]
-        self.back = np.stack([STRENGTH + self.d1 * k.t for k in kept])  # sweep x class: weight of the parent
-        one, none = np.ones(1), np.zeros(1)
-        self.once = np.array([k.p0(one, one)[0] for k in kept])  # parent's probability of a word seen once
-        self.never = np.array([k.p0(none, none)[0] for k in kept])
-
-    def score(self, context: np.ndarray, c: np.ndarray, t: np.ndarray, p0: np.ndarray) -> np.ndarray:
-        """log10 P; ``p0`` is sweep x token."""
-        back = (self.back[:, context] * p0).mean(axis=0)
-        return np.log10((c - self.d1 * t + back) / (STRENGTH + self.c[context]))
-
-    def base(self, c: np.ndarray) -> np.ndarray:
-        return np.log10((c + PSEUDO) / (self.n + PSEUDO * (self.vocabulary + 1)))
-
-
-def _frequent_scores(state: DataFrame, model: Predictive, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the frequent words: training counts, base scores and (word x class) scores; fixed in size."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r, _ in _each(batches):
-            word, c, single, cell_word, context, cell_c, _, _, t_sum, p0 = _arrays(r)
-            k = len(model.back)
-            cells, tables = np.zeros((2, len(word), CONTEXTS))
-            once = np.frombuffer(r["cells_once"], np.uint8).reshape(len(word), CONTEXTS)
-            cells += once
-            tables += once
-            cells[cell_word, context] = cell_c
-            tables[cell_word, context] = t_sum / k
-            everywhere = np.tile(np.arange(CONTEXTS), len(word))
-            p = np.repeat(p0.reshape(k, len(word)), CONTEXTS, axis=1)
-            scores = model.score(everywhere, cells.ravel(), tables.ravel(), p)
-            yield pa.RecordBatch.from_pydict({
-                "part": pa.array([r["part"]], pa.int32()), "c": [c.tobytes()],
-                "scores": [scores.astype(np.float32).tobytes()]})
-
-    got = state.mapInArrow(run, "part int, c binary, scores binary").collect()
-    c = np.zeros(-(-n // SEGMENT) * SEGMENT, np.int64)
-    scores = np.zeros((len(c), CONTEXTS), np.float32)
-    none = np.arange(CONTEXTS)
-    scores[:] = model.score(none, np.zeros(CONTEXTS), np.zeros(CONTEXTS),
-                            np.repeat(model.never[:, None], CONTEXTS, axis=1))
-    for r in got:
-        at = slice(r["part"] * SEGMENT, r["part"] * SEGMENT + len(r["c"]) // 8)
-        c[at] = np.frombuffer(r["c"], np.int64)
-        scores[at] = np.frombuffer(r["scores"], np.float32).reshape(-1, CONTEXTS)
-    return c, model.base(c), scores
+def _part_scores(rows: pd.DataFrame, told: pd.DataFrame, frequent: Words, kept: list[Totals]) -> pd.DataFrame:
+    """Of each chunk the sums over one part's words: documents, known words, base scores and scores."""
+    rows = rows.sort_values("chunk")
+    cells, last = Cells(rows["pairs"], frequent), kept[-1]
+    d1 = last.discounts[1]
+    customers, *tables = _answers(told, REST)
+    c_word = np.where(cells.heavy < 0, cells.total, last.heavy_c[np.maximum(cells.heavy, 0)])
+    p = np.zeros(len(cells.c))
+    for totals, there, state in zip(kept, tables, told[told["kind"] == STATE].sort_values("sweep")["blob"]):
+        t, t0 = _unpack(state)
+        t_cell, c0, t0_word = (cells.c > 0).astype(np.int64), np.minimum(cells.total, 1), np.minimum(cells.total, 1)
+        t_cell[cells.many], c0[cells.kept], t0_word[cells.kept] = t, cells.seated(t), t0
+        parent = totals.parents(c0, t0_word, cells.heavy)[cells.w]
+        p += (cells.c - d1 * t_cell + (STRENGTH + d1 * there[cells.u]) * parent) / (STRENGTH + customers[cells.u])
+    score = np.log10(p / len(kept))
+    base = np.log10((c_word + PSEUDO) / (last.n + PSEUDO * (last.vocabulary + 1)))
+    out, at = [], 0
+    for size, places in zip(cells.sizes, rows["places"]):
+        times, doc = _unpack(places)
+        cell = np.repeat(cells.of[at:at + size], times)
+        at += size
+        ids, index = np.unique(doc, return_inverse=True)
+        total = lambda x: np.bincount(index, weights=x, minlength=len(ids))
+        out.append(_pack(ids, total(c_word[cells.w[cell]] > 0), total(base[cells.w[cell]]), total(score[cell])))
+    return pd.DataFrame({"chunk": rows["chunk"], "blob": out})
 
 
 def scored(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN, frequent_size: int = FREQUENT) -> DataFrame:
@@ -435,125 +536,87 @@ def scored(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN, freque
     spark = docs.sparkSession
     short_batches(spark)
     rows = _prepared(docs)
-    table, others = frequent_words(rows.select("text"), frequent_size)
-    frequent = spark.sparkContext.broadcast(table.tobytes())
-    parts = max(12, -(-others // PART_TOKENS))
-
-    segments = written(_frequent_counts(rows, frequent), "counts")
-    blobs = written(_other_tokens(rows, frequent, parts), "tokens")
-
-    def frequent_state(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(frequent.value, np.uint64)
-        for batch in batches:
-            for r in batch.to_pylist():
-                own = table[r["segment"] * SEGMENT:(r["segment"] + 1) * SEGMENT]
-                n = np.frombuffer(zlib.decompress(r["counts"]), np.int64).reshape(SEGMENT, CONTEXTS)[:len(own)]
-                i, u = np.nonzero(n)
-                yield pa.RecordBatch.from_pylist(
-                    [_state(r["segment"], True, own[i], u.astype(np.uint8), n[i, u], own)
-                     | {"cells_once": (n == 1).astype(np.uint8).tobytes()}], pa.schema(
-                        [*state_schema, ("cells_once", pa.binary())]))
-
-    def other_state(part: pd.DataFrame) -> pd.DataFrame:
+    found, total = frequent_words(rows.select("text"))
+    frequent = Words(spark, found, frequent_size)
+    parts = max(12, -(-total // PART_TOKENS))
+    size = frequent.size
+
+    # From here on each part's rows are in one bucket.
+    chunks = _bucketed(_chunks(rows, frequent, parts).repartition(4 * parts, "part"), parts, "chunks")
+    pairs = chunks.where("part >= 0")
+
+    def begin(got: pd.DataFrame) -> pd.DataFrame:
         give_back()
-        word, context, _, out = _unpack(part["blob"])
-        word, context = word[~out], context[~out]
-        order = np.lexsort((context, word))
-        word, context = word[order], context[order]
-        heads = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (context[1:] != context[:-1])]) \
-            if len(word) else np.empty(0, np.int64)
-        n = np.diff(np.append(heads, len(word)))
-        return pd.DataFrame([_state(int(part["part"].iloc[0]), False, word[heads], context[heads], n)])
+        cells = Cells(got["pairs"], frequent)
+        return pd.DataFrame(_begun(int(got["part"].iloc[0]), cells, frequent, parts),
+                            columns=["part", "kind", "other", "blob", "numbers"])
+
+    seating = _bucketed(pairs.select("part", "pairs").groupBy("part").applyInPandas(begin, _ROWS), parts, "seating")
+    fixed = seating.where(F.col("kind") == FIXED).drop("numbers")
+    asked = seating.where(F.col("kind") == REST).drop("numbers")
+    rest = written(_added(asked, frequent), "rest")
+
+    numbers = _numbers(seating)
+    if not len(numbers):  # no rows at all
+        numbers = np.zeros(2 + 2 * size + len(_COUNTS), np.int64)
+    totals = Totals(dict(zip(_COUNTS, numbers[2 + 2 * size:].tolist())), numbers[2 + size:2 + 2 * size],
+                    numbers[2:2 + size], int(numbers[0]), int(numbers[1]))
+    kept: list[Totals] = []
+    states: list[DataFrame] = []
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+    def swept(state: DataFrame, totals: Totals, seed: np.uint64) -> DataFrame:
 
-    state_schema = list(to_arrow_schema(_parse_datatype_string(_STATE)))
-    fixed = written(segments.mapInArrow(frequent_state, _STATE + ", cells_once binary"), "seating")
-    state = written(fixed.drop("cells_once").unionByName(
-        blobs.groupBy("part").applyInPandas(other_state, _STATE)), "seating")
+        def run(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+            give_back()
+            (tables,), (never,) = _answers(told, SEND), _answers(told, REST)
+            out = _swept(int(own["part"].iloc[0]), own["blob"].iloc[0], int(own["other"].iloc[0]),
+                         told.loc[told["kind"] == STATE, "blob"].iloc[0], never + tables, totals, frequent, parts, seed)
+            return pd.DataFrame(out, columns=["part", "kind", "other", "blob", "numbers"])
 
-    totals = Totals(state)
-    kept: list[Totals] = []
+        told = (state.where(F.col("kind") == STATE).drop("numbers").unionByName(rest)
+                .unionByName(_added(state.where(F.col("kind") == SEND).drop("numbers"), frequent)))
+        return written(fixed.groupBy("part").cogroup(told.groupBy("part")).applyInPandas(run, _ROWS), "seating")
+
+    state = seating
     for number in range(sweeps):
-        keep = number >= burn_in
-        state = sweep(state, totals, number, keep)
-        totals = Totals(state, totals.discounts)
-        if keep:
+        seed = mix(np.array([number + 1], np.uint64))[0]
+        state = swept(state, totals, seed)
+        numbers = _numbers(state)
+        if len(numbers):
+            totals = totals.after(frequent.heavy, numbers[2:], int(numbers[0]), int(numbers[1]), seed)
+        if number >= burn_in:
             kept.append(totals)
-            state = _with_parents(state, totals)
-    state = written(state, "seating")
-    model = Predictive(kept)
+            states.append(state.drop("numbers").withColumn("sweep", F.lit(number)))
 
-    c, base, scores = _frequent_scores(
-        state.where("frequent").join(fixed.select("part", "cells_once"), "part"), model, len(table))
-    known = spark.sparkContext.broadcast((c, base, scores))  # FREQUENT x CONTEXTS numbers
+    every = states[0]
+    for x in states[1:]:
+        every = every.unionByName(x)
+    sums = _last_sums(asked.withColumn("sweep", F.lit(-1)).unionByName(every.where(F.col("kind") == SEND)),
+                      frequent, list(range(burn_in, sweeps)))
+    told = every.where(F.col("kind") == STATE).unionByName(sums.withColumn("sweep", F.lit(-1)))
 
-    def frequent_part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(frequent.value, np.uint64)
-        c, base, scores = known.value
-        for batch in by_bytes(batches):
-            word, context, row = tokens(batch)
-            at = _place(table, word)
-            own = np.flatnonzero(at >= 0)
-            total = lambda x: pa.array(np.bincount(row[own], weights=x, minlength=batch.num_rows))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("doc_id"), batch.column("out"), pa.array([1] * batch.num_rows),
-                 pa.array(np.bincount(row, minlength=batch.num_rows)),
-                 total((c[at[own]] > 0).astype(float)).cast(pa.int64()), total(base[at[own]]),
-                 total(scores[at[own], context[own]].astype(float))],
-                ["key", "doc_id", "out", "rows", "n_tokens", "n_known", "base", "score"])
-
-    def other_part(blob: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    def score(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         give_back()
-        none = pd.DataFrame({"key": [], "n_known": [], "base": [], "score": []})
-        if not len(blob):
-            return none
-        word, context, doc, out = _unpack(blob["blob"])
-        order = np.lexsort((context, word))
-        word, context, doc, out = word[order], context[order], doc[order], out[order]
-        cell = np.cumsum(np.r_[True, (word[1:] != word[:-1]) | (context[1:] != context[:-1])]) - 1
-        which = np.cumsum(np.r_[True, word[1:] != word[:-1]]) - 1
-        c_cell = np.bincount(cell, weights=~out)
-        c_word = np.bincount(which, weights=~out)
-        heads = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
-        cell_heads = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        t_cell = (c_cell > 0).astype(float)
-        k = len(model.back)
-        p0 = np.where(c_word == 1, model.once[:, None], model.never[:, None])
-        r = state.iloc[0].to_dict()
-        known_word, _, _, cell_word, cell_context, _, _, _, t_sum, parent = _arrays(r)
-        if len(known_word):
-            at = _place(known_word, word[heads])  # the state's words are sorted
-            has = at >= 0
-            p0[:, has] = parent.reshape(k, -1)[:, at[has]]
-            # Cells of several customers, in the state's order and in this one's, are sorted alike.
-            several = np.flatnonzero(c_cell > 1)
-            t_cell[several] = t_sum / k
-        score = model.score(context[cell_heads], c_cell, t_cell, p0[:, which[cell_heads]])
-        ids, index = np.unique(doc, return_inverse=True)
-        total = lambda x: np.bincount(index, weights=x, minlength=len(ids))
-        return pd.DataFrame({"key": ids.view(np.int64), "n_known": total((c_word[which] > 0)).astype(np.int64),
-                             "base": total(model.base(c_word)[which]), "score": total(score[cell])})
-
-    schema = "key long, doc_id long, out boolean, rows long, n_tokens long, n_known long, base double, score double"
-    first = rows.mapInArrow(frequent_part, schema)
-    rest = blobs.groupBy("part").cogroup(state.where("not frequent").groupBy("part")).applyInPandas(
-        other_part, "key long, n_known long, base double, score double")
-    rest = rest.select("key", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("out"),
-                       F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("n_tokens"),
-                       "n_known", "base", "score")
-    whole = (first.unionByName(rest).groupBy("key")
-             .agg(F.max("doc_id").alias("doc_id"), F.max("out").alias("held_out"), F.sum("rows").alias("rows"),
-                  *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")]))
-    # Equal rows have one key; each gets its share back.
-    whole = whole.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
-    share = {c: F.expr(f"{c} div rows") for c in ("n_tokens", "n_known")}
-    return whole.select(
-        "doc_id", "held_out", share["n_tokens"].alias("n_tokens"), share["n_known"].alias("n_known"),
-        F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base") / F.col("rows")).alias("base_score"),
-        (F.col("score") / F.col("rows")).alias("score"),
-        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+        return _part_scores(own, told, frequent, kept)
+
+    got = pairs.groupBy("part").cogroup(told.groupBy("part")).applyInPandas(score, "chunk long, blob binary")
+    whole = chunks.where("part < 0").select("chunk", F.col("pairs").alias("blob"), F.lit(True).alias("rows")).unionByName(
+        got.withColumn("rows", F.lit(False)))
+
+    def by_row(got: pd.DataFrame) -> pd.DataFrame:
+        doc_id, null, out, n = _unpack(got.loc[got["rows"], "blob"].iloc[0])
+        sums = np.zeros((3, len(n)))
+        for blob in got.loc[~got["rows"], "blob"]:
+            at, *x = _unpack(blob)
+            sums[:, at] += x
+        return pd.DataFrame({
+            "doc_id": pd.arrays.IntegerArray(doc_id, null.astype(bool)), "held_out": out.astype(bool), "n_tokens": n,
+            "n_known": sums[0].astype(np.int64), "base_score": sums[1], "score": sums[2]})
+
+    return whole.groupBy("chunk").applyInPandas(
+        by_row, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double").select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(totals.n).cast("long").alias("train_tokens"), "base_score",
+        "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
 def report(docs: DataFrame) -> DataFrame:

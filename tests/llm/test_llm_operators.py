@@ -9,6 +9,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cosecha.llm import (decontaminate, jaccard_join, line_dedup, mtree, packing, pitman_yor, rollups, run_index,
@@ -706,3 +707,92 @@ def test_seating_is_between_one_table_and_one_each():
     c = np.array([0, 1, 2, 50, 10**6])
     t = pitman_yor.seat(c, np.full(5, 2.0), 0.5, rng)
     assert (t[:2] == [0, 1]).all() and (t >= (c > 0)).all() and (t <= c).all()
+
+
+def test_seating_follows_the_law():
+    """Against seating each customer on its own: the same mean number of tables, whichever way draws are made."""
+    rng, runs, customers = np.random.default_rng(5), 4000, 60
+    for strength, each, discount in ((0.02, 0.0, 0.7), (0.5, 0.2, 0.4), (6.0, 0.0, 0.9)):
+        t = np.ones(runs)
+        for n in range(1, customers):
+            new = strength + each * t
+            t += rng.random(runs) < new / (new + n - discount * t)
+        keys = rng.integers(0, 2**63, runs, dtype=np.uint64)
+        for key in (None, keys):
+            got = pitman_yor.seat(np.full(runs, customers), np.full(runs, strength), discount, rng, each, key)
+            assert abs(got.mean() - t.mean()) < 5 * math.sqrt((got.var() + t.var()) / runs) + 1e-9
+
+
+def pitman_yor_truth(word, context, row, out, sweeps=5, burn_in=2):
+    """The model in one process, over tokens: log10 probabilities of rows, and P(word, context) itself."""
+    seen = collections.Counter((w, u) for w, u, r in zip(word, context, row) if not out[r])
+    w, u = (np.array(x, np.uint64) for x in zip(*seen))
+    c = np.array(list(seen.values()))
+    names, at = np.unique(w, return_inverse=True)
+    rooms, of = np.unique(u, return_inverse=True)
+    kinds, vocabulary = np.bincount(at), len(names)
+    guess = lambda x: min(max((x == 1).sum() / max(1, (x == 1).sum() + 2 * (x == 2).sum()), 0.05), 0.95)
+    d0, d1 = guess(kinds), guess(c)
+    t, t0, c0, kept = np.ones(len(c), int), np.ones(len(names), int), kinds, []
+    for k in range(sweeps):
+        seed = pitman_yor.mix(np.array([k + 1], np.uint64))[0]
+        base = 1 / (vocabulary + 1)
+        parent = ((c0 - d0 * t0 + (1 + d0 * t0.sum()) * base) / (1 + c0.sum()))[at]
+        others = np.bincount(of, weights=t)[of] - t
+        t = pitman_yor.seat(c, (1 + d1 * others) * parent, d1, each=d1 * parent,
+                            key=pitman_yor.mix(w ^ pitman_yor.mix(u + seed)))
+        c0 = np.bincount(at, weights=t).astype(int)
+        t0 = pitman_yor.seat(c0, (1 + d0 * (t0.sum() - t0)) * base, d0, each=d0 * base,
+                             key=pitman_yor.mix(names + seed))
+        if k >= burn_in:
+            kept.append((t, np.bincount(of, weights=t), c0, t0))
+    cell, customers = {x: i for i, x in enumerate(zip(w, u))}, np.bincount(of, weights=c)
+
+    def p(x, y):
+        i, a, b = cell.get((x, y)), np.flatnonzero(names == x), np.flatnonzero(rooms == y)
+        total = 0
+        for t, tables, c0, t0 in kept:
+            root = (sum(c0[a] - d0 * t0[a]) + (1 + d0 * t0.sum()) / (vocabulary + 1)) / (1 + c0.sum())
+            own = c[i] - d1 * t[i] if i is not None else 0
+            total += (own + (1 + d1 * sum(tables[b])) * root) / (1 + sum(customers[b]))
+        return total / len(kept)
+
+    score = np.zeros(len(out))
+    for x, y, r in zip(word, context, row):
+        score[r] += math.log10(p(x, y))
+    return score, p, names, rooms
+
+
+def test_pitman_yor_equals_the_model_in_one_process(spark, docs, rows):
+    """Restaurants are keyed by the whole word before; no score depends on which words are frequent."""
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([r[1] for r in rows])})
+    out = np.array([zlib.crc32(str(r[0]).encode()) % 10 == 0 for r in rows])
+    word, context, row = pitman_yor.tokens(batch)
+    want, p, names, rooms = pitman_yor_truth(word, context, row, out)
+    unknown = np.uint64(7)
+    for u in (*rooms, unknown):
+        assert math.isclose(sum(p(w, u) for w in (*names, unknown)), 1, rel_tol=1e-9)
+    for size in (1, 4, 4096):
+        got = {r["doc_id"]: r["score"] for r in pitman_yor.scored(docs, frequent_size=size).collect()}
+        assert all(math.isclose(got[r[0]], x, rel_tol=1e-9) for r, x in zip(rows, want))
+
+
+def test_pitman_yor_contexts_are_words(spark):
+    """Words that end alike have followers of their own, and of one training text all can be worked out."""
+    held = [i for i in range(1, 2000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    train = [i for i in range(1, 2000) if i not in set(held)]
+    texts = [(i, ("red-aaa left", "blue-aaa right")[k % 2]) for k, i in enumerate(train[:100])]
+    tried = ["red-aaa left", "red-aaa right", "blue-aaa right", "blue-aaa left"]
+    df = spark.createDataFrame(texts + list(zip(held, tried)), "doc_id long, text string")
+    got = {r["text"]: r["score"] for r in pitman_yor.scored(df).where("held_out").join(
+        df.hint("broadcast"), "doc_id").collect()}
+    assert got["red-aaa left"] > got["red-aaa right"] + 1 and got["blue-aaa right"] > got["blue-aaa left"] + 1
+
+    one = spark.createDataFrame([(train[0], "a B c"), (held[0], "a b"), (held[1], "zz")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.scored(one).collect()}
+    d = 0.95  # every dish and every word stands once
+    root = lambda c: (c - d * c + (1 + d * 4) / 5) / (1 + 4)
+    inside = lambda c, w: (c - d * c + (1 + d) * root(w)) / 2
+    assert math.isclose(got[train[0]], 4 * math.log10(inside(1, 1)), rel_tol=1e-9)
+    assert math.isclose(got[held[0]], math.log10(inside(1, 1) ** 2 * inside(0, 1)), rel_tol=1e-9)
+    assert math.isclose(got[held[1]], math.log10(inside(0, 0) * root(1)), rel_tol=1e-9)
