@@ -69,7 +69,7 @@ def test_stages(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
+    for t in ("documents", "benchmark", "embeddings", "conversations"):
         con.sql(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     want = con.sql(queries.ORACLE[name])
     got = queries.QUERIES[name](spark, SMALL)
